@@ -1,0 +1 @@
+"""Intentionally empty: every supported workload is a batch job (see README)."""
