@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from varloom.sources.sinks import settle
+
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row per key: the first in `order`.
@@ -109,7 +111,11 @@ def tiled_running(
 def islands(
     df: DataFrame, keys: list[str], start: str, end: str, gap: int = 0, tile: int = 1_000_000
 ) -> DataFrame:
-    """Gaps and islands: `_island` counts up where start > running max(end) + gap."""
+    """Gaps and islands: `_island` counts up where start > running max(end) + gap.
+
+    The spans are written once, because the two scans read them several times.
+    """
+    df = settle(df)
     by = [F.col(start), F.col(end)]
     pos_tile = F.floor(F.col(start) / tile)
     df = tiled_running(

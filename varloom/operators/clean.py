@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import with_missing
-from varloom.functions.scalars import chr_order
+from varloom.functions.scalars import CHROMOSOMES, chr_order
 
 # What a cell must look like to be kept.
 PATTERNS = {
@@ -53,24 +53,45 @@ def typed_parse(df: DataFrame, column: str, kind: str, signed: bool = False) ->
     return df.filter(ok).withColumn(column, value)
 
 
+# Chromosome text after the prefix -> canonical chromosome.
+CHROMOSOME_OF = {**{c: c for c in CHROMOSOMES}, "23": "X", "24": "Y"}
+
+
 def clean_chromosome(df: DataFrame, column: str = "Chromosome") -> DataFrame:
-    c = F.regexp_replace(F.col(column).cast("string"), r"^[^\d+]+(?=([0-9]{1,2}|X|Y|MT))", "")
-    c = F.regexp_replace(c, r"\.0$", "")
-    c = F.when(c == "23", "X").when(c == "24", "Y").otherwise(c)
-    return df.withColumn(column, c).filter(c.isNull() | c.rlike(PATTERNS["chromosome"]))
+    """Drop a non-digit prefix and a trailing `.0`, keep the 25 valid values.
+
+    One anchored pattern does the prefix, the suffix and the shape check.
+    """
+    token = F.regexp_extract(F.col(column).cast("string"), r"^[^\d+]*?(\d{1,2}|X|Y|MT)(?:\.0)?$", 1)
+    table = F.create_map(*[F.lit(x) for kv in CHROMOSOME_OF.items() for x in kv])
+    return (
+        df.withColumn("_token", token)
+        .withColumn("_chr", table[F.col("_token")])
+        .filter(F.col(column).isNull() | F.col("_chr").isNotNull())
+        .withColumn(column, F.col("_chr"))
+        .drop("_token", "_chr")
+        .select(*df.columns)
+    )
 
 
 def clean_position(df: DataFrame, column: str = "Position") -> DataFrame:
-    text = F.regexp_replace(F.col(column).cast("string"), r"\.0$", "")
-    return typed_parse(df.withColumn(column, text), column, "int")
+    """Unsigned integers, with or without a trailing `.0`."""
+    if dict(df.dtypes)[column] in ("bigint", "int"):
+        return df.filter(F.col(column).isNull() | (F.col(column) >= 0)).withColumn(
+            column, F.col(column).cast("long")
+        )
+    text = F.col(column).cast("string")
+    whole = F.substring_index(text, ".", 1).try_cast("long")
+    return df.filter(text.isNull() | text.rlike(r"^\d+(\.0)?$")).withColumn(column, whole)
 
 
 def clean_alleles(
     df: DataFrame, columns: tuple[str, ...] = ("NEA", "EA", "REF", "ALT")
 ) -> DataFrame:
+    """`?` means missing; other cells must be plain nucleotides."""
     for c in [x for x in columns if x in df.columns]:
-        v = F.nullif(F.col(c), F.lit("?"))
-        df = df.withColumn(c, v).filter(v.isNull() | v.rlike(PATTERNS["nucleotide"]))
+        v = F.col(c)
+        df = df.filter(v.isNull() | v.rlike(r"^(\?|[ATCG]+)$")).withColumn(c, F.when(v != "?", v))
     return df
 
 

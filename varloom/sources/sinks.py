@@ -26,6 +26,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write a small intermediate table once and go on from the file.
+
+    For results that several later steps read (loci, tops, spans). The lineage is cut,
+    and the table outlives any lost executor.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "settled")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def sink_tsv(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
     df.write.csv(path, sep=sep, header=True, mode=mode)
 
