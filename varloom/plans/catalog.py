@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from varloom.plans import checks_association, checks_loci  # noqa: F401
+from varloom.plans import checks_association, checks_loci, checks_traits  # noqa: F401
 from varloom.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 
