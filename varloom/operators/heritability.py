@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.frames import first_by, tiled_running
 from varloom.functions.scalars import chr_order, midpoint, strand_ambiguous, z_from_p
+from varloom.sources.sinks import settle
 
 
 def munge(df: DataFrame, n: float | None = None, by: tuple[str, ...] = ("dataset",), maf: float = 0.01) -> DataFrame:
@@ -98,7 +99,7 @@ def h2_regression(
     """
     l2 = F.greatest(sum((F.col(s) for s in scores[1:]), F.col(scores[0])), F.lit(1.0))
     base = df.select(by, "Chromosome", "Position", (F.col("Z") * F.col("Z")).alias("chi2"), "N", *scores)
-    base = base.dropna().withColumn("_l2", l2)
+    base = settle(base.dropna().withColumn("_l2", l2))
     totals = base.groupBy(by).agg(
         F.count("*").alias("_m"), F.avg("chi2").alias("_chi"), F.avg("_l2").alias("_al"), F.avg("N").alias("_an")
     )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-
-from varloom.plans import checks_association, checks_loci, checks_traits  # noqa: F401
+from varloom.plans import (  # noqa: F401
+    checks_association,
+    checks_cells,
+    checks_loci,
+    checks_traits,
+    flagship,
+)
 from varloom.plans.registry import ORACLES, QUERIES  # noqa: F401
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["standardise"](spark, sf_dir)

@@ -80,14 +80,14 @@ def _(t):
     return readers.panel_lookup(t.panel_multi, wanted, ["Chromosome", "Position"])
 
 
-@query("scan_intervals")
+@query("scan_intervals", "SELECT Chromosome, Start, End_ FROM {blocks}")
 def _(t):
     path = sinks.scratch(t.spark, "intervals")
     sinks.sink_tsv(t.blocks.withColumn("Chromosome", F.concat(F.lit("chr"), "Chromosome")), path)
     return readers.scan_intervals(t.spark, path, "Chromosome", "Start", "End_")
 
 
-@query("scan_bim")
+@query("scan_bim", 'SELECT Chromosome, RSID AS id, CAST(0.5 AS DOUBLE) AS "cM", Position FROM {panel}')
 def _(t):
     path = sinks.scratch(t.spark, "bim")
     t.panel.select(
@@ -96,7 +96,7 @@ def _(t):
     return readers.scan_bim(t.spark, path)
 
 
-@query("scan_ld_pairs")
+@query("scan_ld_pairs", "SELECT SNPID AS Lead, RSID AS LD, Position % 100 / CAST(100 AS DOUBLE) AS r2 FROM {panel}")
 def _(t):
     path = sinks.scratch(t.spark, "ld")
     rows = t.panel.select(
@@ -127,7 +127,7 @@ def _(t):
     return keyed.select("sample_name", "disease", "study", "N")
 
 
-@query("scan_by_extension")
+@query("scan_by_extension", "SELECT dataset, CAST(line AS VARCHAR) AS line, Chromosome, Position FROM {raw_gwas}")
 def _(t):
     base = sinks.scratch(t.spark, "mixed")
     raw = t.raw_gwas.select("dataset", "line", "Chromosome", "Position")
@@ -146,7 +146,7 @@ def _(t):
     return readers.scan_qtl_dialect(q.drop("Chromosome"), "dice", keep=("CELL",))
 
 
-@query("scan_genes")
+@query("scan_genes", "SELECT DISTINCT GENEID AS gene, GENENAME AS genename, gene_type FROM {genes} WHERE GENEID IN (SELECT GENEID FROM {qtl})")
 def _(t):
     path = sinks.scratch(t.spark, "gtf")
     line = F.concat_ws(
@@ -177,7 +177,7 @@ def _(t):
     )
 
 
-@query("scan_counts_10x")
+@query("scan_counts_10x", "SELECT cell, gene, umi FROM {counts}")
 def _(t):
     base = sinks.scratch(t.spark, "matrix")
     counts = t.counts
@@ -193,14 +193,14 @@ def _(t):
     return readers.scan_counts_10x(t.spark, f"{base}/*", genes, cells)
 
 
-@query("scan_features")
+@query("scan_features", "SELECT ensembl, name, kind FROM {features}")
 def _(t):
     path = sinks.scratch(t.spark, "features")
     t.features.write.csv(path, sep="\t", compression="gzip")
     return readers.scan_features(t.spark, path)
 
 
-@query("scan_with_provenance")
+@query("scan_with_provenance", "SELECT SNPID, dataset1 AS study, disease AS disease_name FROM {coloc_hits}")
 def _(t):
     base = sinks.scratch(t.spark, "provenance")
     t.coloc_hits.select("dataset1", "disease", "SNPID", "PPH4").write.partitionBy("disease", "dataset1").csv(
@@ -208,7 +208,7 @@ def _(t):
     )
     return readers.scan_with_provenance(
         t.spark, base, {"study": r"dataset1=([^/]+)", "disease_name": r"disease=([^/]+)"}
-    )
+    ).drop("PPH4")
 
 
 @query(
@@ -222,28 +222,38 @@ def _(t):
     return readers.scan_json_metrics(df, {"frac_reads_kept": "kept"}, keep=("event_id",))
 
 
-@query("sink_tsv")
+@query(
+    "sink_tsv",
+    "SELECT dataset, disease, Chromosome, CAST(Position AS VARCHAR) AS Position, NEA, EA FROM {gwas}",
+)
 def _(t):
     path = sinks.scratch(t.spark, "tsv")
-    sinks.sink_tsv(t.gwas, path)
+    sinks.sink_tsv(t.gwas.select("dataset", "disease", "Chromosome", "Position", "NEA", "EA"), path)
     return readers.read_delimited(t.spark, path)
 
 
-@query("sink_by_chromosome")
+@query("sink_by_chromosome", "SELECT GENEID, SNPID, CAST(Position AS VARCHAR) AS Position, CAST(Chromosome AS INT) AS CHR FROM {qtl}")
 def _(t):
     path = sinks.scratch(t.spark, "bychr")
     sinks.sink_by_chromosome(
-        t.qtl.select("GENEID", "SNPID", "Position", "BETA", F.col("Chromosome").alias("CHR")), path, ["GENEID", "Position"]
+        t.qtl.select("GENEID", "SNPID", "Position", F.col("Chromosome").alias("CHR")), path, ["GENEID", "Position"]
     )
     return readers.read_delimited(t.spark, path)
 
 
-@query("scan_annot")
+@query(
+    "scan_annot",
+    """SELECT Chromosome AS "CHR", CAST(Position AS VARCHAR) AS "BP", SNPID AS "SNP", '0.0' AS "CM", l.label, CAST(CASE WHEN (REF = 'A') = (l.label = 'isA') THEN 1 ELSE 0 END AS INT) AS value
+       FROM {panel} JOIN (SELECT 'isA' AS label UNION ALL SELECT 'notA') l ON TRUE""",
+)
 def _(t):
     return readers.scan_annot(t.spark, _annot_file(t))
 
 
-@query("sink_annot_gz")
+@query(
+    "sink_annot_gz",
+    """SELECT Chromosome AS "CHR", CAST(Position AS VARCHAR) AS "BP", SNPID AS "SNP", '0.0' AS "CM", CAST(REF = 'A' AS INT) AS "isA", CAST(REF <> 'A' AS INT) AS "notA" FROM {panel}""",
+)
 def _(t):
     return readers.scan_annot(t.spark, _annot_file(t), long=False)
 
