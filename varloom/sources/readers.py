@@ -253,16 +253,20 @@ def scan_counts_10x(
 ) -> DataFrame:
     """MatrixMarket triples to (cell, gene, umi).
 
-    `features` and `barcodes` carry their 1-based line number in `ix`. Comment lines
-    and the size line (whose third number exceeds no count rule, so it is told by
-    its position in the file: the first line without %) are dropped.
+    `features` and `barcodes` carry their 1-based line number in `ix`. Comment lines go,
+    and so does the size line: the first line after the comments of a file that has any.
     """
     lines = spark.read.text(matrix).select(
-        "value", F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_n")
-    ).filter(~F.col("value").startswith("%"))
-    first = lines.agg(F.min(F.struct("_b", "_n")).alias("m")).select("m.*")
+        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_n"),
+    )
+    comment = F.col("value").startswith("%")
+    size = lines.groupBy("_f").agg(
+        F.max(comment).alias("_has"), F.min_by(F.when(~comment, F.col("value")), F.when(~comment, F.struct("_b", "_n"))).alias("value")
+    ).filter("_has").select("_f", "value")
+    data = lines.filter(~comment).join(size, ["_f", "value"], "left_anti")
     f = F.split("value", r"\s+")
-    triples = lines.join(first, ["_b", "_n"], "left_anti").select(
+    triples = data.select(
         f[0].cast("long").alias("_f"), f[1].cast("long").alias("_c"), f[2].cast("long").alias("umi")
     )
     genes = features.select(F.col("ix").alias("_f"), F.col(feature_id).alias("gene"))
