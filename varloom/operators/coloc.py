@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import first_by
@@ -85,12 +85,12 @@ def coloc_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return slim(a, 1).join(slim(b, 2), key).withColumn("Pair", pair_key())
 
 
-def _sdy2(i: int) -> Column:
+def _sdy2(i: int, pair: WindowSpec) -> Column:
     """Squared trait sd of a pair's side: through-origin slope of 2N f(1-f) on 1/varbeta."""
     x = F.lit(1.0) / F.col(f"F{i}_varbeta")
     f = F.col(f"F{i}_AF")
     y = F.lit(2.0) * F.col(f"F{i}_N") * f * (F.lit(1.0) - f)
-    return F.try_divide(F.sum(x * y), F.sum(x * x))
+    return F.try_divide(F.sum(x * y).over(pair), F.sum(x * x).over(pair))
 
 
 def _lbf(i: int, kind: str, by_effect: bool, n: float | None, s: float | None) -> Column:
@@ -117,7 +117,9 @@ def abf_lbf(
     """Log approximate Bayes factors `lbf1`, `lbf2` of every variant of a pair.
 
     With BETA and varbeta a quantitative side takes its trait sd from the pair's own
-    variants (needs AF and N); with P, AF the variance comes from N.
+    variants (needs AF and N); with P, AF the variance comes from N. A pair has at most
+    one row per variant of its locus, so a window over it is small, and the posterior
+    sums that follow reuse its partitioning.
     """
     effect = [f"F{i}_varbeta" in pairs.columns for i in (1, 2)]
     need = [i for i in (1, 2) if effect[i - 1] and kinds[i - 1] == "quant"]
@@ -125,8 +127,8 @@ def abf_lbf(
         if f"F{i}_N" not in pairs.columns:
             pairs = pairs.withColumn(f"F{i}_N", F.lit(float(n[i - 1])))
     if need:
-        sd = pairs.groupBy(*keys).agg(*[_sdy2(i).alias(f"_sdy{i}") for i in need])
-        pairs = pairs.join(sd, list(keys))
+        pair = Window.partitionBy(*keys)
+        pairs = pairs.withColumns({f"_sdy{i}": _sdy2(i, pair) for i in need})
     out = pairs.withColumns(
         {f"lbf{i}": _lbf(i, kinds[i - 1], effect[i - 1], n[i - 1], s[i - 1]) for i in (1, 2)}
     )
@@ -135,7 +137,7 @@ def abf_lbf(
 
 def coloc_abf(
     lbf: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12: float = 1e-5,
-    keys: tuple[str, ...] = ("Pair", "Feature1", "Feature2"),
+    keys: tuple[str, ...] = ("Pair",),
 ) -> DataFrame:
     """Posterior of the five hypotheses per pair, and the pair's best variant.
 
@@ -144,7 +146,7 @@ def coloc_abf(
     lower SNPID.
     """
     both = F.col("lbf1") + F.col("lbf2")
-    top = F.struct((-both).alias("neg"), F.col("SNPID"), F.col("Chromosome"), F.col("Position"))
+    top = F.struct((-both).alias("neg"), *[F.col(c) for c in ("SNPID", "Chromosome", "Position", "Feature1", "Feature2")])
     g = log_sum_exp(
         lbf, list(keys), {"s1": F.col("lbf1"), "s2": F.col("lbf2"), "s12": both},
         extra=[F.count("*").alias("_n"), F.min(top).alias("_top")],
@@ -166,7 +168,7 @@ def coloc_abf(
     total = sum((F.col(f"_w{i}") for i in range(1, 5)), F.col("_w0"))
     g = g.withColumns({f"PPH{i}": F.col(f"_w{i}") / total for i in range(5)})
     return g.select(
-        *keys, F.col("_top.Chromosome").alias("Chromosome"), "nsnps", *[f"PPH{i}" for i in range(5)],
+        *keys, "_top.Feature1", "_top.Feature2", "_top.Chromosome", "nsnps", *[f"PPH{i}" for i in range(5)],
         F.try_divide("PPH4", "PPH3").alias("PPH4_PPH3"),
         F.col("_top.SNPID").alias("SNPID"), F.col("_top.Position").alias("Position"),
         F.exp(-F.col("_top.neg") - F.col("s12")).alias("SNP_PP_H4"), F.lit("abf").alias("METHOD"),
@@ -193,22 +195,23 @@ def coloc_min_p12(
 ) -> DataFrame:
     """Smallest p12 of a log grid from p1*p2 to min(p1, p2) with H4 > 0.5.
 
-    Only for pairs with PPH4 >= 0.5; the prior of H0 shrinks as p12 grows. The grid is
-    an array inside the row, so no rows are multiplied.
+    Only for pairs with PPH4 >= 0.5; the prior of H0 shrinks as p12 grows. H4 beats the
+    rest where slope * p12 > rest, which is linear, so the grid point is computed and
+    not searched.
     """
     lo, hi = math.log10(p1 * p2), math.log10(min(p1, p2))
     step = (hi - lo) / (points - 1)
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.pow(F.lit(10.0), F.lit(lo) + i * F.lit(step)))
     n = F.col("nsnps").cast("double")
-    fixed = n * (p1 + p2) + n * (n - 1) * (p1 * p2)
-
-    def passes(p: Column) -> Column:
-        h0 = F.col("PPH0") * (F.lit(1.0) - fixed - n * p) / (F.lit(1.0) - fixed - n * p12)
-        h4 = F.col("PPH4") * p / p12
-        return h4 > (h0 + F.col("PPH1") + F.col("PPH2") + F.col("PPH3"))
-
-    value = F.when(F.col("PPH4") >= 0.5, F.array_min(F.filter(grid, passes)))
-    return summary.withColumn("min_p12", value)
+    free = F.lit(1.0) - n * (p1 + p2) - n * (n - 1) * (p1 * p2)
+    scale = F.col("PPH0") / (free - n * p12)
+    slope = F.col("PPH4") / p12 + scale * n
+    rest = scale * free + F.col("PPH1") + F.col("PPH2") + F.col("PPH3")
+    first = F.pow(F.lit(10.0), F.lit(lo))
+    # index of the first grid point strictly above rest / slope
+    index = F.greatest(F.floor((F.log10(rest / slope) - lo) / step) + 1, F.lit(0))
+    above = F.when(rest <= 0, first).when(index < points, F.pow(F.lit(10.0), F.lit(lo) + index * step))
+    value = F.when(slope > 0, above).otherwise(F.when(slope * first > rest, first))
+    return summary.withColumn("min_p12", F.when(F.col("PPH4") >= 0.5, value))
 
 
 def filter_coloc(df: DataFrame, pp: float = 0.5, ratio: float = 5.0) -> DataFrame:

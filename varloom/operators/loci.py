@@ -40,15 +40,16 @@ def clump_top(df: DataFrame, window: int = 100_000, keys: tuple[str, ...] = KEYS
     of a position can become a top, and signals further apart than half a window never
     touch each other, so the greedy pass runs per island of nearby positions: one
     key's rows are neither sorted nor held together, and an island holds at most one
-    row per base it spans.
+    row per base it spans. A few dozen islands share a call, to save calls.
     """
     distance = round(window / 2)
     ties = [F.col("P"), F.col("SNPID")] if "SNPID" in df.columns else [F.col("P")]
     best = settle(first_by(df, [*keys, "Position"], ties))
     slim = best.select(*keys, "Position", "P").withColumn("_end", F.col("Position"))
     marked = islands(slim, list(keys), "Position", "_end", gap=distance - 1).drop("_end")
+    marked = marked.withColumn("_batch", F.floor(F.col("_island") / 32)).drop("_island")
     schema = marked.schema
-    tops = marked.groupBy(*keys, "_island").applyInPandas(
+    tops = marked.groupBy(*keys, "_batch").applyInPandas(
         lambda pdf: _greedy(pdf, distance), schema=schema
     )
     return best.join(tops.select(*keys, "Position"), [*keys, "Position"], "left_semi")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from varloom.plans.views import load, oracle, run_sql
+from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: fn(Inputs(tune(spark), sf_dir))
         if sql is not None:
             ORACLES[name] = oracle(sql)
         return fn
