@@ -70,6 +70,28 @@ def cell_cluster(c: Column | str) -> Column:
     )
 
 
+def library_id(c: Column | str) -> Column:
+    """Library name with its sorting batch moved behind the cell type.
+
+    `R24B_Hu_3_CD4_A_10D` becomes `R24-Cancer-B_Hu_CD4_3A_10D`; a batch letter may also
+    follow the number (`_Hu_3B_`), and A stands for a single batch.
+    """
+    c = as_col(c)
+    blank = F.lit("")
+    number = F.regexp_extract(c, r"_Hu_(\d+)[^_]*", 1)
+    letter = F.coalesce(
+        F.nullif(F.regexp_extract(c, r"_([A-Z])_\d+D$", 1), blank),
+        F.nullif(F.regexp_extract(c, r"_Hu_\d+([^_]*)", 1), blank),
+        F.lit("A"),
+    )
+    donors = F.regexp_extract(c, r"(\d+D)$", 1)
+    core = F.regexp_replace(F.regexp_replace(c, r"(_[A-Z])*_\d+D$", ""), r"_Hu_[^_]+", "_Hu")
+    run = F.nullif(F.regexp_extract(c, r"^R24([^_]+)", 1), blank)
+    core = F.regexp_replace(core, r"^R24[^_]+|R24_Cancer", "")
+    head = F.concat(F.lit("R24-Cancer-"), F.coalesce(run, F.when(c.startswith("R24_Cancer"), "A")))
+    return F.concat(head, core, F.lit("_"), number, letter, F.lit("_"), donors)
+
+
 def disease_of_file(c: Column | str) -> Column:
     return F.regexp_replace(as_col(c), r"_\d+$", "")
 

@@ -8,6 +8,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.sources.sinks import settle
+
 
 def group_sizes(cells: DataFrame, group: str) -> DataFrame:
     return cells.filter(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_cells"))
@@ -24,7 +26,7 @@ def group_stats(
     """
     if genes is not None:
         counts = counts.join(genes.select("gene"), "gene", "left_semi")
-    sums = (
+    sums = settle(
         counts.join(cells.select("cell", group).filter(F.col(group).isNotNull()), "cell")
         .groupBy(group, "gene")
         .agg(F.sum(value).alias("_s"), F.count_if(F.col(value) > 0).alias("_p"))
@@ -74,7 +76,7 @@ def cpm_stats(
     sizes = group_sizes(cells, group).filter(F.col("_cells") >= min_cells)
     total = F.sum("umi").over(Window.partitionBy("cell"))
     cpm = counts.withColumn("_v", F.lit(1e6) * F.col("umi") / total)
-    sums = (
+    sums = settle(
         cpm.join(cells.select("cell", group), "cell")
         .groupBy(group, "gene")
         .agg(F.sum("_v").alias("_s"), F.count_if(F.col("_v") > 0).alias("_p"))
@@ -170,7 +172,7 @@ def variable_genes(
     Expected log variance is a quadratic of log mean fitted by sums over the genes
     (closed-form normal equations); the standardised variance is the ratio to it.
     """
-    m = gene_moments(counts, value).filter(
+    m = settle(gene_moments(counts, value)).filter(
         (F.col("mean") > mean_cut) & (F.col("share") > share_cut) & (F.col("var") > 0)
     )
     x, y = F.log10("mean"), F.log10("var")
@@ -224,6 +226,7 @@ def regress_out(
         F.sum("_y").alias("_sy"), F.sum(F.col("_y") * F.col("_y")).alias("_yy"),
         F.sum(F.col("_a") * F.col("_y")).alias("_ay"), F.sum(F.col("_b") * F.col("_y")).alias("_by"),
     ).withColumn("_all", shared.scalar()).select("*", "_all.*")
+    per = settle(per.drop("_all"))
     det = F.col("_aa") * F.col("_bb") - F.col("_ab") * F.col("_ab")
     c1 = F.coalesce(F.try_divide(F.col("_ay") * F.col("_bb") - F.col("_by") * F.col("_ab"), det), F.lit(0.0))
     c2 = F.coalesce(F.try_divide(F.col("_by") * F.col("_aa") - F.col("_ay") * F.col("_ab"), det), F.lit(0.0))

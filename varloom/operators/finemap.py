@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions.frames import tiled_running
 from varloom.functions.logsum import log_sum_exp
+from varloom.sources.sinks import settle
 
 
 def group_size_filter(df: DataFrame, n: int = 100, group: str = "grp", unit: str | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def _posterior(df: DataFrame, prior: DataFrame, region: list[str]) -> DataFrame:
     rows = df.join(prior.select("grp", "pi", "var"), "grp").withColumn(
         "_lw", F.ln("pi") + ln_bf(F.col("z"), F.col("var"))
     )
-    total = log_sum_exp(rows, region, {"_ls": F.col("_lw")})
+    total = settle(log_sum_exp(rows, region, {"_ls": F.col("_lw")}))
     # ln(1 + sum w), the 1 being "no effect in the region"
     top = F.greatest(F.col("_ls"), F.lit(0.0))
     total = total.withColumn("_lt", top + F.ln(F.exp(F.col("_ls") - top) + F.exp(-top)))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.sources.sinks import settle
+
 WORD = 63
 
 
@@ -51,7 +53,7 @@ def ld_pairs(genotypes: DataFrame, leads: DataFrame, window: int = 250_000, shar
     chromosome, bin, donor word) over packed words; counts are popcounts and r2 comes
     from map-side combined sums.
     """
-    words = genotype_words(genotypes, shards)
+    words = settle(genotype_words(genotypes, shards))
     span = max(int(window), 1)
     lead = words.join(leads.select("SNPID").distinct(), "SNPID", "left_semi").select(
         "population", "Chromosome", "_shard", "_word", F.col("SNPID").alias("Lead"),

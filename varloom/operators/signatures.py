@@ -25,13 +25,14 @@ def module_score(
     """
     n = (cells if cells is not None else counts).select("cell").distinct().agg(F.count("*"))
     means = counts.groupBy("gene").agg((F.sum(value) / n.scalar()).alias("_m"))
-    binned = means.withColumn("_bin", F.ntile(bins).over(Window.orderBy("_m", "gene")))
+    binned = settle(means.withColumn("_bin", F.ntile(bins).over(Window.orderBy("_m", "gene"))))
     hashed = F.row_number().over(Window.partitionBy("_bin").orderBy(F.xxhash64("gene", F.lit(seed)), "gene"))
     pool = binned.withColumn("_r", hashed).filter(F.col("_r") <= controls).select("_bin", "gene")
     members = sets.join(binned.select("gene", "_bin"), "gene")
     hit = members.select("signature", "gene", F.lit(1).alias("_hit")).distinct()
     ctrl = members.select("signature", "_bin").distinct().join(pool, "_bin").select("signature", "gene").distinct()
-    roles = hit.join(ctrl.withColumn("_ctrl", F.lit(1)), ["signature", "gene"], "full_outer").fillna(0, subset=["_hit", "_ctrl"])
+    both = hit.join(ctrl.withColumn("_ctrl", F.lit(1)), ["signature", "gene"], "full_outer")
+    roles = settle(both.fillna(0, subset=["_hit", "_ctrl"]))
     sizes = roles.groupBy("signature").agg(F.sum("_hit").alias("_nh"), F.sum("_ctrl").alias("_nc"))
     per = (
         counts.join(roles, "gene")
@@ -60,7 +61,8 @@ def rank_metric(
     sizes = sizes.withColumn("_n2", total - F.col("_n1")).filter(
         (F.col("_n1") >= min_cells) & (F.col("_n2") >= min_cells)
     )
-    per = (
+    # the one pass over the counts; what follows works on (tag value, gene) rows
+    per = settle(
         counts.join(cells.select("cell", tag), "cell")
         .groupBy(tag, "gene")
         .agg(F.sum(v).alias("_s1"), F.sum(v * v).alias("_q1"))
@@ -118,9 +120,12 @@ def gsea_es(
     ranks: DataFrame, sets: DataFrame, tag: str = "cluster", min_size: int = 10, max_size: int = 500
 ) -> DataFrame:
     """Weighted enrichment score per (tag value, signature), sets of 10 to 500 genes."""
+    ranks = settle(ranks)
     n = ranks.groupBy(tag).agg(F.count("*").cast("double").alias("_n"))
     hits = sets.distinct().join(ranks.select(tag, "gene", "rank", F.abs("metric").alias("_w")), "gene").join(n, tag)
-    size = hits.groupBy(tag, "signature").agg(F.count("*").alias("_k")).filter(F.col("_k").between(min_size, max_size))
+    size = settle(
+        hits.groupBy(tag, "signature").agg(F.count("*").alias("_k")).filter(F.col("_k").between(min_size, max_size))
+    )
     hits = hits.join(size, [tag, "signature"])
     return _es(hits, [tag, "signature"]).join(size.withColumnRenamed("_k", "size"), [tag, "signature"])
 

@@ -6,6 +6,7 @@ from varloom.plans import (  # noqa: F401
     checks_association,
     checks_cells,
     checks_loci,
+    checks_scalars,
     checks_traits,
     flagship,
 )

