@@ -70,11 +70,12 @@ def cell_cluster(c: Column | str) -> Column:
     )
 
 
-def library_id(c: Column | str) -> Column:
+def library_id(c: Column | str, study: str, label: str) -> Column:
     """Library name with its sorting batch moved behind the cell type.
 
-    `R24B_Hu_3_CD4_A_10D` becomes `R24-Cancer-B_Hu_CD4_3A_10D`; a batch letter may also
-    follow the number (`_Hu_3B_`), and A stands for a single batch.
+    With study `S` and label `S-lab`, `SB_Hu_3_CD4_C_10D` becomes
+    `S-lab-B_Hu_CD4_3C_10D`. The batch letter may also follow the number (`_Hu_3C_`); A
+    stands for a single batch.
     """
     c = as_col(c)
     blank = F.lit("")
@@ -86,9 +87,9 @@ def library_id(c: Column | str) -> Column:
     )
     donors = F.regexp_extract(c, r"(\d+D)$", 1)
     core = F.regexp_replace(F.regexp_replace(c, r"(_[A-Z])*_\d+D$", ""), r"_Hu_[^_]+", "_Hu")
-    run = F.nullif(F.regexp_extract(c, r"^R24([^_]+)", 1), blank)
-    core = F.regexp_replace(core, r"^R24[^_]+|R24_Cancer", "")
-    head = F.concat(F.lit("R24-Cancer-"), F.coalesce(run, F.when(c.startswith("R24_Cancer"), "A")))
+    run = F.nullif(F.regexp_extract(c, f"^{study}([^_]+)", 1), blank)
+    core = F.regexp_replace(core, f"^{study}[^_]*", "")
+    head = F.concat(F.lit(f"{label}-"), F.coalesce(run, F.lit("A")))
     return F.concat(head, core, F.lit("_"), number, letter, F.lit("_"), donors)
 
 

@@ -256,12 +256,14 @@ def cell_vectors(values: DataFrame, genes: DataFrame, size: int) -> DataFrame:
 
 def pca_embed(vectors: DataFrame, k: int = 30) -> DataFrame:
     """First k principal components of the cell vectors."""
+    vectors = settle(vectors)
     model = PCA(k=k, inputCol="features", outputCol="pca").fit(vectors)
     return model.transform(vectors).select("cell", "pca")
 
 
 def cluster_cells(embedding: DataFrame, k: int, seed: int = 1) -> DataFrame:
     """Groups of cells by k-means on their components."""
+    embedding = settle(embedding)
     model = KMeans(k=k, seed=seed, featuresCol="pca", predictionCol="cluster").fit(embedding)
     return model.transform(embedding).select("cell", "cluster")
 

@@ -143,7 +143,7 @@ def _(t):
 )
 def _(t):
     q = t.qtl.withColumns({"ref": F.split("SNPID", ":")[2], "alt": F.split("SNPID", ":")[3], "P": lp()})
-    return readers.scan_qtl_dialect(q.drop("Chromosome"), "dice", keep=("CELL",))
+    return readers.scan_qtl_dialect(q.drop("Chromosome"), "maybe_rsid", keep=("CELL",))
 
 
 @query("scan_genes", "SELECT DISTINCT GENEID AS gene, GENENAME AS genename, gene_type FROM {genes} WHERE GENEID IN (SELECT GENEID FROM {qtl})")

@@ -54,13 +54,13 @@ def _(t):
 @query(
     "fn_labels",
     """SELECT DISTINCT CELL, split_part(CELL, '_', 1) AS name, split_part(CELL, '_', 2) AS cluster, CELL AS file, CAST(split_part(CELL, '_', 2) AS INT) AS category,
-              'R24-Cancer-B_Hu_' || split_part(CELL, '_', 1) || '_3' || 'C_10D' AS library FROM {qtl}""",
+              'LIB-lung-B_Hu_' || split_part(CELL, '_', 1) || '_3' || 'C_10D' AS library FROM {qtl}""",
 )
 def _(t):
-    lib = F.concat(F.lit("R24B_Hu_3_"), F.split("CELL", "_")[0], F.lit("_C_10D"))
+    lib = F.concat(F.lit("LIBB_Hu_3_"), F.split("CELL", "_")[0], F.lit("_C_10D"))
     return t.qtl.select(
         "CELL", sc.cell_name("CELL").alias("name"), sc.cell_cluster("CELL").alias("cluster"), F.col("CELL").alias("file"),
-        sc.category_of_file("CELL").alias("category"), sc.library_id(lib).alias("library"),
+        sc.category_of_file("CELL").alias("category"), sc.library_id(lib, "LIB", "LIB-lung").alias("library"),
     ).distinct()
 
 

@@ -197,12 +197,12 @@ def scan_by_extension(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 # QTL dialect -> (source column, target column).
 QTL_DIALECTS = {
-    "gtex": [("GENEID", "gene"), ("rsid", "rsid"), ("SNPID", "varID"), ("ref", "ref_allele"),
+    "with_rsid": [("GENEID", "gene"), ("rsid", "rsid"), ("SNPID", "varID"), ("ref", "ref_allele"),
              ("alt", "eff_allele"), ("BETA", "weight"), ("P", "pval")],
-    "dice": [("GENEID", "gene"), ("rsid", "rsid"), ("RSID", "rsid"), ("SNPID", "varID"), ("ref", "ref_allele"),
+    "maybe_rsid": [("GENEID", "gene"), ("rsid", "rsid"), ("RSID", "rsid"), ("SNPID", "varID"), ("ref", "ref_allele"),
              ("alt", "eff_allele"), ("BETA", "weight"), ("P", "pval")],
 }
-OPTIONAL_QTL = {"dice": {"rsid", "RSID"}, "gtex": set()}
+OPTIONAL_QTL = {"maybe_rsid": {"rsid", "RSID"}, "with_rsid": set()}
 
 
 def scan_qtl_dialect(df: DataFrame, dialect: str, keep: tuple[str, ...] = ()) -> DataFrame:
