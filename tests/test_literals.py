@@ -202,6 +202,15 @@ def test_catalog_cells(spark):
     ]
 
 
+def test_catalog_protocol(spark, panel_ag):
+    cols = ["CHR_ID", "CHR_POS", "STRONGEST SNP-RISK ALLELE", "P-VALUE", "OR or BETA", "RISK ALLELE FREQUENCY"]
+    df = spark.createDataFrame(
+        [("", "", "rs1-G", "2E-8", "0.3", "0.4"), ("1", "200", "rs2-?", "3E-9", "", "NR"), ("", "", "rs9-A", "1E-9", "0.1", "0.2")], cols
+    )
+    got = {r.SNPID: (r.P, r.Notes, r.RSID, r.Original_RSID) for r in panel.standardise(readers.scan_catalog(df), panel_ag, "catalog").collect()}
+    assert got == {"1:100:A:G": (2e-8, "Fill", "rs1", "rs1"), "1:200:A:T": (3e-9, "Fill", "rs2", "rs2")}
+
+
 def test_canon_columns_takes_the_first_filled_alias(spark):
     df = spark.createDataFrame([(None, "7", 5), (None, "8", 6)], "Chr string, CHROM string, BP long")
     assert rows(ingest.canon_columns(df)) == [("7", 5), ("8", 6)]

@@ -113,7 +113,7 @@ def region_pip(
     """
     keys = list(region)
     rows = _posterior(df, prior, keys).withColumn("alpha", F.exp(F.col("_lw") - F.col("_ls")))
-    band = F.least(F.floor(-F.ln(F.greatest(F.col("alpha"), F.lit(1e-300)))), F.lit(700))
+    band = F.floor(-F.ln(F.greatest(F.col("alpha"), F.lit(1e-300))) * 10)
     out = tiled_running(
         rows, keys, band, [F.desc("alpha"), F.col("id"), F.col("grp")], {"_before": ("sum", F.col("alpha"))}, inclusive=False
     )

@@ -429,12 +429,19 @@ def polish(df: DataFrame, panel: DataFrame, first: tuple[str, ...] = ("dataset",
 def standardise(
     df: DataFrame, panel: DataFrame, kind: str = "sumstats", legacy_sign: bool = False
 ) -> DataFrame:
-    """Coordinates, alleles, statistics, polish. `kind` is sumstats or catalog."""
+    """Coordinates, alleles, statistics, polish. `kind` is sumstats or catalog.
+
+    Catalog cells write exponents as `2E-8`, so their statistics are cast before the
+    text rules apply.
+    """
     df = clean.with_missing(df, {"NEA": "string", "EA": "string"})
     missing = [c for c in ("Chromosome", "Position", "P") if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     catalog = kind == "catalog"
+    if catalog:
+        stats = [c for c in clean.STATS_PROGRAM if c in df.columns]
+        df = df.withColumns({c: F.col(c).try_cast("double") for c in stats})
     lookup = (lambda d: recover_coords_by_rsid(d, panel)) if catalog and "RSID" in df.columns else None
     df = clean.sanitize(df, clean.COORDINATE_PROGRAM, lookup, dropna=True)
     df = clean.sanitize(

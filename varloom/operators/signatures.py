@@ -182,7 +182,7 @@ def bh_adjust(df: DataFrame, p: str = "p", by: list[str] | None = None) -> DataF
         df = df.withColumn("_all", F.lit(1))
     keyed = df.filter(F.col(p).isNotNull())
     per = settle(keyed.groupBy(*keys, p).agg(F.count("*").alias("_c")))
-    band = F.least(F.floor(-F.log2(F.greatest(F.col(p), F.lit(1e-300))) * 16), F.lit(20_000))
+    band = F.floor(-F.ln(F.greatest(F.col(p), F.lit(1e-300))) * 1000)
     n = per.groupBy(*keys).agg(F.sum("_c").alias("_m"))
     ranked = tiled_running(per, keys, band, [F.col(p)], {"_rank": ("sum", F.col("_c"))}, tile_desc=True)
     ranked = ranked.join(n, keys).withColumn("_neg", -F.least(F.col(p) * F.col("_m") / F.col("_rank"), F.lit(1.0)))
