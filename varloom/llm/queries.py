@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import simhash
+from varloom.llm import embeddings, simhash
 from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         simhash.hex16(F.col("fp")).alias("fingerprint"),
         F.col("component").alias("component_id"),
     )
+
+
+@query("op3_embedding_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embeddings.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+    return out.select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
