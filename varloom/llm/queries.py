@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import embeddings, simhash
+from varloom.llm import embeddings, simhash, substring
 from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
     )
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.deduplicate(read_table(spark, sf_dir, "documents"), digest=True)
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.col("value").alias("kept_sha256"))
