@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import embeddings, simhash, substring
+from varloom.llm import embeddings, quality, simhash, substring, toxicity
 from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.deduplicate(read_table(spark, sf_dir, "documents"), digest=True)
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_removed", F.col("value").alias("kept_sha256"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select(F.col("doc").alias("doc_id"), "held_out", "score", "predicted", "n_hits")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return out.select(F.col("doc").alias("doc_id"), "held_out", "score", "predicted")
