@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import embeddings, quality, simhash, substring, toxicity
+from varloom.llm import decontam, embeddings, quality, simhash, substring, toxicity
 from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return out.select(F.col("doc").alias("doc_id"), "held_out", "score", "predicted")
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "n_regions", "edits")
