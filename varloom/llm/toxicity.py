@@ -24,7 +24,7 @@ from varloom.sources.sinks import settle
 #: Bounds of the fit: labelled rows it reads, and terms and stems it keeps.
 TRAIN_ROWS = 20_000
 LEXICON = 512
-MIN_DOCS, MIN_LOG_ODDS = 4, 3.0
+MIN_DOCS, MIN_LOG_ODDS, COVER = 4, 3.0, 3
 STEMS = range(4, 8)
 #: Words are matched by their first characters; a longer term cannot be learned.
 TERM = 32
@@ -106,51 +106,73 @@ def match(word: str, root: Trie) -> tuple[str, int] | None:
     return best
 
 
-def pieces(term: str) -> list[str]:
-    """Parts of which a misspelling within the allowance keeps one."""
+def pieces(term: str) -> list[tuple[str, int]]:
+    """(part, its offset) of parts of which a misspelling within the allowance keeps one."""
     body = term.rstrip("*")
     n = allowance(body) + 1
     cuts = [round(k * len(body) / n) for k in range(n + 1)]
-    return [body[a:b] for a, b in zip(cuts, cuts[1:])]
+    return [(body[a:b], a) for a, b in zip(cuts, cuts[1:])]
 
 
 class Matcher:
-    """Terms of whole texts. Clean words near a term are not misspellings of it."""
+    """Terms of whole texts. Clean words near a term are not misspellings of it.
+
+    A word can only match if it holds a part of a term within its allowance of the part's place,
+    so one scan for the parts picks the words that the automata see.
+    """
 
     def __init__(self, terms: list[str], clean: Iterable[str] = ()) -> None:
         self.root, self.clean, self.memo = lexicon_trie(terms), frozenset(clean), {}
+        places: dict[str, tuple[int, int, int, float]] = {}
+        for t in terms:
+            body = t.rstrip("*")
+            slack = allowance(body)
+            longest = math.inf if t.endswith("*") else len(body) + slack
+            for part, at in pieces(t):
+                old = places.get(part, (at - slack, at + slack, len(body) - slack, longest))
+                places[part] = (min(old[0], at - slack), max(old[1], at + slack), min(old[2], len(body) - slack), max(old[3], longest))
         self.finder = ahocorasick.Automaton()
-        for p in {p for t in terms for p in pieces(t)}:
-            self.finder.add_word(p, len(p))
+        for part, (low, high, short, longest) in places.items():
+            self.finder.add_word(part, (low + len(part) - 1, high + len(part) - 1, short, longest))
         if terms:
             self.finder.make_automaton()
         self.any = bool(terms)
 
     def word(self, token: str) -> tuple[str, int] | None:
-        token = token.strip(_EDGE)
-        head = token[: TERM + 3]
-        if head not in self.memo:
+        """Match of a word that is free of marks at its ends."""
+        if token not in self.memo:
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
-            m = match(head, self.root) if head else None
-            self.memo[head] = None if m and m[1] and head in self.clean else m
-        return self.memo[head]
+            head = token[: TERM + 3]
+            m = match(head, self.root)
+            self.memo[token] = None if m and m[1] and token in self.clean else m
+        return self.memo[token]
 
     def hits(self, text: str) -> tuple[list[tuple[str, int, bool]], int]:
         """([(term, edits, quoted)], words) of a text."""
         tokens = text.lower().split()
         if not self.any or not tokens:
             return [], len(tokens)
-        flat, found, end = " ".join(tokens), [], -1
-        for at, _ in self.finder.iter(flat):
-            if at < end:
+        flat, found = " ".join(tokens), []
+        begin = end = 0
+        for at, (low, high, short, longest) in self.finder.iter(flat):
+            if at >= end:
+                begin = flat.rfind(" ", 0, at) + 1
+                while begin < at and flat[begin] in _EDGE:
+                    begin += 1
+                end, seen = at, False
+            elif seen:
                 continue
-            start = flat.rfind(" ", 0, at) + 1
-            end = flat.find(" ", at)
-            end = len(flat) if end < 0 else end
-            m = self.word(flat[start:end])
-            if m:
-                found.append((*m, self.quoted(flat, start, end)))
+            if not low <= at - begin <= high:
+                continue
+            stop = flat.find(" ", at)
+            end = stop = len(flat) if stop < 0 else stop
+            token = flat[begin:stop].rstrip(_EDGE)
+            if short <= len(token) <= longest:
+                seen = True
+                m = self.word(token)
+                if m:
+                    found.append((*m, self.quoted(flat, begin, stop)))
         return found, len(tokens)
 
     @staticmethod
@@ -160,8 +182,8 @@ class Matcher:
         before = flat[max(0, start - reach) : start].split()[-WINDOW:]
         after = flat[end : end + reach].split()[:WINDOW]
         own = flat[start:end]
-        opened = sum(c in QUOTES for w in before for c in w) + sum(c in QUOTES for c in own[:2])
-        closed = sum(c in QUOTES for c in own[2:]) + sum(c in QUOTES for w in after for c in w)
+        opened = sum(c in QUOTES for w in before for c in w)
+        closed = sum(c in QUOTES for w in (own, *after) for c in w)
         return bool(opened % 2 and closed) or any(w.strip(_EDGE) in REPORTING for w in before[-4:])
 
 
@@ -195,32 +217,50 @@ def _count_units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def learn_lexicon(counts: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """Up to LEXICON terms and stems by log-odds; what a kept stem covers is left out."""
+def learn_lexicon(rows: DataFrame, counts: DataFrame, n_pos: int, n_neg: int) -> list[str]:
+    """Up to LEXICON terms and stems that mark toxic texts, by greedy covering.
+
+    Candidates have the log-odds; each step takes the one that most toxic texts still need,
+    until every text has COVER of them or no candidate adds MIN_DOCS texts. Of equal ones a word
+    goes before a stem, and a longer stem before a shorter. What a term covers, or is covered
+    by, is no candidate any more.
+    """
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
     top = (
-        counts.withColumn("odds", odds)
-        .filter((F.col("pos") >= MIN_DOCS) & (F.col("odds") >= MIN_LOG_ODDS))
-        .orderBy(F.desc("pos"), F.length("unit"), "unit")
-        .limit(16 * LEXICON)
-        .collect()
+        counts.filter((F.col("pos") >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
+        .orderBy(F.desc("pos"), F.length("unit"), "unit").limit(16 * LEXICON).collect()
     )
-    by_unit = {r["unit"]: (r["pos"], r["neg"]) for r in top}
-    kept: list[str] = []
-    for r in sorted(top, key=lambda r: (len(r["unit"].rstrip("*")), r["unit"])):
-        unit, body = r["unit"], r["unit"].rstrip("*")
-        if any(body.startswith(s[:-1]) for s in kept if s.endswith("*")):
-            continue
-        # a stem stands for more than its own full word, or the word is the better term
-        word = by_unit.get(body)
-        longest = [v for u, v in by_unit.items() if not u.endswith("*") and u.startswith(body)]
-        if unit.endswith("*") and any(v[0] >= 0.9 * r["pos"] for v in longest):
-            continue
-        if not unit.endswith("*") and word is None:
-            continue
-        kept.append(unit)
-    kept.sort(key=lambda u: (-by_unit[u][0], u))
-    return kept[:LEXICON]
+    units = [r["unit"] for r in top]
+    index = {u: k for k, u in enumerate(units)}
+
+    def held(batches):
+        for b in batches:
+            got = [sorted(index[u] for u in _units(t) if u in index) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["units"])
+
+    # the toxic ones of TRAIN_ROWS texts
+    texts = [r[0] for r in rows.filter("y = 1").select("text").mapInArrow(held, "units array<int>").collect()]
+    in_text: dict[int, list[int]] = {}
+    for k, got in enumerate(texts):
+        for u in got:
+            in_text.setdefault(u, []).append(k)
+    wanted, kept = [COVER] * len(texts), []
+    gain = {u: len(v) for u, v in in_text.items()}
+    while gain and len(kept) < LEXICON:
+        best = min(gain, key=lambda u: (-gain[u], units[u].endswith("*"), -len(units[u]), units[u]))
+        if gain[best] < MIN_DOCS:
+            break
+        body = units[best].rstrip("*")
+        kept.append(units[best])
+        for k in in_text[best]:
+            wanted[k] -= 1
+            if not wanted[k]:
+                for u in texts[k]:
+                    if u in gain:
+                        gain[u] -= 1
+        for u in [u for u in gain if units[u].rstrip("*").startswith(body) or body.startswith(units[u].rstrip("*"))]:
+            del gain[u]
+    return kept
 
 
 @dataclass
@@ -257,12 +297,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: i
         return Model([], [], [0.0, 0.0, 0.0, 0.0, math.log(share / (1 - share))])
     counts = rows.mapInArrow(_count_units, "unit string, neg long, pos long")
     counts = settle(counts.groupBy("unit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
-    terms = learn_lexicon(counts, n_pos, n_neg)
+    terms = learn_lexicon(rows, counts, n_pos, n_neg)
 
     def near(batches):
         m = Matcher(terms)
         for b in batches:
-            keep = [bool(h and h[1]) for h in map(m.word, b.column(0).to_pylist())]
+            found = [m.hits(w)[0] for w in b.column(0).to_pylist()]
+            keep = [bool(h and h[0][1]) for h in found]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     # words of clean texts that an automaton accepts: as many as the TRAIN_ROWS texts hold
