@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -61,5 +62,9 @@ def repeated(anchors: DataFrame) -> DataFrame:
 
 
 def release(spark) -> None:
-    """Let Spark's cleaner remove the shuffle files of finished steps."""
+    """Let Spark's cleaner remove the shuffle files of finished steps.
+
+    It removes what no live frame refers to, on both sides of the bridge to the JVM.
+    """
+    gc.collect()
     spark.sparkContext._jvm.System.gc()

@@ -80,6 +80,8 @@ def _window_rows(window: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, found = b.column(0).to_numpy(), []
+            copy = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            whole = np.zeros(len(ids), np.int64)
             anchors = b.column(2)
             flat = anchors.flatten().to_numpy()
             ends = np.cumsum(anchors.value_lengths().to_numpy())
@@ -96,12 +98,14 @@ def _window_rows(window: int):
                 near = np.zeros(len(h) + 1, np.int32)
                 np.add.at(near, np.maximum(at - (PERIOD - 1), first[of - lo]), 1)
                 np.add.at(near, at + 1, -1)
-                use = np.flatnonzero((np.cumsum(near)[:n] > 0) & (row[:n] == row[window - 1 :]))
+                np.maximum.at(whole, row, pos + 2 - window)
+                use = np.flatnonzero((np.cumsum(near)[:n] > 0) & (row[:n] == row[window - 1 :]) & ~copy[row[:n]])
                 w = [words.windows(h, window, base)[use] for base in _BASES]
                 found.append((w[0], w[1], ids[row[use]], pos[use]))
             if not found:
                 continue
             w1, w2, doc, start = map(np.concatenate, zip(*found))
+            w2 = (w2 >> np.uint64(32)).astype(np.int64)
             order = np.lexsort((start, doc, w2, w1))
             w1, w2, doc, start = w1[order], w2[order], doc[order], start[order]
             again = np.r_[False, (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]) & ((doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))]
@@ -110,11 +114,13 @@ def _window_rows(window: int):
             for k in np.flatnonzero(equal):
                 again[k] = again[k - 1]
             d, s, n = ranges(doc[again], start[again])
+            copies = np.flatnonzero(copy & (whole > 0))
+            d, s, n = np.r_[d, ids[copies]], np.r_[s, np.zeros(len(copies), int)], np.r_[n, whole[copies]]
             key = words.mix(d.view(np.uint64) * np.uint64(_BASES[1]) + s.astype(np.uint64))
             one = ~again
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.r_[w1[one], key].view(np.int64)), pa.array(np.r_[w2[one], key].view(np.int64)),
+                    pa.array(np.r_[w1[one], key].view(np.int64)), pa.array(np.r_[w2[one], np.zeros(len(key), np.int64)].astype(np.uint32).view(np.int32)),
                     pa.array(np.r_[doc[one], d]), pa.array(np.r_[start[one], s].astype(np.int32)),
                     pa.array(np.r_[np.zeros(one.sum(), np.int32), n.astype(np.int32)]),
                 ],
@@ -157,13 +163,15 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = docs.mapInArrow(_anchors(window), "h long, doc long, pos int")
     at = settle(repeated(anchors)).withColumnRenamed("doc", "doc_")
     release(spark)
-    rows = docs.join(at, F.col("doc") == F.col("doc_")).select("doc", "text", "at")
-    rows = rows.mapInArrow(_window_rows(window), "w1 long, w2 long, doc long, start int, n int")
+    # a text that a smaller id has in full goes in full; its windows need not be compared
+    text_key = docs.select("doc", F.md5("text").alias("m"), F.length("text").alias("n"))
+    first = text_key.groupBy("m", "n").agg(F.min("doc").alias("lead"))
+    lead = settle(text_key.join(first, ["m", "n"]).filter("doc > lead").select(F.col("doc").alias("doc_c")).distinct())
+    rows = docs.join(at, F.col("doc") == F.col("doc_")).join(lead, F.col("doc") == F.col("doc_c"), "left")
+    rows = rows.select("doc", "text", "at", F.col("doc_c").isNotNull().alias("copy")).mapInArrow(_window_rows(window), "w1 long, w2 int, doc long, start int, n int")
     rows = rows.repartition("w1").sortWithinPartitions("w1", "w2", "doc", "start")
     rows = rows.mapInArrow(_later, "doc long, start int, n int")
-    cuts = settle(rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("cuts")))
-    release(spark)
-    return cuts
+    return settle(rows.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("cuts")))
 
 
 def keep_mask(n_words: int, starts: np.ndarray, counts: np.ndarray, window: int) -> np.ndarray:
@@ -223,6 +231,7 @@ def deduplicate(
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     cuts = removals(rows, window).withColumnRenamed("doc", "doc_")
+    release(docs.sparkSession)
     extra = {c: f"_keep{k}" for k, c in enumerate(keep)}
     wide = docs.select(
         F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"),
