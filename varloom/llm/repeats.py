@@ -64,7 +64,9 @@ def repeated(anchors: DataFrame) -> DataFrame:
 def release(spark) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps.
 
-    It removes what no live frame refers to, on both sides of the bridge to the JVM.
+    It removes what no live frame refers to, on both sides of the bridge to the JVM. Spark's
+    event queue refers to the last query until another one ends.
     """
     gc.collect()
+    spark.range(1).count()
     spark.sparkContext._jvm.System.gc()
