@@ -7,15 +7,17 @@ has one place, so the fold looks a pair up in constant time.
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterable, Iterator
-from functools import cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.sources.sinks import settle
+
 _NONE = 2147483647
 _ID_BITS = 17
 _ID_MASK = (1 << _ID_BITS) - 1
@@ -113,3 +115,147 @@ class Merges:
             return F.aggregate(steps, start(ids), step, lambda s: s["ids"])
 
         return bound(F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c))), fold)
+
+
+#: Frequent words whose ids are carried to every task, and their longest in bytes.
+HOT_WORDS, HOT_BYTES = 1 << 20, 64
+#: Longer words would cost the fold time that grows with their square.
+FOLD_BYTES = 1024
+
+
+def split_words(text: Column, pattern: str) -> Column:
+    """The matches of `pattern` in order; classes are Unicode's. None for a null text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0)), F.array().cast("array<string>"))
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """What the fold gives, in time n log n: pairs wait in a heap by (rank, place)."""
+    start, end = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))  # neighbours
+    stop = end[:]
+    heap = []
+
+    def push(k: int) -> None:
+        nxt = end[k]
+        if nxt < len(word):
+            rank = ranks.get(word[k : stop[nxt]])
+            if rank is not None:
+                heappush(heap, (rank, k, stop[nxt]))
+
+    alive = [True] * len(word)
+    for k in range(len(word)):
+        push(k)
+    while heap:
+        _, k, until = heappop(heap)
+        nxt = end[k]
+        if not alive[k] or nxt >= len(word) or stop[nxt] != until:
+            continue
+        alive[nxt] = False
+        stop[k] = until
+        end[k] = end[nxt]
+        if end[k] < len(word):
+            start[end[k]] = k
+        push(k)
+        if start[k] >= 0:
+            push(start[k])
+    return [ranks[word[k : stop[k]]] for k in range(len(word)) if alive[k]]
+
+
+def hot_words(words: DataFrame, merges: Merges, most: int = HOT_WORDS) -> pa.Table:
+    """(w, ids) of the most frequent words: all that occur at least c times, c as small as allowed.
+
+    `words` is (w) with a row per occurrence.
+    """
+    short = words.filter(F.octet_length("w") <= HOT_BYTES)
+    counts = settle(short.groupBy("w").agg(F.count("*").alias("n")))
+    room, least = most, None
+    # as many rows as there are different counts
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["n"]
+    if least is None:
+        return pa.table({"w": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    # at most `most` words of at most HOT_BYTES bytes
+    folded = settle(counts.filter(F.col("n") >= least).repartition("w").select("w", merges.encode(F.col("w")).alias("ids")))
+    return folded.toArrow()
+
+
+def _look_up(hot: pa.Table, ranks: dict[bytes, int]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot["w"].combine_chunks()
+        table = hot["ids"].combine_chunks()
+        at = np.r_[0, np.cumsum(table.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        values = table.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        for b in batches:
+            for piece in (b.slice(k, 1024) for k in range(0, b.num_rows, 1024)):
+                lists = piece.column(0)
+                words = lists.flatten()
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                code = pc.index_in(words, value_set=known)
+                missing = np.flatnonzero(np.asarray(code.is_null()))
+                code = code.fill_null(0).to_numpy(zero_copy_only=False)
+                n_ids = (at[code + 1] - at[code]) if len(at) > 1 else np.zeros(len(code), np.int64)
+                n_ids[missing] = 0
+                begin = np.r_[0, np.cumsum(n_ids)]
+                flat = values[np.repeat(at[code] - begin[:-1], n_ids) + np.arange(begin[-1])] if len(values) else values
+                # a list is cut after each word that is not known
+                last = np.cumsum(size)
+                row = np.searchsorted(last, missing, "right")
+                cuts = np.sort(np.r_[begin[missing], begin[last]])
+                n_cuts = np.bincount(row, minlength=len(size)) + 1
+                pieces = pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum(n_cuts)].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, cuts].astype(np.int32)), pa.array(flat, pa.int32())),
+                )
+                text = words.take(pa.array(missing))
+                long = pc.greater(pc.binary_length(text), FOLD_BYTES).to_numpy(zero_copy_only=False)
+                ids = [merge_long(w.as_py().encode(), ranks) if x else None for w, x in zip(text, long)] if long.any() else [None] * len(text)
+                bounds = pa.array(np.r_[0, np.cumsum(n_cuts - 1)].astype(np.int32))
+                short = pa.array([None if x else w for w, x in zip(text.to_pylist(), long)], pa.string()) if long.any() else text
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *piece.columns[1:], pieces, pa.ListArray.from_arrays(bounds, short),
+                        pa.ListArray.from_arrays(bounds, pa.array(ids, pa.list_(pa.int32()))),
+                    ],
+                    [*piece.schema.names[1:], "pieces", "missing", "ready"],
+                )
+
+    return run
+
+
+def encode(
+    docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids", hot: int = HOT_WORDS,
+) -> DataFrame:
+    """`docs` with the column `into` (array<int>): each match of `pattern` encoded by itself.
+
+    Different words of up to HOT_BYTES bytes are counted over all texts; the ids of the `hot` most
+    frequent are folded once and carried to the tasks, and other words are folded in their
+    document. Words over FOLD_BYTES bytes are merged with a heap, to the same ids. Null and empty
+    texts give no ids. All columns but one named `into` are kept; equal rows get equal ids.
+    """
+    ranks = read_ranks(path)
+    merges = Merges(ranks)
+    words = split_words(F.col(text_col).cast("string"), pattern)
+    table = hot_words(docs.select(F.explode(words).alias("w")), merges, hot)
+    kept = [c for c in docs.columns if c != into]
+    names = [f"_c{k}" for k in range(len(kept))]
+    rows = docs.select(words.alias("_w"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "pieces array<array<int>>, missing array<string>, ready array<array<int>>"])
+    parts = rows.mapInArrow(_look_up(table, ranks), schema)
+    folded = F.transform("missing", lambda w, k: F.coalesce(F.get("ready", k), F.when(w.isNotNull(), merges.encode(w))))
+    joined = parts.withColumn("folded", folded)
+    none = F.array().cast("array<int>")
+    ids = F.flatten(F.transform("pieces", lambda p, k: F.concat(p, F.coalesce(F.get("folded", k), none))))
+    return joined.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], ids.alias(into))
+
+
+def decode(ids: Column, path: str) -> Column:
+    """Binary: the pieces of the ids, concatenated. Ids without a piece give nothing; null gives null."""
+    ranks = read_ranks(path)
+    pieces = [""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token.hex()
+    table = F.split(F.lit(",".join(pieces)), ",")
+    return F.unhex(F.array_join(F.transform(ids, lambda k: F.get(table, k)), ""))
