@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import bpe, decontam, embeddings, quality, simhash, substring, toxicity
+from varloom.llm import bpe, chat, decontam, embeddings, quality, simhash, substring, tokens, toxicity
 from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +81,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
     )
+
+
+def _read_back(batches):
+    """Digests of formatted conversations, from their text and loss spans alone."""
+    for b in batches:
+        out = []
+        for text, loss in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            turns = chat.parse(text)
+            said = "".join(chat.unescape(text[s["start"] : s["end"]]) for s in loss)
+            flat = "".join(f"{role}\n{body}\n" for role, body in turns)
+            out.append((len(turns), sha256(flat.encode()).hexdigest(), len(said), sha256(said.encode()).hexdigest(), len(text)))
+        cols = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
+
+
+@query("op9_chat_formatting")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    out = chat.format_conversations(turns.unionByName(extra)).select("conv", "formatted", "loss")
+    return out.mapInArrow(
+        _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
+
+
+@query("op1_token_counts")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = tokens.zipf_scores(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    out = tokens.count_tokens(read_table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
+    return out.select(F.col("doc").alias("doc_id"), "n_words", "n_tokens")
