@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import bpe, chat, decontam, embeddings, quality, simhash, substring, tokens, toxicity
+from varloom.llm import bpe, chat, decontam, embeddings, quality, simhash, substring, suffix, tokens, toxicity
 from varloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = tokens.zipf_scores(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     out = tokens.count_tokens(read_table(spark, sf_dir, "documents"), scores, public_tokenizers.PATTERN)
     return out.select(F.col("doc").alias("doc_id"), "n_words", "n_tokens")
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.deduplicate(read_table(spark, sf_dir, "documents"), digest=True)
+    return out.select(F.col("doc").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("value").alias("kept_sha256"))
