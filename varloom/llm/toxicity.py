@@ -316,10 +316,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: i
             x = [features(*m.hits(t)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
-    # TRAIN_ROWS rows of four numbers
-    xy = rows.mapInArrow(table, "x array<double>, y int").orderBy("y", "x").toArrow()
-    x = np.array(xy["x"].to_pylist()).reshape(-1, 4)
-    return Model(terms, clean, logistic(x, xy["y"].to_numpy().astype(float)).tolist())
+    # TRAIN_ROWS rows of four numbers; in one order, so that sums repeat to the last bit
+    xy = rows.mapInArrow(table, "x array<double>, y int").toArrow()
+    both = np.c_[np.array(xy["x"].to_pylist()).reshape(-1, 4), xy["y"].to_numpy()]
+    both = both[np.lexsort(both.T)]
+    return Model(terms, clean, logistic(both[:, :4], both[:, 4]).tolist())
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
