@@ -92,7 +92,7 @@ def match(word: str, root: Trie) -> tuple[str, int] | None:
                 for e in range(min(allowance(body) + 1, len(state))):
                     # a stem must be read in full; a word may go on after it
                     if state[e] & full if whole else state[e] & (2 * full - 1):
-                        if best is None or (e, len(best[0]), best[0]) < (best[1], len(body), body):
+                        if best is None or (e, len(body), body) < (best[1], len(best[0]), best[0]):
                             best = (body, e)
                         break
         for c, child in node.next.items():
@@ -288,8 +288,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, folds: i
     """
     train = settle(bounded(training_labels(labels, id_col, label_col, folds, held), TRAIN_ROWS))
     # TRAIN_ROWS keys and labels at most
-    rows = docs.join(F.broadcast(train), F.col(id_col) == F.col("key")).select(F.col(text_col).cast("string").alias("text"), "y")
-    rows = settle(rows.filter("text is not null"))
+    known = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    rows = settle(known.join(F.broadcast(train), F.col("doc") == F.col("key")).select("text", "y"))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:
