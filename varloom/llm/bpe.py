@@ -188,7 +188,7 @@ def _look_up(hot: pa.Table, ranks: dict[bytes, int]):
         at = np.r_[0, np.cumsum(table.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
         values = table.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
         for b in batches:
-            for piece in (b.slice(k, 1024) for k in range(0, b.num_rows, 1024)):
+            for piece in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
                 lists = piece.column(0)
                 words = lists.flatten()
                 size = lists.value_lengths().to_numpy(zero_copy_only=False)
@@ -245,10 +245,10 @@ def encode(
     schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "pieces array<array<int>>, missing array<string>, ready array<array<int>>"])
     parts = rows.mapInArrow(_look_up(table, ranks), schema)
     folded = F.transform("missing", lambda w, k: F.coalesce(F.get("ready", k), F.when(w.isNotNull(), merges.encode(w))))
-    joined = parts.withColumn("folded", folded)
     none = F.array().cast("array<int>")
-    ids = F.flatten(F.transform("pieces", lambda p, k: F.concat(p, F.coalesce(F.get("folded", k), none))))
-    return joined.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], ids.alias(into))
+    # bound: the fold of each missing word runs once, not once for every piece
+    ids = bound(folded, lambda f: F.flatten(F.transform("pieces", lambda p, k: F.concat(p, F.coalesce(F.get(f, k), none)))))
+    return parts.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], ids.alias(into))
 
 
 def decode(ids: Column, path: str) -> Column:
