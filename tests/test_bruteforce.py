@@ -298,6 +298,6 @@ def test_pca_and_clusters(spark):
     rng = np.random.default_rng(13)
     m = np.abs(np.concatenate([rng.normal(1, 0.1, (20, 6)), rng.normal(5, 0.1, (20, 6))]))
     genes = spark.createDataFrame([(f"g{j:02d}", j + 1) for j in range(6)], "gene string, rank int")
-    emb = expression.pca_embed(expression.cell_vectors(long_table(spark, m), genes, 6), 2)
+    emb = expression.pca_embed(expression.cell_vectors(long_table(spark, m), genes), 2)
     got = {r.cell: r.cluster for r in expression.cluster_cells(emb, 2).collect()}
     assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[39]

@@ -313,13 +313,28 @@ def se_from_n_maf(n: Column | float, maf="MAF") -> Column:
 
 
 def neg_log10(p: Column | str, cap: float | None = None) -> Column:
-    v = -F.log10(as_col(p))
-    return v if cap is None else F.least(v, F.lit(float(cap)))
+    """-log10(p), at most `cap`; with a cap, p = 0 reaches it. A null stays null."""
+    p = as_col(p)
+    v = -F.log10(p)
+    return v if cap is None else F.when(p == 0, F.lit(float(cap))).otherwise(clamp(v, None, cap))
 
 
-def logit(p: Column | str) -> Column:
-    """Log odds; shares of 0 or 1 are first pulled in to 0.025 and 0.975."""
-    p = F.greatest(F.lit(0.025), F.least(F.lit(0.975), as_col(p)))
+def clamp(v: Column | str, lo: float | None, hi: float | None) -> Column:
+    """v within its limits. A null stays null, which greatest and least alone would skip."""
+    v = as_col(v)
+    out = v if lo is None else F.greatest(v, F.lit(float(lo)))
+    out = out if hi is None else F.least(out, F.lit(float(hi)))
+    return F.when(v.isNotNull(), out)
+
+
+def logit(p: Column | str, adjust: Column | None = None) -> Column:
+    """Log odds. Where `adjust` holds, shares are first mapped linearly into 0.025 to 0.975.
+
+    Without `adjust` only a share of exactly 0 or 1 is mapped.
+    """
+    p = as_col(p)
+    adjust = p.isin(0.0, 1.0) if adjust is None else adjust
+    p = F.when(adjust, F.lit(0.5) + (p - 0.5) * 0.95).otherwise(p)
     return F.ln(p / (F.lit(1.0) - p))
 
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from varloom.functions.frames import wide
+from varloom.functions.frames import tiled_running, wide
 from varloom.functions.scalars import logit
+from varloom.sources.sinks import settle
 
 
 def barcode_lane(c: Column | str) -> Column:
@@ -70,11 +71,11 @@ def cell_qc(
 def parse_criteria(criteria: DataFrame) -> list[tuple[str, str, list[str]]]:
     """A criteria table (rows keep / discard, one column per tag) as rules.
 
-    The table is a hand-written sheet of two rows, read on the driver.
+    The table is a hand-written sheet, which is read whole on the driver.
     """
     tags = criteria.columns[1:]
     rules = []
-    for row in criteria.limit(2).collect():
+    for row in criteria.collect():
         for tag in tags:
             if row[tag] is not None and row[tag] != "NA":
                 rules.append((row[0], tag, row[tag].split(";")))
@@ -182,7 +183,9 @@ def immune_phenotypes(
             "value", F.col("value") * F.col(sorted_share) / 100
         )
     if do_logit:
-        out = out.withColumn("value", logit("value"))
+        # one share of 0 or 1 anywhere makes all shares be pulled in, as the published function does
+        edge = out.agg(F.coalesce(F.max(F.col("value").isin(0.0, 1.0)), F.lit(False)))
+        out = out.withColumn("value", logit("value", edge.scalar()))
     return out.select("donor", F.concat_ws(" ", F.upper("population"), "cluster").alias("immune_subset"), "value")
 
 
@@ -229,27 +232,39 @@ def pre_post_counts(before: DataFrame, after: DataFrame, clusters: list[str]) ->
 
 
 def harmonise_batches(df: DataFrame, date_col: str | None = None, ids_col: str | None = None) -> DataFrame:
-    """Dates to letters in order; `a;b` ids to dense numbers in natural order.
+    """Dates to letters in order (A to Z, then AA); `a;b` ids to dense numbers in natural order.
 
-    Both code tables hold one row per distinct value; the ids are translated inside
-    their array.
+    Both code tables hold one row per distinct value and are numbered tile by tile. Each
+    distinct id list is taken apart, recoded by a join, and put together again.
     """
     if date_col:
-        w = Window.orderBy(date_col)
-        codes = df.select(date_col).filter(F.col(date_col).isNotNull()).distinct().withColumn(
-            f"{date_col}_code", F.char(F.lit(64) + F.row_number().over(w))
-        )
-        df = df.join(codes, date_col, "left")
+        days = df.select(date_col).filter(F.col(date_col).isNotNull()).distinct()
+        tile = F.substring(F.col(date_col).cast("string"), 1, 7)
+        codes = tiled_running(days, [], tile, [date_col], {"_n": ("sum", F.lit(1))})
+        df = df.join(codes.select(date_col, letters(F.col("_n")).alias(f"{date_col}_code")), date_col, "left")
     if ids_col:
-        w = Window.orderBy(F.length("_id"), "_id")
-        ids = df.select(F.explode(F.split(ids_col, ";")).alias("_id")).distinct().withColumn("_n", F.row_number().over(w))
-        table = ids.agg(F.map_from_entries(F.collect_list(F.struct("_id", F.col("_n").cast("string")))))
-        df = df.withColumn("_map", table.scalar())
-        recoded = F.transform(F.split(ids_col, ";"), lambda x: F.try_element_at("_map", x))
-        df = df.withColumn(f"{ids_col}_code", F.array_join(recoded, ";")).drop("_map")
+        lists = settle(df.select(ids_col).filter(F.col(ids_col).isNotNull()).distinct())
+        parts = lists.select(ids_col, F.posexplode(F.split(ids_col, ";")).alias("_at", "_id"))
+        size = F.length("_id")
+        tile = F.concat(F.lpad(size.cast("string"), 9, "0"), F.substring("_id", 1, 3))
+        ids = tiled_running(parts.select("_id").distinct(), [], tile, [size, F.col("_id")], {"_n": ("sum", F.lit(1))})
+        coded = parts.join(ids, "_id").groupBy(ids_col).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_n").cast("string").alias("_n")))).alias("_c"))
+        coded = coded.select(F.col(ids_col).alias("_key"), F.array_join("_c._n", ";").alias(f"{ids_col}_code"))
+        df = df.join(coded, F.col(ids_col) == F.col("_key"), "left").drop("_key")
     return df
 
 
+def letters(n: Column) -> Column:
+    """1 to A, 26 to Z, 27 to AA, and so on."""
+    def digit(s: Column, _: Column) -> Column:
+        rest = F.floor((s["n"] - 1) / 26)
+        more = F.concat(F.char(F.lit(65) + F.pmod(s["n"] - 1, F.lit(26))), s["t"])
+        return F.when(s["n"] > 0, F.struct(rest.alias("n"), more.alias("t"))).otherwise(s)
+
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("t"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, digit, lambda s: s["t"])
+
+
 def downsample_group(cells: DataFrame, column: str | None, n: int, seed: int = 1, key: str = "cell") -> DataFrame:
     """At most n pseudo-random rows per group (or overall), the same on every run.
 

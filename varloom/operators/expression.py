@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions.scalars import clamp
 from varloom.sources.sinks import settle
 
 
@@ -42,9 +43,9 @@ def group_stats(
         out = out.join(per, group).withColumn("mean", F.try_divide(F.col("mean") - F.col("_m"), F.col("_sd"))).drop("_m", "_sd")
     lo, hi = limits
     if lo is not None:
-        out = out.withColumn("mean", F.greatest("mean", F.lit(float(lo))))
+        out = out.withColumn("mean", clamp("mean", lo, None))
     if hi is not None:
-        out = out.withColumn("mean", F.least("mean", F.lit(float(hi))))
+        out = out.withColumn("mean", clamp("mean", None, hi))
     return out
 
 
@@ -235,23 +236,26 @@ def regress_out(
     per = per.select("gene", "c0", "c1", "c2", F.sqrt(F.greatest(rss, F.lit(0.0)) / (F.col("_n") - 1)).alias("sd"))
     res = F.try_divide(F.col("_y") - F.col("c0") - F.col("c1") * F.col("_a") - F.col("c2") * F.col("_b"), F.col("sd"))
     if clip is not None:
-        res = F.least(F.greatest(res, F.lit(-float(clip))), F.lit(float(clip)))
+        res = clamp(res, -clip, clip)
     return rows.join(per, "gene").select("cell", "gene", res.alias("residual"), "c0", "c1", "c2", "sd")
 
 
-def cell_vectors(values: DataFrame, genes: DataFrame, size: int) -> DataFrame:
+def cell_vectors(values: DataFrame, genes: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """Feature vectors of cells over ranked genes (gene, rank starting at 1).
 
-    A cell holds at most `size` of the selected genes, so its list is bounded; the dense
-    array is filled and turned into a vector on the JVM side.
+    The vector is as long as the highest rank. Every cell of `cells` (by default of `values`)
+    gets one, all zeros if it has none of the genes. A cell's list is no longer than the gene
+    table; the dense array is filled and turned into a vector on the JVM side.
     """
+    size = int(genes.agg(F.max("rank")).first()[0] or 0)
+    everyone = (values if cells is None else cells).select("cell").distinct()
     hits = values.join(genes.select("gene", (F.col("rank") - 1).alias("_ix")), "gene").filter("value <> 0")
     per = hits.groupBy("cell").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("_ix").cast("int"), F.col("value").cast("double")))).alias("_f")
     )
     slots = F.sequence(F.lit(0), F.lit(size - 1))
     dense = F.transform(slots, lambda i: F.coalesce(F.try_element_at("_f", i), F.lit(0.0)))
-    return per.select("cell", array_to_vector(dense).alias("features"))
+    return everyone.join(per, "cell", "left").select("cell", array_to_vector(dense).alias("features"))
 
 
 def pca_embed(vectors: DataFrame, k: int = 30) -> DataFrame:

@@ -21,25 +21,29 @@ def gene_z(weights: DataFrame, z: DataFrame, ld: DataFrame, by: tuple[str, ...]
     """z_gene = sum(w z) / sqrt(w' R w).
 
     `ld` is the upper triangle (id1 <= id2, r) including the diagonal; off-diagonal
-    terms count twice. The variance is joined along existing pairs only.
+    terms count twice. Both sums run over the variants that have a z-score in the study,
+    and the variance is joined along existing pairs only.
     """
     key = ["gene", "type", "context"]
     w = weights.select(*key, "id", "weight")
-    num = w.join(z.select(*by, "id", "z"), "id").groupBy(*by, *key).agg(
+    num = w.join(z.filter("z IS NOT NULL").select(*by, "id", "z"), "id").groupBy(*by, *key).agg(
         F.sum(F.col("weight") * F.col("z")).alias("_num"), F.count("*").alias("n_snps")
     )
     left = w.select(*key, F.col("id").alias("id1"), F.col("weight").alias("_w1"))
     right = w.select(*key, F.col("id").alias("id2"), F.col("weight").alias("_w2"))
     twice = F.when(F.col("id1") == F.col("id2"), 1.0).otherwise(2.0)
+    has = z.filter("z IS NOT NULL").select(*by, "id").distinct()
     den = (
         ld.select("id1", "id2", "r")
         .join(left, "id1")
         .join(right, [*key, "id2"])
-        .groupBy(*key)
+        .join(has.withColumnRenamed("id", "id1"), "id1")
+        .join(has.withColumnRenamed("id", "id2"), [*by, "id2"])
+        .groupBy(*by, *key)
         .agg(F.sum(twice * F.col("_w1") * F.col("r") * F.col("_w2")).alias("_den"))
     )
     z_value = F.when(F.col("_den") > 0, F.col("_num") / F.sqrt(F.col("_den")))
-    return num.join(den, key).select(*by, *key, "n_snps", z_value.alias("z"))
+    return num.join(den, [*by, *key]).select(*by, *key, "n_snps", z_value.alias("z"))
 
 
 def ln_bf(z: Column, var: Column) -> Column:
@@ -47,12 +51,13 @@ def ln_bf(z: Column, var: Column) -> Column:
     return F.lit(-0.5) * F.ln(F.lit(1.0) + var) + F.lit(0.5) * z * z * var / (F.lit(1.0) + var)
 
 
-def _posterior(df: DataFrame, prior: DataFrame, region: list[str]) -> DataFrame:
+def _posterior(df: DataFrame, prior: DataFrame, region: list[str], write: bool = True) -> DataFrame:
     """Rows with `_lw` (log prior x BF), the region's ln sum and the single-effect pip."""
     rows = df.join(prior.select("grp", "pi", "var"), "grp").withColumn(
         "_lw", F.ln("pi") + ln_bf(F.col("z"), F.col("var"))
     )
-    total = settle(log_sum_exp(rows, region, {"_ls": F.col("_lw")}))
+    total = log_sum_exp(rows, region, {"_ls": F.col("_lw")})
+    total = settle(total) if write else total
     # ln(1 + sum w), the 1 being "no effect in the region"
     top = F.greatest(F.col("_ls"), F.lit(0.0))
     total = total.withColumn("_lt", top + F.ln(F.exp(F.col("_ls") - top) + F.exp(-top)))
@@ -60,17 +65,18 @@ def _posterior(df: DataFrame, prior: DataFrame, region: list[str]) -> DataFrame:
 
 
 def est_group_prior(
-    df: DataFrame, iters: int = 30, pi0: float = 0.01, var0: float = 10.0, tol: float = 1e-4,
+    df: DataFrame, iters: int = 153, pi0: float = 0.01, var0: float = 10.0, tol: float = 1e-4,
     region: tuple[str, ...] = ("region_id",),
 ) -> DataFrame:
     """EM for the prior inclusion and effect variance of each group.
 
-    One effect per region. Only the group parameters (one row per group) come back
+    At most `iters` passes (3 to start and 150 more by default), fewer once all parameters
+    change by less than `tol` of their value. One effect per region. Only the group parameters (one row per group) come back
     between iterations; each pass restarts from the cached z table, so the plan does
     not grow and a lost executor only costs its cached part.
     """
     spark = df.sparkSession
-    z = df.select("grp", "z", *region).filter("z IS NOT NULL").persist()
+    z = df.select("grp", "z", *region).filter("z IS NOT NULL").repartition(*region).persist()
     params: dict[str, tuple[float, float]] | None = None
     for _ in range(max(iters, 1)):
         if params is None:
@@ -81,12 +87,12 @@ def est_group_prior(
             )
         shrink = F.col("var") / (F.lit(1.0) + F.col("var"))
         mean = F.col("z") * shrink
-        rows = _posterior(z, prior, list(region)).groupBy("grp").agg(
+        rows = _posterior(z, prior, list(region), write=False).groupBy("grp").agg(
             F.count("*").alias("n"), F.sum("pip").alias("s"),
             F.sum(F.col("pip") * (mean * mean + shrink)).alias("v"),
         )
         new = {
-            r["grp"]: (min(max(r["s"] / r["n"], 1e-12), 0.5), max(r["v"] / r["s"], 1e-6)) if r["s"] > 0 else (1e-12, 1e-6)
+            r["grp"]: (max(r["s"] / r["n"], 1e-12), max(r["v"] / r["s"], 1e-6)) if r["s"] > 0 else (1e-12, 1e-6)
             for r in rows.collect()
         }
         done = params is not None and all(

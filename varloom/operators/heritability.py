@@ -33,12 +33,14 @@ def munge(df: DataFrame, n: float | None = None, by: tuple[str, ...] = ("dataset
     )
 
 
-def ld_score(ld: DataFrame, annot: DataFrame, labels: list[str], n: int) -> DataFrame:
+def ld_score(ld: DataFrame, annot: DataFrame, labels: list[str]) -> DataFrame:
     """l2 of each variant per annotation: sum of bias-corrected r2 over its neighbours.
 
-    `annot` is (LD, label, value); r2 is corrected by (1 - r2) / (n - 2).
+    `annot` is (LD, label, value); r2 is corrected by (1 - r2) / (n - 2) with the number of
+    donors `n` of the pair. Pairs of two donors or fewer are left out.
     """
-    adj = F.col("r2") - (F.lit(1.0) - F.col("r2")) / F.lit(float(n - 2))
+    ld = ld.filter("n > 2")
+    adj = F.col("r2") - (F.lit(1.0) - F.col("r2")) / (F.col("n") - 2)
     joined = ld.join(annot, "LD")
     return joined.groupBy("Lead").agg(
         *[F.sum(F.when(F.col("label") == x, adj * F.col("value")).otherwise(0.0)).alias(f"l2_{x}") for x in labels]
@@ -52,7 +54,7 @@ def expression_score(qtl: DataFrame, ld: DataFrame, bins: int = 5) -> DataFrame:
     by it, and a variant's score in a bin sums effect**2 * r2 over the bin's QTLs.
     """
     h2 = qtl.groupBy("GENEID").agg(F.sum(F.col("BETA") * F.col("BETA")).alias("h2cis"))
-    binned = h2.withColumn("bin", F.ntile(bins).over(Window.orderBy("h2cis", "GENEID")))
+    binned = h2.withColumn("bin", F.ntile(bins).over(Window.orderBy(F.round("h2cis", 9), "GENEID")))
     eff = qtl.select("GENEID", F.col("SNPID").alias("LD"), (F.col("BETA") * F.col("BETA")).alias("_b2"))
     per_site = eff.join(binned, "GENEID").groupBy("LD", "bin").agg(F.sum("_b2").alias("_b2"))
     return (
@@ -92,20 +94,20 @@ def h2_regression(
 ) -> DataFrame:
     """Weighted regression of chi-square on scores with a block jackknife.
 
-    `df` has `by`, Chromosome, Position, Z, N and the score columns. The rows are
+    `df` has `by`, an id (SNP), Chromosome, Position, Z, N and the score columns. The rows are
     summed per study and block in Spark (equal-count blocks in genome order, numbered by
     a tiled running count); only `blocks` rows of sums per study reach the k x k solve.
     Too few rows give no result for that study.
     """
     l2 = F.greatest(sum((F.col(s) for s in scores[1:]), F.col(scores[0])), F.lit(1.0))
-    base = df.select(by, "Chromosome", "Position", (F.col("Z") * F.col("Z")).alias("chi2"), "N", *scores)
+    base = df.select(by, "SNP", "Chromosome", "Position", (F.col("Z") * F.col("Z")).alias("chi2"), "N", *scores)
     base = settle(base.dropna().withColumn("_l2", l2))
     totals = base.groupBy(by).agg(
         F.count("*").alias("_m"), F.avg("chi2").alias("_chi"), F.avg("_l2").alias("_al"), F.avg("N").alias("_an")
     )
     tile = chr_order("Chromosome") * 1_000_000 + F.floor(F.col("Position") / 1_000_000)
     ranked = tiled_running(
-        base, [by], tile, ["Chromosome", "Position"], {"_rank": ("sum", F.lit(1))}
+        base, [by], tile, ["Chromosome", "Position", "SNP"], {"_rank": ("sum", F.lit(1))}
     ).join(totals, by)
     m = F.lit(float(m_snps)) if m_snps else F.col("_m")
     h2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_chi") - 1) * m / (F.col("_an") * F.col("_al"))))

@@ -46,7 +46,7 @@ def genotype_words(genotypes: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def ld_pairs(genotypes: DataFrame, leads: DataFrame, window: int = 250_000, shards: int = 16) -> DataFrame:
-    """r2 of each lead with every variant within +-window, per population.
+    """r2 of each lead with every variant within +-window, per population, and its donors `n`.
 
     Donors missing either genotype are left out of a pair. Leads are replicated to the
     window-sized bins they reach, so the pair join is an equi-join on (population,
@@ -85,7 +85,7 @@ def ld_pairs(genotypes: DataFrame, leads: DataFrame, window: int = 250_000, shar
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    return sums.select("Lead", "LD", "population", F.try_divide(cov * cov, vx * vy).alias("r2")).filter(
+    return sums.select("Lead", "LD", "population", F.try_divide(cov * cov, vx * vy).alias("r2"), "n").filter(
         F.col("r2").isNotNull()
     )
 

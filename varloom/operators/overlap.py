@@ -128,9 +128,10 @@ def egene_matrix(
 ) -> DataFrame:
     """FDR of eGenes as gene x population, -log10 capped; genes with no value are dropped.
 
-    The caller states the populations, so one without any eGene is simply not listed.
+    A cell without an eGene is null, and FDR = 0 is at the cap. The caller states the
+    populations, so one without any eGene is simply not listed.
     """
-    kept = df.filter("is_egene AND FDR > 0")
+    kept = df.filter("is_egene AND FDR >= 0")
     out = wide(kept, [key], column, columns, F.min("FDR"))
     return out.select(key, *[neg_log10(F.col(f"`{c}`"), cap).alias(c) for c in columns])
 

@@ -25,6 +25,7 @@ from varloom.functions.scalars import (
     z_from_p,
 )
 from varloom.operators import clean
+from varloom.sources.sinks import settle
 
 SITE = ["Chromosome", "Position"]
 
@@ -260,22 +261,30 @@ def liftover(
     return out.unionByName(rest.select(*out.columns))
 
 
-def build_path(spark: SparkSession, edges: DataFrame, target: str, max_depth: int = 8) -> DataFrame:
-    """Shortest conversion path from every build that can reach `target`."""
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(src, node, path, depth) AS (
-            SELECT src, dst, src || '>' || dst, 1 FROM {{edges}} WHERE src <> '{target}'
-            UNION ALL
-            SELECT w.src, e.dst, w.path || '>' || e.dst, w.depth + 1
-            FROM walk w JOIN {{edges}} e ON w.node = e.src
-            WHERE w.node <> '{target}' AND w.depth < {int(max_depth)}
-              AND NOT contains('>' || w.path || '>', '>' || e.dst || '>'))
-        SELECT src, min_by(path, struct(depth, path)) AS path, min(depth) AS depth
-        FROM walk WHERE node = '{target}' GROUP BY src
-        """,
-        edges=edges,
+def build_path(spark: SparkSession, edges: DataFrame, target: str, max_depth: int | None = None) -> DataFrame:
+    """Shortest conversion path (src, path, depth) from every build that can reach `target`.
+
+    Breadth first from the target: a level holds the builds not seen before, each with the
+    first of its shortest paths, so a build is visited once. `max_depth` limits the
+    number of steps; by default all builds are found.
+    """
+    edges = settle(edges.select("src", "dst").distinct().filter(F.col("src") != target))
+    level = edges.filter(F.col("dst") == target).select(
+        "src", F.concat_ws(">", "src", "dst").alias("path"), F.lit(1).alias("depth")
     )
+    found, depth = settle(level), 1
+    while max_depth is None or depth < max_depth:
+        last = found.filter(F.col("depth") == depth).select(F.col("src").alias("dst"), "path")
+        depth += 1
+        level = (
+            edges.join(last, "dst").join(found.select("src"), "src", "left_anti").groupBy("src")
+            .agg(F.min(F.concat_ws(">", "src", "path")).alias("path")).withColumn("depth", F.lit(depth))
+        )
+        level = settle(level)
+        if level.isEmpty():
+            break
+        found = settle(found.unionByName(level))
+    return found
 
 
 def build_lineage(
@@ -343,9 +352,12 @@ def harmonise_z_to_ref(
 
 
 def harmonise_weights(
-    weights: DataFrame, panel: DataFrame, z: DataFrame, id_col: str = "RSID"
+    weights: DataFrame, panel: DataFrame, z: DataFrame, id_col: str = "RSID", by: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Weights on panel alleles, for variants with a z-score; ambiguous ones out."""
+    """Weights on panel alleles, for variants with a z-score; ambiguous ones out.
+
+    With `by` each study keeps the weights of its own variants, and its columns come first.
+    """
     sign = _orientation(F.col("alt"), F.col("ref"), F.col("_REF"), F.col("_ALT"))
     ref = panel.select(
         F.col(id_col).alias("id"), F.col("REF").alias("_REF"), F.col("ALT").alias("_ALT")
@@ -353,13 +365,13 @@ def harmonise_weights(
     return (
         weights.join(ref, "id")
         .filter(~strand_ambiguous(F.col("_REF"), F.col("_ALT")))
-        .join(z.select("id"), "id", "left_semi")
+        .join(z.select(*by, "id").distinct(), "id")
         .withColumn("_s", sign)
         .filter(F.col("_s").isNotNull())
         .withColumns(
             {"weight": F.col("weight") * F.col("_s"), "ref": F.col("_REF"), "alt": F.col("_ALT")}
         )
-        .select(*weights.columns)
+        .select(*by, *weights.columns)
     )
 
 

@@ -19,18 +19,22 @@ def module_score(
 ) -> DataFrame:
     """Mean of signature genes minus mean of control genes, per cell and signature.
 
-    Genes are cut into `bins` by mean expression; each signature gene brings up to
-    `controls` genes of its bin, in hash order. Zero entries count through the set
-    sizes. Windows run over the genes only.
+    Genes are cut into `bins` by mean expression; each signature gene draws up to
+    `controls` genes of its bin, in an order hashed with its own name, and the draws of a
+    signature are united. Zero entries count through the set sizes, and a cell without any
+    of the genes scores 0. Windows run over the genes only.
     """
-    n = (cells if cells is not None else counts).select("cell").distinct().agg(F.count("*"))
+    everyone = (cells if cells is not None else counts).select("cell").distinct()
+    n = everyone.agg(F.count("*"))
     means = counts.groupBy("gene").agg((F.sum(value) / n.scalar()).alias("_m"))
     binned = settle(means.withColumn("_bin", F.ntile(bins).over(Window.orderBy("_m", "gene"))))
-    hashed = F.row_number().over(Window.partitionBy("_bin").orderBy(F.xxhash64("gene", F.lit(seed)), "gene"))
-    pool = binned.withColumn("_r", hashed).filter(F.col("_r") <= controls).select("_bin", "gene")
     members = sets.join(binned.select("gene", "_bin"), "gene")
+    # one draw per signature gene; a draw looks at one bin of genes
+    drawing = members.select(F.col("gene").alias("_for"), "_bin").distinct().join(binned.select("gene", "_bin"), "_bin")
+    hashed = F.row_number().over(Window.partitionBy("_for").orderBy(F.xxhash64("gene", "_for", F.lit(seed)), "gene"))
+    pool = drawing.withColumn("_r", hashed).filter(F.col("_r") <= controls).select("_for", "gene")
     hit = members.select("signature", "gene", F.lit(1).alias("_hit")).distinct()
-    ctrl = members.select("signature", "_bin").distinct().join(pool, "_bin").select("signature", "gene").distinct()
+    ctrl = members.select("signature", F.col("gene").alias("_for")).distinct().join(pool, "_for").select("signature", "gene").distinct()
     both = hit.join(ctrl.withColumn("_ctrl", F.lit(1)), ["signature", "gene"], "full_outer")
     roles = settle(both.fillna(0, subset=["_hit", "_ctrl"]))
     sizes = roles.groupBy("signature").agg(F.sum("_hit").alias("_nh"), F.sum("_ctrl").alias("_nc"))
@@ -39,8 +43,11 @@ def module_score(
         .groupBy("cell", "signature")
         .agg(F.sum(F.col(value) * F.col("_hit")).alias("_sh"), F.sum(F.col(value) * F.col("_ctrl")).alias("_sc"))
     )
-    score = F.col("_sh") / F.col("_nh") - F.coalesce(F.try_divide(F.col("_sc"), F.col("_nc")), F.lit(0.0))
-    return per.join(sizes, "signature").select("cell", "signature", score.alias("score"))
+    # the signatures and their set sizes travel as one array beside each cell
+    known = sizes.agg(F.collect_list(F.struct("signature", "_nh", "_nc")))
+    grid = everyone.withColumn("_s", known.scalar()).select("cell", F.inline("_s"))
+    score = F.coalesce(F.col("_sh"), F.lit(0.0)) / F.col("_nh") - F.coalesce(F.try_divide(F.col("_sc"), F.col("_nc")), F.lit(0.0))
+    return grid.join(per, ["cell", "signature"], "left").select("cell", "signature", score.alias("score"))
 
 
 def rank_metric(
@@ -138,20 +145,26 @@ def gsea_test(
 
     Random sets depend on (tag value, set size, permutation) only, so sets of one size
     share them. A permutation draws more hashed ranks than it needs and keeps the first
-    distinct ones. Every permutation is a row group of at most `max_size` rows.
+    distinct ones, those left out if the set has over half of the genes; if hashes ever give
+    too few, the lowest ranks not drawn fill the set. Every permutation is a row group of at
+    most `max_size` rows.
     """
     ranks = settle(ranks)
     es = settle(gsea_es(ranks, sets, tag, min_size, max_size))
     n = ranks.groupBy(tag).agg(F.count("*").alias("_n"))
     shapes = es.select(tag, "size").distinct().join(n, tag)
     perm = shapes.withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
+    size, all_ranks = F.col("size").cast("int"), F.sequence(F.lit(1).cast("long"), F.col("_n"))
+    few = F.when(F.col("size") * 2 > F.col("_n"), F.col("_n") - F.col("size")).otherwise(F.col("size")).cast("int")
     draws = F.array_distinct(
         F.transform(
-            F.sequence(F.lit(1), F.least(F.col("size") * 4 + 40, F.lit(max_size * 8)).cast("int")),
+            F.sequence(F.lit(1), few * 4 + 40),
             lambda j: F.pmod(F.xxhash64(F.col(tag), F.col("size"), F.col("_perm"), j, F.lit(seed)), F.col("_n")) + 1,
         )
     )
-    picked = perm.select(tag, "size", "_perm", "_n", F.slice(draws, 1, F.col("size").cast("int")).alias("_r"))
+    perm = perm.withColumn("_d", draws)
+    drawn = F.slice(F.when(F.size("_d") < few, F.array_union("_d", all_ranks)).otherwise(F.col("_d")), 1, few)
+    picked = perm.select(tag, "size", "_perm", "_n", F.when(few < size, F.array_except(all_ranks, drawn)).otherwise(drawn).alias("_r"))
     rows = picked.select(tag, "size", "_perm", F.col("_n").cast("double").alias("_n"), F.explode("_r").alias("rank"))
     rows = rows.join(ranks.select(tag, F.col("rank").cast("long").alias("rank"), F.abs("metric").alias("_w")), [tag, "rank"])
     null = _es(rows.withColumn("_k", F.col("size")), [tag, "size", "_perm"])

@@ -695,7 +695,7 @@ SELECT 'b' || CAST(n_nationkey AS VARCHAR(4)), 'b' || CAST(n_regionkey AS VARCHA
         SELECT src, path, depth FROM x WHERE rn = 1""",
 )
 def _(t):
-    return panel.build_path(t.spark, t.sql(EDGES), "b3", max_depth=6)
+    return panel.build_path(t.spark, t.sql(EDGES), "b3")
 
 
 @query(
@@ -705,7 +705,7 @@ def _(t):
 def _(t):
     m = t.manifest
     edges = t.sql("SELECT DISTINCT 'hg19' AS src, 'hg38' AS dst FROM {region}")
-    paths = panel.build_path(t.spark, edges, "hg38", max_depth=2)
+    paths = panel.build_path(t.spark, edges, "hg38")
     return panel.build_lineage(m.select("sample_name", "disease"), m.select("sample_name", "build"), paths, "hg38")
 
 
@@ -746,14 +746,14 @@ WIN = """SELECT GENEID AS gene, 'rs' || CAST(CAST((Position - 10000) / 97 AS BIG
 
 @query(
     "harmonise_weights",
-    f"""WITH w AS ({WIN}) SELECT w.gene, w.id, p.REF AS ref, p.ALT AS alt,
+    f"""WITH w AS ({WIN}) SELECT z.dataset, w.gene, w.id, p.REF AS ref, p.ALT AS alt,
           CASE WHEN w.weight = 0 THEN 0.0 WHEN w.ref = p.REF THEN w.weight ELSE -w.weight END AS weight, w.type, w.context
-        FROM w JOIN {{panel}} p ON w.id = p.RSID WHERE p.REF || p.ALT NOT IN ('AT','TA','CG','GC')
-          AND w.id IN (SELECT RSID FROM {{sumstats}} WHERE dataset = 'GCST2')""",
+        FROM w JOIN {{panel}} p ON w.id = p.RSID JOIN (SELECT DISTINCT dataset, RSID FROM {{sumstats}}) z ON z.RSID = w.id
+        WHERE p.REF || p.ALT NOT IN ('AT','TA','CG','GC')""",
 )
 def _(t):
-    z = t.sumstats.filter("dataset = 'GCST2'").select(F.col("RSID").alias("id"))
-    out = panel.harmonise_weights(t.sql(WIN), t.panel, z)
+    z = t.sumstats.select("dataset", F.col("RSID").alias("id"))
+    out = panel.harmonise_weights(t.sql(WIN), t.panel, z, by=("dataset",))
     w = F.col("weight")
     return out.withColumn("weight", F.when(w == 0, F.lit(0.0)).otherwise(w))
 

@@ -101,11 +101,11 @@ def _(t):
 
 @query(
     "subset_by_criteria",
-    "SELECT cell, cluster, hashtag, lane FROM {cells} WHERE cluster IN ('1', '3', '5') AND NOT coalesce(hashtag IN ('Hashtag2'), FALSE) AND NOT coalesce(lane IN (4, 6), FALSE)",
+    "SELECT cell, cluster, hashtag, lane FROM {cells} WHERE cluster IN ('1', '3', '5') AND NOT coalesce(hashtag IN ('Hashtag2'), FALSE) AND NOT coalesce(lane IN (4, 6), FALSE) AND NOT coalesce(lane IN (2), FALSE)",
 )
 def _(t):
     sheet = t.spark.createDataFrame(
-        [("discard", "NA", "Hashtag2", "4;6"), ("keep", "1;3;5", "NA", "NA")], "action string, cluster string, hashtag string, lane string"
+        [("discard", "NA", "Hashtag2", "4;6"), ("keep", "1;3;5", "NA", "NA"), ("discard", None, "NA", "2")], "action string, cluster string, hashtag string, lane string"
     )
     return cells.subset_by_criteria(t.cells.select("cell", "cluster", "hashtag", "lane"), cells.parse_criteria(sheet))
 
@@ -203,7 +203,8 @@ PHEN = f"""ph AS (SELECT donor, upper(population) || ' ' || cluster AS immune_su
 
 @query(
     "immune_phenotypes",
-    f"""WITH {PHEN}, l AS (SELECT donor, immune_subset, greatest(0.025D, least(0.975D, v)) AS v FROM ph)
+    f"""WITH {PHEN}, e AS (SELECT max(CASE WHEN v = 0 OR v = 1 THEN 1 ELSE 0 END) AS e FROM ph),
+        l AS (SELECT donor, immune_subset, CASE WHEN e = 1 THEN 0.5D + 0.95D * (v - 0.5D) ELSE v END AS v FROM ph, e)
         SELECT donor, immune_subset, round(ln(v / (1 - v)), 6) AS value FROM l""",
 )
 def _(t):
@@ -250,14 +251,15 @@ def _(t):
     return cells.pre_post_counts(base, base.filter("lane <> 2"), CL)
 
 
-BATCHES = "SELECT o_orderkey, substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 4) AS day, CAST(o_custkey % 12 AS VARCHAR(3)) || ';' || CAST(o_custkey % 7 + 30 AS VARCHAR(3)) AS ids FROM {orders}"
+BATCHES = "SELECT o_orderkey, substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 7) AS day, CAST(o_custkey % 12 AS VARCHAR(3)) || ';' || CAST(o_custkey % 7 + 30 AS VARCHAR(3)) AS ids FROM {orders}"
 
 
 @query(
     "harmonise_batches",
-    f"""WITH b AS ({BATCHES}), u AS (SELECT DISTINCT unnest(string_split(ids, ';')) AS i FROM b), n AS (SELECT i, row_number() OVER (ORDER BY length(i), i) AS n FROM u)
-        SELECT b.o_orderkey, b.day, b.ids, chr(CAST(64 + dense_rank() OVER (ORDER BY b.day) AS INT)) AS day_code, CAST(x.n AS VARCHAR) || ';' || CAST(y.n AS VARCHAR) AS ids_code
-        FROM b JOIN n x ON x.i = split_part(b.ids, ';', 1) JOIN n y ON y.i = split_part(b.ids, ';', 2)""",
+    f"""WITH b AS ({BATCHES}), u AS (SELECT DISTINCT unnest(string_split(ids, ';')) AS i FROM b), n AS (SELECT i, row_number() OVER (ORDER BY length(i), i) AS n FROM u),
+        d AS (SELECT day, row_number() OVER (ORDER BY day) AS k FROM (SELECT DISTINCT day FROM b) q)
+        SELECT b.o_orderkey, b.day, b.ids, CASE WHEN d.k <= 26 THEN '' ELSE chr(CAST(64 + (d.k - 1) // 26 AS INT)) END || chr(CAST(65 + (d.k - 1) % 26 AS INT)) AS day_code, CAST(x.n AS VARCHAR) || ';' || CAST(y.n AS VARCHAR) AS ids_code
+        FROM b JOIN d ON d.day = b.day JOIN n x ON x.i = split_part(b.ids, ';', 1) JOIN n y ON y.i = split_part(b.ids, ';', 2)""",
 )
 def _(t):
     return cells.harmonise_batches(t.sql(BATCHES), "day", "ids")
@@ -383,13 +385,13 @@ def _(t):
 
 @query("pca_embed")
 def _(t):
-    vec = expression.cell_vectors(_lognorm(t), _varg(t), 100)
+    vec = expression.cell_vectors(_lognorm(t), _varg(t), t.cells)
     return expression.pca_embed(vec, 10).select("cell", vector_to_array("pca").alias("pca"))
 
 
 @query("cluster_cells")
 def _(t):
-    vec = expression.cell_vectors(_lognorm(t), _varg(t), 100)
+    vec = expression.cell_vectors(_lognorm(t), _varg(t), t.cells)
     return expression.cluster_cells(expression.pca_embed(vec, 10), 5)
 
 
@@ -407,11 +409,13 @@ MODULE = """ln AS (SELECT cell, gene, ln(1 + umi / CAST(sum(umi) OVER (PARTITION
 
 @query(
     "module_score",
-    f"""WITH {MODULE} SELECT l.cell, r.signature, round(sum(l.v * r.h) / max(sz.nh) - sum(l.v * r.c) / max(sz.nc), 6) AS score
-        FROM ln l JOIN ro r ON l.gene = r.gene JOIN sz ON sz.signature = r.signature GROUP BY l.cell, r.signature""",
+    f"""WITH {MODULE}, per AS (SELECT l.cell, r.signature, sum(l.v * r.h) / max(sz.nh) - sum(l.v * r.c) / max(sz.nc) AS s
+          FROM ln l JOIN ro r ON l.gene = r.gene JOIN sz ON sz.signature = r.signature GROUP BY l.cell, r.signature)
+        SELECT c.cell, sz.signature, round(coalesce(per.s, 0.0), 6) AS score
+        FROM (SELECT DISTINCT cell FROM {{cells}}) c CROSS JOIN sz LEFT JOIN per ON per.cell = c.cell AND per.signature = sz.signature""",
 )
 def _(t):
-    return rnd(signatures.module_score(_lognorm(t), t.signatures), 6, "score")
+    return rnd(signatures.module_score(_lognorm(t), t.signatures, t.cells), 6, "score")
 
 
 RANKM = f"""{FULL}, tot AS (SELECT count(*) AS n FROM {{cells}}),

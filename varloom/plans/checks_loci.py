@@ -190,12 +190,12 @@ def _(t):
 
 WINDOW = 25_000
 LD_SQL = f"""ld AS (
-    SELECT a.SNPID AS Lead, b.SNPID AS LD, a.population, corr(a.dosage, b.dosage) AS r
+    SELECT a.SNPID AS Lead, b.SNPID AS LD, a.population, corr(a.dosage, b.dosage) AS r, CAST(count(*) AS DOUBLE) AS n
     FROM {{genotypes}} a JOIN {{genotypes}} b ON a.donor = b.donor AND a.Chromosome = b.Chromosome AND abs(a.Position - b.Position) <= {WINDOW}
     WHERE a.dosage IS NOT NULL AND b.dosage IS NOT NULL
       AND a.SNPID IN (SELECT SNPID FROM {{sumstats}} WHERE P <= 5e-8)
     GROUP BY a.SNPID, b.SNPID, a.population),
-  r2 AS (SELECT Lead, LD, population, round(r * r, 8) AS r2 FROM ld WHERE r IS NOT NULL AND NOT isnan(r)),
+  r2 AS (SELECT Lead, LD, population, round(r * r, 8) AS r2, n FROM ld WHERE r IS NOT NULL AND NOT isnan(r)),
   wide AS (SELECT Lead, LD, max(CASE WHEN population = 'AFR' THEN r2 END) AS AFR, max(CASE WHEN population = 'EUR' THEN r2 END) AS EUR FROM r2 GROUP BY Lead, LD
            HAVING max(r2) >= 0.8)"""
 
@@ -210,7 +210,7 @@ def _wide(t):
     return settle(ld.ld_merge_populations(_ld(t), POPS))
 
 
-@query("ld_pairs", f"WITH {LD_SQL} SELECT Lead, LD, population, r2 FROM r2")
+@query("ld_pairs", f"WITH {LD_SQL} SELECT Lead, LD, population, r2, n FROM r2")
 def _(t):
     return _ld(t)
 
@@ -364,13 +364,13 @@ def _(t):
 
 
 EG = """SELECT 'ENSG' || lpad(CAST(l_suppkey AS VARCHAR(11)), 11, '0') AS gene, l_returnflag || l_linestatus || '_' || CAST(l_linenumber % 2 AS VARCHAR(2)) AS id,
-        min(pow(10.0, -l_quantity / 4.5)) AS FDR, min(l_quantity) < 2.0 AS is_egene FROM {lineitem}
+        min(CASE WHEN l_quantity = 50 THEN 0.0D ELSE pow(10.0D, -l_quantity / 4.5) END) AS FDR, min(l_quantity) < 2.0 AS is_egene FROM {lineitem}
         GROUP BY l_suppkey, l_returnflag, l_linestatus, l_linenumber % 2"""
 
 
 @query(
     "egene_matrix",
-    f"""WITH e AS ({EG}) SELECT gene, {', '.join(f"round(least(max(CASE WHEN id = '{c}' THEN -log10(FDR) END), 10.0), 6) AS \"{c}\"" for c in CELLS)}
+    f"""WITH e AS ({EG}) SELECT gene, {', '.join(f"round(max(CASE WHEN id = '{c}' THEN CASE WHEN FDR = 0 THEN 10.0D WHEN -log10(FDR) > 10 THEN 10.0D ELSE -log10(FDR) END END), 6) AS \"{c}\"" for c in CELLS)}
         FROM e WHERE is_egene GROUP BY gene""",
 )
 def _(t):

@@ -66,11 +66,12 @@ def _(t):
 
 @query(
     "fn_math",
-    """SELECT CELL, SNPID, GENEID, round(least(-log10(P), 10.0D), 6) AS capped, round(ln(MAF / (1 - MAF)), 6) AS logit, CAST(floor((Position + Position + 7) / 2.0) AS BIGINT) AS mid,
-              CAST(Chromosome AS INT) AS chr_order FROM {qtl} WHERE MAF BETWEEN 0.03 AND 0.97""",
+    """SELECT CELL, SNPID, GENEID, round(CASE WHEN P = 0 OR -log10(P) > 10 THEN 10.0D ELSE -log10(P) END, 6) AS capped,
+              round(CASE WHEN MAF = 0 THEN ln(0.025D / 0.975D) WHEN MAF = 1 THEN ln(0.975D / 0.025D) ELSE ln(MAF / (1 - MAF)) END, 6) AS logit, CAST(floor((Position + Position + 7) / 2.0) AS BIGINT) AS mid,
+              CAST(Chromosome AS INT) AS chr_order FROM {qtl}""",
 )
 def _(t):
-    q = t.qtl.filter("MAF BETWEEN 0.03 AND 0.97").withColumn("_e", F.col("Position") + 7)
+    q = t.qtl.withColumn("_e", F.col("Position") + 7)
     out = q.select(
         "CELL", "SNPID", "GENEID", sc.neg_log10("P", 10).alias("capped"), sc.logit("MAF").alias("logit"), sc.midpoint("Position", "_e").alias("mid"),
         sc.chr_order("Chromosome").alias("chr_order"),

@@ -8,6 +8,7 @@ from varloom.functions.scalars import upper_quantile_sql
 from varloom.operators import coloc, finemap, heritability, intervals
 from varloom.plans.checks_loci import LD_SQL, _ld, lp
 from varloom.plans.registry import query
+from varloom.sources.sinks import settle
 
 
 def rnd(df, digits: int, *cols: str):
@@ -134,10 +135,10 @@ def _(t):
 
 @query(
     "coloc_full",
-    f"""WITH {ABF} SELECT lb.Pair, lb.SNPID, {PPH}, round(exp(lb.lbf1 + lb.lbf2 - sm.s12), 6) AS SNP_PP_H4 FROM lb JOIN sm ON lb.Pair = sm.Pair""",
+    f"""WITH {ABF.replace(' lb AS (', ' lb AS MATERIALIZED (').replace(' sm AS (', ' sm AS MATERIALIZED (')} SELECT lb.Pair, lb.SNPID, {PPH}, round(exp(lb.lbf1 + lb.lbf2 - sm.s12), 6) AS SNP_PP_H4 FROM lb JOIN sm ON lb.Pair = sm.Pair""",
 )
 def _(t):
-    lbf = _lbf(t)
+    lbf = settle(_lbf(t))
     out = coloc.coloc_full(lbf, coloc.coloc_abf(lbf))
     return rnd(out, 6, *PPC, "SNP_PP_H4").select("Pair", "SNPID", *PPC, "SNP_PP_H4")
 
@@ -189,11 +190,12 @@ LDR = """SELECT a.SNPID AS id1, b.SNPID AS id2, CASE WHEN a.SNPID = b.SNPID THEN
 @query(
     "gene_z",
     f"""WITH w AS ({GW}), r AS ({LDR}), z AS (SELECT dataset, SNPID AS id, BETA / SE AS z FROM {{sumstats}}),
-        n AS (SELECT z.dataset, w.gene, w.type, w.context, sum(w.weight * z.z) AS num, count(*) AS n_snps FROM w JOIN z ON w.id = z.id GROUP BY ALL),
-        d AS (SELECT w1.gene, w1.type, w1.context, sum(CASE WHEN r.id1 = r.id2 THEN 1.0 ELSE 2.0 END * w1.weight * r.r * w2.weight) AS den
-              FROM r JOIN w w1 ON r.id1 = w1.id JOIN w w2 ON r.id2 = w2.id AND w1.gene = w2.gene AND w1.context = w2.context GROUP BY ALL)
+        n AS (SELECT z.dataset, w.gene, w.type, w.context, sum(w.weight * z.z) AS num, count(*) AS n_snps FROM w JOIN z ON w.id = z.id WHERE z.z IS NOT NULL GROUP BY ALL),
+        d AS (SELECT z1.dataset, w1.gene, w1.type, w1.context, sum(CASE WHEN r.id1 = r.id2 THEN 1.0 ELSE 2.0 END * w1.weight * r.r * w2.weight) AS den
+              FROM r JOIN w w1 ON r.id1 = w1.id JOIN w w2 ON r.id2 = w2.id AND w1.gene = w2.gene AND w1.context = w2.context
+                JOIN (SELECT DISTINCT dataset, id FROM z WHERE z IS NOT NULL) z1 ON z1.id = r.id1 JOIN (SELECT DISTINCT dataset, id FROM z WHERE z IS NOT NULL) z2 ON z2.id = r.id2 AND z2.dataset = z1.dataset GROUP BY ALL)
         SELECT n.dataset, n.gene, n.type, n.context, n.n_snps, CASE WHEN den > 1e-9 THEN round(num / sqrt(den), 6) END AS z
-        FROM n JOIN d ON n.gene = d.gene AND n.context = d.context WHERE den > 1e-9""",
+        FROM n JOIN d ON n.dataset = d.dataset AND n.gene = d.gene AND n.context = d.context WHERE den > 1e-9""",
 )
 def _(t):
     z = t.sumstats.select("dataset", F.col("SNPID").alias("id"), (F.col("BETA") / F.col("SE")).alias("z"))
@@ -254,7 +256,7 @@ def em_sql(iters: int) -> str:
             f"""w{i} AS (SELECT z.grp, z.dataset, z.region_id, z.z, p.pi * exp(-0.5D * ln(1.0D + p.var) + 0.5D * z.z * z.z * p.var / (1.0D + p.var)) AS w,
                  p.var / (1.0D + p.var) AS sh FROM {{region_z}} z JOIN p{i} p ON z.grp = p.grp WHERE z.z IS NOT NULL),
             q{i} AS (SELECT *, w / (1.0D + sum(w) OVER (PARTITION BY dataset, region_id)) AS pip FROM w{i}),
-            p{i + 1} AS (SELECT grp, least(sum(pip) / count(*), 0.5D) AS pi, sum(pip * (z * z * sh * sh + sh)) / sum(pip) AS var FROM q{i} GROUP BY grp)"""
+            p{i + 1} AS (SELECT grp, sum(pip) / count(*) AS pi, sum(pip * (z * z * sh * sh + sh)) / sum(pip) AS var FROM q{i} GROUP BY grp)"""
         )
     return "WITH " + ", ".join(out) + f" SELECT grp, round(pi, 6) AS pi, round(var, 6) AS var FROM p{iters}"
 
@@ -342,18 +344,18 @@ def _(t):
 
 
 ANNOT = """SELECT SNPID AS LD, 'base' AS label, 1 AS value FROM {panel} UNION ALL SELECT SNPID, 'isA', 1 FROM {panel} WHERE REF = 'A'"""
-LDSCORE = f"""lsc AS (SELECT r.Lead, sum(CASE WHEN a.label = 'base' THEN r.r2 - (1 - r.r2) / 48 ELSE 0 END) AS l2_base,
-          sum(CASE WHEN a.label = 'isA' THEN r.r2 - (1 - r.r2) / 48 ELSE 0 END) AS l2_isA FROM r2 r JOIN ({ANNOT}) a ON r.LD = a.LD WHERE r.population = 'EUR' GROUP BY r.Lead)"""
+LDSCORE = f"""lsc AS (SELECT r.Lead, sum(CASE WHEN a.label = 'base' THEN r.r2 - (1 - r.r2) / (r.n - 2) ELSE 0 END) AS l2_base,
+          sum(CASE WHEN a.label = 'isA' THEN r.r2 - (1 - r.r2) / (r.n - 2) ELSE 0 END) AS l2_isA FROM r2 r JOIN ({ANNOT}) a ON r.LD = a.LD WHERE r.population = 'EUR' AND r.n > 2 GROUP BY r.Lead)"""
 
 
 def _ldscore(t):
     eur = _ld(t).filter("population = 'EUR'")
-    return heritability.ld_score(eur, t.sql(ANNOT), ["base", "isA"], 50)
+    return heritability.ld_score(eur, t.sql(ANNOT), ["base", "isA"])
 
 
-@query("ld_score", f"WITH {LD_SQL}, {LDSCORE} SELECT Lead, round(l2_base, 6) AS l2_base, round(l2_isA, 6) AS l2_isA FROM lsc")
+@query("ld_score", f"WITH {LD_SQL}, {LDSCORE} SELECT Lead, round(l2_base, 5) AS l2_base, round(l2_isA, 5) AS l2_isA FROM lsc")
 def _(t):
-    return rnd(_ldscore(t), 6, "l2_base", "l2_isA")
+    return rnd(_ldscore(t), 5, "l2_base", "l2_isA")
 
 
 @query("h2_regression")

@@ -20,7 +20,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = os.path.join(tempfile.gettempdir(), "varloom")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
