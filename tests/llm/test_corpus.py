@@ -253,6 +253,9 @@ def plain_byte_cuts(rows, window=50):
 @pytest.mark.parametrize("bucket", [20000, 1])
 def test_byte_strings(docs, rows, nothing, bucket, monkeypatch):
     monkeypatch.setattr(suffix, "BUCKET", bucket)
+    if bucket == 1:  # texts over many pieces, blocks over two
+        monkeypatch.setattr(suffix, "_PIECE", 301)
+        monkeypatch.setattr(suffix, "BLOCK_SLICES", 5)
     want = plain_byte_cuts(rows)
     got = suffix.deduplicate(docs, digest=True).collect()
     assert len(got) == len(rows)

@@ -1,9 +1,10 @@
 """Removal of byte strings that also occur in earlier documents, by suffix sorting.
 
-Every window of `window` bytes is filed under its smallest hashed gram, so equal windows of two
-documents lie in slices with one gram. Slices whose gram occurs once are out. The different slices
-of the others are concatenated and suffix-sorted, and neighbours in that order that agree on
-`window` bytes are equal windows.
+Blocks between content-defined cuts that a smaller document holds in full are found by their
+hashes. Every other window of `window` bytes is filed under its smallest hashed gram, so equal
+windows of two documents lie in slices with one gram. Slices whose gram occurs once are out. The
+different slices of the others are concatenated and suffix-sorted, and neighbours in that order
+that agree on `window` bytes are equal windows.
 """
 
 from __future__ import annotations
@@ -17,15 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.repeats import anchor_batch, release, repeated
-from varloom.llm.words import groups, mix, texts
+from varloom.llm.words import BASE, groups, mix, powers, texts
 from varloom.sources.sinks import settle
 
 WINDOW, GRAM = 50, 20
 #: Different slices of one gram that a task sorts together; beyond, they are filed window by window.
 BUCKET = 20_000
+#: One slice in so many, on average, starts a block.
+BLOCK_SLICES = 16
 #: Bytes of slices per suffix array.
 SORT_BYTES = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -126,10 +128,10 @@ def _slices(data: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def _gram_hash(part: np.ndarray) -> np.ndarray:
     n = len(part) - GRAM + 1
-    h, width, step, out, done = _BYTE[part], 1, _BASE, None, 0
+    h, width, step, out, done = _BYTE[part], 1, BASE, None, 0
     while done < GRAM:
         if GRAM & width:
-            block = h[done : done + n] * np.uint64(pow(_BASE, done, 1 << 64))
+            block = h[done : done + n] * np.uint64(pow(BASE, done, 1 << 64))
             out, done = block if out is None else out + block, done + width
         h = h[:-width] + h[width:] * np.uint64(step)
         step, width = step * step % (1 << 64), width * 2
@@ -168,11 +170,92 @@ def _runs(b: pa.RecordBatch, window: int):
             yield row + lo, h, first, n, chunk, own[row]
 
 
+def _blocks(window: int):
+    """(b1, b2, doc, start, n): the blocks of each text with two hashes of their bytes.
+
+    A further equal block of a batch is certain: it gets a key of its own and n < 0.
+    """
+    other = mix(_BYTE)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, found = b.column(0).to_numpy(), []
+            for row, h, first, n, data, base in _runs(b, window):
+                if not len(row):
+                    continue
+                cut = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] % np.uint64(BLOCK_SLICES) == 0)])
+                begin = base[cut] + first[cut]
+                count = np.add.reduceat(n, cut)
+                size = count + window - 1
+                hashes = []
+                for letters in (_BYTE, other):
+                    part = np.zeros(len(cut), np.uint64)
+                    for lo in range(0, len(data), _PIECE):  # powers are kept for one piece
+                        x = data[lo : lo + _PIECE]
+                        up, down = powers(len(x) + 1)
+                        total = np.zeros(len(x) + 1, np.uint64)
+                        np.cumsum(letters[x] * up[:-1], out=total[1:])
+                        left, right = np.clip(begin - lo, 0, len(x)), np.clip(begin + size - lo, 0, len(x))
+                        # the place of the piece's bytes in their block, as a power
+                        shift = np.where(begin < lo, 0, left)
+                        value = (total[right] - total[left]) * down[shift]
+                        late = (begin < lo) & (right > left)
+                        for k in np.flatnonzero(late):
+                            value[k] *= np.uint64(pow(BASE, int(lo - begin[k]), 1 << 64))
+                        part += value
+                    hashes.append(mix(part ^ size.astype(np.uint64)))
+                found.append((*hashes, ids[row[cut]], first[cut], count))
+            if found:
+                b1, b2, doc, start, n = map(np.concatenate, zip(*found))
+                order = np.lexsort((doc, b2, b1))
+                b1, b2, doc, start, n = b1[order], b2[order], doc[order], start[order], n[order]
+                same = np.r_[False, (b1[1:] == b1[:-1]) & (b2[1:] == b2[:-1])]
+                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(b1))))
+                sure = doc > doc[lead]
+                own = mix(doc.view(np.uint64) * np.uint64(BASE) + start.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.where(sure, own, b1).view(np.int64)), pa.array(b2.view(np.int64)), pa.array(doc),
+                        pa.array(start.astype(np.int32)), pa.array(np.where(sure, -n, n).astype(np.int32)),
+                    ],
+                    ["b1", "b2", "doc", "start", "n"],
+                )
+
+    return run
+
+
+def _later_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of blocks sorted by (hashes, doc): those of larger docs than the first, and certain ones."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b1, b2, doc, start, n = (c.to_numpy() for c in b.columns)
+        p = last or (b1[0] ^ 1, 0, 0)
+        same = (b1 == np.r_[p[0], b1[:-1]]) & (b2 == np.r_[p[1], b2[:-1]])
+        lead = np.maximum.accumulate(np.where(same, -1, np.arange(len(b1))))
+        first = np.where(lead < 0, p[2], doc[np.maximum(lead, 0)])
+        last = (b1[-1], b2[-1], first[-1])
+        out = (doc > first) | (n < 0)
+        yield pa.RecordBatch.from_arrays([pa.array(doc[out]), pa.array(start[out]), pa.array(np.abs(n[out]))], ["doc", "start", "n"])
+
+
 def _anchors(window: int):
+    """Gram hashes of the slices of (doc, text, cuts) that no cut covers."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            found = [(h, ids[row], first) for row, h, first, _, _, _ in _runs(b, window)]
+            ids, found = b.column(0).to_numpy(), []
+            cuts = b.column(2)
+            pairs, sizes = cuts.flatten(), cuts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            begin = np.repeat(np.arange(len(ids)), sizes) << 32 | pairs.field("start").to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.argsort(begin)
+            begin, end = begin[order], (begin + pairs.field("n").to_numpy(zero_copy_only=False))[order]
+            for row, h, first, _, _, _ in _runs(b, window):
+                at = row << 32 | first
+                k = np.searchsorted(begin, at, "right") - 1
+                open_ = (k < 0) | (at >= end[np.maximum(k, 0)]) if len(end) else np.ones(len(at), bool)
+                found.append((h[open_], ids[row[open_]], first[open_]))
             if found:
                 yield anchor_batch(*map(np.concatenate, zip(*found)))
 
@@ -201,30 +284,24 @@ def _take(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def _slice_rows(window: int):
-    """Of (doc, text, at, copy): slices that start at `at`; equal slices of a batch go out once.
+    """Of (doc, text, at): slices that start at `at`; equal slices of a batch go out once.
 
-    Further equal slices of larger ids, and the whole of a copy, are certain (no slice, n windows).
+    Further equal slices of larger ids are certain (no slice, n windows).
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            copy = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             anchors = b.column(2)
             flat, ends = anchors.flatten().to_numpy(), np.cumsum(anchors.value_lengths().to_numpy())
             wanted = np.repeat(np.arange(len(ids)), np.diff(np.r_[0, ends])) << 32 | flat
-            size = b.column(1).cast(pa.large_binary())
-            length = np.diff(texts(size)[1])
-            whole = np.flatnonzero(copy & (length >= window))
-            key = mix(ids[whole].view(np.uint64))
-            yield _batch(key, key, ids[whole], np.zeros(len(whole)), length[whole] - window + 1, pa.nulls(len(whole), pa.binary()))
             for row, h, first, n, data, base in _runs(b, window):
-                use = np.flatnonzero(~copy[row] & np.isin(row << 32 | first, wanted))
+                use = np.flatnonzero(np.isin(row << 32 | first, wanted))
                 row, h, first, n, begin = row[use], h[use], first[use], n[use], base[use] + first[use]
                 # hash of the slice: its bytes at their places
                 bounds = np.r_[0, np.cumsum(n + window - 1)]
                 inner = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
-                letters = mix(_BYTE[data[np.repeat(begin, np.diff(bounds)) + inner]] + inner.astype(np.uint64) * np.uint64(_BASE))
+                letters = mix(_BYTE[data[np.repeat(begin, np.diff(bounds)) + inner]] + inner.astype(np.uint64) * np.uint64(BASE))
                 total = np.r_[np.zeros(1, np.uint64), np.cumsum(letters)]
                 s = mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64))
                 doc = ids[row]
@@ -234,7 +311,7 @@ def _slice_rows(window: int):
                 same = np.r_[False, (ho[1:] == ho[:-1]) & (so[1:] == so[:-1])] if len(order) else again
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
                 again[order] = do > do[lead]
-                key = np.where(again, mix(doc.view(np.uint64) * np.uint64(_BASE) + first.astype(np.uint64)), h)
+                key = np.where(again, mix(doc.view(np.uint64) * np.uint64(BASE) + first.astype(np.uint64)), h)
                 full = _take(data, begin, n + window - 1)
                 full = pa.array(np.where(again, None, np.array(full.to_pylist(), object)), pa.binary()) if again.any() else full
                 yield _batch(key, np.where(again, key, s), doc, first, n, full)
@@ -337,18 +414,18 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window has at least {2 * GRAM} bytes")
     spark = docs.sparkSession
     docs = docs.filter("doc is not null and text is not null")
-    at = settle(repeated(docs.mapInArrow(_anchors(window), "h long, doc long, pos int"))).withColumnRenamed("doc", "doc_")
+    blocks = docs.mapInArrow(_blocks(window), "b1 long, b2 long, doc long, start int, n int")
+    blocks = blocks.repartition("b1").sortWithinPartitions("b1", "b2", "doc").mapInArrow(_later_blocks, "doc long, start int, n int")
+    done = settle(blocks)
+    of_doc = done.groupBy(F.col("doc").alias("doc_")).agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
+    rest = docs.join(of_doc, F.col("doc") == F.col("doc_"), "left").select("doc", "text", "cuts")
+    at = settle(repeated(rest.mapInArrow(_anchors(window), "h long, doc long, pos int"))).withColumnRenamed("doc", "doc_")
     release(spark)
-    text_key = docs.select("doc", F.md5("text").alias("m"), F.length("text").alias("n"))
-    first = text_key.groupBy("m", "n").agg(F.min("doc").alias("lead"))
-    lead = settle(text_key.join(first, ["m", "n"]).filter("doc > lead").select(F.col("doc").alias("doc_c")).distinct())
-    rows = docs.join(at, F.col("doc") == F.col("doc_")).join(lead, F.col("doc") == F.col("doc_c"), "left")
-    rows = rows.select("doc", "text", "at", F.col("doc_c").isNotNull().alias("copy")).mapInArrow(_slice_rows(window), _ROW)
-    found = None
+    rows = docs.join(at, F.col("doc") == F.col("doc_")).select("doc", "text", "at").mapInArrow(_slice_rows(window), _ROW)
+    found = done
     while True:
         step = settle(rows.repartition("h").sortWithinPartitions("h", "s", "doc").mapInArrow(_search(window), _ROW))
-        got = step.filter("slice is null").select("doc", "start", "n")
-        found = got if found is None else found.unionByName(got)
+        found = found.unionByName(step.filter("slice is null").select("doc", "start", "n"))
         rows = step.filter("slice is not null")
         if rows.isEmpty():
             break

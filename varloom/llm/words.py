@@ -15,14 +15,14 @@ PIECE = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _BYTE = np.random.default_rng(711).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
+BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _tables: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
             t = np.full(n, base, np.uint64)
             t[0] = 1
             _tables[name] = np.multiply.accumulate(t)
@@ -45,7 +45,7 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of every word: a polynomial in its bytes."""
     starts, ends = spans(data)
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
