@@ -270,7 +270,7 @@ def downsample_group(cells: DataFrame, column: str | None, n: int, seed: int = 1
 
     The group limit is applied before the shuffle, so a big group sends n rows per task.
     """
-    order = [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    order = [_hashed(key, seed), F.col(key)]
     if column is None:
         return cells.orderBy(*order).limit(n)
     w = Window.partitionBy(column).orderBy(*order)
@@ -279,5 +279,9 @@ def downsample_group(cells: DataFrame, column: str | None, n: int, seed: int = 1
 
 def sample_share(cells: DataFrame, share: float, seed: int = 1, key: str = "cell") -> DataFrame:
     """A fixed share of rows by hash, without a shuffle."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
-    return cells.filter(bucket < int(share * 1_000_000))
+    return cells.filter(F.substring(_hashed(key, seed), 1, 8) < f"{int(share * 2**32):08x}")
+
+
+def _hashed(key: str, seed: int) -> Column:
+    """Hex digits in an order that has nothing to do with the key's."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

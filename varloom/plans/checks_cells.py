@@ -265,14 +265,17 @@ def _(t):
     return cells.harmonise_batches(t.sql(BATCHES), "day", "ids")
 
 
-@query("downsample_group")
+@query(
+    "downsample_group",
+    "SELECT cell, donor, cluster, hashtag, lane FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5('1:' || cell), cell) AS rn FROM {cells}) q WHERE rn <= 100",
+)
 def _(t):
-    return cells.downsample_group(t.cells, "cluster", 100)
+    return cells.downsample_group(t.cells.select("cell", "donor", "cluster", "hashtag", "lane"), "cluster", 100)
 
 
-@query("sample_share")
+@query("sample_share", f"SELECT cell, cluster FROM {{cells}} WHERE substr(md5('1:' || cell), 1, 8) < '{int(0.05 * 2**32):08x}'")
 def _(t):
-    return cells.sample_share(t.cells, 0.05)
+    return cells.sample_share(t.cells.select("cell", "cluster"), 0.05)
 
 
 # --- expression --------------------------------------------------------------

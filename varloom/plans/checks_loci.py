@@ -276,7 +276,7 @@ def _(t):
 
 
 # QTL rows at P <= 1e-4, one per cell, gene and variant.
-SIGQTL = """SELECT CELL, GENEID, GENENAME, SNPID, min(P) AS P, min(BETA) AS BETA FROM {qtl} WHERE P <= 1e-4 GROUP BY CELL, GENEID, GENENAME, SNPID"""
+SIGQTL = """SELECT CELL, GENEID, GENENAME, SNPID, min(P) AS P, min(BETA) AS BETA FROM {qtl} GROUP BY CELL, GENEID, GENENAME, SNPID"""
 
 
 @query(
@@ -380,23 +380,23 @@ def _(t):
 
 @query(
     "locus_outer_merge",
-    f"""WITH a AS (SELECT SNPID, min(P) AS P FROM {{sumstats}} WHERE dataset <= 'GCST2' GROUP BY SNPID),
-             b AS (SELECT SNPID, min(P) AS P FROM {{qtl}} WHERE CELL LIKE 'A%' GROUP BY SNPID)
+    f"""WITH a AS (SELECT SNPID, min(P) AS P FROM {{sumstats}} GROUP BY SNPID),
+             b AS (SELECT SNPID, min(P) AS P FROM {{qtl}} GROUP BY SNPID)
         SELECT coalesce(a.SNPID, b.SNPID) AS SNPID, round(-log10(a.P), 6) AS log10p_gwas, round(-log10(b.P), 6) AS log10p_qtl FROM a FULL JOIN b ON a.SNPID = b.SNPID""",
 )
 def _(t):
-    a = t.sumstats.filter("dataset <= 'GCST2'").groupBy("SNPID").agg(F.min("P").alias("P"))
-    b = t.qtl.filter("CELL LIKE 'A%'").groupBy("SNPID").agg(F.min("P").alias("P"))
+    a = t.sumstats.groupBy("SNPID").agg(F.min("P").alias("P"))
+    b = t.qtl.groupBy("SNPID").agg(F.min("P").alias("P"))
     out = overlap.locus_outer_merge(a, b, ["SNPID"], ("_gwas", "_qtl"))
     return out.select("SNPID", F.round("log10p_gwas", 6).alias("log10p_gwas"), F.round("log10p_qtl", 6).alias("log10p_qtl"))
 
 
 @query(
     "shared_ids",
-    "SELECT SNPID FROM {sumstats} WHERE P <= 5e-8 INTERSECT SELECT SNPID FROM {qtl} WHERE P <= 1e-4",
+    "SELECT SNPID FROM {sumstats} WHERE P <= 5e-8 INTERSECT SELECT SNPID FROM {qtl}",
 )
 def _(t):
-    return overlap.shared_ids(clean.significant(t.sumstats), clean.significant(t.qtl, 1e-4))
+    return overlap.shared_ids(clean.significant(t.sumstats), t.qtl)
 
 
 @query(
@@ -414,10 +414,9 @@ def _(t):
 
 @query(
     "reduce_outer",
-    """SELECT GENEID, round(max(CASE WHEN CELL = 'AF_0' THEN BETA END), 6) AS a, round(max(CASE WHEN CELL = 'NO_1' THEN BETA END), 6) AS n,
-              round(max(CASE WHEN CELL = 'RF_0' THEN BETA END), 6) AS r FROM {qtl} WHERE CELL IN ('AF_0', 'NO_1', 'RF_0') GROUP BY GENEID""",
+    f"""SELECT GENEID, {', '.join(f"round(max(CASE WHEN CELL = '{c}' THEN BETA END), 6) AS {c.lower()}" for c in CELLS)} FROM {{qtl}} GROUP BY GENEID""",
 )
 def _(t):
-    per = {k: t.qtl.filter(F.col("CELL") == c) for k, c in {"a": "AF_0", "n": "NO_1", "r": "RF_0"}.items()}
+    per = {c.lower(): t.qtl.filter(F.col("CELL") == c) for c in CELLS}
     out = overlap.reduce_outer(per, "GENEID", "BETA")
     return out.select("GENEID", *[F.round(c, 6).alias(c) for c in per])

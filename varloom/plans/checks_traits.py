@@ -367,14 +367,14 @@ def _(t):
 
 @query(
     "expression_score",
-    f"""WITH {LD_SQL}, q AS (SELECT GENEID, SNPID, BETA * BETA AS b2 FROM {{qtl}} WHERE P <= 1e-6),
+    f"""WITH {LD_SQL}, q AS (SELECT GENEID, SNPID, BETA * BETA AS b2 FROM {{qtl}}),
         h AS (SELECT GENEID, ntile(5) OVER (ORDER BY round(sum(b2), 9), GENEID) AS bin FROM q GROUP BY GENEID),
         s AS (SELECT q.SNPID AS LD, h.bin, sum(q.b2) AS b2 FROM q JOIN h ON q.GENEID = h.GENEID GROUP BY ALL)
         SELECT r.Lead, CAST(s.bin AS INT) AS bin, round(sum(s.b2 * r.r2), 6) AS score FROM r2 r JOIN s ON r.LD = s.LD WHERE r.population = 'EUR' GROUP BY r.Lead, s.bin""",
 )
 def _(t):
     eur = _ld(t).filter("population = 'EUR'")
-    return rnd(heritability.expression_score(t.qtl.filter("P <= 1e-6"), eur), 6, "score")
+    return rnd(heritability.expression_score(t.qtl, eur), 6, "score")
 
 
 EST = """SELECT 'D' || l_returnflag AS disease, 'GCST' || CAST(l_linenumber AS VARCHAR(2)) AS dataset, l_returnflag || l_linestatus || '_1_2' AS CELL,
@@ -418,9 +418,9 @@ ENR = """SELECT 'GCST' || CAST(l_linenumber AS VARCHAR(2)) AS dataset, l_returnf
 @query(
     "enrichment_matrix",
     f"""WITH e AS (SELECT * FROM ({ENR}) q WHERE is_own) SELECT category, {', '.join(
-        f"max(CASE WHEN dataset = 'GCST{i}' THEN Enrichment END) AS GCST{i}_enrichment, round(max(CASE WHEN dataset = 'GCST{i}' THEN -log10(Enrichment_p) END), 6) AS GCST{i}_log10p" for i in (1, 2, 5))}
+        f"max(CASE WHEN dataset = 'GCST{i}' THEN Enrichment END) AS GCST{i}_enrichment, round(max(CASE WHEN dataset = 'GCST{i}' THEN -log10(Enrichment_p) END), 6) AS GCST{i}_log10p" for i in range(1, 8))}
         FROM e GROUP BY category""",
 )
 def _(t):
-    ds = ["GCST1", "GCST2", "GCST5"]
+    ds = [f"GCST{i}" for i in range(1, 8)]
     return rnd(heritability.enrichment_matrix(t.sql(ENR), ds), 6, *[f"{d}_log10p" for d in ds])
