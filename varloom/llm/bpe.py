@@ -74,29 +74,37 @@ class Merges:
         self.shifts, self.slots = _literal(shifts.tolist(), "int"), _literal(slots.tolist(), "bigint")
         self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "int")
 
-    def rank(self, a: Column, b: Column) -> Column:
+    @staticmethod
+    def rank(shifts: Column, slots: Column, a: Column, b: Column) -> Column:
         """Merged id of a pair, which is also its rank; _NONE if it doesn't merge."""
-        slot = F.get(self.slots, F.get(self.shifts, a) + b)
+        slot = F.get(slots, F.get(shifts, a) + b)
         return bound(slot, lambda v: F.when(F.shiftright(v, _ID_BITS) == a, v.bitwiseAND(_ID_MASK).cast("int")).otherwise(_NONE))
 
     def encode(self, word: Column) -> Column:
         """array<int>: the ids of a non-empty word, merged lowest rank first, leftmost first.
 
         The fold's state is the ids and the ranks of neighbouring pairs; a step merges the first
-        pair of the lowest rank and looks up its two new neighbours.
+        pair of the lowest rank and looks up its two new neighbours. The tables are bound, so that
+        the plan holds each of them once.
         """
+        return bound(self.shifts, lambda shifts: bound(self.slots, lambda slots: self._encode(word, shifts, slots)))
+
+    def _encode(self, word: Column, shifts: Column, slots: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            return self.rank(shifts, slots, a, b)
+
         chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
 
         def start(ids: Column) -> Column:
-            rk = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, k: self.rank(a, F.get(ids, k + 1)))
+            rk = F.transform(F.slice(ids, 1, F.size(ids) - 1), lambda a, k: rank(a, F.get(ids, k + 1)))
             return F.struct(ids.alias("ids"), rk.alias("rk"))
 
         def merge(ids: Column, rk: Column, low: Column) -> Column:
             def at(p: Column) -> Column:
                 n = F.size(ids)
                 none = F.slice(rk, 1, 0)
-                left = F.when(p > 1, F.array(bound(F.get(ids, p - 2), lambda a: self.rank(a, low)))).otherwise(none)
-                right = F.when(p + 1 < n, F.array(self.rank(low, F.get(ids, p + 1)))).otherwise(none)
+                left = F.when(p > 1, F.array(bound(F.get(ids, p - 2), lambda a: rank(a, low)))).otherwise(none)
+                right = F.when(p + 1 < n, F.array(rank(low, F.get(ids, p + 1)))).otherwise(none)
                 return F.struct(
                     F.concat(F.slice(ids, 1, p - 1), F.array(low), F.slice(ids, p + 2, n)).alias("ids"),
                     F.concat(F.slice(rk, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(rk, p + 2, n)).alias("rk"),
