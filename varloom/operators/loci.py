@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,25 +13,6 @@ from varloom.sources.sinks import settle
 KEYS = ("dataset", "Chromosome")
 
 
-def _greedy(pdf: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """Best P first; a top removes what lies strictly inside +-distance."""
-    pdf = pdf.sort_values("Position", ignore_index=True)
-    pos = pdf["Position"].to_numpy()
-    alive = [True] * len(pos)
-    tops = []
-    for i in pdf.sort_values(["P", "Position"]).index:
-        if not alive[i]:
-            continue
-        tops.append(i)
-        for step in (1, -1):
-            j = i
-            while 0 <= j < len(pos) and abs(pos[j] - pos[i]) < distance:
-                alive[j] = False
-                j += step
-        alive[i] = False
-    return pdf.loc[sorted(tops)]
-
-
 def clump_top(df: DataFrame, window: int = 100_000, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Greedy top signals of a table already filtered to significant rows.
 
@@ -40,19 +20,27 @@ def clump_top(df: DataFrame, window: int = 100_000, keys: tuple[str, ...] = KEYS
     of a position can become a top, and signals further apart than half a window never
     touch each other, so the greedy pass runs per island of nearby positions: one
     key's rows are neither sorted nor held together, and an island holds at most one
-    row per base it spans. A few dozen islands share a call, to save calls.
+    row per base it spans. A round takes every row that beats all rows within reach, and
+    removes what they reach; the order within a round does not matter, as tops of one
+    round are out of each other's reach.
     """
     distance = round(window / 2)
     ties = [F.col("P"), F.col("SNPID")] if "SNPID" in df.columns else [F.col("P")]
     best = settle(first_by(df, [*keys, "Position"], ties))
     slim = best.select(*keys, "Position", "P").withColumn("_end", F.col("Position"))
-    marked = islands(slim, list(keys), "Position", "_end", gap=distance - 1).drop("_end")
-    marked = marked.withColumn("_batch", F.floor(F.col("_island") / 32)).drop("_island")
-    schema = marked.schema
-    tops = marked.groupBy(*keys, "_batch").applyInPandas(
-        lambda pdf: _greedy(pdf, distance), schema=schema
-    )
-    return best.join(tops.select(*keys, "Position"), [*keys, "Position"], "left_semi")
+    left = islands(slim, list(keys), "Position", "_end", gap=distance - 1).drop("_end")
+    near = Window.partitionBy(*keys, "_island").orderBy("Position").rangeBetween(1 - distance, distance - 1)
+    own = F.struct("P", "Position")
+    tops = None
+    while True:
+        step = left.withColumn("_top", own == F.min(own).over(near))
+        step = settle(step.withColumn("_gone", F.max("_top").over(near)))
+        new = step.filter("_top").select(*keys, "Position")
+        tops = new if tops is None else tops.unionByName(new)
+        left = step.filter("NOT _gone").drop("_top", "_gone")
+        if left.isEmpty():
+            break
+    return best.join(tops, [*keys, "Position"], "left_semi")
 
 
 def define_loci(

@@ -125,9 +125,20 @@ def _(t):
 # --- loci --------------------------------------------------------------------
 
 
-@query("clump_top")
+# Rows by rank, each taken unless a top taken before lies strictly within 10 kb.
+CLUMPED = """cb AS (SELECT dataset, Chromosome, Position, min(P) AS P, arg_min(SNPID, (P, SNPID)) AS SNPID FROM {sumstats} WHERE P <= 5e-8 GROUP BY dataset, Chromosome, Position),
+    cs AS (SELECT *, row_number() OVER (PARTITION BY dataset, Chromosome ORDER BY P, Position) AS rn FROM cb),
+    cr AS (SELECT DISTINCT dataset, Chromosome, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS tops FROM cs UNION ALL
+           SELECT s.dataset, s.Chromosome, s.rn, CASE WHEN len(list_filter(r.tops, lambda x: abs(x - s.Position) < 10000)) > 0 THEN r.tops ELSE list_append(r.tops, s.Position) END
+           FROM cr r JOIN cs s ON s.dataset = r.dataset AND s.Chromosome = r.Chromosome AND s.rn = r.rn + 1),
+    ct AS (SELECT dataset, Chromosome, unnest(arg_max(tops, rn)) AS Position FROM cr GROUP BY dataset, Chromosome),
+    clumped AS (SELECT cb.* FROM cb JOIN ct ON cb.dataset = ct.dataset AND cb.Chromosome = ct.Chromosome AND cb.Position = ct.Position)"""
+
+
+@query("clump_top", f"WITH RECURSIVE {CLUMPED} SELECT dataset, Chromosome, Position, SNPID, round(-log10(P), 6) AS P FROM clumped")
 def _(t):
-    return loci.clump_top(clean.significant(t.sumstats), 20_000).withColumn("P", lp())
+    tops = loci.clump_top(clean.significant(t.sumstats), 20_000).withColumn("P", lp())
+    return tops.select("dataset", "Chromosome", "Position", "SNPID", "P")
 
 
 # Tops given as the best significant row per 40 kb tile.
@@ -181,7 +192,14 @@ def _(t):
     return loci.number_loci(loci.merge_loci(_defined(t))).select(*LOCUS_COLS)
 
 
-@query("identify_loci")
+IDENTIFIED = MERGED.replace(f"({TOPS})", "(SELECT dataset, Chromosome, Position, P FROM clumped)").replace("m.SNPID, CAST(i.g", "m.SNPID, m.P, CAST(i.g")
+
+
+@query(
+    "identify_loci",
+    f"""WITH RECURSIVE {CLUMPED}, {IDENTIFIED} SELECT dataset, Chromosome, Position, SNPID, round(-log10(P), 6) AS P,
+          CAST(dense_rank() OVER (PARTITION BY dataset ORDER BY CAST(Chromosome AS INT), Start) AS INT) AS Loci, Start, End_ FROM mg""",
+)
 def _(t):
     return loci.identify_loci(t.sumstats.select("dataset", "Chromosome", "Position", "SNPID", "P"), window=20_000).withColumn("P", lp())
 

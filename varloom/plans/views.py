@@ -277,6 +277,8 @@ def oracle(text: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({plain(VIEWS[n]).strip()})" for n in order)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
