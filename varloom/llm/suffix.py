@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ WINDOW, GRAM = 50, 20
 #: Different slices of one gram that a task sorts together; beyond, they are filed window by window.
 BUCKET = 20_000
 #: One slice in so many, on average, starts a block.
-BLOCK_SLICES = 16
+BLOCK_SLICES = 4
 #: Bytes of slices per suffix array.
 SORT_BYTES = 1 << 16
 _PIECE = 1 << 18
@@ -102,7 +103,8 @@ def suffix_order(x: list[int]) -> list[int]:
 
 def equal_windows(slices: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slice, offset, class) of every window: equal windows have one class."""
-    data = np.frombuffer(b"".join(s + b"\0" for s in slices), np.uint8).astype(np.int64) + 2
+    raw = np.frombuffer(b"\0".join([*slices, b""]), np.uint8)
+    data = raw.astype(np.int64) + 2
     size = np.array([len(s) for s in slices])
     begin = np.r_[0, np.cumsum(size + 1)[:-1]]
     data[begin + size] = 1
@@ -110,9 +112,12 @@ def equal_windows(slices: list[bytes], window: int) -> tuple[np.ndarray, np.ndar
     of = np.repeat(np.arange(len(slices)), size + 1)
     offset = np.arange(len(data)) - begin[of]
     order = order[(size[of] - offset >= window)[order]]
+    # neighbours are compared eight bytes at a time; a window holds no separator
+    eight = np.lib.stride_tricks.sliding_window_view(raw, 8).copy().view(np.uint64).ravel()
     same = np.ones(max(len(order) - 1, 0), bool)
-    for k in range(window):
-        same &= data[order[1:] + k] == data[order[:-1] + k]
+    for k in [*range(0, window - 8, 8), window - 8]:
+        at = np.flatnonzero(same)
+        same[at] = eight[order[at + 1] + k] == eight[order[at] + k]
     cls = np.cumsum(np.r_[False, ~same]) if len(order) else np.zeros(0, np.int64)
     return of[order], offset[order], cls
 
@@ -170,6 +175,23 @@ def _runs(b: pa.RecordBatch, window: int):
             yield row + lo, h, first, n, chunk, own[row]
 
 
+def stretch_hash(data: np.ndarray, begin: np.ndarray, size: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Hash of each stretch of `data`: a polynomial in the values that `letters` gives its bytes."""
+    out = np.zeros(len(begin), np.uint64)
+    for lo in range(0, len(data), _PIECE):  # powers are kept for one piece
+        x = data[lo : lo + _PIECE]
+        up, down = powers(len(x) + 1)
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(letters[x] * up[:-1], out=total[1:])
+        left, right = np.clip(begin - lo, 0, len(x)), np.clip(begin + size - lo, 0, len(x))
+        late = (begin < lo) & (right > left)
+        value = (total[right] - total[left]) * down[np.where(late, 0, left)]
+        for k in np.flatnonzero(late):  # began in an earlier piece
+            value[k] *= np.uint64(pow(BASE, int(lo - begin[k]), 1 << 64))
+        out += value
+    return mix(out ^ size.astype(np.uint64))
+
+
 def _blocks(window: int):
     """(b1, b2, doc, start, n): the blocks of each text with two hashes of their bytes.
 
@@ -187,23 +209,7 @@ def _blocks(window: int):
                 begin = base[cut] + first[cut]
                 count = np.add.reduceat(n, cut)
                 size = count + window - 1
-                hashes = []
-                for letters in (_BYTE, other):
-                    part = np.zeros(len(cut), np.uint64)
-                    for lo in range(0, len(data), _PIECE):  # powers are kept for one piece
-                        x = data[lo : lo + _PIECE]
-                        up, down = powers(len(x) + 1)
-                        total = np.zeros(len(x) + 1, np.uint64)
-                        np.cumsum(letters[x] * up[:-1], out=total[1:])
-                        left, right = np.clip(begin - lo, 0, len(x)), np.clip(begin + size - lo, 0, len(x))
-                        # the place of the piece's bytes in their block, as a power
-                        shift = np.where(begin < lo, 0, left)
-                        value = (total[right] - total[left]) * down[shift]
-                        late = (begin < lo) & (right > left)
-                        for k in np.flatnonzero(late):
-                            value[k] *= np.uint64(pow(BASE, int(lo - begin[k]), 1 << 64))
-                        part += value
-                    hashes.append(mix(part ^ size.astype(np.uint64)))
+                hashes = [stretch_hash(data, begin, size, letters) for letters in (_BYTE, other)]
                 found.append((*hashes, ids[row[cut]], first[cut], count))
             if found:
                 b1, b2, doc, start, n = map(np.concatenate, zip(*found))
@@ -296,14 +302,11 @@ def _slice_rows(window: int):
             flat, ends = anchors.flatten().to_numpy(), np.cumsum(anchors.value_lengths().to_numpy())
             wanted = np.repeat(np.arange(len(ids)), np.diff(np.r_[0, ends])) << 32 | flat
             for row, h, first, n, data, base in _runs(b, window):
-                use = np.flatnonzero(np.isin(row << 32 | first, wanted))
+                at = row << 32 | first
+                near = np.minimum(np.searchsorted(wanted, at), max(len(wanted) - 1, 0))
+                use = np.flatnonzero(wanted[near] == at) if len(wanted) else np.zeros(0, int)
                 row, h, first, n, begin = row[use], h[use], first[use], n[use], base[use] + first[use]
-                # hash of the slice: its bytes at their places
-                bounds = np.r_[0, np.cumsum(n + window - 1)]
-                inner = np.arange(bounds[-1]) - np.repeat(bounds[:-1], np.diff(bounds))
-                letters = mix(_BYTE[data[np.repeat(begin, np.diff(bounds)) + inner]] + inner.astype(np.uint64) * np.uint64(BASE))
-                total = np.r_[np.zeros(1, np.uint64), np.cumsum(letters)]
-                s = mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64))
+                s = stretch_hash(data, begin, n + window - 1, _BYTE)
                 doc = ids[row]
                 order = np.lexsort((doc, s, h))
                 again = np.zeros(len(order), bool)
@@ -313,7 +316,7 @@ def _slice_rows(window: int):
                 again[order] = do > do[lead]
                 key = np.where(again, mix(doc.view(np.uint64) * np.uint64(BASE) + first.astype(np.uint64)), h)
                 full = _take(data, begin, n + window - 1)
-                full = pa.array(np.where(again, None, np.array(full.to_pylist(), object)), pa.binary()) if again.any() else full
+                full = pc.if_else(pa.array(again), pa.scalar(None, pa.binary()), full) if again.any() else full
                 yield _batch(key, np.where(again, key, s), doc, first, n, full)
 
     return run
