@@ -6,13 +6,15 @@ from pyspark.sql import SparkSession
 
 # Adaptive execution with skew handling, no generated method that the JVM
 # would refuse to compile (HotSpot leaves methods over 8000 bytes interpreted), and Arrow
-# batches that stay small when rows are whole texts.
+# batches that stay small when rows are whole texts. Plan descriptions, which the driver keeps
+# for every query, are cut short: constants of a plan can be large.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.maxPlanStringLength": "20000",
 }
 
 
