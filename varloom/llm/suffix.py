@@ -28,7 +28,7 @@ BUCKET = 20_000
 #: One slice in so many, on average, starts a block.
 BLOCK_SLICES = 4
 #: Bytes of slices per suffix array.
-SORT_BYTES = 1 << 16
+SORT_BYTES = 1 << 18
 _PIECE = 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 _BYTE = np.random.default_rng(50).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -101,6 +101,21 @@ def suffix_order(x: list[int]) -> list[int]:
     return order
 
 
+def sharing(slices: list[bytes], window: int) -> np.ndarray:
+    """Indices of the slices of which some window's hash occurs again."""
+    raw = np.frombuffer(b"".join(slices), np.uint8)
+    size = np.array([len(s) for s in slices])
+    of = np.repeat(np.arange(len(slices)), size)
+    at = np.flatnonzero(np.cumsum(size)[of] - np.arange(len(raw)) >= window)
+    up, down = powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
+    h = (total[at + window] - total[at]) * down[at]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    return np.unique(of[at[np.r_[order[1:][same], order[:-1][same]]]])
+
+
 def equal_windows(slices: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slice, offset, class) of every window: equal windows have one class."""
     raw = np.frombuffer(b"\0".join([*slices, b""]), np.uint8)
@@ -348,6 +363,8 @@ def _search(window: int):
 
         def sort():
             nonlocal waiting, waiting_bytes
+            if waiting:  # most grams repeat without a window that does: such slices need no place in the order
+                waiting = [waiting[k] for k in sharing([w[0] for w in waiting], window)]
             if waiting:
                 of, offset, cls = equal_windows([w[0] for w in waiting], window)
                 least = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
