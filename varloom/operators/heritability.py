@@ -94,20 +94,22 @@ def h2_regression(
 ) -> DataFrame:
     """Weighted regression of chi-square on scores with a block jackknife.
 
-    `df` has `by`, an id (SNP), Chromosome, Position, Z, N and the score columns. The rows are
+    `df` has `by`, Chromosome, Position, Z, N and the score columns, and an id (SNP) if several
+    variants share a position, so that blocks do not depend on the order of ties. The rows are
     summed per study and block in Spark (equal-count blocks in genome order, numbered by
     a tiled running count); only `blocks` rows of sums per study reach the k x k solve.
     Too few rows give no result for that study.
     """
     l2 = F.greatest(sum((F.col(s) for s in scores[1:]), F.col(scores[0])), F.lit(1.0))
-    base = df.select(by, "SNP", "Chromosome", "Position", (F.col("Z") * F.col("Z")).alias("chi2"), "N", *scores)
+    ids = [c for c in ("SNP",) if c in df.columns]
+    base = df.select(by, *ids, "Chromosome", "Position", (F.col("Z") * F.col("Z")).alias("chi2"), "N", *scores)
     base = settle(base.dropna().withColumn("_l2", l2))
     totals = base.groupBy(by).agg(
         F.count("*").alias("_m"), F.avg("chi2").alias("_chi"), F.avg("_l2").alias("_al"), F.avg("N").alias("_an")
     )
     tile = chr_order("Chromosome") * 1_000_000 + F.floor(F.col("Position") / 1_000_000)
     ranked = tiled_running(
-        base, [by], tile, ["Chromosome", "Position", "SNP"], {"_rank": ("sum", F.lit(1))}
+        base, [by], tile, ["Chromosome", "Position", *ids], {"_rank": ("sum", F.lit(1))}
     ).join(totals, by)
     m = F.lit(float(m_snps)) if m_snps else F.col("_m")
     h2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("_chi") - 1) * m / (F.col("_an") * F.col("_al"))))
