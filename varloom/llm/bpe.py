@@ -16,11 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.llm.repeats import release
 from varloom.sources.sinks import settle
 
 _NONE = 2147483647
 _ID_BITS = 17
 _ID_MASK = (1 << _ID_BITS) - 1
+_TRIES = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,7 +34,7 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(shifts, slots): the pair of ids (a, b) lies at slots[shifts[a] + b].
 
     A slot holds a << 17 | merged id, or -1. Rows of pairs with one left id are laid over each
-    other, the longest first, each at the first shift tried that finds its slots free.
+    other, the longest first, each at the first shift that finds its slots free.
     """
     rows: dict[int, list[tuple[int, int]]] = {}
     for token, rank in ranks.items():
@@ -43,17 +45,25 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     ids = max(ranks.values()) + 1
     if ids >> _ID_BITS:
         raise ValueError(f"ids have at most {_ID_BITS} bits")
-    spread = 4 * sum(map(len, rows.values())) + 1
-    shifts, slots = np.zeros(ids, np.int64), np.full(spread + ids, -1, np.int64)
-    rng = np.random.default_rng(5)
+    pairs, used = sum(map(len, rows.values())), 0
+    shifts, slots = np.zeros(ids, np.int64), np.full(2 * (pairs + ids) + _TRIES, -1, np.int64)
+    free = np.ones(len(slots), bool)
     for a, row in sorted(rows.items(), key=lambda x: (-len(x[1]), x[0])):
         b, merged = map(np.array, zip(*row))
         shift = 0
-        while (slots[shift + b] >= 0).any():
-            shift = int(rng.integers(spread))
+        while True:  # so many shifts at a time
+            fits = free[shift + b[0] : shift + b[0] + _TRIES].copy()
+            for k in b[1:]:
+                fits &= free[shift + k : shift + k + _TRIES]
+            if fits.any():
+                break
+            shift += _TRIES
+        shift += int(fits.argmax())
         shifts[a] = shift
         slots[shift + b] = a << _ID_BITS | merged
-    return shifts, slots
+        free[shift + b] = False
+        used = max(used, shift + int(b.max()) + 1)
+    return shifts, slots[:used]  # a slot past the end is no pair
 
 
 def _literal(values: np.ndarray | list, kind: str) -> Column:
@@ -246,6 +256,7 @@ def encode(
     merges = Merges(ranks)
     words = split_words(F.col(text_col).cast("string"), pattern)
     table = hot_words(docs.select(F.explode(words).alias("w")), merges, hot)
+    release(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
     names = [f"_c{k}" for k in range(len(kept))]
     rows = docs.select(words.alias("_w"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
