@@ -16,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Q = 12
-#: A pattern is a stretch of so many characters of an item, or a shorter item as a whole.
-PATTERN, STRIDE = 100, 50
-EDIT_RATE = 0.04
+Q = 8
+#: A pattern is a stretch of so many characters of an item, or a shorter item as a whole. Any
+#: excerpt of PATTERN + STRIDE - 1 characters, wherever it starts, holds a whole pattern.
+PATTERN, STRIDE = 40, 10
+EDIT_RATE = 0.08
+#: Items of fewer characters match nothing; those under 2 * Q are counted by shorter grams.
+SHORTEST, SHORT_Q = 12, 6
 #: Diagonals per band, besides the overlap.
 BAND = 16
 #: Characters of patterns that one pass over the documents carries to every task.
@@ -39,33 +42,33 @@ def patterns(text: str) -> list[str]:
     """Overlapping stretches of an item; the last one ends with it."""
     t = normalise(text)
     if len(t) <= PATTERN:
-        return [t] if len(t) >= Q else []
+        return [t] if len(t) >= SHORTEST else []
     starts = [*range(0, len(t) - PATTERN, STRIDE), len(t) - PATTERN]
     return [t[s : s + PATTERN] for s in starts]
 
 
 def edits(m: int) -> int:
-    return math.floor(EDIT_RATE * m)
+    return max(1, math.floor(EDIT_RATE * m))
 
 
-def need(m: int) -> int:
+def need(m: int, q: int = Q) -> int:
     """Shared q-grams that the lemma guarantees."""
-    return m - Q + 1 - edits(m) * Q
+    return m - q + 1 - edits(m) * q
 
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     """Hash of the q-gram at each position."""
-    n = len(codes) - Q + 1
+    n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h, width, step = codes.astype(np.uint64) + np.uint64(1), 1, _BASE
     out, done = None, 0
-    while done < Q:
-        if Q & width:
+    while done < q:
+        if q & width:
             part = h[done : done + n] * np.uint64(pow(_BASE, done, 1 << 64))
             out, done = part if out is None else out + part, done + width
         h = h[:-width] + h[width:] * np.uint64(step)
@@ -81,9 +84,10 @@ class Index:
 
     item: np.ndarray
     text: list[np.ndarray]
+    q: int = Q
 
     def __post_init__(self) -> None:
-        grams = [_grams(t) for t in self.text]
+        grams = [_grams(t, self.q) for t in self.text]
         h = np.concatenate(grams)
         order = np.argsort(h, kind="stable")
         self.hash = h[order]
@@ -91,7 +95,7 @@ class Index:
         self.offset = np.concatenate([np.arange(len(g)) for g in grams])[order]
         self.length = np.array([len(t) for t in self.text])
         self.edits = np.array([edits(m) for m in self.length])
-        self.need = np.maximum([need(m) for m in self.length], 1)
+        self.need = np.maximum([need(m, self.q) for m in self.length], 1)
         self.reach = int((self.length + self.edits).max())
         self.fewest = int(self.need.min())
         self.table = np.zeros(1 << _TABLE_BITS, bool)
@@ -99,7 +103,7 @@ class Index:
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, hash) of shared q-grams with enough others near by."""
-        h = _grams(codes)
+        h = _grams(codes, self.q)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _TABLE_BITS)])
         found = np.searchsorted(self.hash, h[at])
         at = at[self.hash[np.minimum(found, len(self.hash) - 1)] == h[at]]
@@ -169,8 +173,10 @@ def align(wanted: np.ndarray, codes: np.ndarray, first: np.ndarray, k: int) -> t
 
 def _search(segments: list[tuple[int, str]]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(np.array([s[0] for s in segments]), [_codes(s[1]) for s in segments])
-        overlap = index.reach + 4 * BAND
+        short = [s for s in segments if len(s[1]) < 2 * Q]
+        long = [s for s in segments if len(s[1]) >= 2 * Q]
+        indexes = [Index(np.array([s[0] for s in part]), [_codes(s[1]) for s in part], q) for part, q in ((short, SHORT_Q), (long, Q)) if part]
+        overlap = max(index.reach for index in indexes) + 4 * BAND
         for b in batches:
             ids, out = b.column(0).to_pylist(), []
             texts, rows, size = [], [], 0
@@ -180,14 +186,15 @@ def _search(segments: list[tuple[int, str]]):
                 begin = np.cumsum([0, *[len(t) + len(_GAP) for t in texts[:-1]]])
                 for at in range(0, len(codes), _BLOCK):
                     piece = codes[max(0, at - overlap) : at + _BLOCK]
-                    for p, end, cost in index.regions(piece):
-                        end += max(0, at - overlap)
-                        k = int(np.searchsorted(begin, end - 1, "right")) - 1
-                        end = int(end - begin[k])
-                        out.append((ids[rows[k]], int(index.item[p]), max(0, end - int(index.length[p])), end, cost))
+                    for index in indexes:
+                        for p, end, cost in index.regions(piece):
+                            end += max(0, at - overlap)
+                            k = int(np.searchsorted(begin, end - 1, "right")) - 1
+                            end = int(end - begin[k])
+                            out.append((ids[rows[k]], int(index.item[p]), max(0, end - int(index.length[p])), end, cost))
 
             for k, t in enumerate(b.column(1).to_pylist()):
-                if t and len(t) >= Q and ids[k] is not None:
+                if t and ids[k] is not None:
                     texts.append(normalise(t))
                     rows.append(k)
                     size += len(t)
@@ -220,9 +227,10 @@ def passages(
     """(doc, item, start, end, edits): regions of documents that hold a stretch of an item.
 
     A stretch of PATTERN characters (a shorter item as a whole) is found with up to EDIT_RATE of
-    its length in edits, after lower-casing and joining white space; positions are in that form.
+    its length in edits (at least one), after lower-casing and joining white space; positions are in
+    that form. An excerpt of PATTERN + STRIDE - 1 characters is found wherever it starts in the item.
     The patterns are carried to all tasks `pass_chars` characters at a time; a larger benchmark
-    takes more passes over the documents. Items under Q characters or without text or id match
+    takes more passes over the documents. Items under SHORTEST characters or without text or id match
     nothing, nor do documents without text or id. Repeated rows give equal regions once a task.
     """
     spark = docs.sparkSession
