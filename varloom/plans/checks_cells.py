@@ -465,7 +465,7 @@ def _(t):
 
 @query("gsea_test")
 def _(t):
-    out = signatures.gsea_test(_ranks(t), t.signatures, nperm=50)
+    out = signatures.gsea_test(_ranks(t), t.signatures)
     return rnd(out, 6, "ES", "NES", "pval", "padj")
 
 
