@@ -266,6 +266,11 @@ def _(t):
     return rnd(finemap.est_group_prior(t.region_z, iters=4, region=RG), 6, "pi", "var")
 
 
+@query("est_group_prior_converged")
+def _(t):
+    return rnd(finemap.est_group_prior(t.region_z, region=RG), 6, "pi", "var")
+
+
 @query(
     "gene_annotate",
     """SELECT q.CELL, q.GENEID, q.SNPID, g.GENENAME, g.Chromosome AS gene_chrom, CAST(floor((g.Start + g.End_) / 2.0) AS BIGINT) AS gene_pos
