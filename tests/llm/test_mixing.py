@@ -75,7 +75,8 @@ def test_mix(spark, sources):
     rows = rows_of(len(sources), 300, sources)
     rows += [(900, None, sources[0], 1.0), (901, "x " * 30000, sources[-1], 1.0), (None, "only text here", sources[0], 2.0), rows[5], rows[5]]
     docs = spark.createDataFrame([(*r, "k", "t") for r in rows], "doc_id long, text string, source string, w double, size string, taken string")
-    got = mixing.mix(docs.repartition(4), weight=F.col("w"), keep=("size", "taken"), tiles=16)
+    measured = mixing.measure(docs.repartition(4), keep=("size", "taken", "w"))
+    got = mixing.mix(measured, F.col("kept.w"), tiles=16)
     target, want = plain_mix(rows)
     seen = defaultdict(list)
     total = defaultdict(int)
@@ -92,29 +93,29 @@ def test_reruns_tiles_and_partitions_agree(spark):
     rows = rows_of(4, 200, ["a", "b", "c"])
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
     runs = [
-        sorted(map(tuple, mixing.mix(docs.repartition(p), weight=F.col("w"), tiles=t).select("doc", "taken").collect()))
-        for p, t in ((1, 4), (7, 1 << 16), (3, 1))
+        sorted(map(tuple, mixing.mix(mixing.measure(docs.repartition(p), keep=("w",)), F.col("kept.w"), tiles=t, levels=n).select("doc", "taken").collect()))
+        for p, t, n in ((1, 4, 3), (7, 1024, 2), (3, 2, 0))
     ]
     assert runs[0] == runs[1] == runs[2]
 
 
 def test_heavier_documents_are_taken_sooner(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "'a b c' AS text", "CASE WHEN id < 100 THEN 'a' ELSE 'b' END AS source", "IF(id % 2 = 0, 4.0, 1.0) AS w")
-    out = mixing.mix(docs, weight=F.col("w")).filter("source = 'b'").groupBy(F.col("doc") % 2).agg(F.avg("taken")).collect()
+    out = mixing.mix(mixing.measure(docs, keep=("w",)), F.col("kept.w")).filter("source = 'b'").groupBy(F.col("doc") % 2).agg(F.avg("taken")).collect()
     odds = dict(map(tuple, out))
     assert odds[0] > odds[1] + 0.5
 
 
 def test_empty_and_wordless_tables(spark):
     schema = "doc_id long, text string, source string"
-    assert mixing.mix(spark.createDataFrame([], schema)).collect() == []
-    out = mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], schema)).select("doc", "size", "target", "taken").collect()
+    assert mixing.mix(mixing.measure(spark.createDataFrame([], schema))).collect() == []
+    out = mixing.mix(mixing.measure(spark.createDataFrame([(1, None, "a"), (2, "", None)], schema))).select("doc", "size", "target", "taken").collect()
     assert sorted(map(tuple, out)) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
 
 
 def test_emit(spark):
     docs = spark.createDataFrame([(k, f"a{k} b{k}  c{k}", "s" if k < 3 else "t") for k in range(40)], "doc_id long, text string, source string")
-    mixed = mixing.mix(docs, keep=("text",))
+    mixed = mixing.mix(mixing.measure(docs, keep=("text",)))
     want = {r["doc"]: r["taken"] for r in mixed.collect()}
     got = defaultdict(int)
     for r in mixing.emit(mixed).collect():

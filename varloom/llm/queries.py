@@ -193,13 +193,13 @@ FROM drawn
 
 @query("op12_source_mixing", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = mixing.measure(read_table(spark, sf_dir, "documents"))
     labels = read_table(spark, sf_dir, "labels").filter("doc_id is not null").groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality"))
     # rows without an id have no label; they stay out of the join
-    known = docs.filter("doc_id is not null").join(labels, F.col("doc_id") == F.col("labelled"), "left").drop("labelled")
-    docs = known.unionByName(docs.filter("doc_id is null").withColumn("quality", F.lit(None).cast("int")))
+    known = docs.filter("doc is not null").join(labels, F.col("doc") == F.col("labelled"), "left").drop("labelled")
+    docs = known.unionByName(docs.filter("doc is null").withColumn("quality", F.lit(None).cast("int")))
     weight = F.when(F.col("quality") == 1, GOOD).when(F.col("quality") == 0, POOR).otherwise(UNKNOWN)
-    return mixing.mix(docs, weight=weight).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixing.mix(docs, weight).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 OP13_SQL = r"""
