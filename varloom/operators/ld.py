@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from varloom.functions.frames import point_in_interval
 from varloom.sources.sinks import settle
 
 WORD = 63
@@ -90,6 +91,122 @@ def ld_pairs(genotypes: DataFrame, leads: DataFrame, window: int = 250_000, shar
     )
 
 
+def genetic_position(variants: DataFrame, gmap: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """`variants` with cM, interpolated between the points of a map (Chromosome, Position, cM).
+
+    Before the first point of a chromosome and after its last one the value of that point holds;
+    a chromosome without points gets null. Of points at one place the highest counts.
+    """
+    points = gmap.groupBy("Chromosome", "Position").agg(F.max("cM").alias("cM"))
+    # a map has some ten thousand points a chromosome
+    order = Window.partitionBy("Chromosome").orderBy("Position")
+    spans = points.select(
+        F.col("Chromosome").alias("_mc"), F.col("Position").alias("_p0"), F.col("cM").alias("_c0"),
+        F.lead("Position").over(order).alias("_p1"), F.lead("cM").over(order).alias("_c1"),
+    ).withColumn("_pe", F.coalesce(F.col("_p1") - 1, F.col("_p0")))
+    ends = points.groupBy(F.col("Chromosome").alias("_ec")).agg(F.min("Position").alias("_lo"), F.max("Position").alias("_hi"))
+    placed = variants.join(ends, F.col("Chromosome") == F.col("_ec"), "left").withColumn(
+        "_at", F.least(F.greatest("Position", "_lo"), F.col("_hi"))
+    )
+    spans = spans.withColumnRenamed("_mc", "_ec")
+    out = point_in_interval(placed, spans, width, keys=("_ec",), pos="_at", start="_p0", end="_pe", how="left")
+    step = (F.col("_at") - F.col("_p0")) * (F.col("_c1") - F.col("_c0")) / (F.col("_p1") - F.col("_p0"))
+    return out.withColumn("cM", F.col("_c0") + F.coalesce(step, F.lit(0.0))).drop("_ec", "_lo", "_hi", "_at", "_p0", "_c0", "_p1", "_c1", "_pe")
+
+
+def pack_variants(genotypes: DataFrame, population: str, shards: int = 1) -> DataFrame:
+    """One row a variant of one population: its donor words as arrays, and its allele frequency.
+
+    The population is filtered before packing. All arrays list the same words in one order; a word in
+    which a variant has no call is zero.
+    """
+    words = genotype_words(genotypes.filter(F.col("population") == population), shards)
+    per = words.groupBy("Chromosome", "Position", "SNPID").agg(
+        F.array_sort(F.collect_list(F.struct("_shard", "_word", "obs", "one", "two"))).alias("_w")
+    )
+    per = settle(per)
+    # as many rows as there are words of donors
+    slots = [tuple(r) for r in per.select(F.explode("_w").alias("w")).select("w._shard", "w._word").distinct().orderBy("_shard", "_word").collect()]
+    kind = dict(per.dtypes)["_w"]
+    blank = F.array(*[F.struct(*[F.lit(x).cast(t).alias(n) for x, t, n in zip((s, w, 0, 0, 0), ("int", "int", "long", "long", "long"), ("_shard", "_word", "obs", "one", "two"))]) for s, w in slots]) if slots else F.array().cast(kind)
+
+    def fill(b: Column) -> Column:
+        own = F.filter("_w", lambda w: (w["_shard"] == b["_shard"]) & (w["_word"] == b["_word"]))
+        return F.coalesce(F.get(own, 0), b)
+
+    full = F.when(F.size("_w") == len(slots), F.col("_w")).otherwise(F.transform(blank, fill))
+    out = per.select("Chromosome", "Position", "SNPID", full.alias("_w"))
+    out = out.select("Chromosome", "Position", "SNPID", *[F.col(f"_w.{c}").alias(c) for c in ("obs", "one", "two")])
+    count = {c: F.aggregate(F.transform(c, F.bit_count), F.lit(0), lambda a, x: a + x) for c in ("obs", "one", "two")}
+    return out.withColumn("AF", F.try_divide(count["one"] + 2 * count["two"], 2 * count["obs"]))
+
+
+# donor words up to which a pair's sums are written out one by one
+UNROLL = 8
+
+
+def windowed_scores(
+    packed: DataFrame, values: DataFrame, labels: list[str], reach: float = 1.0, correct: bool = True,
+) -> DataFrame:
+    """(Lead, l2_<label>...): for every variant the sum of r2 * value over the variants within `reach` cM.
+
+    `packed` has SNPID, Chromosome, cM and the donor words; `values` is (LD, label, value) and absent
+    ones are 0. With `correct`, r2 is lowered by (1 - r2) / (n - 2) with the donors n that both
+    variants have, and pairs of two donors or fewer are left out. Every variant is a lead; those
+    whose genotype is constant or unplaced get no row.
+
+    The map is cut into tiles of `reach`: a lead goes to its tile and the two beside it, a neighbour has
+    one. A pair is made once and summed on the map side, and no table of pairs is written or shuffled.
+    """
+    per = values.groupBy(F.col("LD").alias("_v")).agg(
+        *[F.sum(F.when(F.col("label") == x, F.col("value"))).cast("double").alias(f"_y{i}") for i, x in enumerate(labels)]
+    )
+    first = packed.select(F.size("obs").alias("n")).first()
+    width = first["n"] if first else 0
+    tile = F.floor(F.col("cM") / reach).cast("long")
+    placed = packed.filter("cM is not null")
+    lead = placed.select(
+        F.col("Chromosome").alias("_c"), F.col("SNPID").alias("Lead"), F.col("cM").alias("_cm"),
+        F.col("obs").alias("_o"), F.col("one").alias("_a"), F.col("two").alias("_b"),
+        F.explode(F.array(tile - 1, tile, tile + 1)).alias("_t"),
+    )
+    other = placed.join(per, F.col("SNPID") == F.col("_v"), "left").withColumn("_tile", tile)
+    near = (F.col("_c") == F.col("Chromosome")) & (F.col("_t") == F.col("_tile")) & (F.abs(F.col("cM") - F.col("_cm")) <= reach)
+    pairs = lead.join(other, near)
+
+    def total(*parts: tuple[int, tuple[str, str]]) -> Column:
+        """Sum over all words of the weighted numbers of donors that both masks hold."""
+
+        def both(part: tuple[int, tuple[str, str]], k: Column) -> Column:
+            f, (a, b) = part
+            return F.bit_count(F.get(a, k).bitwiseAND(F.get(b, k))) * f
+
+        def at(k: Column) -> Column:
+            return sum((both(p, k) for p in parts[1:]), both(parts[0], k))
+
+        if width > UNROLL:
+            return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0), lambda s, k: s + at(k)).cast("double")
+        terms = [at(F.lit(k)) for k in range(width)] or [F.lit(0)]
+        while len(terms) > 1:  # a flat tree
+            terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
+        return terms[0].cast("double")
+
+    pairs = pairs.select(
+        "Lead", *[f"_y{i}" for i in range(len(labels))], total((1, ("_o", "obs"))).alias("n"),
+        total((1, ("_a", "obs")), (2, ("_b", "obs"))).alias("sx"), total((1, ("_o", "one")), (2, ("_o", "two"))).alias("sy"),
+        total((1, ("_a", "obs")), (4, ("_b", "obs"))).alias("sxx"), total((1, ("_o", "one")), (4, ("_o", "two"))).alias("syy"),
+        total((1, ("_a", "one")), (2, ("_a", "two")), (2, ("_b", "one")), (4, ("_b", "two"))).alias("sxy"),
+    )
+    cov = F.expr("n * sxy - sx * sy")
+    r2 = F.try_divide(cov * cov, F.expr("(n * sxx - sx * sx) * (n * syy - sy * sy)"))
+    pairs = pairs.withColumn("r2", r2).filter("r2 is not null")
+    if correct:
+        pairs = pairs.filter("n > 2").withColumn("r2", F.expr("r2 - (1D - r2) / (n - 2)"))
+    return pairs.groupBy("Lead").agg(
+        *[F.sum(F.col("r2") * F.coalesce(f"_y{i}", F.lit(0.0))).alias(f"l2_{x}") for i, x in enumerate(labels)]
+    )
+
+
 # LD engine registry.
 ENGINES: dict[str, Callable[..., DataFrame]] = {"genotypes": ld_pairs}
 

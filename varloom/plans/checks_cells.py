@@ -764,19 +764,6 @@ def _(t):
     return reports.report_coloc(t.coloc_hits, t.panel, best=False).select("Feature1", "locus", "Position", "REF", "ALT").distinct()
 
 
-HREP = """SELECT 'D' || l_returnflag AS disease, 'GCST' || CAST(l_linenumber AS VARCHAR(2)) AS dataset, l_returnflag || l_linestatus || '_' || CAST(l_linenumber % 2 AS VARCHAR(2)) AS CELL,
-          round(avg(l_tax), 6) AS h2 FROM {lineitem} GROUP BY l_returnflag, l_linestatus, l_linenumber"""
-
-
-@query(
-    "report_heritability",
-    f"""SELECT h.disease, h.dataset, h.CELL, h.h2, split_part(h.CELL, '_', 1) AS Cell_name, split_part(h.CELL, '_', 2) AS Cluster, o.cell_order FROM ({HREP}) h LEFT JOIN {{cell_types}} o ON h.CELL = o.sample_name
-        ORDER BY disease, dataset, cell_order""",
-)
-def _(t):
-    return reports.report_heritability(t.sql(HREP), t.cell_types)
-
-
 FEAT = """SELECT 'ST' || CAST(o_custkey AS VARCHAR(12)) AS sample_name, o_orderpriority || o_orderstatus AS Feature FROM {orders} WHERE o_totalprice > 150000"""
 
 

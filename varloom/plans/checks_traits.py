@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.functions.scalars import upper_quantile_sql
-from varloom.operators import coloc, finemap, heritability, intervals
+from varloom.operators import coloc, finemap, intervals
 from varloom.plans.checks_loci import LD_SQL, _ld, lp
 from varloom.plans.registry import query
 from varloom.sources.sinks import settle
@@ -330,104 +329,3 @@ PARAMS = """SELECT l_returnflag || l_linestatus AS group_label, CASE l_linenumbe
 )
 def _(t):
     return finemap.param_long_wide(t.sql(PARAMS), ["group_prior", "group_pve", "total_pve"])
-
-
-# --- heritability ------------------------------------------------------------
-
-MUNGE = f"""SELECT dataset, SNP, A1, A2, 5000.0 AS N, round(CASE WHEN BETA = 0 THEN 0.0D ELSE sign(BETA) * {upper_quantile_sql('(P / 2)')} END, 6) AS Z
-     FROM (SELECT dataset, RSID AS SNP, EA AS A1, NEA AS A2, P, BETA, row_number() OVER (PARTITION BY dataset, RSID ORDER BY P, EA, BETA) AS rn FROM {{sumstats}}
-           WHERE P > 0 AND P <= 1 AND NEA || EA NOT IN ('AT', 'TA', 'CG', 'GC') AND least(AF, 1 - AF) > 0.01) q WHERE rn = 1"""
-
-
-def _munged(t):
-    return heritability.munge(t.sumstats, n=5000.0)
-
-
-@query("munge", MUNGE.replace("5000.0 AS N", "5000.0D AS N"))
-def _(t):
-    return rnd(_munged(t), 6, "Z")
-
-
-ANNOT = """SELECT SNPID AS LD, 'base' AS label, 1 AS value FROM {panel} UNION ALL SELECT SNPID, 'isA', 1 FROM {panel} WHERE REF = 'A'"""
-LDSCORE = f"""lsc AS (SELECT r.Lead, sum(CASE WHEN a.label = 'base' THEN r.r2 - (1 - r.r2) / (r.n - 2) ELSE 0 END) AS l2_base,
-          sum(CASE WHEN a.label = 'isA' THEN r.r2 - (1 - r.r2) / (r.n - 2) ELSE 0 END) AS l2_isA FROM r2 r JOIN ({ANNOT}) a ON r.LD = a.LD WHERE r.population = 'EUR' AND r.n > 2 GROUP BY r.Lead)"""
-
-
-def _ldscore(t):
-    eur = _ld(t).filter("population = 'EUR'")
-    return heritability.ld_score(eur, t.sql(ANNOT), ["base", "isA"])
-
-
-@query("ld_score", f"WITH {LD_SQL}, {LDSCORE} SELECT Lead, round(l2_base - 3e-9D, 6) AS l2_base, round(l2_isA - 3e-9D, 6) AS l2_isA FROM lsc")
-def _(t):
-    # both sides agree to the last bits, and many scores are ties of the sixth digit: shifted off the ties
-    off = {c: F.col(c) - 3e-9 for c in ("l2_base", "l2_isA")}
-    return rnd(_ldscore(t).withColumns(off), 6, *off)
-
-
-@query("h2_regression")
-def _(t):
-    z = _munged(t).join(t.panel.select(F.col("RSID").alias("SNP"), "Chromosome", "Position", F.col("SNPID").alias("Lead")), "SNP")
-    df = z.join(_ldscore(t), "Lead")
-    return rnd(heritability.h2_regression(df, ["l2_base", "l2_isA"], blocks=50), 6, "Estimate", "SE")
-
-
-@query(
-    "expression_score",
-    f"""WITH {LD_SQL}, q AS (SELECT GENEID, SNPID, BETA * BETA AS b2 FROM {{qtl}}),
-        h AS (SELECT GENEID, ntile(5) OVER (ORDER BY round(sum(b2), 9), GENEID) AS bin FROM q GROUP BY GENEID),
-        s AS (SELECT q.SNPID AS LD, h.bin, sum(q.b2) AS b2 FROM q JOIN h ON q.GENEID = h.GENEID GROUP BY ALL)
-        SELECT r.Lead, CAST(s.bin AS INT) AS bin, round(sum(s.b2 * r.r2), 6) AS score FROM r2 r JOIN s ON r.LD = s.LD WHERE r.population = 'EUR' GROUP BY r.Lead, s.bin""",
-)
-def _(t):
-    eur = _ld(t).filter("population = 'EUR'")
-    return rnd(heritability.expression_score(t.qtl, eur), 6, "score")
-
-
-EST = """SELECT 'D' || l_returnflag AS disease, 'GCST' || CAST(l_linenumber AS VARCHAR(2)) AS dataset, l_returnflag || l_linestatus || '_1_2' AS CELL,
-          'h2' AS Quantity, round(avg(l_tax), 6) AS Estimate, round(avg(l_discount), 6) AS SE_Estimate, 1.0D AS Estimate_over_h2, 0.1D AS SE_over_h2 FROM {lineitem} GROUP BY l_returnflag, l_linestatus, l_linenumber
-         UNION ALL SELECT 'D' || l_returnflag, 'GCST' || CAST(l_linenumber AS VARCHAR(2)), l_returnflag || l_linestatus || '_1_2', 'h2med', round(avg(l_discount), 6), round(avg(l_tax), 6),
-          round(avg(l_discount) / avg(l_tax), 6), 0.2D FROM {lineitem} WHERE l_linenumber <> 3 GROUP BY l_returnflag, l_linestatus, l_linenumber"""
-HTAB = f"""h AS (SELECT * FROM ({EST}) q WHERE Quantity = 'h2'), m AS (SELECT * FROM ({EST}) q WHERE Quantity = 'h2med'),
-   ht AS (SELECT h.disease, h.dataset, h.CELL, h.Estimate AS h2, h.SE_Estimate AS h2_SE, m.Estimate AS h2med, m.SE_Estimate AS h2med_SE, m.Estimate_over_h2 AS h2med_h2, m.SE_over_h2 AS h2med_h2_SE
-          FROM h LEFT JOIN m ON h.disease = m.disease AND h.dataset = m.dataset AND h.CELL = m.CELL)"""
-
-
-@query("heritability_table", f"WITH {HTAB} SELECT * FROM ht")
-def _(t):
-    return heritability.heritability_table(t.sql(EST))
-
-
-MESC = """SELECT q.GENEID AS GENE, CAST(floor((g.Start + g.End_) / 2.0) AS BIGINT) AS GENE_COORD, coalesce(p.RSID, q.SNPID) AS SNP, CAST(q.Chromosome AS INT) AS CHR,
-           CAST(split_part(q.SNPID, ':', 2) AS BIGINT) AS SNP_COORD, 91.0D AS N, round(q.BETA / q.SE, 6) AS Z
-          FROM {qtl} q JOIN {genes} g ON q.GENEID = g.GENEID LEFT JOIN (SELECT * FROM {panel} WHERE REF = 'C') p ON q.SNPID = p.SNPID"""
-
-
-def _mesc(t):
-    q = t.qtl.withColumn("Z", F.round(F.col("BETA") / F.col("SE"), 6))
-    return heritability.prepare_expression_input(q, t.genes, t.panel.filter("REF = 'C'"), 91)
-
-
-@query("prepare_expression_input", MESC)
-def _(t):
-    return rnd(_mesc(t), 6, "Z")
-
-
-@query("mesc_sort", f"SELECT * FROM ({MESC}) q ORDER BY GENE_COORD, GENE, SNP_COORD")
-def _(t):
-    return heritability.mesc_sort(rnd(_mesc(t), 6, "Z"))
-
-
-ENR = """SELECT 'GCST' || CAST(l_linenumber AS VARCHAR(2)) AS dataset, l_returnflag AS category, l_linestatus = 'F' AS is_own,
-          round(avg(l_quantity), 6) AS Enrichment, avg(l_tax) + 0.001D AS Enrichment_p FROM {lineitem} GROUP BY l_linenumber, l_returnflag, l_linestatus"""
-
-
-@query(
-    "enrichment_matrix",
-    f"""WITH e AS (SELECT * FROM ({ENR}) q WHERE is_own) SELECT category, {', '.join(
-        f"max(CASE WHEN dataset = 'GCST{i}' THEN Enrichment END) AS GCST{i}_enrichment, round(max(CASE WHEN dataset = 'GCST{i}' THEN -log10(Enrichment_p) END), 6) AS GCST{i}_log10p" for i in range(1, 8))}
-        FROM e GROUP BY category""",
-)
-def _(t):
-    ds = [f"GCST{i}" for i in range(1, 8)]
-    return rnd(heritability.enrichment_matrix(t.sql(ENR), ds), 6, *[f"{d}_log10p" for d in ds])

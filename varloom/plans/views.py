@@ -107,6 +107,13 @@ SELECT l_returnflag || l_linestatus || '_' || CAST(l_linenumber % 2 AS VARCHAR(2
 FROM {lineitem} JOIN {variant} v ON v.vid = l_partkey
 """
 
+# The same with variants that no panel has and genes that no annotation has.
+VIEWS["qtl_new"] = """
+SELECT CELL, CASE WHEN Position % 7 = 0 THEN 'ENSX' || substr(GENEID, 5) ELSE GENEID END AS GENEID, GENENAME, Chromosome, Position,
+       CASE WHEN Position % 11 = 0 THEN Chromosome || ':' || CAST(Position + 1 AS VARCHAR(12)) || ':A:G' ELSE SNPID END AS SNPID, P, BETA, SE, MAF
+FROM {qtl}
+"""
+
 VIEWS["genes"] = """
 SELECT 'ENSG' || lpad(CAST(s_suppkey AS VARCHAR(11)), 11, '0') AS GENEID,
        'GENE' || CAST(s_suppkey AS VARCHAR(11)) AS GENENAME,
@@ -137,6 +144,12 @@ FROM (SELECT vid, Chromosome, Position, SNPID, block, donor,
             FROM {variant}) d) g
 """
 
+# A genetic map of about 10 cM a megabase, at an uneven rate.
+VIEWS["genetic_map"] = """
+SELECT Chromosome, b * 50000 AS Position, 0.5D * b + 0.1D * ((b * 7) % 3) AS cM
+FROM (SELECT DISTINCT Chromosome, CAST(floor(Position / 50000.0) AS BIGINT) AS b FROM {variant}) q
+"""
+
 VIEWS["cells"] = """
 SELECT o_orderkey AS cell, 'D' || CAST(o_custkey % 20 AS VARCHAR(4)) AS donor,
        CASE WHEN o_custkey % 2 = 0 THEN 'Male' ELSE 'Female' END AS sex,
