@@ -171,6 +171,9 @@ def windowed_scores(
         F.explode(F.array(tile - 1, tile, tile + 1)).alias("_t"),
     )
     other = placed.join(per, F.col("SNPID") == F.col("_v"), "left").withColumn("_tile", tile)
+    # few bytes make many pairs: as many tasks as the session sets, and not as the bytes suggest
+    parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    other = other.repartition(parts, "Chromosome", "_tile")
     near = (F.col("_c") == F.col("Chromosome")) & (F.col("_t") == F.col("_tile")) & (F.abs(F.col("cM") - F.col("_cm")) <= reach)
     pairs = lead.join(other, near)
 
