@@ -20,6 +20,11 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def spread_nulls(key: Column) -> Column:
+    """A text key for an outer join in which nulls meet nothing and don't gather in one task."""
+    return F.coalesce(key, F.concat(F.lit("\0"), (F.monotonically_increasing_id() % 4096).cast("string")))
+
+
 def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add absent columns as typed nulls."""
     return df.withColumns(

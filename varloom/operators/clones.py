@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varloom.functions.frames import first_by
+from varloom.functions.frames import first_by, spread_nulls
 
 
 def clone_sharing(clones: DataFrame, tag: str = "tag", more_than: int = 1) -> DataFrame:
@@ -38,8 +38,9 @@ def polyreactive_flag(clones: DataFrame, tag: str = "tag", at_least: int = 2) ->
         F.count("*").alias("_n")
     )
     many = F.count_if(F.col("_n") >= at_least) > 1
-    flag = sizes.groupBy("clonotype", "donor").agg(F.when(many, "pR").otherwise("non-pR").alias("pr_tag"))
-    return clones.join(flag, ["clonotype", "donor"], "left")
+    flag = sizes.groupBy(F.col("clonotype").alias("_c"), F.col("donor").alias("_d")).agg(F.when(many, "pR").otherwise("non-pR").alias("pr_tag"))
+    out = clones.withColumn("_key", spread_nulls(F.col("clonotype")))
+    return out.join(flag, (F.col("_key") == F.col("_c")) & (F.col("donor") == F.col("_d")), "left").drop("_key", "_c", "_d")
 
 
 def vdj_consensus(contigs: DataFrame) -> DataFrame:

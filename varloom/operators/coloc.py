@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import first_by
 from varloom.functions.logsum import ln_diff, log_sum_exp
 from varloom.functions.scalars import upper_quantile_sql
+from varloom.operators.intervals import locus_filter_any, partition_by_block
+from varloom.sources.sinks import settle
 
 # Prior standard deviations of effects.
 PRIOR_SD = {"quant": 0.15, "cc": 0.2}
@@ -52,45 +56,78 @@ def prepare(df: DataFrame, kind: str, n: float | None = None, s: float | None =
     raise ValueError("neither (BETA, SE) nor (P, AF)")
 
 
-def _side(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
-    stats = [c for c in STAT_COLS if c in df.columns]
-    return df.select(*keys, f"Feature{i}", *[F.col(c).alias(f"F{i}_{c}") for c in stats])
+#: What names a pair: study and cell type, locus of the study, gene (with its locus) of the cell type.
+KEYS = ("dataset1", "dataset2", "Feature1", "Feature2")
+SITE = ("Chromosome", "Position")
+
+
+def trait_loci(
+    trait: DataFrame, blocks: DataFrame, width: int = 1_000_000, threshold: float | None = 5e-8, study: str = "dataset",
+) -> DataFrame:
+    """The trait side: rows of a study in its loci, as dataset1 and Feature1.
+
+    Variants are placed in LD blocks, and a study keeps only the loci in which any of its variants
+    reaches the threshold (None keeps all).
+    """
+    placed = partition_by_block(trait, blocks, width=width)
+    if threshold is not None:
+        placed = locus_filter_any(placed, "P", threshold, [study, "Loci"])
+    return placed.withColumnsRenamed({study: "dataset1", "Loci": "Feature1"})
+
+
+def qtl_loci(
+    qtl: DataFrame, blocks: DataFrame, trait: DataFrame, width: int = 1_000_000, cell: str = "CELL", gene: str = "GENEID",
+) -> DataFrame:
+    """The QTL side: rows of a cell type at sites that the trait side keeps, as dataset2 and Feature2 = gene_locus.
 
+    Sites without a trait row are left out before the blocks are looked up.
+    """
+    sites = trait.select(*SITE).distinct()
+    placed = partition_by_block(qtl.join(sites, list(SITE), "left_semi"), blocks, width=width)
+    return placed.withColumn("Feature2", F.concat_ws("_", gene, "Loci")).withColumnRenamed(cell, "dataset2").drop("Loci")
 
-def pair_key() -> Column:
-    return F.concat_ws("_", "Feature1", "Feature2")
+
+def _side(df: DataFrame, i: int, keys: list[str]) -> DataFrame:
+    stats = [c for c in STAT_COLS if c in df.columns]
+    own = [c for c in (f"dataset{i}", f"Feature{i}") if c in df.columns]
+    return df.select(*keys, *own, *[F.col(c).alias(f"F{i}_{c}") for c in stats])
 
 
 def coloc_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every row pair of two traits at the same site, with its pair key."""
-    site = ["Chromosome", "Position"]
-    left = _side(a, 1, [*site, "SNPID"])
-    right = _side(b.withColumnRenamed("SNPID", "SNPID_2"), 2, [*site, "SNPID_2"])
-    return left.join(right, site).withColumn("Pair", pair_key())
+    """Every row pair of two traits at the same site, with what names the pair."""
+    left = _side(a, 1, [*SITE, "SNPID"])
+    right = _side(b.withColumnRenamed("SNPID", "SNPID_2"), 2, [*SITE, "SNPID_2"])
+    return left.join(right, list(SITE))
 
 
 def coloc_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Variants shared by each pair of features, one row per side and variant.
 
-    Each side is reduced to one row per (feature, variant) before the join, so the join
+    Each side is reduced to one row per (data set, feature, variant) before the join, so the join
     emits what the pairs need and not the product of all rows at a site. The lowest P
     (then BETA) stands for a repeated variant.
     """
-    key = ["Chromosome", "Position", "SNPID"]
+    key = [*SITE, "SNPID"]
 
     def slim(df: DataFrame, i: int) -> DataFrame:
         order = [c for c in ("P", "BETA", "SE") if c in df.columns]
-        return _side(first_by(df, [f"Feature{i}", *key], order), i, key)
+        own = [c for c in (f"dataset{i}", f"Feature{i}") if c in df.columns]
+        return _side(first_by(df, [*own, *key], order), i, key)
+
+    return slim(a, 1).join(slim(b, 2), key)
 
-    return slim(a, 1).join(slim(b, 2), key).withColumn("Pair", pair_key())
 
+def _named(df: DataFrame, keys: tuple[str, ...] | None) -> tuple[str, ...]:
+    """The columns that name a pair: those of KEYS that the table has, unless others are given."""
+    return keys or tuple(k for k in KEYS if k in df.columns)
 
-def _sdy2(i: int, pair: WindowSpec) -> Column:
+
+def _sdy2(i: int) -> Column:
     """Squared trait sd of a pair's side: through-origin slope of 2N f(1-f) on 1/varbeta."""
     x = F.lit(1.0) / F.col(f"F{i}_varbeta")
     f = F.col(f"F{i}_AF")
     y = F.lit(2.0) * F.col(f"F{i}_N") * f * (F.lit(1.0) - f)
-    return F.try_divide(F.sum(x * y).over(pair), F.sum(x * x).over(pair))
+    return F.try_divide(F.sum(x * y), F.sum(x * x))
 
 
 def _lbf(i: int, kind: str, by_effect: bool, n: float | None, s: float | None) -> Column:
@@ -112,23 +149,25 @@ def _lbf(i: int, kind: str, by_effect: bool, n: float | None, s: float | None) -
 
 def abf_lbf(
     pairs: DataFrame, kinds: tuple[str, str] = ("cc", "quant"), n: tuple[float | None, float | None] = (None, None),
-    s: tuple[float | None, float | None] = (None, None), keys: tuple[str, ...] = ("Pair",),
+    s: tuple[float | None, float | None] = (None, None), keys: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Log approximate Bayes factors `lbf1`, `lbf2` of every variant of a pair.
 
     With BETA and varbeta a quantitative side takes its trait sd from the pair's own
-    variants (needs AF and N); with P, AF the variance comes from N. A pair has at most
-    one row per variant of its locus, so a window over it is small, and the posterior
-    sums that follow reuse its partitioning.
+    variants (needs AF and N), by sums that are combined on the map side; with P, AF the variance
+    comes from N. The pairs are written once for that, and read for the sums and for the rows.
     """
+    keys = _named(pairs, keys)
     effect = [f"F{i}_varbeta" in pairs.columns for i in (1, 2)]
     need = [i for i in (1, 2) if effect[i - 1] and kinds[i - 1] == "quant"]
     for i in need:
         if f"F{i}_N" not in pairs.columns:
             pairs = pairs.withColumn(f"F{i}_N", F.lit(float(n[i - 1])))
     if need:
-        pair = Window.partitionBy(*keys)
-        pairs = pairs.withColumns({f"_sdy{i}": _sdy2(i, pair) for i in need})
+        pairs = settle(pairs)
+        sd = pairs.groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(*[_sdy2(i).alias(f"_sdy{i}") for i in need])
+        same = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
+        pairs = pairs.join(sd, reduce(and_, same)).drop(*[f"_k{j}" for j in range(len(keys))])
     out = pairs.withColumns(
         {f"lbf{i}": _lbf(i, kinds[i - 1], effect[i - 1], n[i - 1], s[i - 1]) for i in (1, 2)}
     )
@@ -137,7 +176,7 @@ def abf_lbf(
 
 def coloc_abf(
     lbf: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12: float = 1e-5,
-    keys: tuple[str, ...] = ("Pair",),
+    keys: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Posterior of the five hypotheses per pair, and the pair's best variant.
 
@@ -145,8 +184,9 @@ def coloc_abf(
     and the ratio null for a single-variant pair. Ties for the best variant go to the
     lower SNPID.
     """
+    keys = _named(lbf, keys)
     both = F.col("lbf1") + F.col("lbf2")
-    top = F.struct((-both).alias("neg"), *[F.col(c) for c in ("SNPID", "Chromosome", "Position", "Feature1", "Feature2")])
+    top = F.struct((-both).alias("neg"), *[F.col(c) for c in ("SNPID", "Chromosome", "Position")])
     g = log_sum_exp(
         lbf, list(keys), {"s1": F.col("lbf1"), "s2": F.col("lbf2"), "s12": both},
         extra=[F.count("*").alias("_n"), F.min(top).alias("_top")],
@@ -168,7 +208,7 @@ def coloc_abf(
     total = sum((F.col(f"_w{i}") for i in range(1, 5)), F.col("_w0"))
     g = g.withColumns({f"PPH{i}": F.col(f"_w{i}") / total for i in range(5)})
     return g.select(
-        *keys, "_top.Feature1", "_top.Feature2", "_top.Chromosome", "nsnps", *[f"PPH{i}" for i in range(5)],
+        *keys, "_top.Chromosome", "nsnps", *[f"PPH{i}" for i in range(5)],
         F.try_divide("PPH4", "PPH3").alias("PPH4_PPH3"),
         F.col("_top.SNPID").alias("SNPID"), F.col("_top.Position").alias("Position"),
         F.exp(-F.col("_top.neg") - F.col("s12")).alias("SNP_PP_H4"), F.lit("abf").alias("METHOD"),
@@ -176,8 +216,9 @@ def coloc_abf(
     )
 
 
-def coloc_full(lbf: DataFrame, summary: DataFrame, keys: tuple[str, ...] = ("Pair",)) -> DataFrame:
+def coloc_full(lbf: DataFrame, summary: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
     """All variants of all pairs with SNP.PP.H4 and the pair's posteriors."""
+    keys = _named(lbf, keys)
     pp = summary.select(*keys, *[f"PPH{i}" for i in range(5)], "PPH4_PPH3", "METHOD", "_s12")
     return (
         lbf.join(pp, list(keys))
@@ -190,6 +231,22 @@ def coloc_full(lbf: DataFrame, summary: DataFrame, keys: tuple[str, ...] = ("Pai
 METHODS: dict[str, Callable[..., DataFrame]] = {"abf": coloc_abf}
 
 
+def colocalise(
+    trait: DataFrame, qtl: DataFrame, blocks: DataFrame, kinds: tuple[str, str] = ("cc", "quant"),
+    n: tuple[float | None, float | None] = (None, None), s: tuple[float | None, float | None] = (None, None),
+    threshold: float | None = 5e-8, width: int = 1_000_000, method: str = "abf", **priors: float,
+) -> tuple[DataFrame, DataFrame]:
+    """(Bayes factors of all shared variants, posteriors per pair) of all studies against all cell types.
+
+    From association rows (dataset, variant, statistics) and QTL rows (CELL, GENEID, variant, statistics):
+    loci with a hit, QTLs at their sites, shared variants, Bayes factors, posteriors.
+    """
+    side1 = settle(trait_loci(prepare(trait, kinds[0], n[0], s[0]), blocks, width, threshold))
+    side2 = qtl_loci(prepare(qtl, kinds[1], n[1], s[1]), blocks, side1, width)
+    lbf = settle(abf_lbf(coloc_intersect(side1, side2), kinds, n, s))
+    return lbf, METHODS[method](lbf, **priors)
+
+
 def coloc_min_p12(
     summary: DataFrame, p1: float = 1e-4, p2: float = 1e-4, p12: float = 1e-5, points: int = 100
 ) -> DataFrame:
@@ -197,7 +254,8 @@ def coloc_min_p12(
 
     Only for pairs with PPH4 >= 0.5; the prior of H0 shrinks as p12 grows. H4 beats the
     rest where slope * p12 > rest, which is linear, so the grid point is computed and
-    not searched.
+    not searched. It must be over by a billionth: pairs of two variants with equal factors tie
+    at p1 * p2.
     """
     lo, hi = math.log10(p1 * p2), math.log10(min(p1, p2))
     step = (hi - lo) / (points - 1)
@@ -205,7 +263,7 @@ def coloc_min_p12(
     free = F.lit(1.0) - n * (p1 + p2) - n * (n - 1) * (p1 * p2)
     scale = F.col("PPH0") / (free - n * p12)
     slope = F.col("PPH4") / p12 + scale * n
-    rest = scale * free + F.col("PPH1") + F.col("PPH2") + F.col("PPH3")
+    rest = (scale * free + F.col("PPH1") + F.col("PPH2") + F.col("PPH3")) * (1 + 1e-9)
     first = F.pow(F.lit(10.0), F.lit(lo))
     # index of the first grid point strictly above rest / slope
     index = F.greatest(F.floor((F.log10(rest / slope) - lo) / step) + 1, F.lit(0))

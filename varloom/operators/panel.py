@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from varloom.functions.frames import first_by, point_in_interval
+from varloom.functions.frames import first_by, point_in_interval, spread_nulls
 from varloom.functions.scalars import (
     FLIP_NOTES,
     NOTE_ORDER,
@@ -169,8 +169,8 @@ def annotate_rsid(df: DataFrame, panel: DataFrame, distinct: bool = True) -> Dat
         df = df.withColumnRenamed("RSID", "Original_RSID")
     else:
         df = df.withColumn("Original_RSID", F.lit(None).cast("string"))
-    ids = panel.groupBy("SNPID").agg(F.min("RSID").alias("RSID"))
-    out = df.join(ids, "SNPID", "left")
+    ids = panel.groupBy(F.col("SNPID").alias("_id")).agg(F.min("RSID").alias("RSID"))
+    out = df.withColumn("_key", spread_nulls(F.col("SNPID"))).join(ids, F.col("_key") == F.col("_id"), "left").drop("_id", "_key")
     if not distinct:
         return out
     keys = [c for c in out.columns if c not in ("Original_RSID", "RSID")]
@@ -310,9 +310,10 @@ def translate_ids_snp(df: DataFrame, panel: DataFrame, column: str = "SNPID", to
     """RSID of a SNPID, or the SNPID itself when the panel lacks it."""
     ids = panel.groupBy(F.col("SNPID").alias("_id")).agg(F.min("RSID").alias("_rs"))
     return (
-        df.join(ids, F.col(column) == F.col("_id"), "left")
+        df.withColumn("_key", spread_nulls(F.col(column)))
+        .join(ids, F.col("_key") == F.col("_id"), "left")
         .withColumn(to, F.coalesce("_rs", column))
-        .drop("_id", "_rs")
+        .drop("_id", "_rs", "_key")
     )
 
 

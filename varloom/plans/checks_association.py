@@ -344,6 +344,14 @@ def _(t):
     return ingest.quarantine_bad(t.raw_gwas.select("line", "Position", "P"), ["Position", "P"])[1]
 
 
+@query(
+    "quarantine_good",
+    """SELECT line, Position, P FROM {raw_gwas} WHERE regexp_matches(Position, '^[0-9]+(\\.0)?$') AND try_cast(P AS DOUBLE) IS NOT NULL""",
+)
+def _(t):
+    return ingest.quarantine_bad(t.raw_gwas.select("line", "Position", "P"), ["Position", "P"])[0]
+
+
 @query(
     "recode_chromosome",
     """SELECT line, CASE WHEN c IN ('True') THEN '1' WHEN c = '23' THEN 'X' WHEN c = '24' THEN 'Y' ELSE nullif(c, '') END AS Chromosome
@@ -711,11 +719,11 @@ def _(t):
 
 @query(
     "translate_ids_snp",
-    """SELECT q.CELL, q.GENEID, q.SNPID, coalesce(p.RSID, q.SNPID) AS SNP FROM {qtl} q LEFT JOIN
-       (SELECT SNPID, min(RSID) AS RSID FROM {panel} WHERE REF = 'A' GROUP BY SNPID) p ON q.SNPID = p.SNPID""",
+    """SELECT q.CELL, q.GENEID, q.SNPID, coalesce(p.RSID, q.SNPID) AS SNP FROM {qtl_new} q LEFT JOIN
+       (SELECT SNPID, min(RSID) AS RSID FROM {panel} GROUP BY SNPID) p ON q.SNPID = p.SNPID""",
 )
 def _(t):
-    return panel.translate_ids_snp(t.qtl.select("CELL", "GENEID", "SNPID"), t.panel.filter("REF = 'A'"))
+    return panel.translate_ids_snp(t.qtl_new.select("CELL", "GENEID", "SNPID"), t.panel)
 
 
 ZIN = """SELECT dataset, RSID, CASE WHEN AF < 0.3 THEN NEA WHEN AF < 0.5 THEN translate(EA, 'ACGT', 'TGCA') WHEN AF < 0.55 THEN 'N' ELSE EA END AS A1,
@@ -760,11 +768,11 @@ def _(t):
 
 @query(
     "qtl_convert_id",
-    """SELECT q.CELL, q.GENEID, q.SNPID, q.BETA, p.RSID AS varID FROM {qtl} q JOIN
-       (SELECT SNPID, min(RSID) AS RSID FROM {panel} WHERE ALT <> 'C' GROUP BY SNPID) p ON q.SNPID = p.SNPID""",
+    """SELECT q.CELL, q.GENEID, q.SNPID, q.BETA, p.RSID AS varID FROM {qtl_new} q JOIN
+       (SELECT SNPID, min(RSID) AS RSID FROM {panel} GROUP BY SNPID) p ON q.SNPID = p.SNPID""",
 )
 def _(t):
-    return panel.qtl_convert_id(t.qtl.select("CELL", "GENEID", "SNPID", "BETA"), t.panel.filter("ALT <> 'C'"))
+    return panel.qtl_convert_id(t.qtl_new.select("CELL", "GENEID", "SNPID", "BETA"), t.panel)
 
 
 @query(

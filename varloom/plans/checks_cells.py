@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.operators import cells, clones, expression, reports, signatures
 from varloom.plans.checks_loci import CELLS
-from varloom.plans.checks_traits import rnd
+from varloom.plans.checks_traits import HITS, _hits, _t1, rnd
 from varloom.plans.registry import query
 from varloom.sources import readers
 
@@ -660,25 +660,24 @@ MAXC = {c: f"coalesce(max(CASE WHEN dataset2 = '{c}' THEN PPH4 END), 0.0D)" for
 
 @query(
     "coloc_matrix",
-    f"""WITH m AS (SELECT Feature2, coalesce(string_agg(DISTINCT CASE WHEN PPH4 >= 0.95 THEN dataset1 END, ', ' ORDER BY CASE WHEN PPH4 >= 0.95 THEN dataset1 END), '') AS datasets,
-          count(DISTINCT CASE WHEN PPH4 >= 0.95 THEN dataset1 END) AS Number_of_datasets, max(PPH4) AS Max_PPH4, {', '.join(f'{v} AS {q(c)}' for c, v in MAXC.items())} FROM {{coloc_hits}} GROUP BY Feature2)
+    f"""WITH {HITS}, m AS (SELECT Feature2, coalesce(string_agg(DISTINCT CASE WHEN PPH4 >= 0.8 THEN dataset1 END, ', ' ORDER BY CASE WHEN PPH4 >= 0.8 THEN dataset1 END), '') AS datasets,
+          count(DISTINCT CASE WHEN PPH4 >= 0.8 THEN dataset1 END) AS Number_of_datasets, max(PPH4) AS Max_PPH4, {', '.join(f'{v} AS {q(c)}' for c, v in MAXC.items())} FROM hits GROUP BY Feature2)
         SELECT Feature2, datasets, Number_of_datasets, round(Max_PPH4, 6) AS Max_PPH4, {', '.join(f'round({q(c)}, 6) AS {q(c)}' for c in CELLS)},
-          {' + '.join(f'CAST({q(c)} >= 0.95 AS INT)' for c in CELLS)} AS Number_of_celltypes FROM m WHERE Number_of_datasets > 0""",
+          {' + '.join(f'CAST({q(c)} >= 0.8 AS INT)' for c in CELLS)} AS Number_of_celltypes FROM m WHERE Number_of_datasets > 0""",
 )
 def _(t):
-    return rnd(reports.coloc_matrix(t.coloc_hits, CELLS, 0.95), 6, "Max_PPH4", *CELLS)
+    return rnd(reports.coloc_matrix(_hits(t), CELLS), 6, "Max_PPH4", *CELLS)
 
 
 @query(
     "coloc_by_block",
-    f"""WITH b AS (SELECT Feature1, count(*) AS n_snps FROM {{coloc_hits}} WHERE dataset1 = 'GCST1' GROUP BY Feature1)
+    f"""WITH {HITS}, b AS (SELECT Feature1, count(DISTINCT SNPID) AS n_snps FROM t1 WHERE P <= 5e-8 GROUP BY Feature1)
         SELECT h.Feature1, {', '.join(f"round(max(CASE WHEN dataset2 = '{c}' THEN PPH4 END), 6) AS {q(c)}" for c in CELLS)}, max(b.n_snps) AS n_snps
-        FROM {{coloc_hits}} h LEFT JOIN b ON h.Feature1 = b.Feature1 GROUP BY h.Feature1""",
+        FROM hits h LEFT JOIN b ON h.Feature1 = b.Feature1 GROUP BY h.Feature1""",
 )
 def _(t):
-    h = t.coloc_hits
-    blocks = h.filter("dataset1 = 'GCST1'").groupBy("Feature1").agg(F.count("*").alias("n_snps"))
-    return rnd(reports.coloc_by_block(h, blocks, CELLS), 6, *CELLS)
+    blocks = _t1(t).filter("P <= 5e-8").groupBy("Feature1").agg(F.count_distinct("SNPID").alias("n_snps"))
+    return rnd(reports.coloc_by_block(_hits(t), blocks, CELLS), 6, *CELLS)
 
 
 @query(
@@ -725,7 +724,7 @@ def pos_sql(c: str) -> str:
 
 
 OVR = """SELECT q.CELL, q.GENEID, q.SNPID, s.dataset, s.disease, round(-log10(min(s.P)), 6) AS GWAS_Lead_P, min(s.BETA) AS GWAS_Lead_BETA
-         FROM {qtl} q JOIN {sumstats} s ON q.SNPID = s.SNPID WHERE s.P <= 5e-8 AND q.P <= 1e-9 GROUP BY q.CELL, q.GENEID, q.SNPID, s.dataset, s.disease"""
+         FROM {qtl} q JOIN {sumstats} s ON q.SNPID = s.SNPID WHERE s.P <= 5e-8 GROUP BY q.CELL, q.GENEID, q.SNPID, s.dataset, s.disease"""
 
 
 @query(
@@ -746,22 +745,28 @@ LOCUS = (
 
 @query(
     "report_coloc",
-    f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY disease, dataset1, dataset2, split_part(Feature2, '_', 1) ORDER BY PPH4 DESC, sid) AS rn FROM
-           (SELECT c.*, p.RSID AS sid FROM {{coloc_hits}} c JOIN {{panel}} p ON c.SNPID = p.SNPID) x)
-        SELECT disease, dataset1 AS dataset, split_part(dataset2, '_', 1) AS Cell_name, split_part(dataset2, '_', 2) AS Cluster, split_part(Feature2, '_', 1) AS GENEID, sid AS SNPID, round(PPH4, 6) AS PPH4
-        FROM h WHERE rn = 1""",
-)
-def _(t):
-    out = reports.report_coloc(t.coloc_hits, t.panel, t.genes)
-    return rnd(out, 6, "PPH4").select("disease", "dataset", "Cell_name", "Cluster", "GENEID", "SNPID", "PPH4")
+    f"""WITH {HITS}, d AS (SELECT DISTINCT dataset, disease FROM {{sumstats}}),
+        h AS (SELECT *, row_number() OVER (PARTITION BY disease, dataset1, dataset2, split_part(Feature2, '_', 1) ORDER BY PPH4 DESC, sid) AS rn FROM
+           (SELECT c.*, d.disease, p.RSID AS sid FROM hits c JOIN d ON c.dataset1 = d.dataset JOIN {{panel}} p ON c.SNPID = p.SNPID) x)
+        SELECT h.disease, dataset1 AS dataset, split_part(dataset2, '_', 1) AS Cell_name, split_part(dataset2, '_', 2) AS Cluster, split_part(Feature2, '_', 1) AS GENEID,
+          coalesce(g.GENENAME, split_part(Feature2, '_', 1)) AS GENENAME, {LOCUS} AS locus, sid AS SNPID, {pos_sql('h.SNPID')} AS Position,
+          split_part(h.SNPID, ':', 3) AS REF, split_part(h.SNPID, ':', 4) AS ALT, round(PPH4, 6) AS PPH4, round(SNP_PP_H4, 6) AS SNP_PP_H4
+        FROM h LEFT JOIN {{genes}} g ON g.GENEID = split_part(Feature2, '_', 1) WHERE rn = 1""",
+)
+def _(t):
+    studies = t.sumstats.select(F.col("dataset").alias("dataset1"), "disease").distinct()
+    out = reports.report_coloc(_hits(t).join(studies, "dataset1"), t.panel, t.genes)
+    return rnd(out, 6, "PPH4", "SNP_PP_H4").select(
+        "disease", "dataset", "Cell_name", "Cluster", "GENEID", "GENENAME", "locus", "SNPID", "Position", "REF", "ALT", "PPH4", "SNP_PP_H4"
+    )
 
 
 @query(
     "report_coloc_locus",
-    f"""SELECT DISTINCT Feature1, {LOCUS} AS locus, {pos_sql('SNPID')} AS Position, split_part(SNPID, ':', 3) AS REF, split_part(SNPID, ':', 4) AS ALT FROM {{coloc_hits}}""",
+    f"""WITH {HITS} SELECT DISTINCT Feature1, {LOCUS} AS locus, {pos_sql('SNPID')} AS Position, split_part(SNPID, ':', 3) AS REF, split_part(SNPID, ':', 4) AS ALT FROM hits""",
 )
 def _(t):
-    return reports.report_coloc(t.coloc_hits, t.panel, best=False).select("Feature1", "locus", "Position", "REF", "ALT").distinct()
+    return reports.report_coloc(_hits(t), t.panel, best=False).select("Feature1", "locus", "Position", "REF", "ALT").distinct()
 
 
 FEAT = """SELECT 'ST' || CAST(o_custkey AS VARCHAR(12)) AS sample_name, o_orderpriority || o_orderstatus AS Feature FROM {orders} WHERE o_totalprice > 150000"""

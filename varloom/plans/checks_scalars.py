@@ -40,10 +40,10 @@ def _(t):
 @query(
     "fn_statistics",
     f"""SELECT dataset, SNPID, round(ln(0.5D + AF), 6) AS beta, round(BETA / SE, 6) AS z, round(abs(BETA / (SE + AF)), 6) AS se, round(1 / sqrt(1000.0D), 9) AS se_n,
-               round(1 / sqrt(2 * 1000.0D * AF * (1 - AF)), 6) AS se_maf, round({erfc_sql('(abs(BETA / SE / 4) / 1.4142135623730951D)')}, 9) AS p FROM {{sumstats}} WHERE BETA <> 0""",
+               round(1 / sqrt(2 * 1000.0D * AF * (1 - AF)), 6) AS se_maf, round({erfc_sql('(abs(BETA / SE / 4) / 1.4142135623730951D)')}, 9) AS p FROM {{sumstats}}""",
 )
 def _(t):
-    s = t.sumstats.filter("BETA <> 0").withColumns({"OR": F.lit(0.5) + F.col("AF"), "Z": F.col("SE") + F.col("AF"), "z4": F.col("BETA") / F.col("SE") / 4})
+    s = t.sumstats.withColumns({"OR": F.lit(0.5) + F.col("AF"), "Z": F.col("SE") + F.col("AF"), "z4": F.col("BETA") / F.col("SE") / 4})
     out = s.select(
         "dataset", "SNPID", sc.beta_from_or("OR").alias("beta"), sc.z_from_beta_se().alias("z"), sc.se_from_beta_z().alias("se"),
         sc.se_from_n(1000).alias("se_n"), sc.se_from_n_maf(1000, "AF").alias("se_maf"), sc.p_from_z("z4").alias("p"),

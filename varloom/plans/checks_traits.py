@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from varloom.operators import coloc, finemap, intervals
+from varloom.operators import coloc, finemap
 from varloom.plans.checks_loci import LD_SQL, _ld, lp
 from varloom.plans.registry import query
 from varloom.sources.sinks import settle
@@ -40,132 +40,138 @@ def _(t):
     return coloc.coloc_case2(t.sumstats, "cc", 1000, 0.3).select("dataset", "SNPID", lp().alias("P"), "AF")
 
 
-TRAIT1 = """SELECT s.dataset || '@' || b.Chromosome || ':' || CAST(b.Start AS VARCHAR(12)) || '-' || CAST(b.End_ AS VARCHAR(12)) AS Feature1,
-              s.Chromosome, s.Position, s.SNPID, s.P, s.BETA, s.SE, s.AF, s.SE * s.SE AS varbeta
-            FROM {sumstats} s JOIN {blocks} b ON s.Chromosome = b.Chromosome AND s.Position BETWEEN b.Start AND b.End_ WHERE s.SE > 0"""
-TRAIT2 = """SELECT GENEID AS Feature2, Chromosome, Position, SNPID, P, BETA, SE, MAF AS AF, SE * SE AS varbeta FROM {qtl} WHERE SE > 0 AND MAF > 0 AND MAF < 1"""
-INTER = f"""t1 AS ({TRAIT1}), t2 AS ({TRAIT2}),
-   d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Feature1, Chromosome, Position, SNPID ORDER BY P, BETA, SE) AS rn FROM t1) q WHERE rn = 1),
-   d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY Feature2, Chromosome, Position, SNPID ORDER BY P, BETA, SE) AS rn FROM t2) q WHERE rn = 1),
-   pr AS (SELECT d1.Feature1, d2.Feature2, d1.Feature1 || '_' || d2.Feature2 AS Pair, d1.Chromosome, d1.Position, d1.SNPID, d1.P AS F1_P, d1.BETA AS F1_BETA, d1.SE AS F1_SE,
+CK = "dataset1, dataset2, Feature1, Feature2"
+TRAIT1 = """SELECT dataset1, Feature1, Chromosome, Position, SNPID, P, BETA, SE, varbeta FROM (
+              SELECT s.dataset AS dataset1, b.Chromosome || ':' || CAST(b.Start AS VARCHAR(12)) || '-' || CAST(b.End_ AS VARCHAR(12)) AS Feature1,
+                s.Chromosome, s.Position, s.SNPID, s.P, s.BETA, s.SE, s.SE * s.SE AS varbeta,
+                min(s.P) OVER (PARTITION BY s.dataset, b.Chromosome, b.Start, b.End_) AS best
+              FROM {sumstats} s JOIN {blocks} b ON s.Chromosome = b.Chromosome AND s.Position BETWEEN b.Start AND b.End_ WHERE s.SE > 0) q WHERE best <= 5e-8"""
+TRAIT2 = """SELECT q.CELL AS dataset2, q.GENEID || '_' || b.Chromosome || ':' || CAST(b.Start AS VARCHAR(12)) || '-' || CAST(b.End_ AS VARCHAR(12)) AS Feature2,
+              q.Chromosome, q.Position, q.SNPID, q.P, q.BETA, q.SE, q.MAF AS AF, q.SE * q.SE AS varbeta
+            FROM {qtl_cis} q JOIN {blocks} b ON q.Chromosome = b.Chromosome AND q.Position BETWEEN b.Start AND b.End_ WHERE q.SE > 0 AND q.MAF > 0 AND q.MAF < 1"""
+INTER = f"""t1 AS MATERIALIZED ({TRAIT1}), t2 AS MATERIALIZED ({TRAIT2}),
+   d1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset1, Feature1, Chromosome, Position, SNPID ORDER BY P, BETA, SE) AS rn FROM t1) q WHERE rn = 1),
+   d2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset2, Feature2, Chromosome, Position, SNPID ORDER BY P, BETA, SE) AS rn FROM t2) q WHERE rn = 1),
+   pr AS MATERIALIZED (SELECT d1.dataset1, d2.dataset2, d1.Feature1, d2.Feature2, d1.Chromosome, d1.Position, d1.SNPID, d1.P AS F1_P, d1.BETA AS F1_BETA, d1.SE AS F1_SE,
            d1.varbeta AS F1_varbeta, d2.P AS F2_P, d2.BETA AS F2_BETA, d2.SE AS F2_SE, d2.AF AS F2_AF, d2.varbeta AS F2_varbeta
           FROM d1 JOIN d2 ON d1.Chromosome = d2.Chromosome AND d1.Position = d2.Position AND d1.SNPID = d2.SNPID)"""
+N_QTL = 500.0
 
 
 def _t1(t):
-    s = coloc.coloc_case1(t.sumstats, "cc")
-    placed = intervals.partition_by_block(s, t.blocks, width=20_000)
-    return placed.withColumn("Feature1", F.concat_ws("@", "dataset", "Loci"))
+    return coloc.trait_loci(coloc.coloc_case1(t.sumstats.drop("AF"), "cc"), t.blocks, width=20_000)
 
 
-def _t2(t):
-    return coloc.coloc_case1(t.qtl.withColumnRenamed("MAF", "AF").withColumnRenamed("GENEID", "Feature2"), "quant")
+def _t2(t, trait):
+    return coloc.qtl_loci(coloc.coloc_case1(t.qtl_cis.withColumnRenamed("MAF", "AF"), "quant"), t.blocks, trait, width=20_000)
 
 
 def _pairs(t):
-    return coloc.coloc_intersect(_t1(t), _t2(t))
+    trait = settle(_t1(t))
+    return coloc.coloc_intersect(trait, _t2(t, trait))
+
+
+@query("coloc_trait_loci", f"SELECT dataset1, Feature1, SNPID, round(varbeta, 9) AS varbeta FROM ({TRAIT1}) q")
+def _(t):
+    return rnd(_t1(t), 9, "varbeta").select("dataset1", "Feature1", "SNPID", "varbeta")
 
 
 @query(
     "coloc_pairs",
-    f"""WITH t1 AS (SELECT * FROM ({TRAIT1}) q WHERE P <= 2e-7), t2 AS (SELECT * FROM ({TRAIT2}) q WHERE P <= 2e-11)
-        SELECT t1.Feature1 || '_' || t2.Feature2 AS Pair, t1.Position, t1.SNPID, t2.SNPID AS SNPID_2, t1.BETA AS F1_BETA, t2.BETA AS F2_BETA
+    f"""WITH t1 AS ({TRAIT1}), t2 AS ({TRAIT2})
+        SELECT {CK}, t1.Position, t1.SNPID, t2.SNPID AS SNPID_2, t1.BETA AS F1_BETA, t2.BETA AS F2_BETA
         FROM t1 JOIN t2 ON t1.Chromosome = t2.Chromosome AND t1.Position = t2.Position""",
 )
 def _(t):
-    out = coloc.coloc_pairs(_t1(t).filter("P <= 2e-7"), _t2(t).filter("P <= 2e-11"))
-    return out.select("Pair", "Position", "SNPID", "SNPID_2", "F1_BETA", "F2_BETA")
+    trait = settle(_t1(t))
+    return coloc.coloc_pairs(trait, _t2(t, trait)).select(*coloc.KEYS, "Position", "SNPID", "SNPID_2", "F1_BETA", "F2_BETA")
 
 
 @query(
     "coloc_intersect",
-    f"WITH {INTER} SELECT Pair, SNPID, F1_BETA, F1_SE, F2_BETA, F2_SE, round(-log10(F2_P), 6) AS F2_P FROM pr",
+    f"WITH {INTER} SELECT {CK}, SNPID, F1_BETA, F1_SE, F2_BETA, F2_SE, round(-log10(F2_P), 6) AS F2_P FROM pr",
 )
 def _(t):
-    return _pairs(t).select("Pair", "SNPID", "F1_BETA", "F1_SE", "F2_BETA", "F2_SE", lp("F2_P").alias("F2_P"))
+    return _pairs(t).select(*coloc.KEYS, "SNPID", "F1_BETA", "F1_SE", "F2_BETA", "F2_SE", lp("F2_P").alias("F2_P"))
 
 
 LBF = f"""{INTER},
-   sd AS (SELECT Pair, sum((1.0D / F2_varbeta) * (2.0D * 500.0D * F2_AF * (1.0D - F2_AF))) / sum((1.0D / F2_varbeta) * (1.0D / F2_varbeta)) AS s2 FROM pr GROUP BY Pair),
-   rr AS (SELECT pr.*, 0.04D / (0.04D + F1_varbeta) AS r1, (0.0225D * s2) / (0.0225D * s2 + F2_varbeta) AS r2 FROM pr JOIN sd ON pr.Pair = sd.Pair),
-   lb AS (SELECT Feature1, Feature2, Pair, Chromosome, Position, SNPID, 0.5D * (ln(1.0D - r1) + r1 * F1_BETA * F1_BETA / F1_varbeta) AS lbf1,
+   sd AS (SELECT {CK}, sum((1.0D / F2_varbeta) * (2.0D * {N_QTL}D * F2_AF * (1.0D - F2_AF))) / sum((1.0D / F2_varbeta) * (1.0D / F2_varbeta)) AS s2 FROM pr GROUP BY {CK}),
+   rr AS (SELECT pr.*, 0.04D / (0.04D + F1_varbeta) AS r1, (0.0225D * s2) / (0.0225D * s2 + F2_varbeta) AS r2 FROM pr JOIN sd USING ({CK})),
+   lb AS MATERIALIZED (SELECT {CK}, Chromosome, Position, SNPID, 0.5D * (ln(1.0D - r1) + r1 * F1_BETA * F1_BETA / F1_varbeta) AS lbf1,
             0.5D * (ln(1.0D - r2) + r2 * F2_BETA * F2_BETA / F2_varbeta) AS lbf2 FROM rr)"""
 
 
-def _lbf(t):
-    return coloc.abf_lbf(_pairs(t), ("cc", "quant"), n=(None, 500.0))
+def _coloc(t):
+    """Bayes factors and posteriors of all studies, cell types, loci and genes."""
+    return coloc.colocalise(t.sumstats.drop("AF"), t.qtl_cis.withColumnRenamed("MAF", "AF"), t.blocks, n=(None, N_QTL), width=20_000)
 
 
-@query("abf_lbf", f"WITH {LBF} SELECT Pair, SNPID, round(lbf1, 6) AS lbf1, round(lbf2, 6) AS lbf2 FROM lb")
+@query("abf_lbf", f"WITH {LBF} SELECT {CK}, SNPID, round(lbf1, 6) AS lbf1, round(lbf2, 6) AS lbf2 FROM lb")
 def _(t):
-    return rnd(_lbf(t), 6, "lbf1", "lbf2").select("Pair", "SNPID", "lbf1", "lbf2")
+    return rnd(coloc.abf_lbf(_pairs(t), n=(None, N_QTL)), 6, "lbf1", "lbf2").select(*coloc.KEYS, "SNPID", "lbf1", "lbf2")
 
 
 ABF = f"""{LBF},
-   mx AS (SELECT *, max(lbf1) OVER w AS m1, max(lbf2) OVER w AS m2, max(lbf1 + lbf2) OVER w AS m12 FROM lb WINDOW w AS (PARTITION BY Pair)),
-   ls AS (SELECT Pair, Feature1, Feature2, count(*) AS nsnps, max(m1) + ln(sum(exp(lbf1 - m1))) AS s1, max(m2) + ln(sum(exp(lbf2 - m2))) AS s2,
+   mx AS (SELECT *, max(lbf1) OVER w AS m1, max(lbf2) OVER w AS m2, max(lbf1 + lbf2) OVER w AS m12 FROM lb WINDOW w AS (PARTITION BY {CK})),
+   ls AS (SELECT {CK}, count(*) AS nsnps, max(m1) + ln(sum(exp(lbf1 - m1))) AS s1, max(m2) + ln(sum(exp(lbf2 - m2))) AS s2,
             max(m12) + ln(sum(exp(lbf1 + lbf2 - m12))) AS s12, max(m12) AS top, arg_min(SNPID, (-(lbf1 + lbf2), SNPID)) AS SNPID,
-            arg_min(Position, (-(lbf1 + lbf2), SNPID)) AS Position, min(Chromosome) AS Chromosome FROM mx GROUP BY Pair, Feature1, Feature2),
+            arg_min(Position, (-(lbf1 + lbf2), SNPID)) AS Position, min(Chromosome) AS Chromosome FROM mx GROUP BY {CK}),
    hh AS (SELECT *, ln(1e-4D) + s1 AS l1, ln(1e-4D) + s2 AS l2, ln(1e-5D) + s12 AS l4,
             CASE WHEN nsnps > 1 AND 1.0D - exp(s12 - s1 - s2) > 1e-12 THEN 2 * ln(1e-4D) + s1 + s2 + ln(1.0D - exp(s12 - s1 - s2)) END AS l3 FROM ls),
    ww AS (SELECT *, greatest(0.0D, l1, l2, coalesce(l3, -1e9D), l4) AS m FROM hh),
    pw AS (SELECT *, exp(-m) AS w0, exp(l1 - m) AS w1, exp(l2 - m) AS w2, CASE WHEN l3 IS NULL THEN 0.0D ELSE exp(l3 - m) END AS w3, exp(l4 - m) AS w4 FROM ww),
    pp AS (SELECT *, w0 + w1 + w2 + w3 + w4 AS tot FROM pw),
-   sm AS (SELECT Pair, Feature1, Feature2, Chromosome, nsnps, w0 / tot AS PPH0, w1 / tot AS PPH1, w2 / tot AS PPH2, w3 / tot AS PPH3, w4 / tot AS PPH4,
+   sm AS MATERIALIZED (SELECT {CK}, Chromosome, nsnps, w0 / tot AS PPH0, w1 / tot AS PPH1, w2 / tot AS PPH2, w3 / tot AS PPH3, w4 / tot AS PPH4,
             CASE WHEN w3 > 0 THEN w4 / w3 END AS ratio, SNPID, Position, exp(top - s12) AS SNP_PP_H4, s12 FROM pp)"""
-
-
-def _abf(t):
-    return coloc.coloc_abf(_lbf(t))
-
-
 PPH = "round(PPH0, 6) AS PPH0, round(PPH1, 6) AS PPH1, round(PPH2, 6) AS PPH2, round(PPH3, 6) AS PPH3, round(PPH4, 6) AS PPH4"
 PPC = [f"PPH{i}" for i in range(5)]
 
 
 @query(
     "coloc_abf",
-    f"""WITH {ABF} SELECT Feature1, Feature2, Chromosome, nsnps, {PPH}, PPH3 = 0 AS no_ratio, SNPID, Position, round(SNP_PP_H4, 6) AS SNP_PP_H4, 'abf' AS METHOD FROM sm""",
+    f"""WITH {ABF} SELECT {CK}, Chromosome, nsnps, {PPH}, PPH3 = 0 AS no_ratio, SNPID, Position, round(SNP_PP_H4, 6) AS SNP_PP_H4, 'abf' AS METHOD FROM sm""",
 )
 def _(t):
-    out = rnd(_abf(t), 6, *PPC, "SNP_PP_H4").withColumn("no_ratio", F.col("PPH4_PPH3").isNull())
-    return out.select("Feature1", "Feature2", "Chromosome", "nsnps", *PPC, "no_ratio", "SNPID", "Position", "SNP_PP_H4", "METHOD")
+    out = rnd(_coloc(t)[1], 6, *PPC, "SNP_PP_H4").withColumn("no_ratio", F.col("PPH4_PPH3").isNull())
+    return out.select(*coloc.KEYS, "Chromosome", "nsnps", *PPC, "no_ratio", "SNPID", "Position", "SNP_PP_H4", "METHOD")
 
 
 @query(
     "coloc_full",
-    f"""WITH {ABF.replace(' lb AS (', ' lb AS MATERIALIZED (').replace(' sm AS (', ' sm AS MATERIALIZED (')} SELECT lb.Pair, lb.SNPID, {PPH}, round(exp(lb.lbf1 + lb.lbf2 - sm.s12), 6) AS SNP_PP_H4 FROM lb JOIN sm ON lb.Pair = sm.Pair""",
+    f"""WITH {ABF} SELECT {CK}, lb.SNPID, {PPH}, round(exp(lb.lbf1 + lb.lbf2 - sm.s12), 6) AS SNP_PP_H4 FROM lb JOIN sm USING ({CK})""",
 )
 def _(t):
-    lbf = settle(_lbf(t))
-    out = coloc.coloc_full(lbf, coloc.coloc_abf(lbf))
-    return rnd(out, 6, *PPC, "SNP_PP_H4").select("Pair", "SNPID", *PPC, "SNP_PP_H4")
+    out = coloc.coloc_full(*_coloc(t))
+    return rnd(out, 6, *PPC, "SNP_PP_H4").select(*coloc.KEYS, "SNPID", *PPC, "SNP_PP_H4")
 
 
-@query(
-    "filter_coloc",
-    """SELECT dataset1, dataset2, Feature1, Feature2, SNPID, round(PPH4, 6) AS PPH4 FROM {coloc_hits} WHERE PPH4 >= 0.5 AND (PPH3 = 0 OR PPH4 / PPH3 >= 5)""",
-)
+HITS = f"{ABF}, hits AS (SELECT * FROM sm WHERE PPH4 >= 0.5 AND (ratio IS NULL OR ratio >= 5))"
+
+
+def _hits(t):
+    """Pairs that colocalise, as the reports take them."""
+    return coloc.filter_coloc(_coloc(t)[1])
+
+
+@query("filter_coloc", f"WITH {HITS} SELECT {CK}, SNPID, round(PPH4, 6) AS PPH4 FROM hits")
 def _(t):
-    df = t.coloc_hits.withColumn("PPH4_PPH3", F.try_divide("PPH4", "PPH3"))
-    return rnd(coloc.filter_coloc(df), 6, "PPH4").select("dataset1", "dataset2", "Feature1", "Feature2", "SNPID", "PPH4")
+    return rnd(_hits(t), 6, "PPH4").select(*coloc.KEYS, "SNPID", "PPH4")
 
 
 GRID = ", ".join(f"pow(10.0D, -8.0D + {i} * 4.0D / 99)" for i in range(100))
-HITS = "SELECT line, PPH4, PPH3, (1.0 - PPH4 - PPH3) / 2 AS PPH0, (1.0 - PPH4 - PPH3) / 4 AS PPH1, (1.0 - PPH4 - PPH3) / 4 AS PPH2, CAST(5 + line % 40 AS BIGINT) AS nsnps FROM {coloc_hits}"
 
 
 @query(
     "coloc_min_p12",
-    f"""WITH h AS ({HITS}), g AS (SELECT unnest([{GRID}]) AS p),
-        k AS (SELECT *, nsnps * (1e-4D + 1e-4D) + nsnps * (nsnps - 1) * 1e-8D AS fx FROM h WHERE PPH4 >= 0.5),
-        m AS (SELECT line, PPH4, PPH3, nsnps, min(g.p) AS p FROM k, g WHERE PPH4 * g.p / 1e-5D >
-              PPH0 * (1.0D - fx - nsnps * g.p) / (1.0D - fx - nsnps * 1e-5D) + PPH1 + PPH2 + PPH3 GROUP BY line, PPH4, PPH3, nsnps)
-        SELECT h.line, round(log10(min(m.p)), 6) AS log_p12, count(*) AS n FROM h LEFT JOIN m ON h.line = m.line AND h.PPH4 = m.PPH4 AND h.PPH3 = m.PPH3 GROUP BY h.line""",
+    f"""WITH {ABF}, g AS (SELECT unnest([{GRID}]) AS p),
+        k AS (SELECT *, nsnps * (1e-4D + 1e-4D) + nsnps * (nsnps - 1) * 1e-8D AS fx FROM sm WHERE PPH4 >= 0.5),
+        m AS (SELECT {CK}, min(g.p) AS p FROM k, g WHERE PPH4 * g.p / 1e-5D + PPH0 * nsnps * g.p / (1.0D - fx - nsnps * 1e-5D) >
+              1.000000001D * (PPH0 * (1.0D - fx) / (1.0D - fx - nsnps * 1e-5D) + PPH1 + PPH2 + PPH3) GROUP BY {CK})
+        SELECT {CK}, round(log10(m.p), 6) AS log_p12 FROM sm LEFT JOIN m USING ({CK})""",
 )
 def _(t):
-    out = coloc.coloc_min_p12(t.sql(HITS))
-    return out.groupBy("line").agg(F.round(F.log10(F.min("min_p12")), 6).alias("log_p12"), F.count("*").alias("n"))
+    return coloc.coloc_min_p12(_coloc(t)[1]).select(*coloc.KEYS, F.round(F.log10("min_p12"), 6).alias("log_p12"))
 
 
 # --- fine-mapping ------------------------------------------------------------
@@ -273,31 +279,48 @@ def _(t):
 @query(
     "gene_annotate",
     """SELECT q.CELL, q.GENEID, q.SNPID, g.GENENAME, g.Chromosome AS gene_chrom, CAST(floor((g.Start + g.End_) / 2.0) AS BIGINT) AS gene_pos
-       FROM (SELECT CELL, GENEID, SNPID FROM {qtl}) q LEFT JOIN (SELECT * FROM {genes} WHERE gene_type = 'lincRNA') g ON q.GENEID = g.GENEID""",
+       FROM (SELECT CELL, GENEID, SNPID FROM {qtl_new}) q LEFT JOIN {genes} g ON q.GENEID = g.GENEID""",
 )
 def _(t):
-    return finemap.gene_annotate(t.qtl.select("CELL", "GENEID", "SNPID"), t.genes.filter("gene_type = 'lincRNA'"))
+    return finemap.gene_annotate(t.qtl_new.select("CELL", "GENEID", "SNPID"), t.genes)
 
 
 @query(
     "ld_long_extract",
-    f"""WITH r AS ({LDR}), k AS (SELECT DISTINCT SNPID AS v, GENEID AS gene FROM {{qtl}} WHERE P <= 1e-9)
+    f"""WITH r AS ({LDR}), k AS (SELECT DISTINCT SNPID AS v, GENEID AS gene FROM {{qtl}})
         SELECT a.gene, r.id1, r.id2, r.r FROM r JOIN k a ON r.id1 = a.v JOIN k b ON r.id2 = b.v AND a.gene = b.gene""",
 )
 def _(t):
-    k = t.qtl.filter("P <= 1e-9").select(F.col("SNPID").alias("varID"), F.col("GENEID").alias("gene"))
+    k = t.qtl.select(F.col("SNPID").alias("varID"), F.col("GENEID").alias("gene"))
     return finemap.ld_long_extract(t.sql(LDR), k, k)
 
 
+QW = """w AS (SELECT q.GENEID AS gene, q.SNPID AS varID, max(q.BETA) AS weight FROM {qtl} q JOIN {genes} g ON q.GENEID = g.GENEID WHERE g.gene_type = 'protein_coding' GROUP BY q.GENEID, q.SNPID)"""
+
+
 @query(
     "weights_from_qtl",
-    """WITH w AS (SELECT GENEID AS gene, SNPID AS varID, max(BETA) AS weight FROM {qtl} GROUP BY GENEID, SNPID)
-       SELECT w.gene, g.GENENAME AS genename, g.gene_type, count(*) AS n_snps FROM w JOIN {genes} g ON w.gene = g.GENEID WHERE g.gene_type = 'protein_coding' GROUP BY ALL""",
+    f"WITH {QW} SELECT gene, varID, weight FROM w",
 )
 def _(t):
+    return _weights(t)[0]
+
+
+@query("weights_from_qtl_genes", f"WITH {QW} SELECT w.gene, g.GENENAME AS genename, g.gene_type, count(*) AS n_snps FROM w JOIN {{genes}} g ON w.gene = g.GENEID GROUP BY ALL")
+def _(t):
+    return _weights(t)[1]
+
+
+@query("weights_from_qtl_covariances", f"WITH {QW}, r AS ({LDR}) SELECT a.gene, r.id1, r.id2, r.r FROM r JOIN w a ON r.id1 = a.varID JOIN w b ON r.id2 = b.varID AND a.gene = b.gene")
+def _(t):
+    return _weights(t)[2]
+
+
+def _weights(t):
+    """Weights, genes and covariances of the genes that code for proteins."""
     w = t.qtl.groupBy(F.col("GENEID").alias("gene"), F.col("SNPID").alias("varID")).agg(F.max("BETA").alias("weight"))
     g = t.genes.filter("gene_type = 'protein_coding'").select(F.col("GENEID").alias("gene"), F.col("GENENAME").alias("genename"), "gene_type")
-    return finemap.weights_from_qtl(w, g, t.sql(LDR))[1]
+    return finemap.weights_from_qtl(w, g, t.sql(LDR))
 
 
 SHARE = "SELECT l_returnflag AS group_label, 'c' || CAST(l_linenumber AS VARCHAR(2)) AS category, sum(l_quantity) AS pve FROM {lineitem} GROUP BY l_returnflag, l_linenumber"

@@ -107,7 +107,18 @@ SELECT l_returnflag || l_linestatus || '_' || CAST(l_linenumber % 2 AS VARCHAR(2
 FROM {lineitem} JOIN {variant} v ON v.vid = l_partkey
 """
 
-# The same with variants that no panel has and genes that no annotation has.
+# QTLs in cis: two genes in every block of 20 kb.
+VIEWS["qtl_cis"] = """
+SELECT l_returnflag || l_linestatus || '_' || CAST(l_linenumber % 2 AS VARCHAR(2)) AS CELL,
+       'ENSG' || lpad(CAST(2 * (CAST(v.Chromosome AS INT) + 22 * CAST(floor((v.Position - 10000) / 20000.0) AS BIGINT)) + l_suppkey % 2 AS VARCHAR(11)), 11, '0') AS GENEID,
+       v.Chromosome, v.Position,
+       v.Chromosome || ':' || CAST(v.Position AS VARCHAR(12)) || ':' || v.REF || ':' || v.ALT AS SNPID,
+       pow(10.0, -l_quantity / 4.0) AS P, round((l_tax - 0.04) * 10.0, 4) AS BETA, round(0.02 + l_discount, 4) AS SE,
+       CAST(l_partkey % 49 + 1 AS DOUBLE) / 100 AS MAF
+FROM {lineitem} JOIN {variant} v ON v.vid = l_partkey
+"""
+
+# QTLs with variants that no panel has and genes that no annotation has.
 VIEWS["qtl_new"] = """
 SELECT CELL, CASE WHEN Position % 7 = 0 THEN 'ENSX' || substr(GENEID, 5) ELSE GENEID END AS GENEID, GENENAME, Chromosome, Position,
        CASE WHEN Position % 11 = 0 THEN Chromosome || ':' || CAST(Position + 1 AS VARCHAR(12)) || ':A:G' ELSE SNPID END AS SNPID, P, BETA, SE, MAF
