@@ -142,7 +142,7 @@ def test_ld_with_many_donors_and_missing_calls(spark):
 def test_est_group_prior(spark):
     rng = np.random.default_rng(4)
     rows = [("g%d" % (i % 2), f"r{i % 17}", float(rng.normal() * (3 if i % 9 == 0 else 1))) for i in range(400)]
-    got = finemap.est_group_prior(spark.createDataFrame(rows, "grp string, region_id string, z double"), iters=5, tol=0.0)
+    got = finemap.est_group_prior(spark.createDataFrame(rows, "grp string, region_id string, z double"), "independent", 2, 3, 1, 1, 0, 0.0, tol=0.0)
     pi, var = {"g0": 0.01, "g1": 0.01}, {"g0": 10.0, "g1": 10.0}
     for _ in range(5):
         pip = {}

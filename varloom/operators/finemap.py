@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import tiled_running
-from varloom.functions.logsum import log_sum_exp
+from varloom.functions.logsum import STEP, log_sum_exp
 from varloom.sources.sinks import settle
 
 
@@ -51,61 +51,115 @@ def ln_bf(z: Column, var: Column) -> Column:
     return F.lit(-0.5) * F.ln(F.lit(1.0) + var) + F.lit(0.5) * z * z * var / (F.lit(1.0) + var)
 
 
-def _posterior(df: DataFrame, prior: DataFrame, region: list[str], write: bool = True) -> DataFrame:
+def _posterior(df: DataFrame, prior: DataFrame, region: list[str]) -> DataFrame:
     """Rows with `_lw` (log prior x BF), the region's ln sum and the single-effect pip."""
     rows = df.join(prior.select("grp", "pi", "var"), "grp").withColumn(
         "_lw", F.ln("pi") + ln_bf(F.col("z"), F.col("var"))
     )
-    total = log_sum_exp(rows, region, {"_ls": F.col("_lw")})
-    total = settle(total) if write else total
+    total = settle(log_sum_exp(rows, region, {"_ls": F.col("_lw")}))
     # ln(1 + sum w), the 1 being "no effect in the region"
     top = F.greatest(F.col("_ls"), F.lit(0.0))
     total = total.withColumn("_lt", top + F.ln(F.exp(F.col("_ls") - top) + F.exp(-top)))
     return rows.join(total, region).withColumn("pip", F.exp(F.col("_lw") - F.col("_lt")))
 
 
-def est_group_prior(
-    df: DataFrame, iters: int = 153, pi0: float = 0.01, var0: float = 10.0, tol: float = 1e-4,
-    region: tuple[str, ...] = ("region_id",),
-) -> DataFrame:
-    """EM for the prior inclusion and effect variance of each group.
+# Which groups share one effect variance.
+STRUCTURES = ("shared_all", "shared_type", "shared_context", "shared_nonSNP", "independent")
 
-    At most `iters` passes (3 to start and 150 more by default), fewer once all parameters
-    change by less than `tol` of their value. One effect per region. Only the group parameters (one row per group) come back
-    between iterations; each pass restarts from the cached z table, so the plan does
-    not grow and a lost executor only costs its cached part.
+
+def variance_tie(structure: str) -> Column:
+    """The name under which a row's group shares its effect variance; needs `type` or `context` where that decides."""
+    if structure not in STRUCTURES:
+        raise ValueError(f"structure is one of {STRUCTURES}")
+    snp = F.col("grp") == "SNP"
+    shared = {
+        "shared_all": F.lit("all"), "shared_nonSNP": F.lit("nonSNP"), "independent": F.col("grp"),
+        **({structure: F.col(structure[7:])} if structure in ("shared_type", "shared_context") else {}),
+    }[structure]
+    return shared if structure == "shared_all" else F.when(snp, F.lit("SNP")).otherwise(shared)
+
+
+def _em(z: DataFrame, params: dict, passes: int, tol: float | None, region: list[str]) -> dict:
+    """{group: (tie, pi, var)} after so many passes, or fewer once no value changes by more than `tol` of it.
+
+    A pass reads `z`, which lies by region, and sums weights per (region, group) and then per region without
+    an exchange: exponents are cut into steps, so that no sum overflows. A row per group and tie
+    comes to the driver, which ties the variances.
     """
-    spark = df.sparkSession
-    z = df.select("grp", "z", *region).filter("z IS NOT NULL").repartition(*region).persist()
-    params: dict[str, tuple[float, float]] | None = None
-    for _ in range(max(iters, 1)):
-        if params is None:
-            prior = z.select("grp").distinct().withColumns({"pi": F.lit(pi0), "var": F.lit(var0)})
-        else:
-            prior = spark.createDataFrame(
-                [(g, p, v) for g, (p, v) in params.items()], "grp string, pi double, var double"
-            )
-        shrink = F.col("var") / (F.lit(1.0) + F.col("var"))
+    for _ in range(passes):
+        of = {k: F.create_map(*[F.lit(x) for g, p in params.items() for x in (g, p[k])])[F.col("grp")] for k in (1, 2)}
+        shrink = of[2] / (F.lit(1.0) + of[2])
+        lw = F.ln(of[1]) + ln_bf(F.col("z"), of[2])
         mean = F.col("z") * shrink
-        rows = _posterior(z, prior, list(region), write=False).groupBy("grp").agg(
-            F.count("*").alias("n"), F.sum("pip").alias("s"),
-            F.sum(F.col("pip") * (mean * mean + shrink)).alias("v"),
-        )
-        new = {
-            r["grp"]: (max(r["s"] / r["n"], 1e-12), max(r["v"] / r["s"], 1e-6)) if r["s"] > 0 else (1e-12, 1e-6)
-            for r in rows.collect()
-        }
-        done = params is not None and all(
-            abs(new[g][0] - params[g][0]) <= tol * params[g][0] and abs(new[g][1] - params[g][1]) <= tol * params[g][1]
-            for g in new
+        rows = z.select("grp", *region, lw.alias("_lw"), (mean * mean + shrink).alias("_m2")).withColumn("_b", F.floor(F.col("_lw") / STEP))
+        w = F.exp(F.col("_lw") - F.col("_b") * STEP)
+        sums = rows.groupBy(*region, "grp", "_b").agg(F.count("*").alias("n"), F.sum(w).alias("_s"), F.sum(w * F.col("_m2")).alias("_v"))
+        here = Window.partitionBy(*region)  # groups times a few steps
+        top = F.max("_b").over(here)
+        scale = F.exp((F.col("_b") - F.col("_top")) * STEP)
+        sums = sums.withColumn("_top", top).withColumn("_s", F.col("_s") * scale).withColumn("_v", F.col("_v") * scale)
+        total = F.exp(-F.col("_top") * STEP) + F.sum("_s").over(here)
+        sums = sums.withColumn("_t", total).groupBy("grp").agg(
+            F.sum("n").alias("n"), F.sum(F.col("_s") / F.col("_t")).alias("s"), F.sum(F.col("_v") / F.col("_t")).alias("v")
         )
+        got = {r["grp"]: r for r in sums.collect()}
+        tied: dict = {}
+        for g, (tie, _, _) in params.items():
+            if g in got:
+                s, v = tied.get(tie, (0.0, 0.0))
+                tied[tie] = (s + got[g]["s"], v + got[g]["v"])
+        new = {}
+        for g, (tie, pi, var) in params.items():
+            s, v = tied.get(tie, (0.0, 0.0))
+            new[g] = (tie, max(got[g]["s"] / got[g]["n"], 1e-12) if g in got else pi, max(v / s, 1e-6) if s > 0 else var)
+        still = tol is not None and all(abs(new[g][k] - params[g][k]) <= tol * params[g][k] for g in params for k in (1, 2))
         params = new
-        if done:
+        if still:
             break
+    return params
+
+
+def single_effect_regions(z: DataFrame, params: dict, least: float, region: list[str]) -> DataFrame:
+    """Regions that hold no effect or one with probability `least` or more, by the inclusion priors."""
+    pi = F.create_map(*[F.lit(x) for g, p in params.items() for x in (g, p[1])])[F.col("grp")]
+    per = z.groupBy(*region).agg(F.sum(F.log1p(-pi)).alias("_none"), F.sum(pi / (1 - pi)).alias("_odds"))
+    return per.filter(F.exp("_none") * (1 + F.col("_odds")) >= least).select(*region)
+
+
+def est_group_prior(
+    df: DataFrame, structure: str = "shared_all", prefit: int = 3, iters: int = 150, min_group_size: int = 100, min_var: int = 2,
+    min_gene: int = 1, min_p_single: float = 0.8, pi0: float = 0.01, var0: float = 10.0, tol: float = 1e-4,
+    region: tuple[str, ...] = ("region_id",),
+) -> DataFrame:
+    """(grp, pi, var): EM for the prior inclusion of each group and the effect variances.
+
+    `structure` says which groups share a variance: all of them, those of a `type` or `context`, all
+    but variants, or none. Groups under `min_group_size` rows are left out, then regions with
+    fewer than `min_var` rows or `min_gene` genes. After `prefit` passes only regions stay that have at most one
+    effect with probability `min_p_single`; from there at most `iters` passes follow, fewer once all
+    parameters change by less than `tol` of their value. One effect per region. Rows without z are
+    not counted; no rows give none. Only a row per group comes back between passes, and each starts
+    from the cached z table, so the plan does not grow and a lost executor only costs its cached part.
+    """
+    spark, keys = df.sparkSession, list(region)
+    schema = "grp string, pi double, var double"
+    tie = variance_tie(structure)
+    rows = df.filter("z IS NOT NULL").select("grp", tie.alias("tie"), "z", *keys)
+    rows = group_size_filter(rows, min_group_size, "grp")
+    genes = F.count_if(F.col("grp") != "SNP")
+    kept = rows.groupBy(*keys).agg(F.count("*").alias("_n"), genes.alias("_g")).filter((F.col("_n") >= min_var) & (F.col("_g") >= min_gene))
+    z = rows.join(kept.select(*keys), keys, "left_semi").repartition(*keys).persist()
+    params = {r["grp"]: (r["tie"], pi0, var0) for r in z.select("grp", "tie").distinct().collect()}
+    if not params:
+        z.unpersist()
+        return spark.createDataFrame([], schema)
+    params = _em(z, params, prefit, None, keys)
+    single = z.join(single_effect_regions(z, params, min_p_single, keys), keys, "left_semi")
+    single = single.repartition(*keys).persist()
+    params = _em(single, params, iters, tol, keys)
     z.unpersist()
-    return spark.createDataFrame(
-        [(g, p, v) for g, (p, v) in sorted((params or {}).items())], "grp string, pi double, var double"
-    )
+    single.unpersist()
+    return spark.createDataFrame([(g, p[1], p[2]) for g, p in sorted(params.items())], schema)
 
 
 def region_pip(

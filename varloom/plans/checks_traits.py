@@ -253,27 +253,53 @@ def _(t):
     return rnd(finemap.filter_pip(df), 6, "susie_pip")
 
 
-def em_sql(iters: int) -> str:
-    """The EM unrolled, one set of common table expressions per iteration."""
-    out = ["p0 AS (SELECT grp, 0.01D AS pi, 10.0D AS var FROM {region_z} GROUP BY grp)"]
-    for i in range(iters):
-        out.append(
-            f"""w{i} AS (SELECT z.grp, z.dataset, z.region_id, z.z, p.pi * exp(-0.5D * ln(1.0D + p.var) + 0.5D * z.z * z.z * p.var / (1.0D + p.var)) AS w,
-                 p.var / (1.0D + p.var) AS sh FROM {{region_z}} z JOIN p{i} p ON z.grp = p.grp WHERE z.z IS NOT NULL),
-            q{i} AS (SELECT *, w / (1.0D + sum(w) OVER (PARTITION BY dataset, region_id)) AS pip FROM w{i}),
-            p{i + 1} AS (SELECT grp, sum(pip) / count(*) AS pi, sum(pip * (z * z * sh * sh + sh)) / sum(pip) AS var FROM q{i} GROUP BY grp)"""
-        )
-    return "WITH " + ", ".join(out) + f" SELECT grp, round(pi, 6) AS pi, round(var, 6) AS var FROM p{iters}"
-
-
-@query("est_group_prior", em_sql(4))
+# the EM by recursion: a working table of parameters, tied over all groups as `shared_all` does
+EM_STEP = """SELECT it + 1, grp, pi, var, greatest(abs(pi - pi0) / pi0, abs(var - var0) / var0) AS change FROM (
+    SELECT any_value(it) AS it, grp, any_value(pi0) AS pi0, any_value(var0) AS var0, greatest(sum(pip) / count(*), 1e-12D) AS pi, greatest(sum(sum(pip * m2)) OVER () / sum(sum(pip)) OVER (), 1e-6D) AS var FROM (
+      SELECT it, grp, pi AS pi0, var AS var0, m2, w / (1.0D + sum(w) OVER (PARTITION BY dataset, region_id)) AS pip FROM (
+        SELECT p.it, p.pi, p.var, z.grp, z.dataset, z.region_id, p.pi * exp(-0.5D * ln(1.0D + p.var) + 0.5D * z.z * z.z * p.var / (1.0D + p.var)) AS w,
+               z.z * z.z * (p.var / (1.0D + p.var)) * (p.var / (1.0D + p.var)) + p.var / (1.0D + p.var) AS m2
+        FROM {rows} z JOIN (SELECT * FROM {src}) p ON z.grp = p.grp)) GROUP BY grp)"""
+EM = f"""em0 AS MATERIALIZED (SELECT grp, z, dataset, region_id FROM {{region_z}} WHERE z IS NOT NULL AND grp IN (SELECT grp FROM {{region_z}} WHERE z IS NOT NULL GROUP BY grp HAVING count(*) >= 100)),
+   em1 AS MATERIALIZED (SELECT z.* FROM em0 z JOIN (SELECT dataset, region_id FROM em0 GROUP BY dataset, region_id HAVING count(*) >= 2 AND count(*) FILTER (WHERE grp <> 'SNP') >= 1) r USING (dataset, region_id)),
+   pre AS (SELECT 0 AS it, grp, 0.01D AS pi, 10.0D AS var, 1.0D AS change FROM em1 GROUP BY grp UNION ALL {EM_STEP.format(rows='em1', src='pre WHERE it < 3')}),
+   em2 AS MATERIALIZED (SELECT z.* FROM em1 z JOIN (SELECT dataset, region_id FROM em1 JOIN (SELECT grp, pi FROM pre WHERE it = 3) p USING (grp) GROUP BY dataset, region_id
+        HAVING exp(sum(ln(1.0D - pi))) * (1.0D + sum(pi / (1.0D - pi))) >= 0.8) r USING (dataset, region_id)),
+   fit AS (SELECT 0 AS it, grp, pi, var, 1.0D AS change FROM pre WHERE it = 3
+           UNION ALL {EM_STEP.format(rows='em2', src='(SELECT *, max(change) OVER () AS most FROM fit) WHERE it < 150 AND most > 1e-4')}),
+   prior AS (SELECT grp, pi, var FROM fit WHERE it = (SELECT max(it) FROM fit))"""
+
+
+def _prior(t, **options):
+    return finemap.est_group_prior(t.region_z, region=RG, **options)
+
+
+@query("est_group_prior", f"WITH RECURSIVE {EM} SELECT grp, round(pi, 6) AS pi, round(var, 6) AS var FROM prior")
 def _(t):
-    return rnd(finemap.est_group_prior(t.region_z, iters=4, region=RG), 6, "pi", "var")
+    return rnd(_prior(t), 6, "pi", "var")
 
 
 @query("est_group_prior_converged")
 def _(t):
-    return rnd(finemap.est_group_prior(t.region_z, region=RG), 6, "pi", "var")
+    """Every group with its own variance, over all rows, until nothing changes."""
+    return rnd(_prior(t, **PLAIN), 6, "pi", "var")
+
+
+# the EM without its choice of groups and regions
+PLAIN = {"structure": "independent", "prefit": 3, "min_group_size": 1, "min_var": 1, "min_gene": 0, "min_p_single": 0.0}
+
+FITTED = PIP.replace(f"({PRIOR})", "prior")
+
+
+@query(
+    "region_pip_fitted",
+    f"""WITH RECURSIVE {EM}, {FITTED}, s AS (SELECT dataset, region_id, sum(CASE WHEN grp <> 'SNP' THEN pip ELSE 0 END) AS g FROM c GROUP BY ALL)
+        SELECT c.dataset, c.region_id, c.grp, c.id, round(c.pip, 6) AS pip, bef < 0.95 AS cs, round(s.g, 6) AS nonSNP_PIP FROM c JOIN s ON c.dataset = s.dataset AND c.region_id = s.region_id WHERE s.g >= 0.5""",
+)
+def _(t):
+    """Regions of a molecular signal, by the priors that the EM finds."""
+    pips = finemap.region_pip(t.region_z, _prior(t), region=RG).select("dataset", "region_id", "grp", "id", "pip", "cs")
+    return rnd(finemap.screen_regions(pips, region=RG), 6, "pip", "nonSNP_PIP")
 
 
 @query(
