@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from varloom.llm.repeats import release
+from varloom.llm.words import BYTE, PIECE, groups, mix, powers, texts
 from varloom.sources.sinks import settle
 
 _NONE = 2147483647
@@ -139,6 +140,8 @@ class Merges:
 HOT_WORDS, HOT_BYTES = 1 << 20, 64
 #: Longer words would cost the fold time that grows with their square.
 FOLD_BYTES = 1024
+#: Words hashed, and documents looked up, at a time.
+_SLICE, _DOCS = 1 << 13, 256
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -178,8 +181,49 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[k : stop[k]]] for k in range(len(word)) if alive[k]]
 
 
-def hot_words(words: DataFrame, merges: Merges, most: int = HOT_WORDS) -> pa.Table:
-    """(w, ids) of the most frequent words: all that occur at least c times, c as small as allowed.
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of the strings, a polynomial in their bytes."""
+    data, at = texts(words)
+    lo, hi = int(at[0]), int(at[-1])
+    up, down = powers(hi - lo + 1)
+    total = np.zeros(hi - lo + 1, np.uint64)
+    np.cumsum(BYTE[data[lo:hi]] * up[:-1], out=total[1:])
+    start, end = at[:-1] - lo, at[1:] - lo
+    return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64))
+
+
+class WordTable:
+    """Ids of known words, in the order of the words' hashes. A find is confirmed on the word itself."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array) -> None:
+        # words of at most HOT_BYTES bytes
+        pieces = [hash_words(words.slice(k, _SLICE)) for k in range(0, len(words), _SLICE)]
+        h = np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
+        order = np.argsort(h)
+        self.hash, self.words = h[order], words.take(pa.array(order))
+        ids = ids.take(pa.array(order))
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False)
+        self.at = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, known) for every word; row is 0 where a word is not known. Words go a piece at a time."""
+        row, known = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        at = texts(words)[1]
+        for lo, hi in groups(at) if len(self.hash) else ():
+            if at[hi] - at[lo] > PIECE:
+                continue  # one word longer than any that is known
+            part = words.slice(lo, hi - lo)
+            h = hash_words(part)
+            k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            k[self.hash[k] != h] = 0
+            same = pc.equal(part, self.words.take(pa.array(k))).to_numpy(zero_copy_only=False)
+            row[lo:hi], known[lo:hi] = np.where(same, k, 0), same
+        return row, known
+
+
+def hot_words(words: DataFrame, merges: Merges, most: int = HOT_WORDS) -> WordTable:
+    """The most frequent words and their ids: all that occur at least c times, c as small as allowed.
 
     `words` is (w) with a row per occurrence.
     """
@@ -193,26 +237,23 @@ def hot_words(words: DataFrame, merges: Merges, most: int = HOT_WORDS) -> pa.Tab
             break
         least = r["n"]
     if least is None:
-        return pa.table({"w": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        return WordTable(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
     # at most `most` words of at most HOT_BYTES bytes
     folded = settle(counts.filter(F.col("n") >= least).repartition("w").select("w", merges.encode(F.col("w")).alias("ids")))
-    return folded.toArrow()
+    table = folded.toArrow()
+    return WordTable(table["w"].combine_chunks(), table["ids"].combine_chunks())
 
 
-def _look_up(hot: pa.Table, ranks: dict[bytes, int]):
+def _look_up(hot: WordTable, ranks: dict[bytes, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot["w"].combine_chunks()
-        table = hot["ids"].combine_chunks()
-        at = np.r_[0, np.cumsum(table.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-        values = table.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        at, values = hot.at, hot.ids
         for b in batches:
-            for piece in (b.slice(k, 2048) for k in range(0, b.num_rows, 2048)):
+            for piece in (b.slice(k, _DOCS) for k in range(0, b.num_rows, _DOCS)):
                 lists = piece.column(0)
                 words = lists.flatten()
                 size = lists.value_lengths().to_numpy(zero_copy_only=False)
-                code = pc.index_in(words, value_set=known)
-                missing = np.flatnonzero(np.asarray(code.is_null()))
-                code = code.fill_null(0).to_numpy(zero_copy_only=False)
+                code, known = hot.find(words)
+                missing = np.flatnonzero(~known)
                 n_ids = (at[code + 1] - at[code]) if len(at) > 1 else np.zeros(len(code), np.int64)
                 n_ids[missing] = 0
                 begin = np.r_[0, np.cumsum(n_ids)]
@@ -238,6 +279,7 @@ def _look_up(hot: pa.Table, ranks: dict[bytes, int]):
                     ],
                     [*piece.schema.names[1:], "pieces", "missing", "ready"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 

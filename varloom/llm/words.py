@@ -14,7 +14,7 @@ SPACES = b" \t\n\x0b\x0c\r"
 PIECE = 1 << 19
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
-_BYTE = np.random.default_rng(711).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE = np.random.default_rng(711).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _tables: dict[str, np.ndarray] = {}
@@ -47,7 +47,7 @@ def _hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = spans(data)
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+    np.cumsum(BYTE[data] * up[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
     return starts, mix(h ^ (ends - starts).astype(np.uint64))
 
