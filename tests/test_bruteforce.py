@@ -301,3 +301,29 @@ def test_pca_and_clusters(spark):
     emb = expression.pca_embed(expression.cell_vectors(long_table(spark, m), genes), 2)
     got = {r.cell: r.cluster for r in expression.cluster_cells(emb, 2).collect()}
     assert len({got[i] for i in range(20)}) == 1 and len({got[i] for i in range(20, 40)}) == 1 and got[0] != got[39]
+
+
+def test_residual_components(spark, matrix):
+    """Against the singular values of the dense residuals, some of which are clipped; one gene never varies."""
+    rng = np.random.default_rng(21)
+    m = matrix.copy()
+    n, g = m.shape
+    m[3, 2], m[:, 4] = 400.0, 0.0
+    a, b = rng.normal(size=n), rng.normal(size=n)
+    meta = spark.createDataFrame([(i, float(a[i]), float(b[i])) for i in range(n)], "cell long, n_counts double, percent_mt double")
+    genes = spark.createDataFrame([(f"g{j:02d}",) for j in range(g)], "gene string")
+    emb, variances = expression.residual_components(long_table(spark, m), meta, genes, 3, clip=5.0)
+    x = np.stack([np.ones(n), a, b], 1)
+    keep = [j for j in range(g) if m[:, j].any()]
+    res = m - x @ np.linalg.lstsq(x, m, rcond=None)[0]
+    res = (res / np.where(res.std(0, ddof=1) > 0, res.std(0, ddof=1), 1))[:, keep]
+    res = np.where(m[:, keep] > 0, np.clip(res, -5, 5), res)
+    assert (res == 5).any()
+    u, s, _ = np.linalg.svd(res, full_matrices=False)
+    assert variances == pytest.approx(list(s**2 / (n - 1)), abs=1e-9)
+    got = np.array([r.pca for r in emb.orderBy("cell").collect()])
+    want = (u * s)[:, :3]
+    want = want * np.sign((got * want).sum(0))
+    assert got == pytest.approx(want, abs=1e-7)
+    empty = expression.residual_components(long_table(spark, m), meta, genes.limit(0), 3)
+    assert empty[1] == [] and empty[0].columns == ["cell", "pca"]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from varloom.functions.scalars import clamp
-from varloom.sources.sinks import settle
+from varloom.sources.sinks import scratch, settle
 
 
 def group_sizes(cells: DataFrame, group: str) -> DataFrame:
@@ -199,16 +203,12 @@ def variable_genes(
     return ranked.filter(F.col("_before") < F.col("_total") * percent / 100).select("gene", "mean", "var", "std_var", "rank")
 
 
-def regress_out(
-    values: DataFrame, cells: DataFrame, genes: DataFrame, covs: tuple[str, str] = ("n_counts", "percent_mt"),
-    clip: float | None = 10.0,
-) -> DataFrame:
-    """Scaled residuals of selected genes on two covariates, for expressed entries.
+def _covariate_fit(values: DataFrame, cells: DataFrame, genes: DataFrame, covs: tuple[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, coefficients, covariates): entries (cell, gene, _y, _a, _b) of the genes, a row (gene, c0, c1, c2, sd)
+    a gene, and the centred covariates (cell, _a, _b).
 
-    Per gene the two-predictor regression comes from sums; zero cells add only the
-    covariate sums, which are shared by all genes. The result keeps the long layout:
-    (cell, gene, residual) for entries with a value, plus what a zero cell needs
-    (`c0`, `c1`, `c2`, `sd`) so the rest can be computed from the covariates.
+    Per gene the two-predictor regression comes from sums; zero cells add only the covariate sums,
+    which are shared by all genes.
     """
     a, b = covs
     cov = cells.select("cell", F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
@@ -234,10 +234,98 @@ def regress_out(
     per = per.withColumns({"c0": F.col("_sy") / F.col("_n"), "c1": c1, "c2": c2})
     rss = F.col("_yy") - F.col("_n") * F.col("c0") * F.col("c0") - F.col("c1") * F.col("_ay") - F.col("c2") * F.col("_by")
     per = per.select("gene", "c0", "c1", "c2", F.sqrt(F.greatest(rss, F.lit(0.0)) / (F.col("_n") - 1)).alias("sd"))
-    res = F.try_divide(F.col("_y") - F.col("c0") - F.col("c1") * F.col("_a") - F.col("c2") * F.col("_b"), F.col("sd"))
+    return rows, per, cov
+
+
+def _fitted() -> Column:
+    return F.col("c0") + F.col("c1") * F.col("_a") + F.col("c2") * F.col("_b")
+
+
+def regress_out(
+    values: DataFrame, cells: DataFrame, genes: DataFrame, covs: tuple[str, str] = ("n_counts", "percent_mt"),
+    clip: float | None = 10.0,
+) -> DataFrame:
+    """Scaled residuals of selected genes on two covariates, for expressed entries.
+
+    The result keeps the long layout: (cell, gene, residual) for entries with a value, plus what a
+    zero cell needs (`c0`, `c1`, `c2`, `sd`) so the rest can be computed from the covariates.
+    """
+    rows, per, _ = _covariate_fit(values, cells, genes, covs)
+    rows = rows.join(per, "gene")
+    res = F.try_divide(F.col("_y") - _fitted(), F.col("sd"))
     if clip is not None:
         res = clamp(res, -clip, clip)
-    return rows.join(per, "gene").select("cell", "gene", res.alias("residual"), "c0", "c1", "c2", "sd")
+    return rows.select("cell", "gene", res.alias("residual"), "c0", "c1", "c2", "sd")
+
+
+def sparse_vectors(entries: DataFrame, everyone: DataFrame, size: int, index: str = "_ix", value: str = "value") -> DataFrame:
+    """(cell, features): a sparse vector for every cell of `everyone`, from (cell, index, value) entries.
+
+    Entries are sorted into the layout in which Spark stores a vector, written, and read back as vectors,
+    so no dense row exists. A cell has at most one entry an index.
+    """
+    per = entries.groupBy("cell").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(index).cast("int").alias("i"), F.col(value).cast("double").alias("v")))).alias("_f")
+    )
+    listed = F.coalesce("_f", F.array().cast("array<struct<i:int,v:double>>"))
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), listed["i"].alias("indices"), listed["v"].alias("values")
+    )
+    out = everyone.join(per, "cell", "left").select("cell", vector.alias("features"))
+    path = scratch(out.sparkSession, "vectors")
+    out.write.parquet(path)
+    schema = StructType([out.schema["cell"], StructField("features", VectorUDT())])
+    return out.sparkSession.read.schema(schema).parquet(path)
+
+
+def residual_components(
+    values: DataFrame, cells: DataFrame, genes: DataFrame, k: int = 30, covs: tuple[str, str] = ("n_counts", "percent_mt"),
+    clip: float = 10.0,
+) -> tuple[DataFrame, list[float]]:
+    """((cell, pca), variances): components of the scaled residuals, and all their variances.
+
+    The residual matrix (y - c0 - c1 a - c2 b) / sd is dense, but it is a linear map of the sparse expression
+    and the two covariates. So its second moments come from the means and the covariances of sparse
+    vectors (genes, a, b), and a cell's components from its expressed genes, its covariates and a
+    constant; no dense residual exists. Only genes x genes moments reach the driver. Residuals of expressed
+    entries are clipped, those of zeros aren't. Genes that don't vary are left out; every cell of `cells` gets
+    a row. Signs make the largest loading of a component positive.
+    """
+    spark = values.sparkSession
+    rows, per, cov = _covariate_fit(values, cells, genes, covs)
+    cov = settle(cov)
+    # as many rows as there are selected genes
+    fit = [r for r in per.orderBy("gene").collect() if r["sd"] > 0]
+    g = len(fit)
+    schema = StructType([cov.schema["cell"], StructField("pca", ArrayType(DoubleType()))])
+    if not g or cov.count() < 2:
+        return spark.createDataFrame([], schema), []
+    known = spark.createDataFrame([(r["gene"], i, *[float(r[c]) for c in ("c0", "c1", "c2", "sd")]) for i, r in enumerate(fit)],
+                                  "gene string, _ix int, c0 double, c1 double, c2 double, sd double")
+    held = clip * F.col("sd")
+    kept = settle(rows.join(known, "gene").select("cell", "_ix", F.greatest(F.least("_y", _fitted() + held), _fitted() - held).alias("value")))
+    ends = [cov.select("cell", F.lit(g + j).alias("_ix"), F.col(c).alias("value")) for j, c in enumerate(("_a", "_b"))]
+    vectors = sparse_vectors(kept.unionByName(ends[0]).unionByName(ends[1]).filter("value <> 0"), cov.select("cell"), g + 2)
+    one = vectors.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).select("s.*").first()
+    mean, sd, n = one["mean"].toArray(), np.sqrt(one["variance"].toArray()), one["count"]
+    corr = np.nan_to_num(Correlation.corr(vectors, "features").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    moments = corr * np.outer(sd, sd)
+    c0, c1, c2, scale = (np.array([r[c] for r in fit]) for c in ("c0", "c1", "c2", "sd"))
+    lift = np.c_[np.diag(1 / scale), -c1 / scale, -c2 / scale]
+    centre = lift @ mean - c0 / scale
+    variances, loadings = np.linalg.eigh(lift @ moments @ lift.T + np.outer(centre, centre) * n / (n - 1))
+    variances, loadings = variances[::-1], loadings[:, ::-1][:, :k]
+    loadings = loadings * np.sign(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])])
+    weight, constant = lift.T @ loadings, -(c0 / scale) @ loadings
+    k = loadings.shape[1]
+    table = spark.createDataFrame([(i, weight[i].tolist()) for i in range(g)], "_ix int, _w array<double>")
+    sums = kept.join(table, "_ix").groupBy("cell").agg(*[F.sum(F.col("value") * F.get("_w", j)).alias(f"_p{j}") for j in range(k)])
+    parts = [
+        F.coalesce(f"_p{j}", F.lit(0.0)) + F.col("_a") * float(weight[g, j]) + F.col("_b") * float(weight[g + 1, j]) + float(constant[j])
+        for j in range(k)
+    ]
+    return cov.join(sums, "cell", "left").select("cell", F.array(*parts).alias("pca")), variances.tolist()
 
 
 def cell_vectors(values: DataFrame, genes: DataFrame, cells: DataFrame | None = None) -> DataFrame:
@@ -245,17 +333,12 @@ def cell_vectors(values: DataFrame, genes: DataFrame, cells: DataFrame | None =
 
     The vector is as long as the highest rank. Every cell of `cells` (by default of `values`)
     gets one, all zeros if it has none of the genes. A cell's list is no longer than the gene
-    table; the dense array is filled and turned into a vector on the JVM side.
+    table.
     """
     size = int(genes.agg(F.max("rank")).first()[0] or 0)
     everyone = (values if cells is None else cells).select("cell").distinct()
     hits = values.join(genes.select("gene", (F.col("rank") - 1).alias("_ix")), "gene").filter("value <> 0")
-    per = hits.groupBy("cell").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("_ix").cast("int"), F.col("value").cast("double")))).alias("_f")
-    )
-    slots = F.sequence(F.lit(0), F.lit(size - 1))
-    dense = F.transform(slots, lambda i: F.coalesce(F.try_element_at("_f", i), F.lit(0.0)))
-    return everyone.join(per, "cell", "left").select("cell", array_to_vector(dense).alias("features"))
+    return sparse_vectors(hits, everyone, size)
 
 
 def pca_embed(vectors: DataFrame, k: int = 30) -> DataFrame:
@@ -266,7 +349,9 @@ def pca_embed(vectors: DataFrame, k: int = 30) -> DataFrame:
 
 
 def cluster_cells(embedding: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    """Groups of cells by k-means on their components."""
+    """Groups of cells by k-means on their components, as vectors or arrays."""
+    if dict(embedding.dtypes)["pca"].startswith("array"):
+        embedding = embedding.withColumn("pca", array_to_vector("pca"))
     embedding = settle(embedding)
     model = KMeans(k=k, seed=seed, featuresCol="pca", predictionCol="cluster").fit(embedding)
     return model.transform(embedding).select("cell", "cluster")

@@ -136,6 +136,30 @@ def _(t):
     return readers.scan_by_extension(t.spark, [f"{base}/a.tsv", f"{base}/b.csv"])
 
 
+def _write_vcf(t, path: str, studies: list[str], order: list[str]) -> None:
+    """Association rows as one text VCF: a line a variant, a column a study, fields in the given order."""
+    text = {"ES": F.col("BETA"), "SE": F.col("SE"), "LP": -F.log10("P"), "AF": F.col("AF"), "ID": F.col("RSID")}
+    value = F.concat_ws(":", *[text[k].cast("string") for k in order])
+    wide = t.sumstats.filter(F.col("dataset").isin(studies)).withColumn("v", value).groupBy("Chromosome", "Position", "RSID", "NEA", "EA")
+    wide = wide.pivot("dataset", studies).agg(F.max("v")).fillna(".", subset=studies)
+    body = wide.select(F.lit(1).alias("o"), F.concat_ws(
+        "\t", "Chromosome", F.col("Position").cast("string"), F.lit("."), "NEA", "EA", F.lit("."), F.lit("PASS"), F.lit("DB;NS=3"), F.lit(":".join(order)), *studies,
+    ).alias("value"))
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *studies])
+    top = t.spark.createDataFrame([(0, "##fileformat=VCFv4.2"), (0, head)], "o int, value string")
+    body.unionByName(top).repartition(1).sortWithinPartitions("o", "value").select("value").write.text(path)
+
+
+@query("scan_vcf", """SELECT dataset, Chromosome, Position, RSID, NEA, EA, round(-log10(P), 6) AS P, BETA, SE, AF FROM {sumstats}""")
+def _(t):
+    base = sinks.scratch(t.spark, "vcf")
+    _write_vcf(t, f"{base}/a.vcf", ["GCST1", "GCST2", "GCST3"], ["ES", "SE", "LP", "AF", "ID"])
+    _write_vcf(t, f"{base}/b.vcf", ["GCST4", "GCST5", "GCST6", "GCST7"], ["ID", "LP", "AF", "SE", "ES"])
+    out = readers.scan_by_extension(t.spark, [f"{base}/a.vcf", f"{base}/b.vcf"])
+    num = {c: F.col(c).cast("double") for c in ("P", "BETA", "SE", "AF")}
+    return out.withColumns(num).select("dataset", "Chromosome", F.col("Position").cast("long").alias("Position"), "RSID", "NEA", "EA", lp().alias("P"), "BETA", "SE", "AF")
+
+
 @query(
     "scan_qtl_dialect",
     """SELECT CELL, GENEID AS gene, SNPID AS varID, split_part(SNPID, ':', 3) AS ref_allele, split_part(SNPID, ':', 4) AS eff_allele,

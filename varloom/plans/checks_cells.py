@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from varloom.operators import cells, clones, expression, reports, signatures
@@ -380,22 +379,43 @@ REGRESS = f"""{VAR}, ge AS (SELECT gene FROM rk WHERE bef < tot * 0.25),
         FROM ro r JOIN sd ON r.gene = sd.gene""",
 )
 def _(t):
-    mito = t.features.filter("kind = 'MT'").select(F.col("ensembl").alias("gene"))
-    meta = cells.cell_qc(t.cells.select("cell"), t.counts, mito, max_mp=100.0)
-    out = rnd(expression.regress_out(_lognorm(t), meta, _varg(t)), 6, "c0", "sd")
+    out = rnd(expression.regress_out(_lognorm(t), _meta(t), _varg(t)), 6, "c0", "sd")
     return rnd(out, 5, "residual").drop("c1", "c2")
 
 
+def _meta(t):
+    mito = t.features.filter("kind = 'MT'").select(F.col("ensembl").alias("gene"))
+    return cells.cell_qc(t.cells.select("cell"), t.counts, mito, max_mp=100.0)
+
+
 @query("pca_embed")
 def _(t):
-    vec = expression.cell_vectors(_lognorm(t), _varg(t), t.cells)
-    return expression.pca_embed(vec, 10).select("cell", vector_to_array("pca").alias("pca"))
+    return expression.residual_components(_lognorm(t), _meta(t), _varg(t), 10)[0]
+
+
+# the dense residuals of all cells: their second moments have the component variances as eigenvalues
+DENSE = f"""{REGRESS}, rd AS (SELECT c.cell, g.gene, CASE WHEN r.y IS NULL THEN (0 - g.c0 - g.c1 * c.a - g.c2 * c.b) / g.sd
+     ELSE least(greatest((r.y - g.c0 - g.c1 * c.a - g.c2 * c.b) / g.sd, -10), 10) END AS v FROM cc c CROSS JOIN sd g LEFT JOIN ro r ON r.cell = c.cell AND r.gene = g.gene WHERE g.sd > 0),
+   gm AS (SELECT x.gene AS g1, y.gene AS g2, sum(x.v * y.v) AS s FROM rd x JOIN rd y ON x.cell = y.cell GROUP BY x.gene, y.gene),
+   nn AS (SELECT count(*) AS n FROM cc)"""
+
+
+@query(
+    "pca_variances",
+    f"""WITH {DENSE} SELECT (SELECT count(DISTINCT g1) FROM gm) AS components, round((SELECT sum(s) FROM gm WHERE g1 = g2) / (n - 1), 6) AS total,
+          round((SELECT sum(s * s) FROM gm) / (n - 1) / (n - 1), 6) AS squares, round((SELECT sum(x.s * y.s * z.s) FROM gm x JOIN gm y ON x.g2 = y.g1 JOIN gm z ON y.g2 = z.g1 AND z.g2 = x.g1) / pow(n - 1.0D, 3), 5) AS cubes FROM nn""",
+)
+def _(t):
+    """Sums of the component variances, of their squares and cubes: the traces of powers of the moment matrix."""
+    var = expression.residual_components(_lognorm(t), _meta(t), _varg(t), 1)[1]
+    row = (len(var), sum(var), sum(v * v for v in var), sum(v**3 for v in var))
+    out = t.spark.createDataFrame([row], "components long, total double, squares double, cubes double")
+    return rnd(rnd(out, 6, "total", "squares"), 5, "cubes")
 
 
 @query("cluster_cells")
 def _(t):
-    vec = expression.cell_vectors(_lognorm(t), _varg(t), t.cells)
-    return expression.cluster_cells(expression.pca_embed(vec, 10), 5)
+    return expression.cluster_cells(expression.residual_components(_lognorm(t), _meta(t), _varg(t), 10)[0], 5)
 
 
 # --- signatures --------------------------------------------------------------

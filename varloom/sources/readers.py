@@ -183,15 +183,65 @@ def only_match(paths: list[str], key: str) -> str:
     return hits[0]
 
 
+def scan_vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(Chromosome, Position, id, NEA, EA, qual, filter, info, sample, fields, allele): text VCF, a row per allele and sample.
+
+    Every file's own `#CHROM` line names its samples, wherever a split of the file starts. `fields` maps the
+    keys of the row's FORMAT to the sample's values, whatever their order; values that a row leaves off at the end and `.`
+    are absent. `info` maps keys to values, a flag to an empty text. A file without samples gives rows
+    with a null sample and no fields; `allele` counts the alternatives of a line from 0.
+    """
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("_file"), "value").filter("NOT startswith(value, '##')")
+    heads = lines.filter("startswith(value, '#')").select(F.col("_file").alias("_head"), F.split("value", "\t").alias("_cols"))
+    f = F.split("value", "\t")
+    rows = lines.filter("NOT startswith(value, '#') AND value <> ''").select("_file", f.alias("f")).join(heads, F.col("_file") == F.col("_head"))
+    present = lambda c: F.nullif(c, F.lit("."))
+    info = F.transform(F.split(F.coalesce(present(F.get("f", 7)), F.lit("")), ";"), lambda x: F.split(x, "=", 2))
+    info = F.map_from_entries(F.array_distinct(F.transform(F.filter(info, lambda x: x[0] != ""), lambda x: F.struct(x[0], F.coalesce(F.get(x, 1), F.lit(""))))))
+    samples = F.when(F.size("f") > 9, F.slice("f", 10, F.size("f"))).otherwise(F.array(F.lit(None).cast("string")))
+    rows = rows.select(
+        F.regexp_replace(F.get("f", 0), "^chr", "").alias("Chromosome"), F.get("f", 1).alias("Position"), present(F.get("f", 2)).alias("id"),
+        F.get("f", 3).alias("NEA"), F.split(F.get("f", 4), ",").alias("_alts"), present(F.get("f", 5)).alias("qual"),
+        present(F.get("f", 6)).alias("filter"), info.alias("info"), F.split(F.coalesce(F.get("f", 8), F.lit("")), ":").alias("_keys"),
+        "_cols", F.posexplode(samples).alias("_at", "_value"),
+    )
+    values = F.split("_value", ":")
+    pairs = F.filter(F.zip_with("_keys", values, lambda k, v: F.struct(k.alias("k"), present(v).alias("v"))), lambda x: x["k"].isNotNull() & x["v"].isNotNull())
+    fields = F.when(F.col("_value").isNull(), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).otherwise(F.map_from_entries(pairs))
+    rows = rows.withColumns({"sample": F.get("_cols", F.col("_at") + 9), "fields": fields})
+    return rows.select("*", F.posexplode("_alts").alias("allele", "EA")).select(
+        "Chromosome", "Position", "id", "NEA", "EA", "qual", "filter", "info", "sample", "fields", "allele"
+    )
+
+
+# Fields of association results in VCF -> column.
+VCF_FIELDS = {"ES": "BETA", "SE": "SE", "EZ": "Z", "AF": "AF", "SS": "N"}
+
+
+def vcf_sumstats(vcf: DataFrame) -> DataFrame:
+    """Association rows of `scan_vcf` as text columns; a sample without any value has no row.
+
+    A field with a value for each alternative gives the allele its own. LP is -log10 of P.
+    """
+
+    def own(key: str) -> Column:
+        v = F.split(F.try_element_at("fields", F.lit(key)), ",")
+        return F.nullif(F.when(F.size(v) > 1, F.get(v, F.col("allele"))).otherwise(F.get(v, 0)), F.lit("."))
+
+    p = F.pow(F.lit(10.0), -own("LP").try_cast("double")).cast("string")
+    return vcf.filter(F.size("fields") > 0).select(
+        F.col("sample").alias("dataset"), "Chromosome", "Position", F.coalesce(own("ID"), "id").alias("RSID"), "NEA", "EA",
+        p.alias("P"), *[own(k).alias(c) for k, c in VCF_FIELDS.items()],
+    )
+
+
 def scan_by_extension(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """TSV and CSV files together, columns matched by name."""
+    """TSV, CSV and text VCF files together, columns matched by name; VCF gives its association rows."""
     groups: dict[str, list[str]] = {}
     for p in paths:
         groups.setdefault(file_format(p), []).append(p)
-    if "VCF" in groups:
-        raise ValueError("VCF input must be extracted to a table first")
     seps = {"TSV": "\t", "CSV": ","}
-    frames = [read_delimited(spark, ps, seps[k]) for k, ps in sorted(groups.items())]
+    frames = [vcf_sumstats(scan_vcf(spark, ps)) if k == "VCF" else read_delimited(spark, ps, seps[k]) for k, ps in sorted(groups.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
