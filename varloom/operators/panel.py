@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,11 +27,51 @@ from varloom.functions.scalars import (
     z_from_p,
 )
 from varloom.operators import clean
-from varloom.sources.sinks import settle
+from varloom.sources.sinks import scratch, settle
 
 SITE = ["Chromosome", "Position"]
 
 
+@dataclass(frozen=True)
+class StoredPanel:
+    """A panel written once in the three forms that the operators join, each bucketed by its join key.
+
+    `sites` has a row (Chromosome, Position, _alleles) a site, `ids` a row (SNPID, RSID) a variant id and
+    `places` the distinct (RSID, Chromosome, Position). A join with one of them moves only the other
+    side, as long as there are at least as many buckets as shuffle partitions.
+    """
+
+    sites: DataFrame
+    ids: DataFrame
+    places: DataFrame
+
+
+def store_panel(panel: DataFrame, buckets: int | None = None, name: str | None = None) -> StoredPanel:
+    """Write a panel (Chromosome, Position, REF, ALT, SNPID, RSID) for repeated use.
+
+    `buckets` is the session's number of shuffle partitions unless given. The tables are named
+    `<name>_sites` and so on; `open_panel` finds them again.
+    """
+    spark = panel.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = name or f"panel_{uuid.uuid4().hex}"
+    parts = {
+        "sites": (_site_alleles(panel), SITE), "ids": (_variant_ids(panel), ["SNPID"]), "places": (_places(panel), ["RSID"]),
+    }
+    for part, (rows, keys) in parts.items():
+        # dealt as the buckets are, so that each is one file
+        rows = rows.repartition(buckets, *keys)
+        rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch(spark, f"{name}_{part}")).saveAsTable(f"{name}_{part}")
+    return open_panel(spark, name)
+
+
+def open_panel(spark: SparkSession, name: str) -> StoredPanel:
+    return StoredPanel(*[spark.table(f"{name}_{part}") for part in ("sites", "ids", "places")])
+
+
+Panel = DataFrame | StoredPanel
+
+
 def panel_match(df: DataFrame, panel: DataFrame) -> DataFrame:
     """Left join on the site with a `matched` marker; fans out at multi-allelic sites."""
     right = panel.select(*SITE, "REF", "ALT", F.lit(True).alias("matched"))
@@ -54,8 +96,20 @@ def _rest(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c not in keys]
 
 
-def _site_alleles(panel: DataFrame) -> DataFrame:
+def _variant_ids(panel: Panel) -> DataFrame:
+    if isinstance(panel, StoredPanel):
+        return panel.ids
+    return panel.groupBy("SNPID").agg(F.min("RSID").alias("RSID"))
+
+
+def _places(panel: Panel) -> DataFrame:
+    return panel.places if isinstance(panel, StoredPanel) else panel.select("RSID", *SITE).distinct()
+
+
+def _site_alleles(panel: Panel) -> DataFrame:
     """One row per site with its (REF, ALT) pairs; a site has a handful of them."""
+    if isinstance(panel, StoredPanel):
+        return panel.sites
     return (
         panel.groupBy(*SITE)
         .agg(F.sort_array(F.collect_set(F.struct("REF", "ALT"))).alias("_alleles"))
@@ -74,7 +128,7 @@ def _code(target: Column, comp: Column, site: Column) -> Column:
     )
 
 
-def _harmonise(df: DataFrame, panel: DataFrame, fill_both: bool, distinct: bool) -> DataFrame:
+def _harmonise(df: DataFrame, panel: Panel, fill_both: bool, distinct: bool) -> DataFrame:
     """Join each row once to its site's alleles and choose the best pair in place.
 
     A row keeps its identity, so no key over all columns is needed to tell which
@@ -117,12 +171,12 @@ def _harmonise(df: DataFrame, panel: DataFrame, fill_both: bool, distinct: bool)
     return df.distinct() if distinct else df
 
 
-def harmonise_biallelic(df: DataFrame, panel: DataFrame, distinct: bool = True) -> DataFrame:
+def harmonise_biallelic(df: DataFrame, panel: Panel, distinct: bool = True) -> DataFrame:
     """Align NEA, EA to REF, ALT. Rows missing both alleles stay unmatched."""
     return _harmonise(df, panel, fill_both=False, distinct=distinct)
 
 
-def harmonise_multiallelic(df: DataFrame, panel: DataFrame, distinct: bool = True) -> DataFrame:
+def harmonise_multiallelic(df: DataFrame, panel: Panel, distinct: bool = True) -> DataFrame:
     """Same; a row missing both alleles is filled once per panel allele."""
     return _harmonise(df, panel, fill_both=True, distinct=distinct)
 
@@ -134,7 +188,7 @@ HARMONISERS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def recover_coords_by_rsid(df: DataFrame, panel: DataFrame) -> DataFrame:
+def recover_coords_by_rsid(df: DataFrame, panel: Panel) -> DataFrame:
     """Fill a missing chromosome and/or position from the RSID.
 
     Only rows that need it are joined; the others never meet the join, so a mass of
@@ -142,9 +196,9 @@ def recover_coords_by_rsid(df: DataFrame, panel: DataFrame) -> DataFrame:
     """
     needs = F.col("RSID").isNotNull() & (F.col("Chromosome").isNull() | F.col("Position").isNull())
     rest = df.filter(~needs)
-    places = panel.select(
+    places = _places(panel).select(
         F.col("RSID").alias("_id"), F.col("Chromosome").alias("_c"), F.col("Position").alias("_p")
-    ).distinct()
+    )
     cond = (
         (F.col("RSID") == F.col("_id"))
         & (F.col("Chromosome").isNull() | (F.col("Chromosome") == F.col("_c")))
@@ -160,7 +214,7 @@ def recover_coords_by_rsid(df: DataFrame, panel: DataFrame) -> DataFrame:
     return with_id.unionByName(rest.filter("RSID IS NULL"))
 
 
-def annotate_rsid(df: DataFrame, panel: DataFrame, distinct: bool = True) -> DataFrame:
+def annotate_rsid(df: DataFrame, panel: Panel, distinct: bool = True) -> DataFrame:
     """Panel RSID by SNPID; the file's own id is kept as `Original_RSID`.
 
     One row per variant and statistics, whatever the ids.
@@ -169,7 +223,7 @@ def annotate_rsid(df: DataFrame, panel: DataFrame, distinct: bool = True) -> Dat
         df = df.withColumnRenamed("RSID", "Original_RSID")
     else:
         df = df.withColumn("Original_RSID", F.lit(None).cast("string"))
-    ids = panel.groupBy(F.col("SNPID").alias("_id")).agg(F.min("RSID").alias("RSID"))
+    ids = _variant_ids(panel).withColumnRenamed("SNPID", "_id")
     out = df.withColumn("_key", spread_nulls(F.col("SNPID"))).join(ids, F.col("_key") == F.col("_id"), "left").drop("_id", "_key")
     if not distinct:
         return out
@@ -413,7 +467,7 @@ def dedupe_lowest_p(df: DataFrame) -> DataFrame:
     return df.groupBy(*others).agg(F.min("P").alias("P")).select(*df.columns)
 
 
-def polish(df: DataFrame, panel: DataFrame, first: tuple[str, ...] = ("dataset", "disease")) -> DataFrame:
+def polish(df: DataFrame, panel: Panel, first: tuple[str, ...] = ("dataset", "disease")) -> DataFrame:
     """Ids, effect signs, risk alleles, lowest-P duplicates, column order.
 
     Rows are not globally sorted here: `genome_sort` or the partitioned sink does it
@@ -440,10 +494,12 @@ def polish(df: DataFrame, panel: DataFrame, first: tuple[str, ...] = ("dataset",
 
 
 def standardise(
-    df: DataFrame, panel: DataFrame, kind: str = "sumstats", legacy_sign: bool = False
+    df: DataFrame, panel: Panel, kind: str = "sumstats", legacy_sign: bool = False
 ) -> DataFrame:
     """Coordinates, alleles, statistics, polish. `kind` is sumstats or catalog.
 
+    A panel that is used often is stored first (`store_panel`), and then not grouped or moved again.
+
     Catalog cells write exponents as `2E-8`, so their statistics are cast before the
     text rules apply.
     """

@@ -865,6 +865,46 @@ def _(t):
     return std_out(panel.standardise(t.gwas.drop("disease"), t.panel_multi))
 
 
+TEXT = f"""WITH g0 AS (SELECT dataset, c AS Chromosome, try_cast(place AS BIGINT) AS Position, nullif(NEA, '?') AS NEA, nullif(EA, '?') AS EA,
+            CASE WHEN try_cast(P AS DOUBLE) = 0 THEN 999.0 ELSE round(-log10(try_cast(P AS DOUBLE)), 6) END AS P, try_cast(BETA AS DOUBLE) AS BETA, try_cast(SE AS DOUBLE) AS SE, try_cast(AF AS DOUBLE) AS AF
+            FROM (SELECT *, {CLEAN_CHR} AS c, replace(Position, '.0', '') AS place FROM {{raw_gwas}})
+            WHERE c IS NOT NULL AND {VALID_CHR} AND regexp_matches(place, '^[0-9]+$') AND P IS NOT NULL AND {STATS_OK}
+              AND (NEA IS NULL OR NEA = '?' OR regexp_matches(NEA, '^[ATCG]+$')) AND (EA IS NULL OR EA = '?' OR regexp_matches(EA, '^[ATCG]+$'))),
+          {harmonise_sql('g0', ALLKEYS)},"""
+
+
+@query("standardise_text", f"{TEXT} {POLISH.replace('max(P) AS P', 'nullif(max(P), 999.0) AS P')}")
+def _(t):
+    """From dirty text, against a stored panel."""
+    return std_out(panel.standardise(t.raw_gwas.drop("line"), panel.store_panel(t.panel_multi)))
+
+
+# Rows as a catalog lists them: places or alleles missing, exponents in capitals.
+CATALOG = """SELECT 'GCST' || CAST(l_linenumber AS VARCHAR(4)) AS dataset, v.RSID,
+   CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE v.Chromosome END AS Chromosome, CASE WHEN l_orderkey % 5 < 2 THEN NULL ELSE v.Position END AS Position,
+   CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE v.REF END AS NEA, CASE WHEN l_orderkey % 3 < 2 THEN NULL ELSE v.ALT END AS EA,
+   CAST(l_linenumber AS VARCHAR(4)) || 'E-' || CAST(CAST(l_quantity AS INT) AS VARCHAR(4)) AS P, round((l_discount - 0.05) * 4.0, 4) AS BETA
+   FROM {lineitem} JOIN {variant} v ON v.vid = l_partkey"""
+CATKEYS = "dataset, RSID, Chromosome, Position, NEA, EA, P, BETA"
+CAT_SQL = f"""WITH c0 AS (SELECT dataset, q.RSID, p.Chromosome, p.Position, NEA, EA, round(-log10(CAST(P AS DOUBLE)), 6) AS P, BETA FROM ({CATALOG}) q
+            JOIN (SELECT DISTINCT RSID, Chromosome, Position FROM {{panel_multi}}) p ON q.RSID = p.RSID),
+    g0 AS (SELECT * FROM c0), {harmonise_sql('g0', CATKEYS, "WHEN '0-0' THEN 'Fill'")},
+    f AS (SELECT h.*, Chromosome || ':' || CAST(Position AS VARCHAR) || ':' || NEA || ':' || EA AS SNPID FROM h WHERE NEA IS NOT NULL AND EA IS NOT NULL),
+    i AS (SELECT f.* EXCLUDE (RSID), f.RSID AS Original_RSID, x.RSID FROM f LEFT JOIN (SELECT SNPID, min(RSID) AS RSID FROM {{panel_multi}} GROUP BY SNPID) x ON f.SNPID = x.SNPID),
+    s AS (SELECT dataset, Chromosome, Position, NEA, EA, SNPID, RSID, Original_RSID, P,
+            CASE WHEN BETA = 0 THEN 0.0 WHEN Notes LIKE 'Flip%' THEN -BETA ELSE BETA END AS BETA, Notes, found FROM i)
+    SELECT dataset, Chromosome, Position, NEA, EA, SNPID, RSID, min(Original_RSID) AS Original_RSID, BETA,
+           CASE WHEN BETA >= 0 THEN EA ELSE NEA END AS RA, CASE WHEN BETA >= 0 THEN NEA ELSE EA END AS NRA, Notes, found, max(P) AS P
+    FROM s GROUP BY dataset, Chromosome, Position, NEA, EA, SNPID, RSID, BETA, Notes, found"""
+
+
+@query("standardise_catalog", CAT_SQL)
+def _(t):
+    out = panel.standardise(t.sql(CATALOG), panel.store_panel(t.panel_multi), "catalog")
+    b = F.col("BETA")
+    return out.withColumns({"BETA": F.when(b == 0, F.lit(0.0)).otherwise(b), "P": lp()})
+
+
 @query(
     "std_metrics",
     f"""{STD} o AS (WITH {POLISH.strip()}),
