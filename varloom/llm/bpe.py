@@ -141,7 +141,7 @@ HOT_WORDS, HOT_BYTES = 1 << 20, 64
 #: Longer words would cost the fold time that grows with their square.
 FOLD_BYTES = 1024
 #: Words hashed, and documents looked up, at a time.
-_SLICE, _DOCS = 1 << 13, 256
+_SLICE, _DOCS = 1 << 13, 1024
 
 
 def split_words(text: Column, pattern: str) -> Column:
@@ -207,19 +207,23 @@ class WordTable:
         self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
     def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, known) for every word; row is 0 where a word is not known. Words go a piece at a time."""
-        row, known = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        at = texts(words)[1]
-        for lo, hi in groups(at) if len(self.hash) else ():
+        """(row, known) for every word; row is 0 where a word is not known. Each different word is looked up once."""
+        if not len(self.hash) or not len(words):
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        coded = words.dictionary_encode()
+        different, index = coded.dictionary, coded.indices.to_numpy()
+        row, known = np.zeros(len(different), np.int64), np.zeros(len(different), bool)
+        at = texts(different)[1]
+        for lo, hi in groups(at):
             if at[hi] - at[lo] > PIECE:
                 continue  # one word longer than any that is known
-            part = words.slice(lo, hi - lo)
+            part = different.slice(lo, hi - lo)
             h = hash_words(part)
             k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
             k[self.hash[k] != h] = 0
             same = pc.equal(part, self.words.take(pa.array(k))).to_numpy(zero_copy_only=False)
             row[lo:hi], known[lo:hi] = np.where(same, k, 0), same
-        return row, known
+        return row[index], known[index]
 
 
 def hot_words(words: DataFrame, merges: Merges, most: int = HOT_WORDS) -> WordTable:
