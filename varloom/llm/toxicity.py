@@ -8,9 +8,11 @@ each match decides whether the term is quoted; a logistic model weighs the count
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -21,13 +23,10 @@ from pyspark.sql import functions as F
 from varloom.llm.labelled import bounded, fold, logistic, sigmoid, training_labels
 from varloom.sources.sinks import settle
 
-#: Bounds of the fit: labelled rows it reads, and terms and stems it keeps.
+#: Bound of the fit: labelled rows it reads. All else, the number of terms too, follows from them.
 TRAIN_ROWS = 20_000
-LEXICON = 512
 MIN_DOCS, MIN_LOG_ODDS, COVER = 4, 3.0, 3
 STEMS = range(4, 8)
-#: Words are matched by their first characters; a longer term cannot be learned.
-TERM = 32
 WINDOW = 8
 THRESHOLD = 0.3
 _MEMO = 1 << 17
@@ -131,6 +130,8 @@ class Matcher:
             for part, at in pieces(t):
                 old = places.get(part, (at - slack, at + slack, len(body) - slack, longest))
                 places[part] = (min(old[0], at - slack), max(old[1], at + slack), min(old[2], len(body) - slack), max(old[3], longest))
+        # a word is read as far as the longest term and its edits go
+        self.reach = max((len(t.rstrip("*")) for t in terms), default=0) + 3
         self.finder = ahocorasick.Automaton()
         for part, (low, high, short, longest) in places.items():
             self.finder.add_word(part, (low + len(part) - 1, high + len(part) - 1, short, longest))
@@ -143,8 +144,7 @@ class Matcher:
         if token not in self.memo:
             if len(self.memo) >= _MEMO:
                 self.memo.clear()
-            head = token[: TERM + 3]
-            m = match(head, self.root)
+            m = match(token[: self.reach], self.root)
             self.memo[token] = None if m and m[1] and token in self.clean else m
         return self.memo[token]
 
@@ -200,7 +200,7 @@ def _units(text: str) -> set[str]:
     out = set()
     for w in set(text.lower().split()):
         w = w.strip(_EDGE)
-        if 3 < len(w) <= TERM:
+        if w:
             out.add(w)
             out.update(w[:k] + "*" for k in STEMS if k < len(w))
     return out
@@ -218,19 +218,16 @@ def _count_units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn_lexicon(rows: DataFrame, counts: DataFrame, n_pos: int, n_neg: int) -> list[str]:
-    """Up to LEXICON terms and stems that mark toxic texts, by greedy covering.
+    """Terms and stems that mark toxic texts, by greedy covering.
 
     Candidates have the log-odds; each step takes the one that most toxic texts still need,
-    until every text has COVER of them or no candidate adds MIN_DOCS texts. Of equal ones a word
+    until no candidate adds MIN_DOCS texts that have fewer than COVER of them. Of equal ones a word
     goes before a stem, and a longer stem before a shorter. What a term covers, or is covered
-    by, is no candidate any more.
+    by, is no candidate any more. Words of any length are candidates; those under five letters are
+    matched exactly. The candidates are those of at most TRAIN_ROWS texts.
     """
     odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    top = (
-        counts.filter((F.col("pos") >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
-        .orderBy(F.desc("pos"), F.length("unit"), "unit").limit(16 * LEXICON).collect()
-    )
-    units = [r["unit"] for r in top]
+    units = [r["unit"] for r in counts.filter((F.col("pos") >= MIN_DOCS) & (odds >= MIN_LOG_ODDS)).orderBy("unit").collect()]
     index = {u: k for k, u in enumerate(units)}
 
     def held(batches):
@@ -239,15 +236,33 @@ def learn_lexicon(rows: DataFrame, counts: DataFrame, n_pos: int, n_neg: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32()))], ["units"])
 
     # the toxic ones of TRAIN_ROWS texts
-    texts = [r[0] for r in rows.filter("y = 1").select("text").mapInArrow(held, "units array<int>").collect()]
+    return cover(units, [r[0] for r in rows.filter("y = 1").select("text").mapInArrow(held, "units array<int>").collect()])
+
+
+def cover(units: list[str], texts: list[list[int]]) -> list[str]:
+    """The greedy cover of `texts`, which list numbers of their units."""
     in_text: dict[int, list[int]] = {}
     for k, got in enumerate(texts):
         for u in got:
             in_text.setdefault(u, []).append(k)
-    wanted, kept = [COVER] * len(texts), []
     gain = {u: len(v) for u, v in in_text.items()}
-    while gain and len(kept) < LEXICON:
-        best = min(gain, key=lambda u: (-gain[u], units[u].endswith("*"), -len(units[u]), units[u]))
+    bodies = sorted((units[u].rstrip("*"), u) for u in gain)
+    by_body: dict[str, list[int]] = {}
+    for body, u in bodies:
+        by_body.setdefault(body, []).append(u)
+
+    def entry(u: int) -> tuple:
+        return -gain[u], units[u].endswith("*"), -len(units[u]), units[u], u
+
+    wanted, kept, heap = [COVER] * len(texts), [], [entry(u) for u in gain]
+    heapify(heap)
+    while heap:
+        known, *_, best = heappop(heap)
+        if best not in gain:
+            continue
+        if -known != gain[best]:  # it has lost texts since; gains only fall
+            heappush(heap, entry(best))
+            continue
         if gain[best] < MIN_DOCS:
             break
         body = units[best].rstrip("*")
@@ -258,8 +273,13 @@ def learn_lexicon(rows: DataFrame, counts: DataFrame, n_pos: int, n_neg: int) ->
                 for u in texts[k]:
                     if u in gain:
                         gain[u] -= 1
-        for u in [u for u in gain if units[u].rstrip("*").startswith(body) or body.startswith(units[u].rstrip("*"))]:
-            del gain[u]
+        at = bisect_left(bodies, (body, -1))
+        while at < len(bodies) and bodies[at][0].startswith(body):
+            gain.pop(bodies[at][1], None)
+            at += 1
+        for k in range(1, len(body)):
+            for u in by_body.get(body[:k], ()):
+                gain.pop(u, None)
     return kept
 
 
@@ -351,7 +371,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(doc, held_out, score, predicted, n_hits): fit on the labels, score every row of `docs`.
 
     Labels of the held-out fold are not read. Rows with a null label, a label other than 0 and 1,
-    or a null id do not train; every row of `docs` gets a score. Extra columns are ignored.
+    or a null id do not train; every row of `docs` gets a score: repeated rows the same, null and empty texts
+    that of a text without hits, a very long text by all its words. Extra columns are ignored; an
+    empty table gives no rows, and without labels every score is 0 or nearly so.
     """
     model = fit(docs, labels, id_col, text_col, folds, held)
     return score(docs, model, id_col, text_col).select(
