@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from tests.conftest import SF
 from tools.compare import compare, connect
+from varloom.plans import catalog
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -27,9 +28,17 @@ def test_query(spark, con, name):
     assert msg == "ok" or msg.startswith("KINDS") and "[]" in msg, msg
 
 
+# iterative fits and random sets; each has a plain version in these tests, `pca_variances` checks the components
+WITHOUT = {"cluster_cells", "est_group_prior_converged", "gsea_test", "pca_embed"}
+
+
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_only_known_queries_have_no_oracle():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == WITHOUT
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[:2] == ["GENEID", "GENENAME"]

@@ -70,6 +70,16 @@ def cell_cluster(c: Column | str) -> Column:
     )
 
 
+# Patterns of library names: number and letter after the species, letter before the
+# donors, donors, the tail of letter and donors, the species part.
+LIBRARY_NUMBER = r"_Hu_(\d+)[^_]*"
+LIBRARY_LETTER_AFTER = r"_Hu_\d+([^_]*)"
+LIBRARY_LETTER = r"_([A-Z])_\d+D$"
+LIBRARY_DONORS = r"(\d+D)$"
+LIBRARY_TAIL = r"(_[A-Z])*_\d+D$"
+LIBRARY_SPECIES = r"_Hu_[^_]+"
+
+
 def library_id(c: Column | str, study: str, label: str) -> Column:
     """Library name with its sorting batch moved behind the cell type.
 
@@ -79,14 +89,14 @@ def library_id(c: Column | str, study: str, label: str) -> Column:
     """
     c = as_col(c)
     blank = F.lit("")
-    number = F.regexp_extract(c, r"_Hu_(\d+)[^_]*", 1)
+    number = F.regexp_extract(c, LIBRARY_NUMBER, 1)
     letter = F.coalesce(
-        F.nullif(F.regexp_extract(c, r"_([A-Z])_\d+D$", 1), blank),
-        F.nullif(F.regexp_extract(c, r"_Hu_\d+([^_]*)", 1), blank),
+        F.nullif(F.regexp_extract(c, LIBRARY_LETTER, 1), blank),
+        F.nullif(F.regexp_extract(c, LIBRARY_LETTER_AFTER, 1), blank),
         F.lit("A"),
     )
-    donors = F.regexp_extract(c, r"(\d+D)$", 1)
-    core = F.regexp_replace(F.regexp_replace(c, r"(_[A-Z])*_\d+D$", ""), r"_Hu_[^_]+", "_Hu")
+    donors = F.regexp_extract(c, LIBRARY_DONORS, 1)
+    core = F.regexp_replace(F.regexp_replace(c, LIBRARY_TAIL, ""), LIBRARY_SPECIES, "_Hu")
     run = F.nullif(F.regexp_extract(c, f"^{study}([^_]+)", 1), blank)
     core = F.regexp_replace(core, f"^{study}[^_]*", "")
     head = F.concat(F.lit(f"{label}-"), F.coalesce(run, F.lit("A")))

@@ -37,6 +37,14 @@ CATALOG_COLUMNS = {
 }
 
 
+# Patterns of catalog cells: what separates values, a risk allele at the end, the same
+# with its dash, and a place in stead of an id.
+CATALOG_SEPARATOR = r"\s[x;]\s|;\s|\s"
+CATALOG_ALLELE = r"([ACTGN]+)$"
+CATALOG_ALLELE_TAIL = r"-[ACTGN?]+$"
+CATALOG_PLACE = r"(?<![^A-z])((1[0-9]|2[0-4]|[1-9]|X|Y):\d+)$"
+
+
 def scan_catalog(df: DataFrame, keep: tuple[str, ...] = (), cols: dict[str, str] = CATALOG_COLUMNS) -> DataFrame:
     """One row per variant of an association-catalog table.
 
@@ -46,7 +54,7 @@ def scan_catalog(df: DataFrame, keep: tuple[str, ...] = (), cols: dict[str, str]
     """
     present = {s: c for s, c in cols.items() if s in df.columns}
     parts = {
-        c: F.split(F.regexp_replace(F.coalesce(F.col(f"`{s}`"), F.lit("")), r"\s[x;]\s|;\s|\s", ";"), ";")
+        c: F.split(F.regexp_replace(F.coalesce(F.col(f"`{s}`"), F.lit("")), CATALOG_SEPARATOR, ";"), ";")
         for s, c in present.items()
     }
     df = df.select(*[F.col(k) for k in keep], *[v.alias(f"_{c}") for c, v in parts.items()])
@@ -63,10 +71,10 @@ def scan_catalog(df: DataFrame, keep: tuple[str, ...] = (), cols: dict[str, str]
 
     df = df.select(*keep, F.col("_i").alias("item"), *[pick(c).alias(c) for c in parts])
     raw = F.col("RSID")
-    allele = F.nullif(F.regexp_extract(raw, r"([ACTGN]+)$", 1), F.lit(""))
-    bare = F.regexp_replace(raw, r"-[ACTGN?]+$", "")
+    allele = F.nullif(F.regexp_extract(raw, CATALOG_ALLELE, 1), F.lit(""))
+    bare = F.regexp_replace(raw, CATALOG_ALLELE_TAIL, "")
     bare = F.when(bare == "", raw).otherwise(bare)
-    place = F.regexp_extract(bare, r"(?<![^A-z])((1[0-9]|2[0-4]|[1-9]|X|Y):\d+)$", 1)
+    place = F.regexp_extract(bare, CATALOG_PLACE, 1)
     embedded = place != ""
     bits = F.split(place, ":")
     null = F.lit(None).cast("string")
