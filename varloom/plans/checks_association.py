@@ -880,13 +880,13 @@ def _(t):
 
 
 # Rows as a catalog lists them: places or alleles missing, exponents in capitals.
-CATALOG = """SELECT 'GCST' || CAST(l_linenumber AS VARCHAR(4)) AS dataset, v.RSID,
+CATALOG_TYPED = """SELECT 'GCST' || CAST(l_linenumber AS VARCHAR(4)) AS dataset, v.RSID,
    CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE v.Chromosome END AS Chromosome, CASE WHEN l_orderkey % 5 < 2 THEN NULL ELSE v.Position END AS Position,
    CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE v.REF END AS NEA, CASE WHEN l_orderkey % 3 < 2 THEN NULL ELSE v.ALT END AS EA,
    CAST(l_linenumber AS VARCHAR(4)) || 'E-' || CAST(CAST(l_quantity AS INT) AS VARCHAR(4)) AS P, round((l_discount - 0.05) * 4.0, 4) AS BETA
    FROM {lineitem} JOIN {variant} v ON v.vid = l_partkey"""
 CATKEYS = "dataset, RSID, Chromosome, Position, NEA, EA, P, BETA"
-CAT_SQL = f"""WITH c0 AS (SELECT dataset, q.RSID, p.Chromosome, p.Position, NEA, EA, round(-log10(CAST(P AS DOUBLE)), 6) AS P, BETA FROM ({CATALOG}) q
+CAT_SQL = f"""WITH c0 AS (SELECT dataset, q.RSID, p.Chromosome, p.Position, NEA, EA, round(-log10(CAST(P AS DOUBLE)), 6) AS P, BETA FROM ({CATALOG_TYPED}) q
             JOIN (SELECT DISTINCT RSID, Chromosome, Position FROM {{panel_multi}}) p ON q.RSID = p.RSID),
     g0 AS (SELECT * FROM c0), {harmonise_sql('g0', CATKEYS, "WHEN '0-0' THEN 'Fill'")},
     f AS (SELECT h.*, Chromosome || ':' || CAST(Position AS VARCHAR) || ':' || NEA || ':' || EA AS SNPID FROM h WHERE NEA IS NOT NULL AND EA IS NOT NULL),
@@ -900,7 +900,7 @@ CAT_SQL = f"""WITH c0 AS (SELECT dataset, q.RSID, p.Chromosome, p.Position, NEA,
 
 @query("standardise_catalog", CAT_SQL)
 def _(t):
-    out = panel.standardise(t.sql(CATALOG), panel.store_panel(t.panel_multi), "catalog")
+    out = panel.standardise(t.sql(CATALOG_TYPED), panel.store_panel(t.panel_multi), "catalog")
     b = F.col("BETA")
     return out.withColumns({"BETA": F.when(b == 0, F.lit(0.0)).otherwise(b), "P": lp()})
 
