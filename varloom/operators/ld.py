@@ -13,16 +13,23 @@ from varloom.sources.sinks import settle
 WORD = 63
 
 
-def genotype_words(genotypes: DataFrame, shards: int = 16) -> DataFrame:
+# donors of one numbering shard, unless the shards are given
+SHARD_DONORS = 4096
+
+
+def genotype_words(genotypes: DataFrame, shards: int | None = None) -> DataFrame:
     """Pack donors into words of 63: bit masks of observed, dosage 1 and dosage 2.
 
     One row per variant, population and word replaces 63 genotype rows, and the masks
     are built with a map-side combined bit_or. Donors are numbered inside hash shards,
-    so numbering never gathers all of them.
+    so numbering never gathers all of them; there are as many shards as the donors need,
+    because a shard ends in a word that is not full.
     """
-    donors = genotypes.select("population", "donor").distinct().withColumn(
-        "_shard", F.pmod(F.xxhash64("donor"), F.lit(shards)).cast("int")
-    )
+    donors = genotypes.select("population", "donor").distinct()
+    if shards is None:
+        donors = settle(donors)
+        shards = 1 + donors.count() // SHARD_DONORS
+    donors = donors.withColumn("_shard", F.pmod(F.xxhash64("donor"), F.lit(shards)).cast("int"))
     slot = F.row_number().over(Window.partitionBy("population", "_shard").orderBy("donor")) - 1
     donors = donors.withColumn("_slot", slot).select(
         "population", "donor", "_shard", F.floor(F.col("_slot") / WORD).cast("int").alias("_word"),
@@ -46,49 +53,109 @@ def genotype_words(genotypes: DataFrame, shards: int = 16) -> DataFrame:
     )
 
 
-def ld_pairs(genotypes: DataFrame, leads: DataFrame, window: int = 250_000, shards: int = 16) -> DataFrame:
+def _word_arrays(words: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """One row per `keys` with its words as arrays `obs`, `one` and `two`, and their length.
+
+    All arrays list the same words in one order; a word in which a variant has no call is zero.
+    """
+    per = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_shard", "_word", "obs", "one", "two"))).alias("_w"))
+    per = settle(per)
+    # as many rows as there are words of donors
+    slots = [tuple(r) for r in per.select(F.explode("_w").alias("w")).select("w._shard", "w._word").distinct().orderBy("_shard", "_word").collect()]
+    kind = dict(per.dtypes)["_w"]
+    blank = F.array(*[F.struct(*[F.lit(x).cast(t).alias(n) for x, t, n in zip((s, w, 0, 0, 0), ("int", "int", "long", "long", "long"), ("_shard", "_word", "obs", "one", "two"))]) for s, w in slots]) if slots else F.array().cast(kind)
+
+    def fill(b: Column) -> Column:
+        own = F.filter("_w", lambda w: (w["_shard"] == b["_shard"]) & (w["_word"] == b["_word"]))
+        return F.coalesce(F.get(own, 0), b)
+
+    full = F.when(F.size("_w") == len(slots), F.col("_w")).otherwise(F.transform(blank, fill))
+    out = per.select(*keys, full.alias("_w"))
+    return out.select(*keys, *[F.col(f"_w.{c}").alias(c) for c in ("obs", "one", "two")]), len(slots)
+
+
+# donor words up to which a pair's sums are written out one by one
+UNROLL = 8
+
+
+def _shared(width: int, *parts: tuple[int, tuple[str, str]]) -> Column:
+    """Sum over all words of the weighted numbers of donors that both masks hold."""
+
+    def both(part: tuple[int, tuple[str, str]], k: Column) -> Column:
+        f, (a, b) = part
+        return F.bit_count(F.get(a, k).bitwiseAND(F.get(b, k))) * f
+
+    def at(k: Column) -> Column:
+        return sum((both(p, k) for p in parts[1:]), both(parts[0], k))
+
+    if width > UNROLL:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0), lambda s, k: s + at(k)).cast("double")
+    terms = [at(F.lit(k)) for k in range(width)] or [F.lit(0)]
+    while len(terms) > 1:  # a flat tree
+        terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
+    return terms[0].cast("double")
+
+
+def _pair_sums(width: int) -> dict[str, Column]:
+    """Donors with both calls and the sums of a pair: the lead has masks _o, _a, _b, the other obs, one, two."""
+    return {
+        "n": _shared(width, (1, ("_o", "obs"))),
+        "sx": _shared(width, (1, ("_a", "obs")), (2, ("_b", "obs"))),
+        "sy": _shared(width, (1, ("_o", "one")), (2, ("_o", "two"))),
+        "sxx": _shared(width, (1, ("_a", "obs")), (4, ("_b", "obs"))),
+        "syy": _shared(width, (1, ("_o", "one")), (4, ("_o", "two"))),
+        "sxy": _shared(width, (1, ("_a", "one")), (2, ("_a", "two")), (2, ("_b", "one")), (4, ("_b", "two"))),
+    }
+
+
+def _pair_r2() -> Column:
+    cov = F.expr("n * sxy - sx * sy")
+    return F.try_divide(cov * cov, F.expr("(n * sxx - sx * sx) * (n * syy - sy * sy)"))
+
+
+def ld_pairs(genotypes: DataFrame, leads: DataFrame, window: int = 250_000, shards: int | None = None) -> DataFrame:
     """r2 of each lead with every variant within +-window, per population, and its donors `n`.
 
-    Donors missing either genotype are left out of a pair. Leads are replicated to the
-    window-sized bins they reach, so the pair join is an equi-join on (population,
-    chromosome, bin, donor word) over packed words; counts are popcounts and r2 comes
-    from map-side combined sums.
+    Donors missing either genotype are left out of a pair. A variant of a population is one row
+    with its donor words. Leads are replicated to the window-sized bins they reach, so the pair
+    join is an equi-join on (population, chromosome, bin); a pair is made once, its counts are
+    popcounts and its r2 is computed in place, so no table of pairs is shuffled. Only ids that
+    stand for several sites have their pairs summed over these.
     """
-    words = settle(genotype_words(genotypes, shards))
+    site = ["population", "Chromosome", "Position", "SNPID"]
+    arrays, width = _word_arrays(genotype_words(genotypes, shards), site)
     span = max(int(window), 1)
-    lead = words.join(leads.select("SNPID").distinct(), "SNPID", "left_semi").select(
-        "population", "Chromosome", "_shard", "_word", F.col("SNPID").alias("Lead"),
+    place = F.struct("Chromosome", "Position")
+    many = settle(arrays.groupBy("SNPID").agg(F.min(place).alias("_lo"), F.max(place).alias("_hi")).filter("_lo <> _hi").select(F.col("SNPID").alias("_id")))
+    repeats = not many.isEmpty()
+    if repeats:
+        again = F.col("SNPID").eqNullSafe(F.col("_id"))
+        arrays = arrays.join(many.withColumn("_many", F.lit(True)), again, "left").drop("_id").fillna(False, subset=["_many"])
+    else:
+        arrays = arrays.withColumn("_many", F.lit(False))
+    lead = arrays.join(leads.select("SNPID").distinct(), "SNPID", "left_semi").select(
+        "population", "Chromosome", F.col("SNPID").alias("Lead"), F.col("_many").alias("_again"),
         F.col("Position").alias("_lp"), F.col("obs").alias("_o"), F.col("one").alias("_a"), F.col("two").alias("_b"),
         F.explode(
             F.sequence(F.floor((F.col("Position") - span) / span), F.floor((F.col("Position") + span) / span))
         ).alias("_bin"),
     )
-    other = words.withColumn("_bin", F.floor(F.col("Position") / span)).withColumnRenamed("SNPID", "LD")
-    pairs = lead.join(other, ["population", "Chromosome", "_shard", "_word", "_bin"]).filter(
-        F.abs(F.col("Position") - F.col("_lp")) <= span
-    )
+    other = arrays.withColumn("_bin", F.floor(F.col("Position") / span)).withColumnRenamed("SNPID", "LD")
+    # few bytes make many pairs: as many tasks as the session sets, and not as the bytes suggest
+    cell = ["population", "Chromosome", "_bin"]
+    other = other.repartition(int(genotypes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)
+    pairs = lead.join(other, cell).filter(F.abs(F.col("Position") - F.col("_lp")) <= span)
+    sums = _pair_sums(width)
 
-    def bits(*cols: str) -> Column:
-        out = F.col(cols[0])
-        for c in cols[1:]:
-            out = out.bitwiseAND(F.col(c))
-        return F.bit_count(out).cast("long")
-
-    x1, x2, y1, y2 = bits("_a", "obs"), bits("_b", "obs"), bits("one", "_o"), bits("two", "_o")
-    sums = pairs.groupBy("Lead", "LD", "population").agg(
-        F.sum(bits("_o", "obs")).cast("double").alias("n"),
-        F.sum(x1 + 2 * x2).alias("sx"),
-        F.sum(y1 + 2 * y2).alias("sy"),
-        F.sum(x1 + 4 * x2).alias("sxx"),
-        F.sum(y1 + 4 * y2).alias("syy"),
-        F.sum(bits("_a", "one") + 2 * (bits("_a", "two") + bits("_b", "one")) + 4 * bits("_b", "two")).alias("sxy"),
-    )
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    return sums.select("Lead", "LD", "population", F.try_divide(cov * cov, vx * vy).alias("r2"), "n").filter(
-        F.col("r2").isNotNull()
-    )
+    def made(rows: DataFrame) -> DataFrame:
+        return rows.select("Lead", "LD", "population", *[c.alias(k) for k, c in sums.items()])
+
+    out = made(pairs.filter(~F.col("_again") & ~F.col("_many")))
+    if repeats:
+        names = ["Lead", "LD", "population"]
+        summed = made(pairs.filter(F.col("_again") | F.col("_many"))).groupBy(*names).agg(*[F.sum(k).alias(k) for k in sums])
+        out = out.unionByName(summed)
+    return out.select("Lead", "LD", "population", _pair_r2().alias("r2"), "n").filter(F.col("r2").isNotNull())
 
 
 def genetic_position(variants: DataFrame, gmap: DataFrame, width: int = 1_000_000) -> DataFrame:
@@ -121,30 +188,11 @@ def pack_variants(genotypes: DataFrame, population: str, shards: int = 1) -> Dat
     which a variant has no call is zero.
     """
     words = genotype_words(genotypes.filter(F.col("population") == population), shards)
-    per = words.groupBy("Chromosome", "Position", "SNPID").agg(
-        F.array_sort(F.collect_list(F.struct("_shard", "_word", "obs", "one", "two"))).alias("_w")
-    )
-    per = settle(per)
-    # as many rows as there are words of donors
-    slots = [tuple(r) for r in per.select(F.explode("_w").alias("w")).select("w._shard", "w._word").distinct().orderBy("_shard", "_word").collect()]
-    kind = dict(per.dtypes)["_w"]
-    blank = F.array(*[F.struct(*[F.lit(x).cast(t).alias(n) for x, t, n in zip((s, w, 0, 0, 0), ("int", "int", "long", "long", "long"), ("_shard", "_word", "obs", "one", "two"))]) for s, w in slots]) if slots else F.array().cast(kind)
-
-    def fill(b: Column) -> Column:
-        own = F.filter("_w", lambda w: (w["_shard"] == b["_shard"]) & (w["_word"] == b["_word"]))
-        return F.coalesce(F.get(own, 0), b)
-
-    full = F.when(F.size("_w") == len(slots), F.col("_w")).otherwise(F.transform(blank, fill))
-    out = per.select("Chromosome", "Position", "SNPID", full.alias("_w"))
-    out = out.select("Chromosome", "Position", "SNPID", *[F.col(f"_w.{c}").alias(c) for c in ("obs", "one", "two")])
+    out, _ = _word_arrays(words, ["Chromosome", "Position", "SNPID"])
     count = {c: F.aggregate(F.transform(c, F.bit_count), F.lit(0), lambda a, x: a + x) for c in ("obs", "one", "two")}
     return out.withColumn("AF", F.try_divide(count["one"] + 2 * count["two"], 2 * count["obs"]))
 
 
-# donor words up to which a pair's sums are written out one by one
-UNROLL = 8
-
-
 def windowed_scores(
     packed: DataFrame, values: DataFrame, labels: list[str], reach: float = 1.0, correct: bool = True,
 ) -> DataFrame:
@@ -177,32 +225,8 @@ def windowed_scores(
     near = (F.col("_c") == F.col("Chromosome")) & (F.col("_t") == F.col("_tile")) & (F.abs(F.col("cM") - F.col("_cm")) <= reach)
     pairs = lead.join(other, near)
 
-    def total(*parts: tuple[int, tuple[str, str]]) -> Column:
-        """Sum over all words of the weighted numbers of donors that both masks hold."""
-
-        def both(part: tuple[int, tuple[str, str]], k: Column) -> Column:
-            f, (a, b) = part
-            return F.bit_count(F.get(a, k).bitwiseAND(F.get(b, k))) * f
-
-        def at(k: Column) -> Column:
-            return sum((both(p, k) for p in parts[1:]), both(parts[0], k))
-
-        if width > UNROLL:
-            return F.aggregate(F.sequence(F.lit(0), F.lit(width - 1)), F.lit(0), lambda s, k: s + at(k)).cast("double")
-        terms = [at(F.lit(k)) for k in range(width)] or [F.lit(0)]
-        while len(terms) > 1:  # a flat tree
-            terms = [sum(terms[i + 1 : i + 2], terms[i]) for i in range(0, len(terms), 2)]
-        return terms[0].cast("double")
-
-    pairs = pairs.select(
-        "Lead", *[f"_y{i}" for i in range(len(labels))], total((1, ("_o", "obs"))).alias("n"),
-        total((1, ("_a", "obs")), (2, ("_b", "obs"))).alias("sx"), total((1, ("_o", "one")), (2, ("_o", "two"))).alias("sy"),
-        total((1, ("_a", "obs")), (4, ("_b", "obs"))).alias("sxx"), total((1, ("_o", "one")), (4, ("_o", "two"))).alias("syy"),
-        total((1, ("_a", "one")), (2, ("_a", "two")), (2, ("_b", "one")), (4, ("_b", "two"))).alias("sxy"),
-    )
-    cov = F.expr("n * sxy - sx * sy")
-    r2 = F.try_divide(cov * cov, F.expr("(n * sxx - sx * sx) * (n * syy - sy * sy)"))
-    pairs = pairs.withColumn("r2", r2).filter("r2 is not null")
+    pairs = pairs.select("Lead", *[f"_y{i}" for i in range(len(labels))], *[c.alias(k) for k, c in _pair_sums(width).items()])
+    pairs = pairs.withColumn("r2", _pair_r2()).filter("r2 is not null")
     if correct:
         pairs = pairs.filter("n > 2").withColumn("r2", F.expr("r2 - (1D - r2) / (n - 2)"))
     return pairs.groupBy("Lead").agg(
@@ -216,7 +240,7 @@ ENGINES: dict[str, Callable[..., DataFrame]] = {"genotypes": ld_pairs}
 
 def ld_merge_populations(ld: DataFrame, populations: list[str], threshold: float = 0.8) -> DataFrame:
     """Pairs at or over the threshold in any population, with every population's r2."""
-    wide = ld.groupBy("Lead", "LD").pivot("population", populations).agg(F.max("r2"))
+    wide = ld.groupBy("Lead", "LD").agg(*[F.max(F.when(F.col("population") == p, F.col("r2"))).alias(p) for p in populations])
     any_over = F.greatest(*[F.col(p) for p in populations]) if len(populations) > 1 else F.col(populations[0])
     return wide.filter(any_over >= threshold)
 
@@ -254,11 +278,15 @@ def lead_or_proxy(ld: DataFrame, populations: list[str]) -> DataFrame:
 
 
 def ld_add_info(ld: DataFrame, gwas: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Statistics of the proxy (`GWAS_`) and of the lead (`GWAS_Lead_`)."""
+    """Statistics of the proxy (`GWAS_`) and of the lead (`GWAS_Lead_`), as distinct rows.
+
+    Every column of the three tables is in the result, so its rows are distinct when theirs are; the
+    pairs are told apart where the first join needs them.
+    """
     by = list(by)
     proxy = gwas.select(*by, "SNPID", F.col("P").alias("GWAS_P"), F.col("BETA").alias("GWAS_BETA"))
     lead = gwas.select(
         *by, F.col("SNPID").alias("Lead"), F.col("P").alias("GWAS_Lead_P"), F.col("BETA").alias("GWAS_Lead_BETA")
     )
-    out = ld.withColumnRenamed("LD", "SNPID")
-    return out.join(proxy, [*by, "SNPID"], "left").join(lead, [*by, "Lead"], "left").distinct()
+    out = ld.withColumnRenamed("LD", "SNPID").repartition(*by, "SNPID").distinct()
+    return out.join(proxy.distinct(), [*by, "SNPID"], "left").join(lead.distinct(), [*by, "Lead"], "left")
