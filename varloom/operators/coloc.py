@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
-from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import first_by
@@ -80,10 +78,10 @@ def qtl_loci(
 ) -> DataFrame:
     """The QTL side: rows of a cell type at sites that the trait side keeps, as dataset2 and Feature2 = gene_locus.
 
-    Sites without a trait row are left out before the blocks are looked up.
+    Blocks are looked up once for every site of the trait, and not for every QTL row.
     """
-    sites = trait.select(*SITE).distinct()
-    placed = partition_by_block(qtl.join(sites, list(SITE), "left_semi"), blocks, width=width)
+    sites = partition_by_block(trait.select(*SITE).distinct(), blocks, width=width)
+    placed = qtl.join(sites, list(SITE))
     return placed.withColumn("Feature2", F.concat_ws("_", gene, "Loci")).withColumnRenamed(cell, "dataset2").drop("Loci")
 
 
@@ -100,12 +98,19 @@ def coloc_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, list(SITE))
 
 
+# rows of the first side up to which a task takes more loci
+LOCUS_ROWS = 50_000
+
+
 def coloc_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     """Variants shared by each pair of features, one row per side and variant.
 
-    Each side is reduced to one row per (data set, feature, variant) before the join, so the join
-    emits what the pairs need and not the product of all rows at a site. The lowest P
-    (then BETA) stands for a repeated variant.
+    Each side is reduced to one row per (data set, feature, variant), so the pairs are what is needed
+    and not the product of all rows at a site. The lowest P (then BETA) stands for a repeated variant.
+
+    With loci (`Feature1`), the second side goes to the loci that the first has at a site, both are dealt
+    by locus and matched there. All variants of a pair then lie in one task: what sums over a pair
+    needs no exchange of the pairs, which are many more than the rows of the sides.
     """
     key = [*SITE, "SNPID"]
 
@@ -114,7 +119,26 @@ def coloc_intersect(a: DataFrame, b: DataFrame) -> DataFrame:
         own = [c for c in (f"dataset{i}", f"Feature{i}") if c in df.columns]
         return _side(first_by(df, [*own, *key], order), i, key)
 
-    return slim(a, 1).join(slim(b, 2), key)
+    left, right = slim(a, 1), slim(b, 2)
+    if "Feature1" not in a.columns:
+        return left.join(right, key)
+    here = [*key, "Feature1"]
+    loci = a.select(*SITE, "Feature1").distinct()
+    placed = right.join(loci, list(SITE))
+    named = {"_l": [c for c in left.columns if c not in here], "_r": [c for c in right.columns if c not in key]}
+    types = dict(left.dtypes) | dict(right.dtypes)
+    absent = {k: F.lit(None).cast(f"struct<{','.join(f'`{c}`:{types[c]}' for c in cols)}>").alias(k) for k, cols in named.items()}
+    present = {k: F.struct(*cols).alias(k) for k, cols in named.items()}
+    both = left.select(*here, present["_l"], absent["_r"]).unionByName(placed.select(*here, absent["_l"], present["_r"]))
+    both = both.filter(" AND ".join(f"{c} IS NOT NULL" for c in key))
+    # few bytes make many pairs: as many tasks as the session sets or the rows need, and not as the bytes suggest
+    parts = max(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), a.count() // LOCUS_ROWS)
+    both = both.repartition(parts, "Feature1")
+    met = both.groupBy(*here).agg(F.collect_list("_l").alias("_ls"), F.collect_list("_r").alias("_rs"))
+    pairs = met.select(*here, F.explode("_ls").alias("_l"), "_rs").select(*here, "_l", F.explode("_rs").alias("_r"))
+    fields = {c: f"{k}.{c}" for k, cols in named.items() for c in cols} | {c: c for c in here}
+    order = [*key, *left.columns[len(key):], *right.columns[len(key):]]
+    return pairs.select(*[F.col(fields[c]).alias(c) for c in order])
 
 
 def _named(df: DataFrame, keys: tuple[str, ...] | None) -> tuple[str, ...]:
@@ -122,12 +146,12 @@ def _named(df: DataFrame, keys: tuple[str, ...] | None) -> tuple[str, ...]:
     return keys or tuple(k for k in KEYS if k in df.columns)
 
 
-def _sdy2(i: int) -> Column:
+def _sdy2(i: int, pair: Window) -> Column:
     """Squared trait sd of a pair's side: through-origin slope of 2N f(1-f) on 1/varbeta."""
     x = F.lit(1.0) / F.col(f"F{i}_varbeta")
     f = F.col(f"F{i}_AF")
     y = F.lit(2.0) * F.col(f"F{i}_N") * f * (F.lit(1.0) - f)
-    return F.try_divide(F.sum(x * y), F.sum(x * x))
+    return F.try_divide(F.sum(x * y).over(pair), F.sum(x * x).over(pair))
 
 
 def _lbf(i: int, kind: str, by_effect: bool, n: float | None, s: float | None) -> Column:
@@ -154,8 +178,8 @@ def abf_lbf(
     """Log approximate Bayes factors `lbf1`, `lbf2` of every variant of a pair.
 
     With BETA and varbeta a quantitative side takes its trait sd from the pair's own
-    variants (needs AF and N), by sums that are combined on the map side; with P, AF the variance
-    comes from N. The pairs are written once for that, and read for the sums and for the rows.
+    variants (needs AF and N), which a window sums where they lie; with P, AF the variance
+    comes from N.
     """
     keys = _named(pairs, keys)
     effect = [f"F{i}_varbeta" in pairs.columns for i in (1, 2)]
@@ -163,11 +187,7 @@ def abf_lbf(
     for i in need:
         if f"F{i}_N" not in pairs.columns:
             pairs = pairs.withColumn(f"F{i}_N", F.lit(float(n[i - 1])))
-    if need:
-        pairs = settle(pairs)
-        sd = pairs.groupBy(*[F.col(k).alias(f"_k{j}") for j, k in enumerate(keys)]).agg(*[_sdy2(i).alias(f"_sdy{i}") for i in need])
-        same = [F.col(k).eqNullSafe(F.col(f"_k{j}")) for j, k in enumerate(keys)]
-        pairs = pairs.join(sd, reduce(and_, same)).drop(*[f"_k{j}" for j in range(len(keys))])
+    pairs = pairs.withColumns({f"_sdy{i}": _sdy2(i, Window.partitionBy(*keys)) for i in need})
     out = pairs.withColumns(
         {f"lbf{i}": _lbf(i, kinds[i - 1], effect[i - 1], n[i - 1], s[i - 1]) for i in (1, 2)}
     )
@@ -217,14 +237,20 @@ def coloc_abf(
 
 
 def coloc_full(lbf: DataFrame, summary: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
-    """All variants of all pairs with SNP.PP.H4 and the pair's posteriors."""
+    """All variants of all pairs with SNP.PP.H4 and the pair's posteriors.
+
+    `summary` has one row a pair; it is put to the pair's variants, and a window hands it to them, so
+    variants that lie by locus stay there. Variants of a pair without a name or a summary are left out.
+    """
     keys = _named(lbf, keys)
-    pp = summary.select(*keys, *[f"PPH{i}" for i in range(5)], "PPH4_PPH3", "METHOD", "_s12")
-    return (
-        lbf.join(pp, list(keys))
-        .withColumn("SNP_PP_H4", F.exp(F.col("lbf1") + F.col("lbf2") - F.col("_s12")))
-        .drop("_s12", "lbf1", "lbf2")
-    )
+    pp = [*[f"PPH{i}" for i in range(5)], "PPH4_PPH3", "METHOD", "_s12"]
+    own = [c for c in lbf.columns if c not in keys]
+    variants = lbf.select(*keys, F.struct(*own).alias("_v"))
+    pairs = summary.select(*keys, F.struct(*pp).alias("_p"))
+    both = variants.unionByName(pairs, allowMissingColumns=True)
+    both = both.withColumn("_p", F.max("_p").over(Window.partitionBy(*keys))).filter("_v IS NOT NULL AND _p IS NOT NULL")
+    both = both.filter(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(*keys, "_v.*", "_p.*")
+    return both.withColumn("SNP_PP_H4", F.exp(F.col("lbf1") + F.col("lbf2") - F.col("_s12"))).drop("_s12", "lbf1", "lbf2")
 
 
 # Colocalisation method registry.
@@ -239,11 +265,12 @@ def colocalise(
     """(Bayes factors of all shared variants, posteriors per pair) of all studies against all cell types.
 
     From association rows (dataset, variant, statistics) and QTL rows (CELL, GENEID, variant, statistics):
-    loci with a hit, QTLs at their sites, shared variants, Bayes factors, posteriors.
+    loci with a hit, QTLs at their sites, shared variants, Bayes factors, posteriors. The rows of the
+    factors are many times the input and are not written; the sides are.
     """
     side1 = settle(trait_loci(prepare(trait, kinds[0], n[0], s[0]), blocks, width, threshold))
     side2 = qtl_loci(prepare(qtl, kinds[1], n[1], s[1]), blocks, side1, width)
-    lbf = settle(abf_lbf(coloc_intersect(side1, side2), kinds, n, s))
+    lbf = abf_lbf(coloc_intersect(side1, side2), kinds, n, s)
     return lbf, METHODS[method](lbf, **priors)
 
 
