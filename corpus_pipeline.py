@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions.frames import read_table
-from varloom.llm import bpe, decontam, jaccard, substring, toxicity
+from varloom.llm import bpe, decontam, jaccard, simhash, substring, toxicity
 from varloom.session import tune
 from varloom.sources.sinks import settle
 
@@ -30,8 +30,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every class of texts that link at a 5-word Jaccard similarity of 0.8."""
-    classes = jaccard.near_duplicates(docs, shingle=5, least=0.8)
+    """The smallest doc_id of every class of texts that link at a 5-word Jaccard similarity of 0.8.
+
+    SimHash fingerprints of the same shingles give candidates; at 0.8 they differ in some 10 of 64 bits,
+    so min-hash bands give the rest. The shingle sets decide for both.
+    """
+    found = simhash.near_duplicates(docs, shingle=5).select(F.col("doc").alias("a"), F.col("component").alias("b"))
+    classes = jaccard.near_duplicates(docs, shingle=5, least=0.8, candidates=found.filter("a IS NOT NULL"))
     copies = classes.filter("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
 

@@ -147,6 +147,7 @@ def _verify(least: Fraction):
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """(doc, component): documents with a copy, and the smallest id reachable by links.
 
@@ -154,7 +155,8 @@ def near_duplicates(
     `least`; ASCII case and white space do not count. A pair at `least` is missed with probability
     MISS, a closer one far more seldom; no pair below it links. Fewer words form one run; texts
     without words are copies of each other. Rows without id are left out, rows that share an id are
-    one document, equal sets cost one row.
+    one document, equal sets cost one row. `candidates` (a, b) are ids found by another method, which
+    are compared like those of the bands.
     """
     share = Fraction(least).limit_denominator(1000)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
@@ -165,7 +167,10 @@ def near_duplicates(
 
     one = made.join(first.select("n", "h1", "h2", F.col("b").alias("doc")), ["n", "h1", "h2", "doc"], "left_semi")
     keyed = one.select("doc", F.explode("keys").alias("key")).withColumn("low", F.min("doc").over(Window.partitionBy("key")))
-    wide = settle(components(keyed.filter("doc <> low"), "doc", "low"))
+    near = keyed.filter("doc <> low").select("doc", "low")
+    if candidates is not None:
+        near = near.union(candidates.select("a", "b").filter("a <> b"))
+    wide = settle(components(near, "doc", "low"))
     of = wide.join(one.select(F.col("doc").alias("node"), "n"), "node").groupBy("node", "component").agg(F.max("n").alias("n"))
     of = settle(of)
     size = of.groupBy("component").agg(
