@@ -101,8 +101,8 @@ def suffix_order(x: list[int]) -> list[int]:
     return order
 
 
-def sharing(slices: list[bytes], window: int) -> np.ndarray:
-    """Indices of the slices of which some window's hash occurs again."""
+def sharing(slices: list[bytes], docs: list[int], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, first, last): of the slices with windows whose hash another doc has too, the first and last such window."""
     raw = np.frombuffer(b"".join(slices), np.uint8)
     size = np.array([len(s) for s in slices])
     of = np.repeat(np.arange(len(slices)), size)
@@ -112,8 +112,20 @@ def sharing(slices: list[bytes], window: int) -> np.ndarray:
     np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
     h = (total[at + window] - total[at]) * down[at]
     order = np.argsort(h)
-    same = h[order[1:]] == h[order[:-1]]
-    return np.unique(of[at[np.r_[order[1:][same], order[:-1][same]]]])
+    h, at = h[order], at[order]
+    same = h[1:] == h[:-1]
+    again = np.r_[False, same] | np.r_[same, False]
+    h, at = h[again], at[again]
+    if not len(at):
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    doc = np.array(docs, np.int64)[of[at]]
+    lead = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    several = np.minimum.reduceat(doc, lead) < np.maximum.reduceat(doc, lead)
+    at = np.sort(at[np.repeat(several, np.diff(np.r_[lead, len(h)]))])
+    new = np.r_[True, of[at[1:]] != of[at[:-1]]] if len(at) else np.zeros(0, bool)
+    begin, last = np.cumsum(size) - size, np.r_[new[1:], True] if len(at) else new
+    found = of[at[new]]
+    return found, at[new] - begin[found], at[last] - begin[found]
 
 
 def equal_windows(slices: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -363,10 +375,19 @@ def _search(window: int):
 
         def sort():
             nonlocal waiting, waiting_bytes
-            if waiting:  # most grams repeat without a window that does: such slices need no place in the order
-                waiting = [waiting[k] for k in sharing([w[0] for w in waiting], window)]
+            if waiting:  # most grams repeat without a window that does: only what others share needs a place in the order
+                shared = zip(*(x.tolist() for x in sharing([w[0] for w in waiting], [w[1] for w in waiting], window)))
+                waiting = [(waiting[k][0][a : b + window], waiting[k][1], [x + a for x in waiting[k][2]]) for k, a, b in shared]
             if waiting:
-                of, offset, cls = equal_windows([w[0] for w in waiting], window)
+                # cut so, slices are often equal: each text is sorted once, and its windows are those of all its slices
+                place: dict[bytes, int] = {}
+                text = np.array([place.setdefault(w[0], len(place)) for w in waiting])
+                of, offset, cls = equal_windows(list(place), window)
+                order = np.argsort(of, kind="stable")
+                size = np.bincount(of, minlength=len(place))
+                begin, size = (np.cumsum(size) - size)[text], size[text]
+                at = order[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+                of, offset, cls = np.repeat(np.arange(len(waiting)), size), offset[at], cls[at]
                 least = np.full(int(cls.max()) + 1, np.iinfo(np.int64).max)
                 docs = np.array([w[1] for w in waiting], np.int64)
                 np.minimum.at(least, cls, docs[of])
