@@ -1,47 +1,28 @@
-"""Words merged all at a time, without a fold in the plan and without a gathering job."""
+"""The fold of one array gives the library's ids, first pair of the lowest rank first."""
 
 import random
 
-import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from varloom.llm import bpe
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def test_words_merged_together_equal_the_library():
+def test_fold_equals_the_library(spark):
     ranks = bpe.read_ranks(RANKS)
     library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(4)
-    words = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in ("ab", "the re", "qé你") for _ in range(200)]
-    words += [" " * 40, "", "a", "aaaaaaa", "international"]
-    data = np.frombuffer("".join(words).encode(), np.uint8)
-    at = np.r_[0, np.cumsum([len(w.encode()) for w in words])]
-    ids, bounds = bpe.Merges(ranks).encode(data, at)
-    for w, a, b in zip(words, bounds[:-1], bounds[1:]):
-        assert ids[a:b].tolist() == library.encode_ordinary(w)
+    words = ["".join(rng.choice(a) for _ in range(rng.randrange(1, 60))) for a in ("ab", "the re", "qé你") for _ in range(60)]
+    words += [" " * 40, "a", "aaaaaaa", "international", "y z" * 300]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.Merges(ranks).encode(F.col("w")).alias("ids"))
+    for r in got.collect():
+        assert r["ids"] == library.encode_ordinary(r["w"])
 
 
-def test_long_words_between_others(monkeypatch):
-    ranks = bpe.read_ranks(RANKS)
-    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-    monkeypatch.setattr(bpe, "FOLD_BYTES", 10)
-    words = ["x" * 30, "one", "y z" * 9, "z" * 11, "two", "b" * 40]
-    ids, bounds = bpe._merged(__import__("pyarrow").array(words), bpe.Merges(ranks), ranks)
-    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [library.encode_ordinary(w) for w in words]
-
-
-def test_every_text_of_the_rank_file_is_its_own_id():
-    ranks = bpe.read_ranks(RANKS)
-    table = bpe.whole_words(ranks)
-    assert {w: table.ids[table.at[k] : table.at[k + 1]].tolist() for k, w in enumerate(table.words.to_pylist())} == {
-        t.decode(): [r] for t, r in ranks.items() if len(t) <= bpe.HOT_BYTES and t.decode(errors="replace").encode() == t
-    }
-
-
-def test_encode_gathers_nothing_from_the_texts(spark):
-    df = spark.range(3).selectExpr("id AS doc_id", "'one two ' || id AS text")
-    plan = bpe.encode(df, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "transform(" not in plan and "Scan parquet" not in plan
+def test_fold_keeps_one_array(spark):
+    plan = spark.range(1).select(bpe.Merges({bytes([b]): b for b in range(256)} | {b"ab": 256}).encode(F.lit("ab") + F.col("id").cast("string")))
+    text = plan._jdf.queryExecution().analyzed().toString()
+    assert "array_min" in text and "rk" not in text

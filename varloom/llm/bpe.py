@@ -1,7 +1,7 @@
-"""Byte-level BPE in Spark: the different words of a task's documents are merged, texts look them up.
+"""Byte-level BPE in Spark: distinct words are merged by a fold over arrays, texts look them up.
 
-The rank map is laid out as a table of id pairs in which every pair has one place, so a merge
-looks a pair up in constant time. Tasks carry it; nothing is gathered from the texts.
+The rank map is a literal in the plan. It is laid out as a table of id pairs in which every pair
+has one place, so the fold looks a pair up in constant time.
 """
 
 from __future__ import annotations
@@ -16,11 +16,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.llm.repeats import release
 from varloom.llm.words import BYTE, PIECE, groups, mix, powers, texts
+from varloom.sources.sinks import settle
 
-_NONE = 2147483647
 _ID_BITS = 17
 _ID_MASK = (1 << _ID_BITS) - 1
+# an entry of the fold: rank, first byte, id; ids have _ID_BITS bits, and so has the byte
+_RANK_AT = 2 * _ID_BITS
+_NONE = 1 << _ID_BITS
+_REST_MASK = (1 << _RANK_AT) - 1
+_BYTE_MASK = _REST_MASK - _ID_MASK
+_LONGEST = 1 << _ID_BITS
 _TRIES = 4096
 
 
@@ -65,75 +72,80 @@ def pair_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     return shifts, slots[:used]  # a slot past the end is no pair
 
 
+def _literal(values: np.ndarray | list, kind: str) -> Column:
+    """An array literal; the optimizer folds the parsing away."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def bound(value: Column, f) -> Column:
     """f(value), with the value evaluated once."""
     return F.transform(F.array(value), f)[0]
 
 
 class Merges:
-    """The pair table of one rank file, and words merged by it."""
+    """Column expressions of one rank file."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.shifts, self.slots = pair_table(ranks)
-        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-
-    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Merged ids of pairs, which are also their ranks; _NONE for those that don't merge."""
-        if not len(self.slots):
-            return np.full(len(a), _NONE, np.int32)
-        at = self.shifts[a] + b
-        slot = self.slots[np.minimum(at, len(self.slots) - 1)]
-        ok = (slot >> _ID_BITS == a) & (at < len(self.slots))
-        return np.where(ok, slot & _ID_MASK, _NONE).astype(np.int32)
-
-    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of the words data[at[k] : at[k + 1]], merged lowest rank first, leftmost first.
-
-        All words go on together: a step merges in each the first pair of its lowest rank and looks
-        up the two new neighbours. A word that has no pair left leaves.
+        shifts, slots = pair_table(ranks)
+        self.shifts, self.slots = _literal(shifts.tolist(), "int"), _literal(slots.tolist(), "bigint")
+        self.bytes = _literal([ranks[bytes([b])] for b in range(256)], "int")
+
+    @staticmethod
+    def rank(shifts: Column, slots: Column, a: Column, b: Column) -> Column:
+        """Merged id of a pair, which is also its rank; _NONE if it doesn't merge."""
+        slot = F.get(slots, F.get(shifts, a) + b)
+        return bound(slot, lambda v: F.when(F.shiftright(v, _ID_BITS) == a, v.bitwiseAND(_ID_MASK)).otherwise(F.lit(_NONE).cast("long")))
+
+    def encode(self, word: Column) -> Column:
+        """array<int>: the ids of a non-empty word, merged lowest rank first, leftmost first.
+
+        The fold's state is one array of longs, rank of the pair that starts here << 34 | first byte << 17 | id,
+        so that its least entry is the first pair of the lowest rank. A step merges that and looks up
+        its two new neighbours. The tables are bound, so that the plan holds each of them once.
         """
-        words, lengths = len(at) - 1, np.diff(at)
-        ids = self.bytes[data[at[0] : at[-1]]]
-        word = np.repeat(np.arange(words), lengths)
-        rk = np.full(len(ids), _NONE, np.int32)  # of the pair that starts here
-        inside = np.flatnonzero(word[1:] == word[:-1])
-        rk[inside] = self.rank(ids[inside], ids[inside + 1])
-        gone = []
-        while len(ids):
-            start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            size = np.diff(np.r_[start, len(ids)])
-            low = np.minimum.reduceat(rk, start)
-            if (low == _NONE).any():
-                goes_on = np.repeat(low != _NONE, size)
-                gone.append((word[~goes_on], ids[~goes_on]))
-                ids, rk, word = ids[goes_on], rk[goes_on], word[goes_on]
-                size, low = size[low != _NONE], low[low != _NONE]
-                if not len(ids):
-                    break
-            p = np.flatnonzero(rk == np.repeat(low, size))
-            p = p[np.r_[True, word[p[1:]] != word[p[:-1]]]]
-            ids[p] = low
-            stays = np.ones(len(ids), bool)
-            stays[p + 1] = False
-            ids, rk, word = ids[stays], rk[stays], word[stays]
-            p = p - np.arange(len(p))  # one id of each word before it has gone
-            rk[p] = _NONE
-            q = p[p + 1 < len(ids)]
-            q = q[word[q + 1] == word[q]]
-            rk[q] = self.rank(ids[q], ids[q + 1])
-            q = p[p > 0]
-            q = q[word[q - 1] == word[q]]
-            rk[q - 1] = self.rank(ids[q - 1], ids[q])
-        if not gone:
-            return np.zeros(0, np.int32), np.zeros(words + 1, np.int64)
-        word, ids = map(np.concatenate, zip(*gone))
-        return ids[np.argsort(word, kind="stable")], np.r_[0, np.cumsum(np.bincount(word, minlength=words))]
-
-
-#: Words of one id that are carried to every task, and their longest in bytes.
-HOT_WORDS, HOT_BYTES = 1 << 20, 64
-#: Longer words are merged one by one: a step for each of their bytes goes over the whole word.
-FOLD_BYTES = 256
+        return bound(self.shifts, lambda shifts: bound(self.slots, lambda slots: self._encode(word, shifts, slots)))
+
+    def _encode(self, word: Column, shifts: Column, slots: Column) -> Column:
+        none = F.lit(_NONE << _RANK_AT)
+
+        def id_of(x: Column) -> Column:
+            return x.bitwiseAND(_ID_MASK).cast("int")
+
+        def ranked(rest: Column, a: Column, b: Column) -> Column:
+            """The entry with byte and id `rest` whose id `a` is before the id `b`; no pair if `b` is null."""
+            return F.shiftleft(self.rank(shifts, slots, a, b), _RANK_AT).bitwiseOR(rest)
+
+        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+
+        def start(ids: Column) -> Column:
+            return F.transform(ids, lambda a, k: ranked(F.shiftleft(k.cast("long"), _ID_BITS).bitwiseOR(a.cast("long")), a, F.get(ids, k + 1)))
+
+        def merge(s: Column, p: Column, least: Column) -> Column:
+            low = F.shiftright(least, _RANK_AT)
+            rest = least.bitwiseAND(_BYTE_MASK).bitwiseOR(low)
+            here = ranked(rest, low.cast("int"), id_of(F.get(s, p + 1)))
+            left = bound(F.get(s, p - 2), lambda x: ranked(x.bitwiseAND(_REST_MASK), id_of(x), low.cast("int")))
+            changed = F.when(p > 1, F.array(left, here)).otherwise(F.array(here))
+            return F.concat(F.slice(s, 1, F.greatest(p - 2, F.lit(0))), changed, F.slice(s, p + 2, _LONGEST))
+
+        def step(s: Column, _: Column) -> Column:
+            def on(least: Column) -> Column:
+                place = F.array_position(s, least).cast("int")
+                return F.when(least < none, bound(place, lambda p: merge(s, p, least))).otherwise(s)
+
+            return bound(F.array_min(s), on)
+
+        def fold(ids: Column) -> Column:
+            steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
+            return F.aggregate(steps, start(ids), step, lambda s: F.transform(s, id_of))
+
+        return bound(F.transform(chars, lambda c: F.get(self.bytes, F.ascii(c))), fold)
+
+
+#: Frequent words whose ids are carried to every task, and their longest in bytes.
+HOT_WORDS, HOT_BYTES = 1 << 19, 64
+#: Longer words would cost the fold time that grows with their square.
+FOLD_BYTES = 1024
 #: Words hashed, and documents looked up, at a time.
 _SLICE, _DOCS = 1 << 13, 1024
 
@@ -144,7 +156,7 @@ def split_words(text: Column, pattern: str) -> Column:
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """What Merges.encode gives, in time n log n: pairs wait in a heap by (rank, place)."""
+    """What the fold gives, in time n log n: pairs wait in a heap by (rank, place)."""
     start, end = list(range(-1, len(word) - 1)), list(range(1, len(word) + 1))  # neighbours
     stop = end[:]
     heap = []
@@ -202,88 +214,81 @@ class WordTable:
 
     def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(row, known) for every word; row is 0 where a word is not known. Each different word is looked up once."""
-        if not len(words):
-            return np.zeros(0, np.int64), np.zeros(0, bool)
-        coded = words.dictionary_encode()
-        index = coded.indices.to_numpy()
-        row, known = self.find_different(coded.dictionary)
-        return row[index], known[index]
-
-    def find_different(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(row, known) of words that do not repeat."""
-        row, known = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
         if not len(self.hash) or not len(words):
-            return row, known
-        at = texts(words)[1]
+            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        coded = words.dictionary_encode()
+        different, index = coded.dictionary, coded.indices.to_numpy()
+        row, known = np.zeros(len(different), np.int64), np.zeros(len(different), bool)
+        at = texts(different)[1]
         for lo, hi in groups(at):
             if at[hi] - at[lo] > PIECE:
                 continue  # one word longer than any that is known
-            part = words.slice(lo, hi - lo)
+            part = different.slice(lo, hi - lo)
             h = hash_words(part)
             k = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
             k[self.hash[k] != h] = 0
             same = pc.equal(part, self.words.take(pa.array(k))).to_numpy(zero_copy_only=False)
             row[lo:hi], known[lo:hi] = np.where(same, k, 0), same
-        return row, known
+        return row[index], known[index]
+
 
+def hot_words(words: DataFrame, merges: Merges, most: int = HOT_WORDS) -> WordTable:
+    """The most frequent words and their ids: all that occur at least c times, c as small as allowed.
 
-def whole_words(ranks: dict[bytes, int], most: int = HOT_WORDS) -> WordTable:
-    """The `most` lowest ranks that are texts of at most HOT_BYTES bytes: a word that has an id is that id."""
-    known: dict[str, int] = {}
-    for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-        if len(known) >= most:
+    `words` is (w) with a row per occurrence.
+    """
+    short = words.filter(F.octet_length("w") <= HOT_BYTES)
+    counts = settle(short.groupBy("w").agg(F.count("*").alias("n")))
+    room, least = most, None
+    # as many rows as there are different counts
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
             break
-        try:
-            if len(token) <= HOT_BYTES:
-                known[token.decode()] = rank
-        except UnicodeDecodeError:
-            pass  # part of a character
-    return WordTable(pa.array(list(known), pa.string()), pa.array([[r] for r in known.values()], pa.list_(pa.int32())))
-
-
-def _merged(words: pa.Array, merges: Merges, ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of the words, some PIECE bytes at a time."""
-    if not len(words):
-        return np.zeros(0, np.int32), np.zeros(1, np.int64)
-    data, at = texts(words)
-    ids, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-    for lo, hi in groups(at):
-        size = np.diff(at[lo : hi + 1])
-        long = np.flatnonzero(size > FOLD_BYTES)
-        for a, b in zip([lo, *(lo + long + 1).tolist()], [*(lo + long).tolist(), hi]):
-            flat, bounds = merges.encode(data, at[a : b + 1])
-            ids.append(flat)
-            sizes.append(np.diff(bounds))
-            if b < hi:  # the long word between two stretches of others
-                found = merge_long(data[at[b] : at[b + 1]].tobytes(), ranks)
-                ids.append(np.array(found, np.int32))
-                sizes.append(np.array([len(found)]))
-    return np.concatenate(ids), np.r_[0, np.cumsum(np.concatenate(sizes))]
-
-
-def _look_up(hot: WordTable, merges: Merges, ranks: dict[bytes, int]):
-    """Of rows whose first column is a list of words: the other columns, then the ids of the words."""
+        least = r["n"]
+    if least is None:
+        return WordTable(pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())))
+    # at most `most` words of at most HOT_BYTES bytes
+    folded = settle(counts.filter(F.col("n") >= least).repartition("w").select("w", merges.encode(F.col("w")).alias("ids")))
+    table = folded.toArrow()
+    return WordTable(table["w"].combine_chunks(), table["ids"].combine_chunks())
+
 
+def _look_up(hot: WordTable, ranks: dict[bytes, int]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, values = hot.at, hot.ids
         for b in batches:
             for piece in (b.slice(k, _DOCS) for k in range(0, b.num_rows, _DOCS)):
                 lists = piece.column(0)
-                coded = lists.flatten().dictionary_encode()
-                words, index = coded.dictionary, coded.indices.to_numpy()
-                row, known = hot.find_different(words)
+                words = lists.flatten()
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                code, known = hot.find(words)
                 missing = np.flatnonzero(~known)
-                flat, bounds = _merged(words.take(pa.array(missing)), merges, ranks)
-                # ids of the known words, then those of the others
-                begin, size = hot.at[row * known].astype(np.int64), np.zeros(len(words), np.int64)
-                size[known] = hot.at[row[known] + 1] - begin[known]
-                begin[missing], size[missing] = len(hot.ids) + bounds[:-1], np.diff(bounds)
-                values = np.r_[hot.ids, flat]
-                n_ids = size[index]
-                end = np.r_[0, np.cumsum(n_ids)]
-                ids = values[np.repeat(begin[index] - end[:-1], n_ids) + np.arange(end[-1])]
-                last = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]
-                out = pa.ListArray.from_arrays(pa.array(end[last].astype(np.int32)), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*piece.columns[1:], out], [*piece.schema.names[1:], "ids"])
+                n_ids = (at[code + 1] - at[code]) if len(at) > 1 else np.zeros(len(code), np.int64)
+                n_ids[missing] = 0
+                begin = np.r_[0, np.cumsum(n_ids)]
+                flat = values[np.repeat(at[code] - begin[:-1], n_ids) + np.arange(begin[-1])] if len(values) else values
+                # a list is cut after each word that is not known
+                last = np.cumsum(size)
+                row = np.searchsorted(last, missing, "right")
+                cuts = np.sort(np.r_[begin[missing], begin[last]])
+                n_cuts = np.bincount(row, minlength=len(size)) + 1
+                pieces = pa.ListArray.from_arrays(
+                    pa.array(np.r_[0, np.cumsum(n_cuts)].astype(np.int32)),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, cuts].astype(np.int32)), pa.array(flat, pa.int32())),
+                )
+                text = words.take(pa.array(missing))
+                long = pc.greater(pc.binary_length(text), FOLD_BYTES).to_numpy(zero_copy_only=False)
+                ids = [merge_long(w.as_py().encode(), ranks) if x else None for w, x in zip(text, long)] if long.any() else [None] * len(text)
+                bounds = pa.array(np.r_[0, np.cumsum(n_cuts - 1)].astype(np.int32))
+                short = pa.array([None if x else w for w, x in zip(text.to_pylist(), long)], pa.string()) if long.any() else text
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *piece.columns[1:], pieces, pa.ListArray.from_arrays(bounds, short),
+                        pa.ListArray.from_arrays(bounds, pa.array(ids, pa.list_(pa.int32()))),
+                    ],
+                    [*piece.schema.names[1:], "pieces", "missing", "ready"],
+                )
         pa.default_memory_pool().release_unused()
 
     return run
@@ -294,20 +299,27 @@ def encode(
 ) -> DataFrame:
     """`docs` with the column `into` (array<int>): each match of `pattern` encoded by itself.
 
-    The tasks carry the rank file's pairs and its `hot` first words of up to HOT_BYTES bytes. The
-    different words of some documents are looked up there, and the others merged, all at a time;
-    words over FOLD_BYTES bytes are merged with a heap, to the same ids. Null and empty
+    Different words of up to HOT_BYTES bytes are counted over all texts; the ids of the `hot` most
+    frequent are folded once and carried to the tasks, and other words are folded in their
+    document. Words over FOLD_BYTES bytes are merged with a heap, to the same ids. Null and empty
     texts give no ids. All columns but one named `into` are kept; equal rows get equal ids.
     """
     ranks = read_ranks(path)
+    merges = Merges(ranks)
     words = split_words(F.col(text_col).cast("string"), pattern)
+    table = hot_words(docs.select(F.explode(words).alias("w")), merges, hot)
+    release(docs.sparkSession)
     kept = [c for c in docs.columns if c != into]
     names = [f"_c{k}" for k in range(len(kept))]
     rows = docs.select(words.alias("_w"), *[F.col(f"`{c}`").alias(n) for c, n in zip(kept, names)])
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "ids array<int>"])
-    coded = rows.mapInArrow(_look_up(whole_words(ranks, hot), Merges(ranks), ranks), schema)
-    return coded.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], F.col("ids").alias(into))
+    schema = ", ".join([*[f"{n} {kinds[n]}" for n in names], "pieces array<array<int>>, missing array<string>, ready array<array<int>>"])
+    parts = rows.mapInArrow(_look_up(table, ranks), schema)
+    folded = F.transform("missing", lambda w, k: F.coalesce(F.get("ready", k), F.when(w.isNotNull(), merges.encode(w))))
+    none = F.array().cast("array<int>")
+    # bound: the fold of each missing word runs once, not once for every piece
+    ids = bound(folded, lambda f: F.flatten(F.transform("pieces", lambda p, k: F.concat(p, F.coalesce(F.get(f, k), none)))))
+    return parts.select(*[F.col(n).alias(c) for c, n in zip(kept, names)], ids.alias(into))
 
 
 def decode(ids: Column, path: str) -> Column:
