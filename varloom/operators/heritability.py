@@ -72,20 +72,28 @@ def effect_sizes(qtl: DataFrame, binned: DataFrame, by: tuple[str, ...] = ("CELL
     return eff.join(binned.select(*keys, "bin"), keys).groupBy(*by, "LD", "bin").agg(F.sum("_b2").alias("value"))
 
 
-def expression_score(
+def expression_sets(
     qtl: DataFrame, packed: DataFrame, cells: list[str], bins: int = 5, reach: float = 1.0, cell: str = "CELL",
 ) -> DataFrame:
-    """(Lead, cell, scores): a variant's expression score in every gene bin of every data set.
+    """(Lead, sets): a variant's expression score in every gene bin of every data set, in the order of `cells`.
 
     The score of a bin sums r2 * effect**2 over the bin's QTLs within `reach` cM; `packed` is one row
-    a variant with its donor words. Every variant has a row for each of `cells`, and `scores` is an array by bin.
+    a variant with its donor words. `sets` holds an array by bin for each of `cells`.
     """
     values = effect_sizes(qtl, gene_bins(qtl, bins, (cell,)), (cell,)).filter(F.col(cell).isin(cells))
     labels = {(c, b): f"{i}_{b}" for i, c in enumerate(cells) for b in range(1, bins + 1)}
     number = F.create_map(*[x for i, c in enumerate(cells) for x in (F.lit(c), F.lit(i))]) if cells else F.lit(None)
     values = values.select("LD", F.concat_ws("_", number[F.col(cell)], "bin").alias("label"), "value")
     wide = windowed_scores(packed, values, list(labels.values()), reach, correct=False)
-    per = [F.struct(F.lit(c).alias(cell), F.array(*[F.col(f"l2_{labels[c, b]}") for b in range(1, bins + 1)]).alias("scores")) for c in cells]
+    return wide.select("Lead", F.array(*[F.array(*[F.col(f"l2_{labels[c, b]}") for b in range(1, bins + 1)]) for c in cells]).alias("sets"))
+
+
+def expression_score(
+    qtl: DataFrame, packed: DataFrame, cells: list[str], bins: int = 5, reach: float = 1.0, cell: str = "CELL",
+) -> DataFrame:
+    """(Lead, cell, scores): `expression_sets` with a row for each of `cells`; `scores` is an array by bin."""
+    wide = expression_sets(qtl, packed, cells, bins, reach, cell)
+    per = [F.struct(F.lit(c).alias(cell), F.get("sets", i).alias("scores")) for i, c in enumerate(cells)]
     return wide.select("Lead", F.inline(F.array(*per)))
 
 
@@ -156,13 +164,20 @@ def coefficients(
     ).filter((F.col("_m") >= blocks) & (F.col("_m") > k))
     tile = chr_order("Chromosome") * 1_000_000 + F.floor(F.col("Position") / 1_000_000)
     ranked = tiled_running(base, by, tile, ["Chromosome", "Position", *ids], {"_rank": ("sum", F.lit(1))}).join(totals, by)
+    number = F.floor((F.col("_rank") - 1) * blocks / F.col("_m")).cast("int")
+    return _left_out(ranked.withColumn("block", number), len(scores), by, weight is not None)
+
+
+def _left_out(ranked: DataFrame, n_scores: int, by: list[str], weighted: bool) -> DataFrame:
+    """(by, block, coef) from rows with their block and the sums of their group; see `coefficients`."""
+    k = n_scores + 1
     m = F.coalesce("_ms", F.col("_m").cast("double"))
     h2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("_chi") - 1) * m, F.col("_aln"))))
     ld = F.greatest("_l2", F.lit(1.0))
     het = F.lit(1.0) + F.col("N") * h2 * ld / m
-    w = F.lit(1.0) / ((F.greatest("_wl", F.lit(1.0)) if weight else ld) * het * het)
-    rows = ranked.withColumns({"_w": w, "block": F.floor((F.col("_rank") - 1) * blocks / F.col("_m")).cast("int")})
-    x = [F.lit(1.0), *[F.col(f"_s{i}") * F.col("N") / F.col("_an") for i in range(len(scores))]]
+    w = F.lit(1.0) / ((F.greatest("_wl", F.lit(1.0)) if weighted else ld) * het * het)
+    rows = ranked.withColumn("_w", w)
+    x = [F.lit(1.0), *[F.col(f"_s{i}") * F.col("N") / F.col("_an") for i in range(n_scores)]]
     upper = [(i, j) for i in range(k) for j in range(i, k)]
     names = [*[f"y{i}" for i in range(k)], *[f"x{i}_{j}" for i, j in upper]]
     sums = rows.groupBy(*by, "block").agg(
@@ -182,6 +197,54 @@ def coefficients(
     )
 
 
+def joint_coefficients(
+    df: DataFrame, scores: list[str], own: DataFrame, cells: list[str], bins: int, by: list[str], blocks: int = 200,
+    m_snps: float | None = None, weight: str | None = None, chi_limit: bool = False, cell: str = "CELL",
+) -> DataFrame:
+    """(by, cell, block, coef): `coefficients` on `scores` and then on the `bins` scores of each cell in `own`.
+
+    `own` is (Lead, sets) as of `expression_sets`, a row a variant, and `df` has Lead too. Rows are dealt
+    and ranked once for all cells, with the total of each cell's scores in place of these: null where the
+    cell leaves the row out. The scores meet the rows last, where a row is taken apart into its cells and summed.
+    """
+    ids = [c for c in ("SNP",) if c in df.columns]
+    ok = F.transform("sets", lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + F.when(~F.isnan(x), x)))
+    names = [f"_s{i}" for i in range(len(scores))]
+    base = df.select(
+        "Lead", *by, *ids, "Chromosome", "Position", (F.col("Z") * F.col("Z")).alias("chi2"), F.col("N").cast("double").alias("N"),
+        *[F.col(s).alias(n) for s, n in zip(scores, names)], (F.col(weight) if weight else F.lit(0.0)).alias("_wl"),
+        F.lit(None if m_snps is None else float(m_snps)).cast("double").alias("_ms"),
+    )
+    base = base.dropna(subset=[c for c in base.columns if c != "_ms"])
+    base = settle(base.join(own.select("Lead", ok.alias("_own")), "Lead"))
+    each = range(len(cells))
+    if chi_limit:
+        # a row a group, as are the totals below
+        most = [F.max(F.when(F.get("_own", i).isNotNull(), F.col("N"))) for i in each]
+        limits = settle(base.groupBy(*by).agg(F.array(*[F.greatest(0.001 * m, F.lit(80.0)) for m in most]).alias("_limit")))
+        kept = F.zip_with("_own", "_limit", lambda v, most: F.when(F.col("chi2") < most, v))
+        base = base.join(limits, by).withColumn("_own", kept).drop("_limit")
+    l2 = sum((F.col(n) for n in names[1:]), F.col(names[0])) + F.col("_v")
+    totals = base.select("*", F.posexplode("_own").alias("_c", "_v")).filter("_v is not null").groupBy(*by, "_c").agg(
+        F.count("*").alias("_m"), F.avg("chi2").alias("_chi"), F.avg(l2 * F.col("N")).alias("_aln"), F.avg("N").alias("_an"),
+    )
+    totals = settle(totals.filter((F.col("_m") >= blocks) & (F.col("_m") > len(scores) + bins + 1)))
+    sizes = settle(totals.groupBy(*by).agg(F.array(*[F.max(F.when(F.col("_c") == i, F.col("_m"))) for i in each]).alias("_sizes")))
+    tile = chr_order("Chromosome") * 1_000_000 + F.floor(F.col("Position") / 1_000_000)
+    counts = {f"_r{i}": ("sum", F.get("_own", i).isNotNull().cast("int")) for i in each}
+    ranked = tiled_running(base, by, tile, ["Chromosome", "Position", *ids], counts).join(sizes, by)
+    number = [
+        F.when(F.get("_own", i).isNotNull(), F.floor((F.col(f"_r{i}") - 1) * blocks / F.get("_sizes", i)).cast("int")) for i in each
+    ]
+    ranked = ranked.select("Lead", *by, "chi2", "N", *names, "_wl", "_ms", F.array(*number).alias("block"))
+    parts = ranked.join(own, "Lead").select(*by, "chi2", "N", *names, "_wl", "_ms", F.posexplode(F.arrays_zip("block", "sets")).alias("_c", "_e"))
+    parts = parts.filter("_e.block is not null").join(totals, [*by, "_c"])
+    some = [F.get("_e.sets", b).alias(f"_s{len(scores) + b}") for b in range(bins)]
+    parts = parts.select("*", F.col("_e.block").alias("block"), F.get(F.array(*[F.lit(c) for c in cells]), F.col("_c")).alias(cell), *some)
+    total = sum((F.col(f"_s{i}") for i in range(1, len(scores) + bins)), F.col("_s0"))
+    return _left_out(parts.withColumn("_l2", total), len(scores) + bins, [*by, cell], weight is not None)
+
+
 def jackknife(df: DataFrame, by: list[str]) -> DataFrame:
     """(by, Quantity, Estimate, SE, blocks) from values (by, block, Quantity, value); block -1 holds the estimate.
 

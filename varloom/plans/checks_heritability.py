@@ -278,12 +278,10 @@ def _mediated(t):
     model = {"base": ["base"]}
     m = float(heritability.annotation_counts(packed, t.sql(ANNOT), model).first()["M"][0])
     ld_part = _ldscore(t, packed).select("Lead", "l2_base", F.col("l2_regress").alias("w"))
-    cells = settle(heritability.expression_score(t.qtl, packed, CELLS, BINS))
-    exp = [f"exp_{b}" for b in range(BINS)]
-    cells = cells.select("Lead", "CELL", *[F.get("scores", b).alias(c) for b, c in enumerate(exp)])
+    own = settle(heritability.expression_sets(t.qtl, packed, CELLS, BINS))
     studies = t.sumstats.select("dataset", "disease").distinct()
-    rows = _z_rows(t, ld_part).join(studies, "dataset").join(cells, "Lead")
-    coef = heritability.coefficients(rows, ["l2_base", *exp], MED_KEYS, BLOCKS, m, "w", chi_limit=True)
+    rows = _z_rows(t, ld_part).join(studies, "dataset")
+    coef = heritability.joint_coefficients(rows, ["l2_base"], own, CELLS, BINS, MED_KEYS[:2], BLOCKS, m, "w", chi_limit=True)
     binned = heritability.gene_bins(t.qtl, BINS)
     per = binned.groupBy("CELL", "bin").agg(F.sum("h2cis").alias("h"))
     cis = per.groupBy("CELL").agg(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("h"))), F.lit(0.0)).alias(f"h{b}") for b in range(1, BINS + 1)])
