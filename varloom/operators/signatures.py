@@ -38,16 +38,36 @@ def module_score(
     both = hit.join(ctrl.withColumn("_ctrl", F.lit(1)), ["signature", "gene"], "full_outer")
     roles = settle(both.fillna(0, subset=["_hit", "_ctrl"]))
     sizes = roles.groupBy("signature").agg(F.sum("_hit").alias("_nh"), F.sum("_ctrl").alias("_nc"))
-    per = (
-        counts.join(roles, "gene")
-        .groupBy("cell", "signature")
-        .agg(F.sum(F.col(value) * F.col("_hit")).alias("_sh"), F.sum(F.col(value) * F.col("_ctrl")).alias("_sc"))
+    # the roles of a signature as one array over the numbered genes: bit 1 a member, bit 2 a control
+    numbered = settle(roles.select("gene").distinct().withColumn("_g", F.row_number().over(Window.orderBy("gene")) - 1))
+    names = sizes.agg(F.collect_list(F.struct("signature")))
+    grid = numbered.withColumn("_s", names.scalar()).select("gene", "_g", F.inline("_s"))
+    marked = grid.join(roles.withColumn("_r", F.col("_hit") + 2 * F.col("_ctrl")), ["signature", "gene"], "left")
+    vectors = marked.groupBy("signature").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_g", "_r"))), lambda x: x["_r"]).alias("_roles")
     )
-    # the signatures and their set sizes travel as one array beside each cell
-    known = sizes.agg(F.collect_list(F.struct("signature", "_nh", "_nc")))
-    grid = everyone.withColumn("_s", known.scalar()).select("cell", F.inline("_s"))
-    score = F.coalesce(F.col("_sh"), F.lit(0.0)) / F.col("_nh") - F.coalesce(F.try_divide(F.col("_sc"), F.col("_nc")), F.lit(0.0))
-    return grid.join(per, ["cell", "signature"], "left").select("cell", "signature", score.alias("score"))
+    known = settle(sizes.join(vectors, sizes["signature"].eqNullSafe(vectors["signature"])).select(sizes["signature"], "_nh", "_nc", "_roles"))
+    # a cell's values are one array, which every signature sums in place: no row a cell and signature is grouped or sorted
+    entry = F.struct("_g", F.col(value).cast("double").alias("_v"))
+    per = counts.join(numbered, "gene").groupBy("cell").agg(F.collect_list(entry).alias("_values"))
+    signed = known.agg(F.collect_list(F.struct("signature", "_nh", "_nc", "_roles"))).scalar()
+
+    def total(values: Column, roles: Column, bit: int) -> Column:
+        """Sum of the values whose gene has the role; a null value and a gene without any role add nothing."""
+
+        def add(acc: Column, x: Column) -> Column:
+            role = F.get(roles, x["_g"])
+            return acc + F.when(role.isNull() | x["_v"].isNull(), 0.0).otherwise(x["_v"] * F.when(role.bitwiseAND(bit) > 0, 1.0).otherwise(0.0))
+
+        return F.coalesce(F.aggregate(values, F.lit(0.0), add), F.lit(0.0))
+
+    def scored(s: Column) -> Column:
+        hits, drawn = total(F.col("_values"), s["_roles"], 1), total(F.col("_values"), s["_roles"], 2)
+        score = hits / s["_nh"] - F.coalesce(F.try_divide(drawn, s["_nc"]), F.lit(0.0))
+        return F.struct(s["signature"].alias("signature"), score.alias("score"))
+
+    rows = everyone.join(per, "cell", "left").withColumn("_s", signed)
+    return rows.select("cell", F.inline(F.transform("_s", scored)))
 
 
 def rank_metric(
