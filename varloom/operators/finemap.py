@@ -25,25 +25,59 @@ def gene_z(weights: DataFrame, z: DataFrame, ld: DataFrame, by: tuple[str, ...]
     and the variance is joined along existing pairs only.
     """
     key = ["gene", "type", "context"]
-    w = weights.select(*key, "id", "weight")
-    num = w.join(z.filter("z IS NOT NULL").select(*by, "id", "z"), "id").groupBy(*by, *key).agg(
-        F.sum(F.col("weight") * F.col("z")).alias("_num"), F.count("*").alias("n_snps")
+
+    def whole(df: DataFrame, *columns: str) -> DataFrame:
+        """Rows without a null there: those with one have no variance."""
+        return df.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+
+    z = whole(z, *by, "id", "z").repartition("id")
+    studies = z.groupBy("id", *by).agg(F.sum("z").alias("_z"), F.count("*").alias("_n"))
+    studies = studies.groupBy("id").agg(F.collect_list(F.struct(*by, "_z", "_n")).alias("_studies"))
+    # equal rows of a gene and variant are one, by the sort that the join on the variant needs
+    same = Window.partitionBy("id", *key).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = whole(weights, *key, "id").select(*key, "id", "weight").repartition("id")
+    w = w.select(
+        *key, "id", F.sum("weight").over(same).alias("_w"), F.count(F.lit(1)).over(same).alias("_m"),
+        F.row_number().over(Window.partitionBy("id", *key).orderBy("id")).alias("_k"),
+    ).filter("_k = 1")
+    w = w.groupBy("id").agg(F.collect_list(F.struct(*key, "_w", "_m", F.xxhash64(*key).alias("_h"))).alias("_weights"))
+    pairs = whole(ld.select("id1", "id2", "r"), "id1", "id2")
+    own = pairs.filter("id1 = id2").groupBy(F.col("id1").alias("id")).agg(F.sum("r").alias("_r"), F.count("*").alias("_own"))
+    # a row a variant, written once: its weights, its studies and its pair with itself
+    variants = settle(w.join(studies, "id").join(own, "id", "left"))
+
+    # a weight is dealt by its gene once, with its studies
+    here = variants.select(F.inline("_weights"), "_r", "_own", "_studies").drop("_h")
+    here = here.repartition(*key).select(*key, "_w", "_m", "_r", "_own", F.inline("_studies"))
+    sums = here.groupBy(*by, *key).agg(
+        F.sum(F.col("_w") * F.col("_z")).alias("_num"), F.sum(F.col("_m") * F.col("_n")).alias("n_snps"),
+        F.sum(F.col("_w") * F.col("_r") * F.col("_w")).alias("_own_den"), F.sum("_own").alias("_owns"),
+    )
+
+    # pairs of different variants: the hashes of their genes tell which can share one, and only those meet the weights
+    sets = variants.select("id", F.col("_weights._h").alias("_hs"))
+    shared = settle(
+        pairs.filter("id1 <> id2")
+        .join(sets.toDF("id1", "_h1"), "id1")
+        .join(sets.toDF("id2", "_h2"), "id2")
+        .select("id1", "id2", "r", F.explode(F.array_intersect("_h1", "_h2")).alias("_h"))
     )
-    left = w.select(*key, F.col("id").alias("id1"), F.col("weight").alias("_w1"))
-    right = w.select(*key, F.col("id").alias("id2"), F.col("weight").alias("_w2"))
-    twice = F.when(F.col("id1") == F.col("id2"), 1.0).otherwise(2.0)
-    has = z.filter("z IS NOT NULL").select(*by, "id").distinct()
-    den = (
-        ld.select("id1", "id2", "r")
-        .join(left, "id1")
-        .join(right, [*key, "id2"])
-        .join(has.withColumnRenamed("id", "id1"), "id1")
-        .join(has.withColumnRenamed("id", "id2"), [*by, "id2"])
+    each = variants.select("id", F.inline("_weights")).drop("_m")
+    of = variants.select("id", F.transform("_studies", lambda s: F.struct(*[s[c].alias(c) for c in by])).alias("_in"))
+    left, right = (each.withColumnsRenamed({"id": f"id{k}", "_w": f"_w{k}"}) for k in (1, 2))
+    others = (
+        shared.join(left, ["id1", "_h"])
+        .join(right, ["id2", "_h", *key])
+        .join(of.toDF("id1", "_in1"), "id1")
+        .join(of.toDF("id2", "_in2"), "id2")
+        .select(*key, (F.lit(2.0) * F.col("_w1") * F.col("r") * F.col("_w2")).alias("_d"), F.inline(F.array_intersect("_in1", "_in2")))
         .groupBy(*by, *key)
-        .agg(F.sum(twice * F.col("_w1") * F.col("r") * F.col("_w2")).alias("_den"))
+        .agg(F.sum("_d").alias("_den"), F.count("*").alias("_pairs"))
     )
-    z_value = F.when(F.col("_den") > 0, F.col("_num") / F.sqrt(F.col("_den")))
-    return num.join(den, [*by, *key]).select(*by, *key, "n_snps", z_value.alias("z"))
+    both = sums.join(others, [*by, *key], "left").filter("_owns > 0 OR _pairs > 0")
+    den = F.coalesce(F.col("_own_den") + F.col("_den"), "_own_den", "_den")
+    z_value = F.when(den > 0, F.col("_num") / F.sqrt(den))
+    return both.select(*by, *key, "n_snps", z_value.alias("z"))
 
 
 def ln_bf(z: Column, var: Column) -> Column:

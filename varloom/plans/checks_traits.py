@@ -204,7 +204,10 @@ LDR = """SELECT a.SNPID AS id1, b.SNPID AS id2, CASE WHEN a.SNPID = b.SNPID THEN
 )
 def _(t):
     z = t.sumstats.select("dataset", F.col("SNPID").alias("id"), (F.col("BETA") / F.col("SE")).alias("z"))
-    out = finemap.gene_z(t.sql(GW), z, t.sql(LDR)).filter("z IS NOT NULL")
+    # the rows of GW, dealt by variant, as gene_z needs them
+    q = t.qtl.select(F.col("GENEID").alias("gene"), F.col("CELL").alias("context"), F.col("SNPID").alias("id"), "BETA").repartition("id")
+    w = q.groupBy("gene", F.lit("expression").alias("type"), "context", "id").agg(F.max("BETA").alias("weight"))
+    out = finemap.gene_z(w, z, t.sql(LDR)).filter("z IS NOT NULL")
     return rnd(out, 6, "z")
 
 
