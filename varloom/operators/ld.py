@@ -16,6 +16,9 @@ WORD = 63
 # donors of one numbering shard, unless the shards are given
 SHARD_DONORS = 4096
 
+# donors up to which their numbers are carried to the genotypes
+CARRIED_DONORS = 131_072
+
 
 def genotype_words(genotypes: DataFrame, shards: int | None = None) -> DataFrame:
     """Pack donors into words of 63: bit masks of observed, dosage 1 and dosage 2.
@@ -23,18 +26,20 @@ def genotype_words(genotypes: DataFrame, shards: int | None = None) -> DataFrame
     One row per variant, population and word replaces 63 genotype rows, and the masks
     are built with a map-side combined bit_or. Donors are numbered inside hash shards,
     so numbering never gathers all of them; there are as many shards as the donors need,
-    because a shard ends in a word that is not full.
+    because a shard ends in a word that is not full. The numbers go to the genotypes, or both
+    are dealt by donor if there are many: genotypes never pass through the driver, whatever
+    size Spark takes them for.
     """
-    donors = genotypes.select("population", "donor").distinct()
+    donors = settle(genotypes.select("population", "donor").distinct())
+    many = donors.count()
     if shards is None:
-        donors = settle(donors)
-        shards = 1 + donors.count() // SHARD_DONORS
+        shards = 1 + many // SHARD_DONORS
     donors = donors.withColumn("_shard", F.pmod(F.xxhash64("donor"), F.lit(shards)).cast("int"))
     slot = F.row_number().over(Window.partitionBy("population", "_shard").orderBy("donor")) - 1
     donors = donors.withColumn("_slot", slot).select(
         "population", "donor", "_shard", F.floor(F.col("_slot") / WORD).cast("int").alias("_word"),
         (F.col("_slot") % WORD).cast("int").alias("_bit"),
-    )
+    ).hint("broadcast" if many <= CARRIED_DONORS else "merge")
     mask = F.expr("shiftleft(1L, _bit)")
     zero = F.lit(0).cast("long")
 
@@ -205,10 +210,11 @@ def windowed_scores(
 
     The map is cut into tiles of `reach`: a lead goes to its tile and the two beside it, a neighbour has
     one. A pair is made once and summed on the map side, and no table of pairs is written or shuffled.
+    Tables with a row a variant are dealt: few bytes in files are many in memory, too many to broadcast.
     """
     per = values.groupBy(F.col("LD").alias("_v")).agg(
         *[F.sum(F.when(F.col("label") == x, F.col("value"))).cast("double").alias(f"_y{i}") for i, x in enumerate(labels)]
-    )
+    ).hint("merge")
     first = packed.select(F.size("obs").alias("n")).first()
     width = first["n"] if first else 0
     tile = F.floor(F.col("cM") / reach).cast("long")
@@ -223,7 +229,7 @@ def windowed_scores(
     parts = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     other = other.repartition(parts, "Chromosome", "_tile")
     near = (F.col("_c") == F.col("Chromosome")) & (F.col("_t") == F.col("_tile")) & (F.abs(F.col("cM") - F.col("_cm")) <= reach)
-    pairs = lead.join(other, near)
+    pairs = lead.hint("merge").join(other, near)
 
     pairs = pairs.select("Lead", *[f"_y{i}" for i in range(len(labels))], *[c.alias(k) for k, c in _pair_sums(width).items()])
     pairs = pairs.withColumn("r2", _pair_r2()).filter("r2 is not null")
