@@ -109,7 +109,8 @@ def annotation_counts(
     wide = annot.groupBy(F.col("LD").alias("_v")).agg(
         *[F.sum(F.when(F.col("label") == x, F.col("value")).otherwise(0)).cast("double").alias(f"_y{i}") for i, x in enumerate(labels)]
     )
-    rows = variants.filter((F.col("AF") > low) & (F.col("AF") < 1 - low)).join(wide, F.col("SNPID") == F.col("_v"), "left")
+    # a row a variant on both sides, which is too much to broadcast however few bytes its file has
+    rows = variants.filter((F.col("AF") > low) & (F.col("AF") < 1 - low)).join(wide.hint("merge"), F.col("SNPID") == F.col("_v"), "left")
     at = {x: F.coalesce(f"_y{i}", F.lit(0.0)) for i, x in enumerate(labels)}
     pairs = sorted({(min(a, b), max(a, b)) for some in sets.values() for a in some for b in some})
     col = {p: f"_p{i}" for i, p in enumerate(pairs)}
@@ -157,11 +158,13 @@ def coefficients(
     l2 = sum((F.col(f"_s{i}") for i in range(1, len(scores))), F.col("_s0"))
     base = settle(base.dropna(subset=[c for c in base.columns if c != "_ms"]).withColumn("_l2", l2))
     if chi_limit:
-        limit = base.groupBy(*by).agg(F.greatest(0.001 * F.max("N"), F.lit(80.0)).alias("_limit"))
+        # a row a group, as are the totals: written, their size is known and the rows stay where they are
+        limit = settle(base.groupBy(*by).agg(F.greatest(0.001 * F.max("N"), F.lit(80.0)).alias("_limit")))
         base = base.join(limit, by).filter("chi2 < _limit").drop("_limit")
     totals = base.groupBy(*by).agg(
         F.count("*").alias("_m"), F.avg("chi2").alias("_chi"), F.avg(F.col("_l2") * F.col("N")).alias("_aln"), F.avg("N").alias("_an"),
     ).filter((F.col("_m") >= blocks) & (F.col("_m") > k))
+    totals = settle(totals)
     tile = chr_order("Chromosome") * 1_000_000 + F.floor(F.col("Position") / 1_000_000)
     ranked = tiled_running(base, by, tile, ["Chromosome", "Position", *ids], {"_rank": ("sum", F.lit(1))}).join(totals, by)
     number = F.floor((F.col("_rank") - 1) * blocks / F.col("_m")).cast("int")
@@ -216,7 +219,8 @@ def joint_coefficients(
         F.lit(None if m_snps is None else float(m_snps)).cast("double").alias("_ms"),
     )
     base = base.dropna(subset=[c for c in base.columns if c != "_ms"])
-    base = settle(base.join(own.select("Lead", ok.alias("_own")), "Lead"))
+    # a row a variant on the right, here and below, which is not for a broadcast
+    base = settle(base.join(own.select("Lead", ok.alias("_own")).hint("merge"), "Lead"))
     each = range(len(cells))
     if chi_limit:
         # a row a group, as are the totals below
@@ -237,7 +241,7 @@ def joint_coefficients(
         F.when(F.get("_own", i).isNotNull(), F.floor((F.col(f"_r{i}") - 1) * blocks / F.get("_sizes", i)).cast("int")) for i in each
     ]
     ranked = ranked.select("Lead", *by, "chi2", "N", *names, "_wl", "_ms", F.array(*number).alias("block"))
-    parts = ranked.join(own, "Lead").select(*by, "chi2", "N", *names, "_wl", "_ms", F.posexplode(F.arrays_zip("block", "sets")).alias("_c", "_e"))
+    parts = ranked.join(own.hint("merge"), "Lead").select(*by, "chi2", "N", *names, "_wl", "_ms", F.posexplode(F.arrays_zip("block", "sets")).alias("_c", "_e"))
     parts = parts.filter("_e.block is not null").join(totals, [*by, "_c"])
     some = [F.get("_e.sets", b).alias(f"_s{len(scores) + b}") for b in range(bins)]
     parts = parts.select("*", F.col("_e.block").alias("block"), F.get(F.array(*[F.lit(c) for c in cells]), F.col("_c")).alias(cell), *some)

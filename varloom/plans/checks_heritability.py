@@ -11,7 +11,7 @@ from varloom.operators import heritability, ld, reports
 from varloom.plans.checks_loci import CELLS
 from varloom.plans.checks_traits import rnd
 from varloom.plans.registry import query
-from varloom.sources.sinks import settle
+from varloom.sources.sinks import release, settle
 
 
 def rounded(df, digits: dict[str, int]):
@@ -27,8 +27,8 @@ MUNGE = f"""SELECT dataset, SNP, A1, A2, 5000.0D AS N, CASE WHEN BETA = 0 THEN 0
            WHERE P > 0 AND P <= 1 AND NEA || EA NOT IN ('AT', 'TA', 'CG', 'GC') AND least(AF, 1 - AF) > 0.01) q WHERE rn = 1"""
 
 
-def _munged(t):
-    return heritability.munge(t.sumstats, n=5000.0)
+def _munged(t, sumstats=None):
+    return heritability.munge(t.sumstats if sumstats is None else sumstats, n=5000.0)
 
 
 @query("munge", f"SELECT dataset, SNP, A1, A2, N, round(Z, 6) AS Z FROM ({MUNGE}) q")
@@ -173,10 +173,14 @@ def t_sql(z: str) -> str:
 KEYS = ["dataset", "model"]
 
 
-def _z_rows(t, scores):
-    """Munged rows with their place and the scores of the variant."""
+def _z_rows(t, scores, sumstats=None):
+    """Munged rows with their place and the scores of the variant.
+
+    Tables with a row a variant are dealt: the panel is many times the bytes of the file it is made of.
+    """
     place = t.panel.select(F.col("RSID").alias("SNP"), "Chromosome", "Position", F.col("SNPID").alias("Lead"))
-    return _munged(t).join(place, "SNP").join(scores, "Lead")
+    munged = _munged(t, t.dealt("sumstats") if sumstats is None else sumstats)
+    return munged.join(place.hint("merge"), "SNP").join(scores.hint("merge"), "Lead")
 
 
 def _h2_parts(t):
@@ -247,6 +251,13 @@ ESCORE = f"""{EFFECTS}, es AS (SELECT r.Lead, e.CELL, e.bin, sum(e.b2 * r.r2) AS
 CELL_LIST = ", ".join(f"'{c}'" for c in CELLS)
 
 
+def _qtl(t):
+    """What bins and scores read of the QTLs, written once."""
+    out = settle(t.dealt("qtl").select("CELL", "Chromosome", "GENEID", "SNPID", "BETA"))
+    release(t.spark)
+    return out
+
+
 @query("gene_bins", f"WITH {BINNED} SELECT CELL, Chromosome, GENEID, round(h2cis, 9) AS h2cis, CAST(bin AS INT) AS bin FROM gb")
 def _(t):
     return rnd(heritability.gene_bins(t.qtl, BINS), 9, "h2cis").select("CELL", "Chromosome", "GENEID", "h2cis", "bin")
@@ -264,7 +275,7 @@ def _(t):
         LEFT JOIN es ON es.Lead = l.Lead AND es.CELL = c.CELL AND es.bin = b.bin""",
 )
 def _(t):
-    out = heritability.expression_score(t.qtl, _packed(t), CELLS, BINS)
+    out = heritability.expression_score(_qtl(t), _packed(t), CELLS, BINS)
     out = out.select("Lead", "CELL", F.posexplode("scores").alias("bin", "score")).withColumn("bin", F.col("bin") + 1)
     return rnd(out, 6, "score")
 
@@ -278,11 +289,15 @@ def _mediated(t):
     model = {"base": ["base"]}
     m = float(heritability.annotation_counts(packed, t.sql(ANNOT), model).first()["M"][0])
     ld_part = _ldscore(t, packed).select("Lead", "l2_base", F.col("l2_regress").alias("w"))
-    own = settle(heritability.expression_sets(t.qtl, packed, CELLS, BINS))
-    studies = t.sumstats.select("dataset", "disease").distinct()
-    rows = _z_rows(t, ld_part).join(studies, "dataset")
+    qtl = _qtl(t)
+    own = settle(heritability.expression_sets(qtl, packed, CELLS, BINS))
+    release(t.spark)
+    sumstats = settle(t.dealt("sumstats"))
+    release(t.spark)
+    studies = settle(sumstats.select("dataset", "disease").distinct())
+    rows = _z_rows(t, ld_part, sumstats).join(studies, "dataset")
     coef = heritability.joint_coefficients(rows, ["l2_base"], own, CELLS, BINS, MED_KEYS[:2], BLOCKS, m, "w", chi_limit=True)
-    binned = heritability.gene_bins(t.qtl, BINS)
+    binned = heritability.gene_bins(qtl, BINS)
     per = binned.groupBy("CELL", "bin").agg(F.sum("h2cis").alias("h"))
     cis = per.groupBy("CELL").agg(*[F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("h"))), F.lit(0.0)).alias(f"h{b}") for b in range(1, BINS + 1)])
     cis = cis.select("CELL", F.array(*[F.col(f"h{b}") for b in range(1, BINS + 1)]).alias("H"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,6 +39,17 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps, after a `settle` that leaves large ones.
+
+    It removes what no live frame refers to, on both sides of the bridge to the JVM. Spark's
+    event queue refers to the last query until another one ends.
+    """
+    gc.collect()
+    spark.range(1).count()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sink_tsv(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists") -> None:
     df.write.csv(path, sep=sep, header=True, mode=mode)
 
