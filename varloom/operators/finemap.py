@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from varloom.functions.frames import tiled_running
 from varloom.functions.logsum import STEP, log_sum_exp
-from varloom.sources.sinks import settle
+from varloom.sources.sinks import release, settle
 
 
 def group_size_filter(df: DataFrame, n: int = 100, group: str = "grp", unit: str | None = None) -> DataFrame:
     """Drop groups with fewer than n rows (or distinct units)."""
     size = F.count_distinct(unit) if unit else F.count("*")
-    big = df.groupBy(group).agg(size.alias("_n")).filter(F.col("_n") >= n).select(group)
+    big = settle(df.groupBy(group).agg(size.alias("_n")).filter(F.col("_n") >= n).select(group))
     return df.join(big, group, "left_semi")
 
 
@@ -86,11 +86,15 @@ def ln_bf(z: Column, var: Column) -> Column:
 
 
 def _posterior(df: DataFrame, prior: DataFrame, region: list[str]) -> DataFrame:
-    """Rows with `_lw` (log prior x BF), the region's ln sum and the single-effect pip."""
-    rows = df.join(prior.select("grp", "pi", "var"), "grp").withColumn(
+    """Rows with `_lw` (log prior x BF), the region's ln sum and the single-effect pip.
+
+    The priors, a row a group, are written: Spark then knows that rows need not be dealt by group.
+    """
+    rows = df.join(settle(prior.select("grp", "pi", "var")), "grp").withColumn(
         "_lw", F.ln("pi") + ln_bf(F.col("z"), F.col("var"))
     )
     total = settle(log_sum_exp(rows, region, {"_ls": F.col("_lw")}))
+    release(df.sparkSession)
     # ln(1 + sum w), the 1 being "no effect in the region"
     top = F.greatest(F.col("_ls"), F.lit(0.0))
     total = total.withColumn("_lt", top + F.ln(F.exp(F.col("_ls") - top) + F.exp(-top)))
@@ -180,18 +184,23 @@ def est_group_prior(
     tie = variance_tie(structure)
     rows = df.filter("z IS NOT NULL").select("grp", tie.alias("tie"), "z", *keys)
     rows = group_size_filter(rows, min_group_size, "grp")
-    genes = F.count_if(F.col("grp") != "SNP")
-    kept = rows.groupBy(*keys).agg(F.count("*").alias("_n"), genes.alias("_g")).filter((F.col("_n") >= min_var) & (F.col("_g") >= min_gene))
-    z = rows.join(kept.select(*keys), keys, "left_semi").repartition(*keys).persist()
+    # dealt by region once; a null is no region
+    here = Window.partitionBy(*keys)
+    rows = rows.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).repartition(*keys).withColumns(
+        {"_n": F.count("*").over(here), "_g": F.count_if(F.col("grp") != "SNP").over(here)}
+    )
+    z = rows.filter((F.col("_n") >= min_var) & (F.col("_g") >= min_gene)).drop("_n", "_g").persist()
     params = {r["grp"]: (r["tie"], pi0, var0) for r in z.select("grp", "tie").distinct().collect()}
     if not params:
         z.unpersist()
         return spark.createDataFrame([], schema)
     params = _em(z, params, prefit, None, keys)
-    single = z.join(single_effect_regions(z, params, min_p_single, keys), keys, "left_semi")
-    single = single.repartition(*keys).persist()
-    params = _em(single, params, iters, tol, keys)
+    # both sides lie by region
+    single = z.join(single_effect_regions(z, params, min_p_single, keys), keys, "left_semi").persist()
+    single.count()
     z.unpersist()
+    release(spark)
+    params = _em(single, params, iters, tol, keys)
     single.unpersist()
     return spark.createDataFrame([(g, p[1], p[2]) for g, p in sorted(params.items())], schema)
 
@@ -203,19 +212,24 @@ def region_pip(
 
     `alpha` is the share within the region given an effect there; `cs` marks the
     smallest set, by alpha, that reaches the coverage (ties by id). The cumulative sum
-    runs over bands of alpha, so a region's rows are never sorted in one task.
+    runs over bands of alpha, so a region's rows are never sorted in one task. `df` is read twice;
+    the rows with their alpha are written for the sum, which reads them twice.
     """
     keys = list(region)
     rows = _posterior(df, prior, keys).withColumn("alpha", F.exp(F.col("_lw") - F.col("_ls")))
+    rows = settle(rows.drop("_lw", "_ls", "_lt", "pi", "var"))
+    release(df.sparkSession)
     band = F.floor(-F.ln(F.greatest(F.col("alpha"), F.lit(1e-300))) * 10)
     out = tiled_running(
         rows, keys, band, [F.desc("alpha"), F.col("id"), F.col("grp")], {"_before": ("sum", F.col("alpha"))}, inclusive=False
     )
-    return out.withColumn("cs", F.col("_before") < coverage).drop("_lw", "_ls", "_lt", "_before", "pi", "var")
+    return out.withColumn("cs", F.col("_before") < coverage).drop("_before")
 
 
 def screen_regions(df: DataFrame, threshold: float = 0.5, region: tuple[str, ...] = ("region_id",)) -> DataFrame:
     """Rows of the regions whose non-variant inclusion probability reaches the threshold."""
+    df = settle(df)
+    release(df.sparkSession)
     mass = F.sum(F.when(F.col("grp") != "SNP", F.col("pip")).otherwise(0.0))
     kept = df.groupBy(*region).agg(mass.alias("nonSNP_PIP")).filter(F.col("nonSNP_PIP") >= threshold)
     return df.join(kept, list(region))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from varloom.operators import coloc, finemap
 from varloom.plans.checks_loci import LD_SQL, _ld, lp
 from varloom.plans.registry import query
-from varloom.sources.sinks import settle
+from varloom.sources.sinks import release, settle
 
 
 def rnd(df, digits: int, *cols: str):
@@ -220,12 +220,20 @@ PIP = f"""w AS (SELECT z.*, p.pi, ln(p.pi) - 0.5D * ln(1.0D + p.var) + 0.5D * z.
 RG = ("dataset", "region_id")
 
 
+def _region_z(t):
+    """The rows of the regions, written once: priors and posteriors read them several times."""
+    out = settle(t.region_z)
+    release(t.spark)
+    return out
+
+
 @query(
     "region_pip",
     f"WITH {PIP} SELECT dataset, region_id, grp, id, round(pip, 6) AS pip, round(alpha, 6) AS alpha, bef < 0.95 AS cs FROM c",
 )
 def _(t):
-    out = finemap.region_pip(t.region_z, t.sql(PRIOR), region=RG)
+    z = _region_z(t)
+    out = finemap.region_pip(z, t.sql(PRIOR, region_z=z), region=RG)
     return rnd(out, 6, "pip", "alpha").select("dataset", "region_id", "grp", "id", "pip", "alpha", "cs")
 
 
@@ -235,7 +243,8 @@ def _(t):
         SELECT c.dataset, c.region_id, c.grp, c.id, round(s.g, 6) AS nonSNP_PIP FROM c JOIN s ON c.dataset = s.dataset AND c.region_id = s.region_id WHERE s.g >= 0.5""",
 )
 def _(t):
-    pips = finemap.region_pip(t.region_z, t.sql(PRIOR), region=RG).select("dataset", "region_id", "grp", "id", "pip")
+    z = _region_z(t)
+    pips = finemap.region_pip(z, t.sql(PRIOR, region_z=z), region=RG).select("dataset", "region_id", "grp", "id", "pip")
     return rnd(finemap.screen_regions(pips, region=RG), 6, "nonSNP_PIP").drop("pip")
 
 
@@ -246,7 +255,8 @@ def _(t):
           round(sum(CASE WHEN grp <> 'SNP' THEN pip ELSE 0 END), 6) AS nonSNP_PIP FROM c GROUP BY dataset, region_id""",
 )
 def _(t):
-    pips = finemap.region_pip(t.region_z, t.sql(PRIOR), region=RG)
+    z = _region_z(t)
+    pips = finemap.region_pip(z, t.sql(PRIOR, region_z=z), region=RG)
     return rnd(finemap.region_screen_table(pips, RG), 6, "max_gene_absZ", "max_snp_absZ", "nonSNP_PIP")
 
 
@@ -273,8 +283,8 @@ EM = f"""em0 AS MATERIALIZED (SELECT grp, z, dataset, region_id FROM {{region_z}
    prior AS (SELECT grp, pi, var FROM fit WHERE it = (SELECT max(it) FROM fit))"""
 
 
-def _prior(t, **options):
-    return finemap.est_group_prior(t.region_z, region=RG, **options)
+def _prior(t, z=None, **options):
+    return finemap.est_group_prior(_region_z(t) if z is None else z, region=RG, **options)
 
 
 @query("est_group_prior", f"WITH RECURSIVE {EM} SELECT grp, round(pi, 6) AS pi, round(var, 6) AS var FROM prior")
@@ -301,7 +311,8 @@ FITTED = PIP.replace(f"({PRIOR})", "prior")
 )
 def _(t):
     """Regions of a molecular signal, by the priors that the EM finds."""
-    pips = finemap.region_pip(t.region_z, _prior(t), region=RG).select("dataset", "region_id", "grp", "id", "pip", "cs")
+    z = _region_z(t)
+    pips = finemap.region_pip(z, _prior(t, z), region=RG).select("dataset", "region_id", "grp", "id", "pip", "cs")
     return rnd(finemap.screen_regions(pips, region=RG), 6, "pip", "nonSNP_PIP")
 
 
